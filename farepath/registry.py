@@ -25,7 +25,14 @@ from farepath.plans import trip_queries as tq
 from farepath.schemas import TRIPS_2015, TRIPS_2024
 from farepath.session import new_scratch_path
 from farepath.sinks.files import IngestItem, ingest_csv_to_parquet
-from farepath.sources import drop_header, parse_delimited, read_csv, read_csv_inferred, read_lines
+from farepath.sources import (
+    drop_header,
+    parse_delimited,
+    read_csv,
+    read_csv_inferred,
+    read_delimited,
+    read_lines,
+)
 from farepath.sources.tables import (
     DRIVER_REGIONS,
     DRIVER_REVENUE_MEASURES,
@@ -222,7 +229,8 @@ def q_text_lines_parse(spark, sf):
 
 
 def q_text_report(spark, sf):
-    one = tq.farthest_trip_one_per_vendor(_text_trips(spark, sf))
+    parsed = read_delimited(spark, trips_csv_path(spark, sf, "2015"), TEXT_FIELDS)
+    one = tq.farthest_trip_one_per_vendor(parsed)
     return tq.farthest_trip_report(one)
 
 

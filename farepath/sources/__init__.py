@@ -2,13 +2,14 @@
 adapters that derive trip and zone tables from the driver's tables."""
 
 from farepath.sources.files import read_csv, read_csv_inferred, read_parquet
-from farepath.sources.text import drop_header, parse_delimited, read_lines
+from farepath.sources.text import drop_header, parse_delimited, read_delimited, read_lines
 
 __all__ = [
     "drop_header",
     "parse_delimited",
     "read_csv",
     "read_csv_inferred",
+    "read_delimited",
     "read_lines",
     "read_parquet",
 ]
