@@ -180,6 +180,8 @@ def region_revenue(trips: DataFrame, lookup: DataFrame,
     """Sum of each revenue column per pickup borough, formatted as money,
     ordered by the numeric sum of ``order_measure`` (largest first)."""
     measures = dict(measures)
+    if order_measure not in measures:
+        raise ValueError(f"order_measure {order_measure!r} is not one of the measures {list(measures)}")
     kept = lookup.where(F.col(region_col).isin(list(regions)))
     joined = with_lookup(trips.select(pickup_key, *measures), kept, pickup_key,
                          {region_col: region_col}, strategy=strategy)

@@ -1,0 +1,107 @@
+from __future__ import annotations
+
+import math
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from farepath.functions import (
+    all_nonzero,
+    duration_minutes,
+    fixed_decimals,
+    haversine_km,
+    hour_of_day,
+    in_hour_window,
+    money,
+    parse_timestamp,
+)
+from tests.fixtures import ts
+
+R = 6378.0
+
+
+def py_haversine(lon1, lat1, lon2, lat2):
+    lon1, lat1, lon2, lat2 = map(math.radians, (lon1, lat1, lon2, lat2))
+    a = math.sin((lat2 - lat1) / 2) ** 2 + math.cos(lat1) * math.cos(lat2) * math.sin((lon2 - lon1) / 2) ** 2
+    a = min(max(a, 0.0), 1.0)
+    return R * 2 * math.atan2(math.sqrt(a), math.sqrt(1 - a))
+
+
+def dist(spark, rows):
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    return [r[0] for r in df.select(haversine_km("a", "b", "c", "d")).collect()]
+
+
+def test_haversine_known_values(spark):
+    rows = [(-73.98, 40.75, -73.90, 40.77), (0.0, 0.0, 90.0, 0.0), (10.0, 20.0, 10.0, 20.0)]
+    got = dist(spark, rows)
+    for g, r in zip(got, rows):
+        assert g == pytest.approx(py_haversine(*r), rel=1e-12, abs=1e-9)
+    assert got[1] == pytest.approx(math.pi / 2 * R)
+    assert got[2] == 0.0
+
+
+def test_haversine_antipodal_and_out_of_range_do_not_fail(spark):
+    lon, lat = -96.90948774694672, -75.43504490866798
+    got = dist(spark, [(lon, lat, lon + 180, -lat), (1.0, 401.0, 2.0, 401.0), (5.0, 401.0, 5.0, 401.0)])
+    assert all(g is not None and math.isfinite(g) for g in got)
+    assert got[0] == pytest.approx(math.pi * R)
+    assert all(0 <= g <= math.pi * R + 1e-9 for g in got)
+
+
+def test_haversine_null_stays_null(spark):
+    assert dist(spark, [(None, 40.0, -73.0, 40.0), (-73.0, 40.0, -73.0, None)]) == [None, None]
+
+
+coord = st.floats(min_value=-180, max_value=180, allow_nan=False)
+lat = st.floats(min_value=-90, max_value=90, allow_nan=False)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(coord, lat, coord, lat), min_size=1, max_size=20))
+def test_haversine_properties(spark, pts):
+    fwd = dist(spark, pts)
+    back = dist(spark, [(c, d, a, b) for a, b, c, d in pts])
+    for f, b, p in zip(fwd, back, pts):
+        assert f == pytest.approx(b, abs=1e-6)
+        assert 0 <= f <= math.pi * R + 1e-6
+        assert f == pytest.approx(py_haversine(*p), abs=1e-6)
+
+
+def test_hour_window_edges(spark):
+    df = spark.createDataFrame([(ts(22, 59, 59),), (ts(23),), (ts(6, 59, 59),), (ts(7),), (None,)],
+                               "t timestamp_ntz")
+    night = df.select(in_hour_window(hour_of_day("t"), 23, 7).alias("n")).collect()
+    assert [r.n for r in night] == [False, True, True, False, None]
+    day = df.select(in_hour_window(hour_of_day("t"), 7, 23).alias("n")).collect()
+    assert [r.n for r in day] == [True, False, False, True, None]
+
+
+def test_duration_minutes_negative_and_ltz(spark):
+    df = spark.createDataFrame([(ts(7), ts(6, 55)), (ts(1), ts(1, 1, 30))], "a timestamp_ntz, b timestamp_ntz")
+    assert [r[0] for r in df.select(duration_minutes("a", "b")).collect()] == [-5.0, 1.5]
+    ltz = df.select(F.col("a").cast("timestamp").alias("a"), F.col("b").cast("timestamp").alias("b"))
+    assert [r[0] for r in ltz.select(duration_minutes("a", "b")).collect()] == [-5.0, 1.5]
+
+
+def test_all_nonzero_drops_zero_and_null(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (0.0, 1.0), (1.0, None), (-0.0, 3.0)], "x double, y double")
+    assert df.where(all_nonzero("x", "y")).count() == 1
+    with pytest.raises(ValueError):
+        all_nonzero()
+
+
+def test_money_and_fixed_decimals(spark):
+    df = spark.createDataFrame([(1234567.895,), (0.125,), (None,)], "x double")
+    got = df.select(money("x").alias("m"), fixed_decimals("x", 1).alias("f")).collect()
+    # format_number rounds half-even on the exact binary value: 0.125 -> 0.12
+    assert got[0].m == "1,234,567.90" and got[1].m == "0.12" and got[2].m is None
+    assert got[1].f == "0.1"
+
+
+def test_parse_timestamp_bad_text_is_null(spark):
+    df = spark.createDataFrame([("2015-01-15 19:05:39",), ("garbage",), ("",)], "s string")
+    got = [r[0] for r in df.select(parse_timestamp("s")).collect()]
+    assert got[0].hour == 19 and got[1] is None and got[2] is None
