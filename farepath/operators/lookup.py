@@ -61,6 +61,8 @@ def _apply_strategy(side: DataFrame, strategy: str, max_rows: int) -> DataFrame:
         return checked_broadcast(side, max_rows, required=True)
     if strategy in ("merge", "shuffle_hash"):
         return side.hint(strategy)
+    if strategy == "verified_broadcast":  # size already checked by the caller
+        return F.broadcast(side)
     if strategy == "planner":
         return side
     raise ValueError(f"unknown join strategy {strategy!r}; expected one of {JOIN_STRATEGIES}")
@@ -96,9 +98,16 @@ def sample_lookup_join(fact: DataFrame, lookup: DataFrame, fact_key: str,
 
 
 def join_roles(fact: DataFrame, lookup: DataFrame,
-               roles: Sequence[tuple[str, Mapping[str, str]]], **kwargs) -> DataFrame:
-    """Join one lookup in several roles, e.g. pickup and drop-off zone."""
+               roles: Sequence[tuple[str, Mapping[str, str]]], strategy: str = "auto",
+               max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS, **kwargs) -> DataFrame:
+    """Join one lookup in several roles, e.g. pickup and drop-off zone. The
+    size of the lookup is checked once for all roles."""
+    if strategy in ("auto", "broadcast"):
+        small = row_count_at_most(lookup, max_broadcast_rows) is not None
+        if not small and strategy == "broadcast":
+            raise ValueError(f"refusing to broadcast: more than {max_broadcast_rows} rows")
+        strategy = "verified_broadcast" if small else "planner"
     out = fact
     for fact_key, columns in roles:
-        out = with_lookup(out, lookup, fact_key, columns, **kwargs)
+        out = with_lookup(out, lookup, fact_key, columns, strategy=strategy, **kwargs)
     return out

@@ -21,18 +21,23 @@ def _array(values: Sequence[str]):
 
 
 def farthest_trip_per_vendor_sql(spark: SparkSession, trips: DataFrame, **kw) -> DataFrame:
-    """Max distance per vendor joined back on vendor and distance; ties kept."""
+    """Max distance per vendor joined back on vendor and distance; ties kept.
+    ``DISTRIBUTE BY`` puts the matched rows through a small hash exchange so
+    the final sort samples them, not a second pass over the trips."""
     dd = with_distance_duration(trips, **kw)
     return spark.sql(
         """
-        SELECT m.VendorID,
-               ROUND(m.max_distance, 2) AS `Max Haversine Distance (km)`,
-               ROUND(d.duration_min, 1) AS `Duration (min)`
-        FROM (SELECT VendorID, MAX(distance_km) AS max_distance
-              FROM {dd} GROUP BY VendorID) AS m
-        JOIN {dd} AS d
-          ON d.VendorID = m.VendorID AND d.distance_km = m.max_distance
-        ORDER BY m.VendorID
+        SELECT * FROM (
+          SELECT m.VendorID,
+                 ROUND(m.max_distance, 2) AS `Max Haversine Distance (km)`,
+                 ROUND(d.duration_min, 1) AS `Duration (min)`
+          FROM (SELECT VendorID, MAX(distance_km) AS max_distance
+                FROM {dd} GROUP BY VendorID) AS m
+          JOIN {dd} AS d
+            ON d.VendorID = m.VendorID AND d.distance_km = m.max_distance
+          DISTRIBUTE BY VendorID, `Duration (min)`
+        )
+        ORDER BY VendorID, `Duration (min)`
         """,
         dd=dd,
     )
