@@ -106,14 +106,17 @@ def farthest_trip_per_vendor(trips: DataFrame, vendor: str = "VendorID",
 
 
 def farthest_trip_one_per_vendor(trips: DataFrame, vendor: str = "VendorID",
-                                 max_groups: int = DEFAULT_MAX_BROADCAST_ROWS, **kw) -> DataFrame:
+                                 max_groups: int = DEFAULT_MAX_BROADCAST_ROWS,
+                                 ordered: bool = True, **kw) -> DataFrame:
     """One trip per vendor at the greatest distance; among tied trips the
-    shortest duration wins."""
+    shortest duration wins. ``ordered=False`` skips the final sort when the
+    caller sorts anyway (the text report)."""
     dd = with_distance_duration(trips, vendor=vendor, **kw).select(vendor, "distance_km", "duration_min")
     one = one_row_per_group_max(dd, [vendor], "distance_km", payload=["duration_min"],
                                 tie_break=[F.col("duration_min")], max_groups=max_groups)
-    return one.select(vendor, F.round("distance_km", 2).alias(MAX_DISTANCE),
-                      F.round("duration_min", 1).alias(DURATION)).orderBy(vendor)
+    out = one.select(vendor, F.round("distance_km", 2).alias(MAX_DISTANCE),
+                     F.round("duration_min", 1).alias(DURATION))
+    return out.orderBy(vendor) if ordered else out
 
 
 def farthest_trip_report(farthest: DataFrame, vendor: str = "VendorID") -> DataFrame:

@@ -33,6 +33,7 @@ from farepath.sources import (
     read_delimited,
     read_lines,
 )
+from farepath.sources import tables
 from farepath.sources.tables import (
     DRIVER_REGIONS,
     DRIVER_REVENUE_MEASURES,
@@ -230,10 +231,19 @@ def q_text_lines_parse(spark, sf):
 
 def q_text_report(spark, sf):
     parsed = read_delimited(spark, trips_csv_path(spark, sf, "2015"), TEXT_FIELDS)
-    one = tq.farthest_trip_one_per_vendor(parsed)
+    one = tq.farthest_trip_one_per_vendor(parsed, ordered=False)
     return tq.farthest_trip_report(one)
 
 
+def q_zone_pairs_streaming(spark, sf):
+    from farepath.streaming import run_available, stream_files
+    path = tables.prepared_trips_path(spark, sf)
+    schema = spark.read.parquet(path).schema
+    stream = stream_files(spark, path, schema, max_files_per_trigger=4)
+    counts = tq.zone_pair_counts(stream, _lookup(spark, sf))
+    return spark.read.parquet(run_available(counts))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hour_of_day_means": q_hour_of_day_means,
     "hour_of_day_means_udf": q_hour_of_day_means_udf,
@@ -246,6 +256,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "zone_pair_counts": q_zone_pairs,
     "zone_pair_counts_csv": q_zone_pairs_csv,
     "zone_pair_top": q_zone_pair_top,
+    "zone_pair_counts_streaming": q_zone_pairs_streaming,
     "region_revenue": q_region_revenue,
     "haversine_distance": q_haversine,
     "trip_duration_minutes": q_duration,
@@ -427,6 +438,7 @@ ORACLE_SQL: dict[str, str] = {
     "same_region_trip_counts_csv": _SAME_REGION_SQL,
     "zone_pair_counts": _ZONE_PAIRS_SQL,
     "zone_pair_counts_csv": _ZONE_PAIRS_SQL,
+    "zone_pair_counts_streaming": _ZONE_PAIRS_SQL,
     "zone_pair_top": _ZONE_PAIRS_SQL.rstrip() + f"\nLIMIT {TOP_PAIRS}\n",
     "region_revenue": _REVENUE_SQL,
     "haversine_distance": _HAVERSINE_SQL,

@@ -142,10 +142,13 @@ def _prepare(spark: SparkSession, sf_dir: str, kind: str, build) -> str:
     return path
 
 
-def prepared_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _prepare(spark, sf_dir, "trips-parquet",
+def prepared_trips_path(spark: SparkSession, sf_dir: str) -> str:
+    return _prepare(spark, sf_dir, "trips-parquet",
                     lambda p: write_parquet(derive_trips(spark, sf_dir), p))
-    return spark.read.parquet(path)
+
+
+def prepared_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(prepared_trips_path(spark, sf_dir))
 
 
 def prepared_lookup_path(spark: SparkSession, sf_dir: str) -> str:
