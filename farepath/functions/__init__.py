@@ -6,6 +6,7 @@ from farepath.functions.geo import EARTH_RADIUS_KM, haversine_km
 from farepath.functions.predicates import all_nonzero
 from farepath.functions.time import (
     duration_minutes,
+    hour_from_text,
     hour_of_day,
     in_hour_window,
     parse_timestamp,
@@ -18,6 +19,7 @@ __all__ = [
     "duration_minutes",
     "fixed_decimals",
     "haversine_km",
+    "hour_from_text",
     "hour_of_day",
     "in_hour_window",
     "money",

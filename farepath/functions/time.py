@@ -22,6 +22,13 @@ def hour_of_day(c: ColumnOrName) -> Column:
     return F.hour(as_col(c))
 
 
+def hour_from_text(c: ColumnOrName) -> Column:
+    """Hour from the two characters after the date of a
+    ``yyyy-MM-dd HH...`` text, as INT; NULL when they are not digits.
+    Cheaper than parsing the whole timestamp when only the hour is needed."""
+    return F.substring(as_col(c), 12, 2).try_cast("int")
+
+
 def duration_minutes(start: ColumnOrName, end: ColumnOrName) -> Column:
     """Whole elapsed seconds from start to end, divided by 60 (DOUBLE).
 

@@ -17,6 +17,7 @@ from farepath.functions import (
     duration_minutes,
     fixed_decimals,
     haversine_km,
+    hour_from_text,
     hour_of_day,
     in_hour_window,
     money,
@@ -63,11 +64,14 @@ def hour_of_day_means(df: DataFrame, time_col: str = PICKUP_TIME,
                       decimals: int | None = None, use_udf: bool = False) -> DataFrame:
     """Mean of each measure per hour of day, rows with a zero or NULL in
     ``nonzero`` left out, ordered by hour. ``use_udf`` builds the means from
-    sums and counts with a vectorised Python division instead of ``avg``."""
+    sums and counts with a vectorised Python division instead of ``avg``.
+    A text ``time_col`` (lines parsed without a timestamp type) gives its
+    hour from the two characters after the date."""
     measures = dict(measures or {"pickup_longitude": "Longitude", "pickup_latitude": "Latitude"})
     nonzero = list(nonzero if nonzero is not None else measures)
+    hour = hour_from_text(time_col) if dict(df.dtypes)[time_col] == "string" else hour_of_day(time_col)
     hours = (df.where(all_nonzero(*nonzero))
-             .select(hour_of_day(time_col).alias(HOUR), *measures))
+             .select(hour.alias(HOUR), *measures))
     agg = (group_means_udf(hours, HOUR, measures) if use_udf
            else group_means(hours, HOUR, measures))
     return agg.select(HOUR, *[_round(F.col(c), decimals).alias(c) for c in measures.values()]) \

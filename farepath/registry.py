@@ -24,7 +24,7 @@ from farepath.plans import sql_queries as sq
 from farepath.plans import trip_queries as tq
 from farepath.schemas import TRIPS_2015, TRIPS_2024
 from farepath.session import new_scratch_path
-from farepath.sinks.files import IngestItem, ingest_csv_to_parquet
+from farepath.sinks.files import IngestItem, ingest_csv_to_parquet, write_text
 from farepath.sources import (
     drop_header,
     parse_delimited,
@@ -106,6 +106,14 @@ def q_hour_of_day_means_udf(spark, sf):
     return tq.hour_of_day_means(events(spark, sf), "ts", EVENT_MEASURES, decimals=6, use_udf=True)
 
 
+def q_hour_of_day_means_text(spark, sf):
+    # Events CSV read as delimited text: only time text, user and value are
+    # typed; the JSON column at the end is never parsed.
+    fields = [(1, "ts", "string"), (2, "user_id", "bigint"), (4, "value", "double")]
+    ev = read_delimited(spark, events_csv_path(spark, sf), fields)
+    return tq.hour_of_day_means(ev, "ts", EVENT_MEASURES, decimals=6)
+
+
 def q_night_event_counts(spark, sf):
     return tq.night_counts(events(spark, sf), "ts", "event_type", name="NightEvents")
 
@@ -232,7 +240,9 @@ def q_text_lines_parse(spark, sf):
 def q_text_report(spark, sf):
     parsed = read_delimited(spark, trips_csv_path(spark, sf, "2015"), TEXT_FIELDS)
     one = tq.farthest_trip_one_per_vendor(parsed, ordered=False)
-    return tq.farthest_trip_report(one)
+    # Written as one ordered text file, then read back as lines.
+    path = write_text(tq.farthest_trip_report(one), new_scratch_path(spark, "report"), single_file=True)
+    return read_lines(spark, path)
 
 
 def q_zone_pairs_streaming(spark, sf):
@@ -247,6 +257,7 @@ def q_zone_pairs_streaming(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hour_of_day_means": q_hour_of_day_means,
     "hour_of_day_means_udf": q_hour_of_day_means_udf,
+    "hour_of_day_means_text": q_hour_of_day_means_text,
     "night_event_counts": q_night_event_counts,
     "night_event_counts_sql": q_night_event_counts_sql,
     "night_event_counts_csv": q_night_event_counts_csv,
@@ -430,6 +441,7 @@ SELECT value FROM (
 ORACLE_SQL: dict[str, str] = {
     "hour_of_day_means": _HOUR_MEANS_SQL,
     "hour_of_day_means_udf": _HOUR_MEANS_SQL,
+    "hour_of_day_means_text": _HOUR_MEANS_SQL,
     "night_event_counts": _NIGHT_SQL,
     "night_event_counts_sql": _NIGHT_SQL,
     "night_event_counts_csv": _NIGHT_SQL,

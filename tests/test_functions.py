@@ -105,3 +105,10 @@ def test_parse_timestamp_bad_text_is_null(spark):
     df = spark.createDataFrame([("2015-01-15 19:05:39",), ("garbage",), ("",)], "s string")
     got = [r[0] for r in df.select(parse_timestamp("s")).collect()]
     assert got[0].hour == 19 and got[1] is None and got[2] is None
+
+
+def test_hour_from_text(spark):
+    from farepath.functions import hour_from_text
+
+    df = spark.createDataFrame([("2015-01-15 19:05:39",), ("2015-01-15 07:00:00.5",), ("bad",), (None,)], "s string")
+    assert [r[0] for r in df.select(hour_from_text("s")).collect()] == [19, 7, None, None]

@@ -152,3 +152,32 @@ def test_empty_input_keeps_schema(spark):
     for df in (tq.farthest_trip_per_vendor(t), tq.zone_pair_counts(t, zones(spark)),
                tq.night_counts(t), tq.region_revenue(t, zones(spark), measures={"fare_amount": "F"}, order_measure="fare_amount")):
         assert df.count() == 0 and len(df.columns) >= 2
+
+
+def test_report_file_keeps_order(spark, out_dir):
+    import os
+
+    from farepath.sinks import write_text
+
+    rep = tq.farthest_trip_report(tq.farthest_trip_one_per_vendor(trips(spark), ordered=False))
+    path = write_text(rep, out_dir, single_file=True)
+    local = path[len("file:"):] if path.startswith("file:") else path
+    (part,) = [f for f in os.listdir(local) if f.startswith("part-")]
+    with open(os.path.join(local, part)) as fh:
+        lines = fh.read().splitlines()
+    assert lines[0].startswith("VendorID\t") and [ln.split("\t")[0] for ln in lines[1:]] == ["1", "2", "3"]
+
+
+def test_csv_and_parquet_inputs_agree(spark, out_dir):
+    from farepath.schemas import ZONE_LOOKUP
+    from farepath.sinks import write_csv, write_parquet
+    from farepath.sources import read_csv, read_parquet
+
+    t, z = trips(spark), zones(spark)
+    write_csv(t, out_dir + "/t.csv")
+    write_csv(z, out_dir + "/z.csv")
+    write_parquet(t, out_dir + "/t.pq")
+    tc, zc = read_csv(spark, out_dir + "/t.csv", t.schema), read_csv(spark, out_dir + "/z.csv", ZONE_LOOKUP)
+    tp = read_parquet(spark, out_dir + "/t.pq")
+    assert rows(tq.zone_pair_counts(tc, zc)) == rows(tq.zone_pair_counts(tp, z))
+    assert rows(tq.same_region_trip_counts(tc, zc)) == rows(tq.same_region_trip_counts(tp, z))
