@@ -11,10 +11,20 @@ from farepath.functions._cols import ColumnOrName, as_col
 TRIP_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
+# Layouts that a plain cast to TIMESTAMP_NTZ reads (date, space, time,
+# optional fraction).
+_CASTABLE = {None, TRIP_TIME_FORMAT, "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+
+
 def parse_timestamp(c: ColumnOrName, fmt: str | None = TRIP_TIME_FORMAT) -> Column:
-    """Text to TIMESTAMP_NTZ; unparsable text becomes NULL instead of failing."""
-    ts = F.try_to_timestamp(as_col(c), F.lit(fmt)) if fmt else F.try_to_timestamp(as_col(c))
-    return ts.cast("timestamp_ntz")
+    """Text to TIMESTAMP_NTZ; unparsable text becomes NULL instead of failing.
+
+    The ISO-like trip layout is read with ``try_cast``, which involves no
+    time zone (a wall time inside a daylight-saving gap stays as written).
+    Other layouts go through ``try_to_timestamp`` in the session zone."""
+    if fmt in _CASTABLE:
+        return as_col(c).try_cast("timestamp_ntz")
+    return F.try_to_timestamp(as_col(c), F.lit(fmt)).cast("timestamp_ntz")
 
 
 def hour_of_day(c: ColumnOrName) -> Column:
@@ -30,11 +40,13 @@ def hour_from_text(c: ColumnOrName) -> Column:
 
 
 def duration_minutes(start: ColumnOrName, end: ColumnOrName) -> Column:
-    """Whole elapsed seconds from start to end, divided by 60 (DOUBLE).
+    """(end - start) in whole epoch seconds, divided by 60 (DOUBLE).
 
-    Negative when end precedes start. Works for TIMESTAMP and
-    TIMESTAMP_NTZ alike, unlike a cast to long."""
-    return F.timestamp_diff("SECOND", as_col(start), as_col(end)) / F.lit(60.0)
+    Negative when end precedes start. Each side is truncated to whole
+    seconds first, as a cast to long would do; unlike that cast this also
+    accepts TIMESTAMP_NTZ, for which no time zone is involved. For zoned
+    TIMESTAMP it is the true elapsed time across daylight-saving changes."""
+    return (F.unix_timestamp(as_col(end)) - F.unix_timestamp(as_col(start))) / F.lit(60.0)
 
 
 def in_hour_window(hour: ColumnOrName, start_hour: int, end_hour: int) -> Column:

@@ -112,3 +112,15 @@ def test_hour_from_text(spark):
 
     df = spark.createDataFrame([("2015-01-15 19:05:39",), ("2015-01-15 07:00:00.5",), ("bad",), (None,)], "s string")
     assert [r[0] for r in df.select(hour_from_text("s")).collect()] == [19, 7, None, None]
+
+
+def test_time_functions_ignore_session_zone_for_ntz(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql("SELECT timestamp_ntz'2024-03-09 12:00:00' a, timestamp_ntz'2024-03-10 12:00:00' b, "
+                       "'2024-03-10 02:30:00' s")
+        r = df.select(duration_minutes("a", "b").alias("d"), hour_of_day(parse_timestamp("s")).alias("h")).first()
+        assert r.d == 1440.0 and r.h == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
