@@ -216,6 +216,12 @@ def lookup_join_counts(trips: DataFrame, lookup: DataFrame, strategy: str,
     return group_counts(joined, [lookup_key, zone_col], "trips")
 
 
+def joined_row_count(joined: DataFrame, name: str = "rows") -> DataFrame:
+    """Size of a join result as a one-row DataFrame (a global count: one
+    partial count per task, one final row)."""
+    return joined.agg(F.count(F.lit(1)).alias(name))
+
+
 def lookup_sample(trips: DataFrame, lookup: DataFrame, n: int = 50,
                   fact_key: str = "PULocationID", lookup_key: str = "LocationID",
                   strategy: str = "planner") -> DataFrame:

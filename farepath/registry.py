@@ -204,6 +204,11 @@ def q_lookup_sample(spark, sf):
     return tq.lookup_sample(_trips(spark, sf), _lookup(spark, sf), n=LOOKUP_SAMPLE_ROWS)
 
 
+def q_lookup_sample_count(spark, sf):
+    joined = tq.lookup_sample(_trips(spark, sf), _lookup(spark, sf), n=LOOKUP_SAMPLE_ROWS, strategy="merge")
+    return tq.joined_row_count(joined)
+
+
 def q_lookup_sample_sql(spark, sf):
     return sq.lookup_sample_join_sql(spark, _trips(spark, sf), prepared_lookup_path(spark, sf),
                                      n=LOOKUP_SAMPLE_ROWS)
@@ -281,6 +286,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "join_shuffle_hash": _join_strategy("shuffle_hash"),
     "lookup_sample_join": q_lookup_sample,
     "lookup_sample_join_sql": q_lookup_sample_sql,
+    "lookup_sample_join_count": q_lookup_sample_count,
     "csv_scan_schema": q_csv_scan_schema,
     "csv_scan_inferred": q_csv_scan_inferred,
     "csv_round_trip": q_csv_round_trip,
@@ -465,6 +471,7 @@ ORACLE_SQL: dict[str, str] = {
     "join_shuffle_hash": _JOIN_COUNTS_SQL,
     "lookup_sample_join": _LOOKUP_SAMPLE_SQL,
     "lookup_sample_join_sql": _LOOKUP_SAMPLE_SQL,
+    "lookup_sample_join_count": "SELECT COUNT(*) AS \"rows\" FROM (" + _LOOKUP_SAMPLE_SQL + ") AS j",
     "csv_scan_schema": _TRIPS_2024_SQL,
     "csv_scan_inferred": _TRIPS_2015_SQL,
     "csv_round_trip": "SELECT * FROM events",
