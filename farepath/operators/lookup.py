@@ -93,8 +93,13 @@ def sample_lookup_join(fact: DataFrame, lookup: DataFrame, fact_key: str,
         sample = sample.hint(strategy)
     elif strategy in ("auto", "broadcast"):
         sample = F.broadcast(sample)  # bounded by n
-    return fact.alias("t").join(sample.alias("u"), F.col(f"t.{fact_key}") == F.col(f"u.{lookup_key}")) \
-        .select("t.*", "u.*")
+    joined = fact.alias("t").join(sample.alias("u"), F.col(f"t.{fact_key}") == F.col(f"u.{lookup_key}"))
+    # All columns of both sides; a lookup column whose name the facts
+    # already use gets a "_lookup" suffix instead of a duplicate name.
+    taken = set(fact.columns)
+    return joined.select(
+        *[F.col(f"t.`{c}`") for c in fact.columns],
+        *[F.col(f"u.`{c}`").alias(f"{c}_lookup" if c in taken else c) for c in lookup.columns])
 
 
 def join_roles(fact: DataFrame, lookup: DataFrame,

@@ -20,10 +20,13 @@ from pyspark.sql.types import (
     TimestampNTZType,
 )
 
+from farepath.functions import duration_minutes
+from farepath.operators import one_row_per_group_max, rows_at_group_max
 from farepath.plans import sql_queries as sq
 from farepath.plans import trip_queries as tq
-from farepath.schemas import TRIPS_2015, TRIPS_2024
+from farepath.schemas import TRIPS_2015, TRIPS_2024, ZONE_LOOKUP
 from farepath.session import new_scratch_path
+from farepath.streaming import run_available, stream_files
 from farepath.sinks.files import IngestItem, ingest_csv_to_parquet, write_text
 from farepath.sources import (
     drop_header,
@@ -87,7 +90,6 @@ def _csv_trips_2024(spark, sf):
 
 
 def _csv_lookup(spark, sf):
-    from farepath.schemas import ZONE_LOOKUP
     return read_csv(spark, lookup_csv_path(spark, sf), ZONE_LOOKUP)
 
 
@@ -162,7 +164,6 @@ def q_haversine(spark, sf):
 
 
 def q_duration(spark, sf):
-    from farepath.functions import duration_minutes
     t = _trips(spark, sf)
     return t.select("VendorID", "PULocationID", "DOLocationID",
                     duration_minutes(tq.PICKUP_TIME, tq.DROPOFF_TIME).alias("duration_min"))
@@ -181,13 +182,11 @@ def q_farthest_one(spark, sf):
 
 
 def q_max_quantity(spark, sf):
-    from farepath.operators import rows_at_group_max
     t = _trips(spark, sf).select("VendorID", "extra", "fare_amount", "PULocationID", "DOLocationID")
     return rows_at_group_max(t, ["VendorID"], "extra")
 
 
 def q_max_quantity_one(spark, sf):
-    from farepath.operators import one_row_per_group_max
     t = _trips(spark, sf).select("VendorID", "extra", "fare_amount")
     # Among tied quantities the highest fare wins.
     return one_row_per_group_max(t, ["VendorID"], "extra", payload=["fare_amount"],
@@ -229,7 +228,7 @@ def q_csv_round_trip(spark, sf):
 
 
 def q_parquet_ingest(spark, sf):
-    from farepath.schemas import ZONE_LOOKUP  # noqa: F401  (lookup is ingested with inferred types)
+    # Trips with the fixed 2024 schema, zones with header names and inferred types.
     base = new_scratch_path(spark, "ingest")
     trips_out, _ = ingest_csv_to_parquet(spark, [
         IngestItem(trips_csv_path(spark, sf, "2024"), f"{base}/trips", TRIPS_2024),
@@ -251,7 +250,7 @@ def q_text_report(spark, sf):
 
 
 def q_zone_pairs_streaming(spark, sf):
-    from farepath.streaming import run_available, stream_files
+    # The prepared trip files replayed as a stream, four files per micro-batch.
     path = tables.prepared_trips_path(spark, sf)
     schema = spark.read.parquet(path).schema
     stream = stream_files(spark, path, schema, max_files_per_trigger=4)

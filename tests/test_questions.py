@@ -181,3 +181,24 @@ def test_csv_and_parquet_inputs_agree(spark, out_dir):
     tp = read_parquet(spark, out_dir + "/t.pq")
     assert rows(tq.zone_pair_counts(tc, zc)) == rows(tq.zone_pair_counts(tp, z))
     assert rows(tq.same_region_trip_counts(tc, zc)) == rows(tq.same_region_trip_counts(tp, z))
+
+
+def test_streaming_counts_equal_batch(spark, out_dir):
+    from farepath.sinks import write_parquet
+    from farepath.streaming import run_available, stream_files
+
+    t, z = trips(spark), zones(spark)
+    write_parquet(t.repartition(3), out_dir + "/in")
+    stream = stream_files(spark, out_dir + "/in", t.schema, max_files_per_trigger=1)
+    snapshot = spark.read.parquet(run_available(tq.zone_pair_counts(stream, z), out_dir + "/out",
+                                                out_dir + "/ckpt"))
+    assert sorted(rows(snapshot)) == sorted(rows(tq.zone_pair_counts(t, z)))
+    night = spark.read.parquet(run_available(tq.night_counts(stream), out_dir + "/out2", out_dir + "/ckpt2"))
+    assert sorted(rows(night), key=str) == sorted(rows(tq.night_counts(t)), key=str)
+
+
+def test_lookup_sample_renames_clashing_columns(spark):
+    fact = spark.createDataFrame([(1, "fact")], "PULocationID int, Zone string")
+    got = tq.lookup_sample(fact, zones(spark), n=3)
+    assert got.columns == ["PULocationID", "Zone", "LocationID", "Borough", "Zone_lookup", "service_zone"]
+    assert rows(got) == [(1, "fact", 1, "Manhattan", "Midtown", "Yellow Zone")]
