@@ -52,6 +52,11 @@ PICKUP_ZONE = "Pickup Zone"
 DROPOFF_ZONE = "Dropoff Zone"
 
 
+def _hour(df: DataFrame, time_col: str):
+    """Hour of a timestamp column, or of ``yyyy-MM-dd HH...`` text."""
+    return hour_from_text(time_col) if dict(df.dtypes)[time_col] == "string" else hour_of_day(time_col)
+
+
 def _round(c, decimals):
     return F.round(c, decimals) if decimals is not None else c
 
@@ -69,9 +74,8 @@ def hour_of_day_means(df: DataFrame, time_col: str = PICKUP_TIME,
     hour from the two characters after the date."""
     measures = dict(measures or {"pickup_longitude": "Longitude", "pickup_latitude": "Latitude"})
     nonzero = list(nonzero if nonzero is not None else measures)
-    hour = hour_from_text(time_col) if dict(df.dtypes)[time_col] == "string" else hour_of_day(time_col)
     hours = (df.where(all_nonzero(*nonzero))
-             .select(hour.alias(HOUR), *measures))
+             .select(_hour(df, time_col).alias(HOUR), *measures))
     agg = (group_means_udf(hours, HOUR, measures) if use_udf
            else group_means(hours, HOUR, measures))
     return agg.select(HOUR, *[_round(F.col(c), decimals).alias(c) for c in measures.values()]) \
@@ -156,8 +160,9 @@ def night_counts(df: DataFrame, time_col: str = PICKUP_TIME, key: str = "VendorI
                  start_hour: int = 23, end_hour: int = 7,
                  name: str = NIGHT_TRIPS) -> DataFrame:
     """Rows whose hour lies in [start_hour, end_hour) (wrapping midnight),
-    per key, ordered by key. A NULL key is its own group."""
-    night = df.select(key, time_col).where(in_hour_window(hour_of_day(time_col), start_hour, end_hour))
+    per key, ordered by key. A NULL key is its own group; a NULL or
+    unreadable time drops."""
+    night = df.select(key, time_col).where(in_hour_window(_hour(df, time_col), start_hour, end_hour))
     return group_counts(night, key, name).orderBy(key)
 
 

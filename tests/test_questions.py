@@ -202,3 +202,9 @@ def test_lookup_sample_renames_clashing_columns(spark):
     got = tq.lookup_sample(fact, zones(spark), n=3)
     assert got.columns == ["PULocationID", "Zone", "LocationID", "Borough", "Zone_lookup", "service_zone"]
     assert rows(got) == [(1, "fact", 1, "Manhattan", "Midtown", "Yellow Zone")]
+
+
+def test_night_counts_on_text_times(spark):
+    df = spark.createDataFrame([(1, "2024-01-15 23:00:00"), (1, "2024-01-15 06:59:59"), (1, "bad"), (2, None)],
+                               "VendorID int, tpep_pickup_datetime string")
+    assert rows(tq.night_counts(df)) == [(1, 2)]
