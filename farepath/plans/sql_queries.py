@@ -77,14 +77,21 @@ def night_counts_sql(spark: SparkSession, df: DataFrame, time_col: str = "tpep_p
     )
 
 
+_SQL_HINTS = {None: "", "broadcast": "/*+ BROADCAST(u) */", "merge": "/*+ MERGE(u) */",
+              "shuffle_hash": "/*+ SHUFFLE_HASH(u) */"}
+
+
 def lookup_sample_join_sql(spark: SparkSession, trips: DataFrame, lookup_path: str,
-                           n: int = 50) -> DataFrame:
+                           n: int = 50, strategy: str | None = None) -> DataFrame:
     """Trips joined to the first ``n`` zones of a Parquet file named in the
-    query itself (``parquet.`path```)."""
+    query itself (``parquet.`path```). ``strategy`` adds a join hint for
+    this join only; the session's broadcast threshold is left alone."""
+    if strategy not in _SQL_HINTS:
+        raise ValueError(f"unknown join strategy {strategy!r}")
     path = lookup_path.replace("`", "``")
     return spark.sql(
         f"""
-        SELECT t.*, u.*
+        SELECT {_SQL_HINTS[strategy]} t.*, u.*
         FROM {{trips}} AS t
         JOIN (SELECT * FROM parquet.`{path}` ORDER BY LocationID LIMIT :n) AS u
           ON t.PULocationID = u.LocationID

@@ -75,3 +75,14 @@ def test_text_report_parses_in_the_csv_reader(spark):
     parsed = read_delimited(spark, trips_csv_path(spark, SF_SMALL, "2015"), TEXT_FIELDS)
     p = physical_plan(tq.farthest_trip_report(tq.farthest_trip_one_per_vendor(parsed, ordered=False)), "simple")
     assert "FileScan csv" in p and "split(" not in p
+
+
+@pytest.mark.parametrize("strategy,node", [("merge", "SortMergeJoin"), ("shuffle_hash", "ShuffledHashJoin"),
+                                           ("broadcast", "BroadcastHashJoin")])
+def test_sql_lookup_sample_hints(spark, strategy, node):
+    from farepath.plans.sql_queries import lookup_sample_join_sql
+    from farepath.sources.tables import prepared_lookup_path, prepared_trips
+
+    df = lookup_sample_join_sql(spark, prepared_trips(spark, SF_SMALL), prepared_lookup_path(spark, SF_SMALL),
+                                n=10, strategy=strategy)
+    assert node in physical_plan(df, "simple")
