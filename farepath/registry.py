@@ -116,6 +116,20 @@ def q_hour_of_day_means_text(spark, sf):
     return tq.hour_of_day_means(ev, "ts", EVENT_MEASURES, decimals=6)
 
 
+def q_pickup_hour_means(spark, sf):
+    # The trip form: mean pickup longitude and latitude per pickup hour,
+    # zero coordinates left out (the derived trips have some on purpose).
+    return tq.hour_of_day_means(_trips(spark, sf), decimals=6)
+
+
+def q_night_trip_counts(spark, sf):
+    return tq.night_counts(_trips(spark, sf))
+
+
+def q_night_trip_counts_sql(spark, sf):
+    return sq.night_counts_sql(spark, _trips(spark, sf))
+
+
 def q_night_event_counts(spark, sf):
     return tq.night_counts(events(spark, sf), "ts", "event_type", name="NightEvents")
 
@@ -262,6 +276,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hour_of_day_means": q_hour_of_day_means,
     "hour_of_day_means_udf": q_hour_of_day_means_udf,
     "hour_of_day_means_text": q_hour_of_day_means_text,
+    "pickup_hour_means": q_pickup_hour_means,
+    "night_trip_counts": q_night_trip_counts,
+    "night_trip_counts_sql": q_night_trip_counts_sql,
     "night_event_counts": q_night_event_counts,
     "night_event_counts_sql": q_night_event_counts_sql,
     "night_event_counts_csv": q_night_event_counts_csv,
@@ -330,6 +347,20 @@ FROM events WHERE value <> 0 AND user_id <> 0
 GROUP BY 1 ORDER BY 1
 """
 
+_PICKUP_HOUR_SQL = _with() + """
+SELECT CAST(hour(tpep_pickup_datetime) AS INTEGER) AS HourofDay,
+       ROUND(AVG(pickup_longitude), 6) AS Longitude,
+       ROUND(AVG(pickup_latitude), 6) AS Latitude
+FROM trips WHERE pickup_longitude <> 0 AND pickup_latitude <> 0
+GROUP BY 1 ORDER BY 1
+"""
+
+_NIGHT_TRIPS_SQL = _with() + """
+SELECT VendorID, COUNT(*) AS NightTrips
+FROM trips WHERE hour(tpep_pickup_datetime) >= 23 OR hour(tpep_pickup_datetime) < 7
+GROUP BY VendorID ORDER BY VendorID
+"""
+
 _NIGHT_SQL = """
 SELECT event_type, COUNT(*) AS NightEvents
 FROM events WHERE hour(ts) >= 23 OR hour(ts) < 7
@@ -447,6 +478,9 @@ ORACLE_SQL: dict[str, str] = {
     "hour_of_day_means": _HOUR_MEANS_SQL,
     "hour_of_day_means_udf": _HOUR_MEANS_SQL,
     "hour_of_day_means_text": _HOUR_MEANS_SQL,
+    "pickup_hour_means": _PICKUP_HOUR_SQL,
+    "night_trip_counts": _NIGHT_TRIPS_SQL,
+    "night_trip_counts_sql": _NIGHT_TRIPS_SQL,
     "night_event_counts": _NIGHT_SQL,
     "night_event_counts_sql": _NIGHT_SQL,
     "night_event_counts_csv": _NIGHT_SQL,
