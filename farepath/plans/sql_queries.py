@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from farepath.operators.lookup import DEFAULT_MAX_BROADCAST_ROWS, materialize_small
 from farepath.plans.trip_queries import with_distance_duration
 from farepath.schemas import BOROUGHS
 
@@ -20,26 +21,35 @@ def _array(values: Sequence[str]):
     return F.array(*[F.lit(v) for v in values])
 
 
-def farthest_trip_per_vendor_sql(spark: SparkSession, trips: DataFrame, **kw) -> DataFrame:
+def farthest_trip_per_vendor_sql(spark: SparkSession, trips: DataFrame,
+                                 max_groups: int = DEFAULT_MAX_BROADCAST_ROWS, **kw) -> DataFrame:
     """Max distance per vendor joined back on vendor and distance; ties kept.
-    ``DISTRIBUTE BY`` puts the matched rows through a small hash exchange so
-    the final sort samples them, not a second pass over the trips."""
+
+    The maxima are computed by one SQL statement and checkpointed and
+    counted like the DataFrame form's, so the join-back is a broadcast of a
+    proven-small table rather than a planner estimate (which at scale is
+    the size of the trips and would shuffle them). ``DISTRIBUTE BY`` puts
+    the matched rows through a small hash exchange so the final sort
+    samples them, not a second pass over the trips."""
     dd = with_distance_duration(trips, **kw)
+    maxes = spark.sql(
+        "SELECT VendorID, MAX(distance_km) AS max_distance FROM {dd} "
+        "WHERE VendorID IS NOT NULL GROUP BY VendorID", dd=dd)
+    maxes, _ = materialize_small(maxes, max_groups)
     return spark.sql(
         """
         SELECT * FROM (
           SELECT m.VendorID,
                  ROUND(m.max_distance, 2) AS `Max Haversine Distance (km)`,
                  ROUND(d.duration_min, 1) AS `Duration (min)`
-          FROM (SELECT VendorID, MAX(distance_km) AS max_distance
-                FROM {dd} GROUP BY VendorID) AS m
+          FROM {maxes} AS m
           JOIN {dd} AS d
             ON d.VendorID = m.VendorID AND d.distance_km = m.max_distance
           DISTRIBUTE BY VendorID, `Duration (min)`
         )
         ORDER BY VendorID, `Duration (min)`
         """,
-        dd=dd,
+        maxes=maxes, dd=dd,
     )
 
 
