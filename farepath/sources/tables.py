@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import threading
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,11 +133,22 @@ _lock = threading.RLock()
 _prepared: dict[tuple[str, str, str], str] = {}
 
 
+def _still_there(spark: SparkSession, path: str) -> bool:
+    """A lazy text read resolves (lists) the path without reading it."""
+    try:
+        spark.read.text(path)
+        return True
+    except AnalysisException:
+        return False
+
+
 def _prepare(spark: SparkSession, sf_dir: str, kind: str, build) -> str:
+    """Build a derived table once per session and sf folder; rebuild it if
+    its folder has been removed since."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), kind)
     with _lock:
         path = _prepared.get(key)
-        if path is None:
+        if path is None or not _still_there(spark, path):
             path = build(new_scratch_path(spark, kind))
             _prepared[key] = path
     return path

@@ -57,3 +57,15 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["Pickup Zone", "Dropoff Zone", "TotalTrips"]
     assert df.count() > 0
+
+
+def test_prepared_table_rebuilt_when_removed(spark):
+    import shutil
+
+    from farepath.sources import tables
+
+    path = tables.prepared_lookup_path(spark, SF_SMALL)
+    local = path[len("file:"):] if path.startswith("file:") else path
+    shutil.rmtree(local)
+    again = tables.prepared_lookup_path(spark, SF_SMALL)
+    assert again != path and tables.prepared_lookup(spark, SF_SMALL).count() == 25
