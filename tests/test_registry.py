@@ -59,13 +59,13 @@ def test_entry_smoke(spark):
     assert df.count() > 0
 
 
-def test_prepared_table_rebuilt_when_removed(spark):
-    import shutil
-
+def test_prepared_table_rebuilt_when_missing(spark):
     from farepath.sources import tables
 
     path = tables.prepared_lookup_path(spark, SF_SMALL)
-    local = path[len("file:"):] if path.startswith("file:") else path
-    shutil.rmtree(local)
+    key = (spark.sparkContext.applicationId, SF_SMALL, "lookup-parquet")
+    assert tables._prepared[key] == path
+    tables._prepared[key] = path + "-missing"  # as if the folder had been removed
     again = tables.prepared_lookup_path(spark, SF_SMALL)
-    assert again != path and tables.prepared_lookup(spark, SF_SMALL).count() == 25
+    assert again not in (path, path + "-missing")
+    assert tables.prepared_lookup(spark, SF_SMALL).count() == 25
