@@ -13,21 +13,46 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, BinaryType, StringType
 
 from farepath.session import ensure_checkpoint_dir
 
-# Row bound under which a lookup may be broadcast. A zone row is an int
-# key and a few short strings, so the bound keeps a broadcast in the low MBs.
+# Bounds under which a side may be broadcast: rows, and bytes as Spark
+# holds them (8 bytes per field plus the variable-width values). A zone
+# row is an int key and a few short strings: 265 zones are a few KB.
 DEFAULT_MAX_BROADCAST_ROWS = 100_000
+DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 JOIN_STRATEGIES = ("auto", "broadcast", "merge", "shuffle_hash", "planner")
 
+_VARIABLE_WIDTH = (StringType, BinaryType)
+
+
+def size_at_most(df: DataFrame, max_rows: int,
+                 max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> tuple[int, int] | None:
+    """(rows, bytes) of ``df`` if it has at most ``max_rows`` rows and
+    ``max_bytes`` bytes, else None. One job over at most ``max_rows + 1``
+    rows (a limit), so it stays cheap however large ``df`` is. Nested
+    values are measured by their JSON text."""
+    fixed = 8 + 8 * len(df.schema.fields)
+    var = [F.octet_length(F.col(f"`{f.name}`")) if isinstance(f.dataType, _VARIABLE_WIDTH)
+           else F.octet_length(F.to_json(F.col(f"`{f.name}`")))
+           for f in df.schema.fields
+           if isinstance(f.dataType, _VARIABLE_WIDTH) or not isinstance(f.dataType, AtomicType)]
+    row_bytes = F.lit(fixed)
+    for v in var:
+        row_bytes = row_bytes + F.coalesce(v, F.lit(0))
+    r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
+                                   F.coalesce(F.sum(row_bytes), F.lit(0)).alias("b")).first()
+    n, b = int(r["n"]), int(r["b"])
+    return (n, b) if n <= max_rows and b <= max_bytes else None
+
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> int | None:
-    """Row count if it is at most ``max_rows``, else None. Reads at most
-    ``max_rows + 1`` rows per partition, so it stays cheap on a big input."""
-    n = df.limit(max_rows + 1).count()
-    return n if n <= max_rows else None
+    """Row count if it is at most ``max_rows`` (and the rows fit the byte
+    bound), else None."""
+    size = size_at_most(df, max_rows)
+    return size[0] if size else None
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,

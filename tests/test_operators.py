@@ -101,3 +101,14 @@ def test_text_report_header_first_then_ordered(spark):
     df = spark.createDataFrame([(3, 1.5), (1, 2.25), (2, 0.5)], "v int, d double")
     rep = text_report(df, "V\tD", [F.col("v"), F.format_string("%.1f", "d")], "\t", order=["v"])
     assert [r.value for r in rep.collect()] == ["V\tD", "1\t2.3", "2\t0.5", "3\t1.5"]
+
+
+def test_size_bound_counts_bytes_not_only_rows(spark):
+    from farepath.operators.lookup import size_at_most
+
+    wide = spark.range(100).select("id", F.repeat(F.lit("x"), 10_000).alias("s"))
+    assert size_at_most(wide, max_rows=1000, max_bytes=10**9)[0] == 100
+    assert size_at_most(wide, max_rows=1000, max_bytes=500_000) is None
+    assert size_at_most(wide, max_rows=50) is None
+    n, b = size_at_most(spark.range(10), max_rows=100)
+    assert n == 10 and b == 10 * 16
