@@ -51,3 +51,36 @@ def test_join_strategy_job_prints_plan(spark, out_dir, capsys):
                "--strategy", "merge", "--sample", "3"], spark=spark)
     out = capsys.readouterr().out
     assert "SortMergeJoin" in out and "rows: 5" in out  # zones 1-3: three trips from 1, two from 3
+
+
+def _trips_2015(spark):
+    from pyspark.sql import functions as F
+
+    from farepath.schemas import TRIPS_2015
+
+    t = trips(spark)
+    return t.select(*[(F.col(f.name) if f.name in t.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                      for f in TRIPS_2015.fields])
+
+
+def test_hour_and_farthest_jobs_on_2015_csv(spark, out_dir):
+    write_csv(_trips_2015(spark), out_dir + "/t15")
+    jobs.main(["hour-means", "--trips", out_dir + "/t15", "--format", "csv", "--udf", "--out", out_dir + "/h"],
+              spark=spark)
+    assert _read_out(out_dir + "/h")[0] == ["HourofDay", "Longitude", "Latitude"]
+    jobs.main(["farthest-trip", "--trips", out_dir + "/t15", "--format", "csv", "--sql", "--out", out_dir + "/f"],
+              spark=spark)
+    got = _read_out(out_dir + "/f")
+    assert got[0] == ["VendorID", "Max Haversine Distance (km)", "Duration (min)"]
+    assert [r[0] for r in got[1:]] == ["1", "1", "2", "3"]
+
+
+def test_borough_and_night_jobs_sql(spark, out_dir):
+    write_csv(_trips_2024(spark), out_dir + "/t")
+    write_csv(zones(spark), out_dir + "/z")
+    jobs.main(["same-borough", "--sql", "--trips", out_dir + "/t", "--zones", out_dir + "/z", "--format", "csv",
+               "--out", out_dir + "/b"], spark=spark)
+    assert _read_out(out_dir + "/b")[1:] == [["Manhattan", "2"], ["Queens", "2"], ["Brooklyn", "1"]]
+    jobs.main(["night-trips", "--sql", "--trips", out_dir + "/t", "--format", "csv", "--out", out_dir + "/n"],
+              spark=spark)
+    assert _read_out(out_dir + "/n")[1:] == [["", "1"], ["1", "2"], ["3", "1"]]
