@@ -82,6 +82,17 @@ def hour_of_day_means(df: DataFrame, time_col: str = PICKUP_TIME,
         .orderBy(HOUR)
 
 
+def hour_means_report(means: DataFrame, decimals: int = 6) -> DataFrame:
+    """Hour means as text lines under a header, hour order. Means are
+    written with ``decimals`` fixed decimals (Java's and Python's shortest
+    float text differ in places, fixed decimals do not)."""
+    # Header text and separator of the hour report.
+    measures = [c for c in means.columns if c != HOUR]
+    header = "\t\t".join(["HourOfDay", *measures])
+    line = [F.col(HOUR), *[fixed_decimals(F.round(m, decimals), decimals) for m in measures]]
+    return text_report(means, header, line, "\t\t", order=[HOUR])
+
+
 # C2 -------------------------------------------------------------------------
 
 def with_distance_duration(trips: DataFrame, vendor: str = "VendorID",

@@ -130,6 +130,13 @@ def q_night_trip_counts_sql(spark, sf):
     return sq.night_counts_sql(spark, _trips(spark, sf))
 
 
+def q_hour_means_report(spark, sf):
+    fields = [(1, "ts", "string"), (2, "user_id", "bigint"), (4, "value", "double")]
+    ev = read_delimited(spark, events_csv_path(spark, sf), fields)
+    means = tq.hour_of_day_means(ev, "ts", EVENT_MEASURES)
+    return tq.hour_means_report(means.select(tq.HOUR, *EVENT_MEASURES.values()))
+
+
 def q_night_event_counts(spark, sf):
     return tq.night_counts(events(spark, sf), "ts", "event_type", name="NightEvents")
 
@@ -276,6 +283,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hour_of_day_means": q_hour_of_day_means,
     "hour_of_day_means_udf": q_hour_of_day_means_udf,
     "hour_of_day_means_text": q_hour_of_day_means_text,
+    "hour_means_report": q_hour_means_report,
     "pickup_hour_means": q_pickup_hour_means,
     "night_trip_counts": q_night_trip_counts,
     "night_trip_counts_sql": q_night_trip_counts_sql,
@@ -355,6 +363,18 @@ FROM trips WHERE pickup_longitude <> 0 AND pickup_latitude <> 0
 GROUP BY 1 ORDER BY 1
 """
 
+_HOUR_REPORT_SQL = """
+SELECT value FROM (
+  SELECT 0 AS section, NULL AS h,
+         'HourOfDay' || chr(9) || chr(9) || 'MeanValue' || chr(9) || chr(9) || 'MeanUserId' AS value
+  UNION ALL
+  SELECT 1, h, CAST(h AS VARCHAR) || chr(9) || chr(9) || printf('%.6f', ROUND(mv, 6))
+               || chr(9) || chr(9) || printf('%.6f', ROUND(mu, 6))
+  FROM (SELECT CAST(hour(ts) AS INTEGER) AS h, AVG(value) AS mv, AVG(user_id) AS mu
+        FROM events WHERE value <> 0 AND user_id <> 0 GROUP BY 1)
+) ORDER BY section, h
+"""
+
 _NIGHT_TRIPS_SQL = _with() + """
 SELECT VendorID, COUNT(*) AS NightTrips
 FROM trips WHERE hour(tpep_pickup_datetime) >= 23 OR hour(tpep_pickup_datetime) < 7
@@ -478,6 +498,7 @@ ORACLE_SQL: dict[str, str] = {
     "hour_of_day_means": _HOUR_MEANS_SQL,
     "hour_of_day_means_udf": _HOUR_MEANS_SQL,
     "hour_of_day_means_text": _HOUR_MEANS_SQL,
+    "hour_means_report": _HOUR_REPORT_SQL,
     "pickup_hour_means": _PICKUP_HOUR_SQL,
     "night_trip_counts": _NIGHT_TRIPS_SQL,
     "night_trip_counts_sql": _NIGHT_TRIPS_SQL,

@@ -208,3 +208,10 @@ def test_night_counts_on_text_times(spark):
     df = spark.createDataFrame([(1, "2024-01-15 23:00:00"), (1, "2024-01-15 06:59:59"), (1, "bad"), (2, None)],
                                "VendorID int, tpep_pickup_datetime string")
     assert rows(tq.night_counts(df)) == [(1, 2)]
+
+
+def test_hour_means_report(spark):
+    rep = [r.value for r in tq.hour_means_report(tq.hour_of_day_means(trips(spark))).collect()]
+    assert rep[0] == "HourofDay".replace("of", "Of") + "\t\tLongitude\t\tLatitude"
+    hours = [int(line.split("\t\t")[0]) for line in rep[1:]]
+    assert hours == sorted(hours) and len(rep[1].split("\t\t")[1].split(".")[1]) == 6
