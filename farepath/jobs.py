@@ -1,6 +1,6 @@
 """Command-line jobs: read the inputs, answer one question, write the result.
 
-    spark-submit -m farepath.jobs zone-pairs --trips T --zones Z --out O [--show 4]
+    spark-submit --py-files farepath.zip farepath/jobs.py zone-pairs --trips T --zones Z --out O [--show 4]
     python -m farepath.jobs revenue --trips T.csv --zones Z.csv --format csv --out O
 
 Trip and zone inputs are Parquet folders, or CSV files in the 2015 / 2024
