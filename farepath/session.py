@@ -42,7 +42,9 @@ def scratch_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    sc = spark.sparkContext
+    sc = _context(spark)
+    if sc is None:
+        raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
@@ -52,13 +54,31 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make sure ``DataFrame.checkpoint()`` has a reliable folder."""
-    sc = spark.sparkContext
+    """Make sure ``DataFrame.checkpoint()`` has a reliable folder. (With
+    Spark Connect the server owns the folder; nothing to do here.)"""
+    sc = _context(spark)
+    if sc is None:
+        return scratch_dir(spark)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(scratch_dir(spark))
     return sc.getCheckpointDir()
 
 
+def session_key(spark: SparkSession) -> str:
+    """Identifies the application, for per-session caches."""
+    sc = _context(spark)
+    if sc is not None:
+        return sc.applicationId
+    return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect sessions have no SparkContext
+        return None
+
+
 def new_scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unused path under the scratch folder."""
     return f"{scratch_dir(spark)}/farepath/{name}-{uuid.uuid4().hex[:12]}"

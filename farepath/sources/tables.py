@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farepath.schemas import TRIPS_2015, TRIPS_2024, ZONE_LOOKUP
-from farepath.session import new_scratch_path
+from farepath.session import new_scratch_path, session_key
 from farepath.sinks.files import write_csv, write_parquet
 
 # Derived trip columns, as SQL over the joined tables.
@@ -145,7 +145,7 @@ def _still_there(spark: SparkSession, path: str) -> bool:
 def _prepare(spark: SparkSession, sf_dir: str, kind: str, build) -> str:
     """Build a derived table once per session and sf folder; rebuild it if
     its folder has been removed since."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), kind)
+    key = (session_key(spark), sf_dir.rstrip("/"), kind)
     with _lock:
         path = _prepared.get(key)
         if path is None or not _still_there(spark, path):

@@ -63,7 +63,7 @@ def test_prepared_table_rebuilt_when_missing(spark):
     from farepath.sources import tables
 
     path = tables.prepared_lookup_path(spark, SF_SMALL)
-    key = (spark.sparkContext.applicationId, SF_SMALL, "lookup-parquet")
+    key = (tables.session_key(spark), SF_SMALL, "lookup-parquet")
     assert tables._prepared[key] == path
     tables._prepared[key] = path + "-missing"  # as if the folder had been removed
     again = tables.prepared_lookup_path(spark, SF_SMALL)
