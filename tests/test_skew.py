@@ -50,3 +50,30 @@ def test_hot_key_arg_max_matches_brute_force(spark):
     assert got == exp
     plan = physical_plan(rows_at_group_max(t, ["VendorID"], "distance_km"), "simple")
     assert "BroadcastHashJoin" in plan and "Window" not in plan
+
+
+def test_forced_sort_merge_join_splits_hot_zone(spark):
+    """The `merge` strategy shuffles trips by zone; AQE splits the zone that
+    holds a third of them (thresholds lowered to test scale)."""
+    confs = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        trips = spark.range(200_000).select(
+            F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50 + 2).cast("int").alias("PULocationID"))
+        zones_df = spark.range(1, 60).select(F.col("id").cast("int").alias("LocationID"),
+                                             F.concat(F.lit("Z"), F.col("id")).alias("Zone"))
+        df = tq.lookup_join_counts(trips, zones_df, "merge")
+        got = {r.LocationID: r.trips for r in df.collect()}
+        assert got[1] == 66_667 and sum(got.values()) == 200_000
+        assert "SortMergeJoin(skew=true)" in physical_plan(df, "simple")
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
