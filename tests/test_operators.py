@@ -112,3 +112,22 @@ def test_size_bound_counts_bytes_not_only_rows(spark):
     assert size_at_most(wide, max_rows=50) is None
     n, b = size_at_most(spark.range(10), max_rows=100)
     assert n == 10 and b == 10 * 16
+
+
+def test_rows_at_group_max_past_the_bound_is_still_exact(spark):
+    df = spark.range(3000).select((F.col("id") % 5).alias("k"), ((F.col("id") * 7) % 11 * 1.0).alias("v"))
+    small = sorted(tuple(r) for r in rows_at_group_max(df, ["k"], "v").collect())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        # 5 groups > 2: no hint from us; with Spark's own threshold off too,
+        # the join back is shuffled on (group, value).
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        big = rows_at_group_max(df, ["k"], "v", max_groups=2)
+        assert sorted(tuple(r) for r in big.collect()) == small
+        plan = physical_plan(big, "simple")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    # shuffled on (group, value): a hot group spreads over partitions by value
+    key = plan.split("hashpartitioning(k#", 1)[1].split(")), ")[0]
+    assert "normalizenanandzero(v#" in key
