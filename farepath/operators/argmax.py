@@ -5,8 +5,10 @@ result is checkpointed and counted, then joined back to the rows on
 (group keys, value). Under the row bound the join is a broadcast hash
 join, so the rows are scanned twice but never shuffled or sorted, and a
 group holding a third of all rows is no hotter than any other. Past the
-bound, the join is shuffled on (keys, value), which spreads one group's
-rows over many partitions by value. A window ``max`` over the group
+bound no hint is added; Spark may still broadcast the checkpoint, whose
+real size it knows, under its own threshold, and otherwise shuffles the
+join on (keys, value), which spreads one group's rows over many
+partitions by value. A window ``max`` over the group
 would instead put each group into a single task.
 """
 
