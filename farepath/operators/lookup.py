@@ -43,7 +43,7 @@ def size_at_most(df: DataFrame, max_rows: int,
     for v in var:
         row_bytes = row_bytes + F.coalesce(v, F.lit(0))
     r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
-                                   F.coalesce(F.sum(row_bytes), F.lit(0)).alias("b")).first()
+                                   F.coalesce(F.sum(row_bytes), F.lit(0)).alias("b")).collect()[0]
     n, b = int(r["n"]), int(r["b"])
     return (n, b) if n <= max_rows and b <= max_bytes else None
 
