@@ -154,15 +154,33 @@ def same_region_trip_counts(trips: DataFrame, lookup: DataFrame,
                             pickup_key: str = "PULocationID", dropoff_key: str = "DOLocationID",
                             region_col: str = "Borough", strategy: str = "auto") -> DataFrame:
     """Trips starting and ending in the same listed borough, per borough,
-    busiest first."""
+    busiest first. Trips are counted per zone-id pair first (see
+    :func:`_id_pair_counts`); only those counts meet the lookup."""
     regions = list(regions)
     kept = lookup.where(F.col(region_col).isin(regions))
-    both = join_roles(trips.select(pickup_key, dropoff_key), kept,
+    both = join_roles(_id_pair_counts(trips, pickup_key, dropoff_key), kept,
                       [(pickup_key, {region_col: "__pu"}), (dropoff_key, {region_col: "__do"})],
                       strategy=strategy)
-    same = both.where(F.col("__pu") == F.col("__do")).select(F.col("__pu").alias(region_col))
-    return group_counts(same, region_col, TOTAL_TRIPS) \
-        .orderBy(F.desc(TOTAL_TRIPS), F.col(region_col))
+    same = both.where(F.col("__pu") == F.col("__do"))
+    return (same.groupBy(F.col("__pu").alias(region_col)).agg(F.sum("__n").alias(TOTAL_TRIPS))
+            .orderBy(F.desc(TOTAL_TRIPS), F.col(region_col)))
+
+
+def _id_pair_counts(trips: DataFrame, pickup_key: str, dropoff_key: str) -> DataFrame:
+    """Trips per (pickup id, drop-off id), column ``__n``.
+
+    Aggregating before the lookup joins (Catalyst does not move an
+    aggregate below a join by itself) keeps the per-trip work to a partial
+    count on two ints in every task; the joins then see at most zones^2
+    rows instead of every trip. Inner-join semantics carry over: a pair
+    whose id is unknown or NULL finds no zone and drops, a zone id listed
+    twice multiplies the count, and ids that share a name merge in the
+    final re-aggregation by name."""
+    if trips.isStreaming:
+        # A streaming query allows one stateful aggregation: every trip
+        # counts 1 and the count happens after the joins, in the state.
+        return trips.select(pickup_key, dropoff_key, F.lit(1).cast("long").alias("__n"))
+    return group_counts(trips.select(pickup_key, dropoff_key), [pickup_key, dropoff_key], "__n")
 
 
 # C4 -------------------------------------------------------------------------
@@ -182,13 +200,14 @@ def night_counts(df: DataFrame, time_col: str = PICKUP_TIME, key: str = "VendorI
 def zone_pair_counts(trips: DataFrame, lookup: DataFrame,
                      pickup_key: str = "PULocationID", dropoff_key: str = "DOLocationID",
                      zone_col: str = "Zone", strategy: str = "auto") -> DataFrame:
-    """Trips per ordered pair of different zones (by zone name), busiest first."""
-    both = join_roles(trips.select(pickup_key, dropoff_key), lookup,
+    """Trips per ordered pair of different zones (by zone name), busiest
+    first. Counted per id pair first, then named and re-counted by name."""
+    both = join_roles(_id_pair_counts(trips, pickup_key, dropoff_key), lookup,
                       [(pickup_key, {zone_col: PICKUP_ZONE}), (dropoff_key, {zone_col: DROPOFF_ZONE})],
                       strategy=strategy)
     pairs = both.where(F.col(PICKUP_ZONE) != F.col(DROPOFF_ZONE))
-    return group_counts(pairs, [PICKUP_ZONE, DROPOFF_ZONE], TOTAL_TRIPS) \
-        .orderBy(F.desc(TOTAL_TRIPS), PICKUP_ZONE, DROPOFF_ZONE)
+    return (pairs.groupBy(PICKUP_ZONE, DROPOFF_ZONE).agg(F.sum("__n").alias(TOTAL_TRIPS))
+            .orderBy(F.desc(TOTAL_TRIPS), PICKUP_ZONE, DROPOFF_ZONE))
 
 
 def zone_pair_top(trips: DataFrame, lookup: DataFrame, k: int = 4, **kw) -> DataFrame:
@@ -211,10 +230,18 @@ def region_revenue(trips: DataFrame, lookup: DataFrame,
     if order_measure not in measures:
         raise ValueError(f"order_measure {order_measure!r} is not one of the measures {list(measures)}")
     kept = lookup.where(F.col(region_col).isin(list(regions)))
-    joined = with_lookup(trips.select(pickup_key, *measures), kept, pickup_key,
-                         {region_col: region_col}, strategy=strategy)
-    sums = group_money_sums(joined, region_col, {m: f"__sum_{m}" for m in measures},
-                            exact_cents=exact_cents)
+    sums_of = {m: f"__sum_{m}" for m in measures}
+    if trips.isStreaming:  # one stateful aggregation: join, then sum
+        joined = with_lookup(trips.select(pickup_key, *measures), kept, pickup_key,
+                             {region_col: region_col}, strategy=strategy)
+        sums = group_money_sums(joined, region_col, sums_of, exact_cents=exact_cents)
+    else:
+        # Sum per pickup zone id first (ints, partial sums in every task),
+        # then name the zones and add the per-zone sums up per borough.
+        per_zone = group_money_sums(trips.select(pickup_key, *measures), pickup_key, sums_of,
+                                    exact_cents=exact_cents)
+        joined = with_lookup(per_zone, kept, pickup_key, {region_col: region_col}, strategy=strategy)
+        sums = joined.groupBy(region_col).agg(*[F.sum(c).alias(c) for c in sums_of.values()])
     return (sums.orderBy(F.desc(f"__sum_{order_measure}"), F.col(region_col))
             .select(region_col, *[money(f"__sum_{m}").alias(label) for m, label in measures.items()]))
 
