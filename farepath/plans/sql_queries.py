@@ -55,12 +55,19 @@ def farthest_trip_per_vendor_sql(spark: SparkSession, trips: DataFrame,
 
 def same_region_trip_counts_sql(spark: SparkSession, trips: DataFrame, lookup: DataFrame,
                                 regions: Sequence[str] = BOROUGHS) -> DataFrame:
+    """Trips are counted per zone-id pair first, so the lookup joins see
+    at most zones^2 rows (the optimizer does not push an aggregate below
+    a join by itself)."""
     return spark.sql(
         """
-        SELECT pu.Borough AS Borough, COUNT(*) AS TotalTrips
-        FROM {trips} AS t
-        JOIN {lookup} AS pu ON t.PULocationID = pu.LocationID
-        JOIN {lookup} AS dr ON t.DOLocationID = dr.LocationID
+        WITH pairs AS (
+          SELECT PULocationID, DOLocationID, COUNT(*) AS n
+          FROM {trips} GROUP BY PULocationID, DOLocationID
+        )
+        SELECT pu.Borough AS Borough, SUM(p.n) AS TotalTrips
+        FROM pairs AS p
+        JOIN {lookup} AS pu ON p.PULocationID = pu.LocationID
+        JOIN {lookup} AS dr ON p.DOLocationID = dr.LocationID
         WHERE pu.Borough = dr.Borough AND array_contains(:regions, pu.Borough)
         GROUP BY pu.Borough
         ORDER BY TotalTrips DESC, Borough
