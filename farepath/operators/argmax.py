@@ -27,10 +27,14 @@ def rows_at_group_max(df: DataFrame, keys: Sequence[str], value: str,
     """Every row whose ``value`` equals the max of its group; ties are all
     kept. Rows with a NULL key or value never match (inner join)."""
     keys = list(keys)
-    not_null = F.col(value).isNotNull()
+    # NULL keys are left out of the maxima (they could never join back).
+    # No filter on the value: ``max`` skips NULLs by itself, an all-NULL
+    # group's NULL maximum matches nothing, and a filter would evaluate a
+    # computed value (a distance) once more per row.
+    has_keys = F.lit(True)
     for k in keys:
-        not_null = not_null & F.col(k).isNotNull()
-    maxes = df.where(not_null).groupBy(*keys).agg(F.max(value).alias(value))
+        has_keys = has_keys & F.col(k).isNotNull()
+    maxes = df.where(has_keys).groupBy(*keys).agg(F.max(value).alias(value))
     maxes, _ = materialize_small(maxes, max_groups)
     return df.join(maxes, on=[*keys, value], how="inner")
 
