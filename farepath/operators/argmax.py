@@ -34,9 +34,17 @@ def rows_at_group_max(df: DataFrame, keys: Sequence[str], value: str,
     has_keys = F.lit(True)
     for k in keys:
         has_keys = has_keys & F.col(k).isNotNull()
-    maxes = df.where(has_keys).groupBy(*keys).agg(F.max(value).alias(value))
-    maxes, _ = materialize_small(maxes, max_groups)
-    return df.join(maxes, on=[*keys, value], how="inner")
+    maxes = (df.where(has_keys).groupBy(*keys).agg(F.max(value).alias("__max"))
+             .where(F.col("__max").isNotNull()))
+    maxes, _ = materialize_small(maxes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+                                              "__max"), max_groups)
+    # The value is matched null-safely: an equality would make Catalyst add
+    # ``value IS NOT NULL`` on the row side, evaluating a computed value
+    # (a distance) once more per row. NULL maxima are already gone, so a
+    # NULL value still matches nothing.
+    cond = [df[k] == maxes[f"__k{i}"] for i, k in enumerate(keys)]
+    cond.append(df[value].eqNullSafe(maxes["__max"]))
+    return df.join(maxes, cond, "inner").select(*[df[c] for c in df.columns])
 
 
 def one_row_per_group_max(df: DataFrame, keys: Sequence[str], value: str,

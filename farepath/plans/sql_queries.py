@@ -28,13 +28,16 @@ def farthest_trip_per_vendor_sql(spark: SparkSession, trips: DataFrame,
     The maxima are computed by one SQL statement and checkpointed and
     counted like the DataFrame form's, so the join-back is a broadcast of a
     proven-small table rather than a planner estimate (which at scale is
-    the size of the trips and would shuffle them). ``DISTRIBUTE BY`` puts
+    the size of the trips and would shuffle them). The distance is matched
+    with ``<=>`` against non-NULL maxima: same rows as ``=``, but no
+    inferred ``IS NOT NULL`` filter that would compute every distance
+    twice. ``DISTRIBUTE BY`` puts
     the matched rows through a small hash exchange so the final sort
     samples them, not a second pass over the trips."""
     dd = with_distance_duration(trips, **kw)
     maxes = spark.sql(
         "SELECT VendorID, MAX(distance_km) AS max_distance FROM {dd} "
-        "WHERE VendorID IS NOT NULL GROUP BY VendorID", dd=dd)
+        "WHERE VendorID IS NOT NULL GROUP BY VendorID HAVING MAX(distance_km) IS NOT NULL", dd=dd)
     maxes, _ = materialize_small(maxes, max_groups)
     return spark.sql(
         """
@@ -44,7 +47,7 @@ def farthest_trip_per_vendor_sql(spark: SparkSession, trips: DataFrame,
                  ROUND(d.duration_min, 1) AS `Duration (min)`
           FROM {maxes} AS m
           JOIN {dd} AS d
-            ON d.VendorID = m.VendorID AND d.distance_km = m.max_distance
+            ON d.VendorID = m.VendorID AND d.distance_km <=> m.max_distance
           DISTRIBUTE BY VendorID, `Duration (min)`
         )
         ORDER BY VendorID, `Duration (min)`
