@@ -21,7 +21,7 @@ from farepath.plans import sql_queries as sq
 from farepath.plans import trip_queries as tq
 from farepath.plans.inspect import physical_plan
 from farepath.schemas import BOROUGHS, TRIPS_2015, TRIPS_2024, ZONE_LOOKUP
-from farepath.sinks import ingest_csv_to_parquet, write_csv
+from farepath.sinks import ingest_csv_to_parquet, write_csv, write_text
 from farepath.sinks.files import IngestItem
 from farepath.sources import read_csv, read_csv_inferred, read_parquet
 
@@ -50,8 +50,11 @@ def build(spark: SparkSession, args) -> DataFrame | None:
     zones = _read(spark, args.zones, fmt, ZONE_LOOKUP) if args.zones else None
     regions = args.boroughs or BOROUGHS
     if q == "hour-means":
-        return tq.hour_of_day_means(trips, use_udf=args.udf)
+        means = tq.hour_of_day_means(trips, use_udf=args.udf)
+        return tq.hour_means_report(means) if args.report else means
     if q == "farthest-trip":
+        if args.report:
+            return tq.farthest_trip_report(tq.farthest_trip_one_per_vendor(trips, ordered=False))
         if args.one_per_vendor:
             return tq.farthest_trip_one_per_vendor(trips)
         return sq.farthest_trip_per_vendor_sql(spark, trips) if args.sql else tq.farthest_trip_per_vendor(trips)
@@ -86,6 +89,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--sql", action="store_true", help="use the SQL form where there is one")
     p.add_argument("--udf", action="store_true", help="hour-means: divide with a pandas UDF")
     p.add_argument("--one-per-vendor", action="store_true")
+    p.add_argument("--report", action="store_true",
+                   help="hour-means, farthest-trip: header and tab-separated lines as one text file")
     p.add_argument("--strategy", default="planner",
                    choices=("planner", "broadcast", "merge", "shuffle_hash"))
     p.add_argument("--sample", type=int, default=50, help="join-strategy: zones kept, by id")
@@ -99,7 +104,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if result is not None:
         if args.show:
             result.show(args.show, truncate=False)
-        if args.out:
+        if args.out and args.report:
+            write_text(result, args.out, mode=args.mode, single_file=True)
+        elif args.out:
             write_csv(result, args.out, mode=args.mode, single_file=True)
     return 0
 

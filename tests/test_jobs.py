@@ -84,3 +84,18 @@ def test_borough_and_night_jobs_sql(spark, out_dir):
     jobs.main(["night-trips", "--sql", "--trips", out_dir + "/t", "--format", "csv", "--out", out_dir + "/n"],
               spark=spark)
     assert _read_out(out_dir + "/n")[1:] == [["", "1"], ["1", "2"], ["3", "1"]]
+
+
+def test_text_report_jobs(spark, out_dir):
+    write_csv(_trips_2015(spark), out_dir + "/t15")
+    jobs.main(["farthest-trip", "--report", "--trips", out_dir + "/t15", "--format", "csv",
+               "--out", out_dir + "/r"], spark=spark)
+    local = (out_dir + "/r").removeprefix("file:")
+    (part,) = glob.glob(f"{local}/part-*")
+    lines = open(part).read().splitlines()
+    assert lines[0] == "VendorID\tMax Haversine Distance (km)\tDuration (min)" and len(lines) == 4
+    assert lines[1].startswith("1\t\t\t") and lines[1].endswith("\t\t\t-5.0")
+    jobs.main(["hour-means", "--report", "--trips", out_dir + "/t15", "--format", "csv",
+               "--out", out_dir + "/h"], spark=spark)
+    (part,) = glob.glob(f"{(out_dir + '/h').removeprefix('file:')}/part-*")
+    assert open(part).read().splitlines()[0] == "HourOfDay\t\tLongitude\t\tLatitude"
