@@ -137,6 +137,13 @@ def q_hour_means_report(spark, sf):
     return tq.hour_means_report(means.select(tq.HOUR, *EVENT_MEASURES.values()))
 
 
+def q_night_trip_counts_csv(spark, sf):
+    # SQL over the trip CSV read with the fixed 2024 schema, two columns.
+    trips = read_csv(spark, trips_csv_path(spark, sf, "2024"), TRIPS_2024,
+                     columns=["tpep_pickup_datetime", "VendorID"])
+    return sq.night_counts_sql(spark, trips)
+
+
 def q_night_event_counts(spark, sf):
     return tq.night_counts(events(spark, sf), "ts", "event_type", name="NightEvents")
 
@@ -289,6 +296,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pickup_hour_means": q_pickup_hour_means,
     "night_trip_counts": q_night_trip_counts,
     "night_trip_counts_sql": q_night_trip_counts_sql,
+    "night_trip_counts_csv": q_night_trip_counts_csv,
     "night_event_counts": q_night_event_counts,
     "night_event_counts_sql": q_night_event_counts_sql,
     "night_event_counts_csv": q_night_event_counts_csv,
@@ -504,6 +512,7 @@ ORACLE_SQL: dict[str, str] = {
     "pickup_hour_means": _PICKUP_HOUR_SQL,
     "night_trip_counts": _NIGHT_TRIPS_SQL,
     "night_trip_counts_sql": _NIGHT_TRIPS_SQL,
+    "night_trip_counts_csv": _NIGHT_TRIPS_SQL,
     "night_event_counts": _NIGHT_SQL,
     "night_event_counts_sql": _NIGHT_SQL,
     "night_event_counts_csv": _NIGHT_SQL,
