@@ -131,3 +131,13 @@ def test_rows_at_group_max_past_the_bound_is_still_exact(spark):
     # shuffled on (group, value): a hot group spreads over partitions by value
     key = plan.split("hashpartitioning(k#", 1)[1].split(")), ")[0]
     assert "v#" in key
+
+
+def test_size_bound_handles_nested_and_null_values(spark):
+    from farepath.operators.lookup import size_at_most
+
+    df = spark.createDataFrame([(1, ["a", "bb"], {"k": "v"}, None), (2, None, None, "x")],
+                               "id int, tags array<string>, m map<string,string>, s string")
+    n, b = size_at_most(df, max_rows=10)
+    assert n == 2 and b > 2 * (8 + 8 * 4)
+    assert size_at_most(spark.range(0), max_rows=10) == (0, 0)
