@@ -285,7 +285,9 @@ def q_zone_pairs_streaming(spark, sf):
     per_batch = max(1, -(-len(files.inputFiles()) // 2))
     stream = stream_files(spark, path, files.schema, max_files_per_trigger=per_batch)
     counts = tq.zone_pair_counts(stream, _lookup(spark, sf))
-    return spark.read.parquet(run_available(counts))
+    # The state holds one row per zone-name pair (at most zones^2), so a
+    # few state partitions are enough whatever the trip volume.
+    return spark.read.parquet(run_available(counts, state_partitions=8))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -190,8 +190,10 @@ def test_streaming_counts_equal_batch(spark, out_dir):
     t, z = trips(spark), zones(spark)
     write_parquet(t.repartition(3), out_dir + "/in")
     stream = stream_files(spark, out_dir + "/in", t.schema, max_files_per_trigger=1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     snapshot = spark.read.parquet(run_available(tq.zone_pair_counts(stream, z), out_dir + "/out",
-                                                out_dir + "/ckpt"))
+                                                out_dir + "/ckpt", state_partitions=3))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
     assert sorted(rows(snapshot)) == sorted(rows(tq.zone_pair_counts(t, z)))
     night = spark.read.parquet(run_available(tq.night_counts(stream), out_dir + "/out2", out_dir + "/ckpt2"))
     assert sorted(rows(night), key=str) == sorted(rows(tq.night_counts(t)), key=str)
