@@ -94,6 +94,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--strategy", default="planner",
                    choices=("planner", "broadcast", "merge", "shuffle_hash"))
     p.add_argument("--sample", type=int, default=50, help="join-strategy: zones kept, by id")
+    p.add_argument("--explain", choices=("simple", "extended", "formatted", "cost"),
+                   help="print the plan of the result before running it")
     return p
 
 
@@ -102,6 +104,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName(f"farepath-{args.question}").getOrCreate()
     result = build(spark, args)
     if result is not None:
+        if args.explain:
+            print(physical_plan(result, args.explain))
         if args.show:
             result.show(args.show, truncate=False)
         if args.out and args.report:

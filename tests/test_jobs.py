@@ -99,3 +99,12 @@ def test_text_report_jobs(spark, out_dir):
                "--out", out_dir + "/h"], spark=spark)
     (part,) = glob.glob(f"{(out_dir + '/h').removeprefix('file:')}/part-*")
     assert open(part).read().splitlines()[0] == "HourOfDay\t\tLongitude\t\tLatitude"
+
+
+def test_explain_flag_prints_plan(spark, out_dir, capsys):
+    write_parquet(trips(spark), out_dir + "/t")
+    write_parquet(spark.createDataFrame(zones(spark).collect(), ZONE_LOOKUP), out_dir + "/z")
+    jobs.main(["zone-pairs", "--trips", out_dir + "/t", "--zones", out_dir + "/z", "--explain", "formatted",
+               "--show", "2"], spark=spark)
+    out = capsys.readouterr().out
+    assert "== Physical Plan ==" in out and "BroadcastHashJoin" in out and "Midtown" in out
