@@ -35,9 +35,10 @@ def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Uses the folder the cluster names in ``spark.checkpoint.dir``. Only
-    when that is unset (local tests) does it pick a folder of its own and
-    register it as the checkpoint folder, so ``DataFrame.checkpoint()``
-    and written tables land in the same place.
+    when that is unset and the master is local (tests) does it pick a
+    folder of its own and register it as the checkpoint folder, so
+    ``DataFrame.checkpoint()`` and written tables land in the same place;
+    on a cluster an unset folder is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -48,6 +49,9 @@ def scratch_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not sc.master.startswith("local"):
+        # A machine-local folder is not shared by the executors of a cluster.
+        raise RuntimeError("spark.checkpoint.dir is not set; set it to a folder on shared storage")
     own = tempfile.mkdtemp(prefix="farepath-checkpoints-")
     sc.setCheckpointDir(own)
     return own
