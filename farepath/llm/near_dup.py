@@ -70,9 +70,10 @@ def shingle_bags(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     multiplier = np.uint64(0xD6E8FEB86659FD93)
     n = len(words)
     with np.errstate(over="ignore"):
-        rolled = np.zeros(max(0, n - SHINGLE_WORDS + 1), dtype=np.uint64)
+        n_rolled = max(0, n - SHINGLE_WORDS + 1)
+        rolled = np.zeros(n_rolled, dtype=np.uint64)
         for i in range(SHINGLE_WORDS):
-            rolled = rolled * multiplier + words[i:n - SHINGLE_WORDS + 1 + i]
+            rolled = rolled * multiplier + words[i:i + n_rolled]
         out, counts = [], np.zeros(len(sizes), dtype=np.int64)
         for d, (a, size) in enumerate(zip(starts.tolist(), sizes.tolist())):
             if size >= SHINGLE_WORDS:

@@ -215,7 +215,8 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, label_column: st
     rows = labels.filter(training & F.col(label_column).isNotNull()).select(F.col(id_column).alias("label_id"), F.col(label_column).cast("int").alias("label"))
     sample = bounded_sample(rows, "label_id", training_rows)
     # At most training_rows pairs of an id and a label: a proven bound.
-    chosen = docs.join(F.broadcast(sample), docs[id_column] == F.col("label_id")).select("label_id", "label", F.col(text_column).alias("the_text"))
+    texts = docs.select(F.col(id_column).alias("text_id"), F.col(text_column).alias("the_text"))
+    chosen = texts.join(F.broadcast(sample), F.col("text_id") == F.col("label_id")).select("label_id", "label", "the_text")
     found = features_frame(chosen, ["label_id", "label"], "the_text").collect()
     found.sort(key=lambda r: (r["label_id"], r["label"], r["features"]))
     x = np.array([r["features"] for r in found], dtype=np.float64).reshape(len(found), len(FEATURES))

@@ -7,12 +7,12 @@ token's marginal; a document's score is its largest one, and its offending
 spans are the runs of tokens whose marginal reaches a half, in code points of
 the text.
 
-The labels are of documents. Tokens are labelled from them first: a feature
-seen in several toxic training documents and (almost) no clean one marks its
-tokens toxic in toxic documents; all other tokens are clean. The field is then
+The labels are of documents. Tokens are labelled from them first: features
+seen in toxic training documents and (almost) no clean one, as few as explain
+the toxic documents, mark their tokens toxic there; all other tokens are clean. The field is then
 fitted to these tokens by gradient ascent on the regularised likelihood. All
-this is on a bounded sample of labelled documents (:data:`TRAINING_ROWS`, half
-of each label where there are enough, those of the smallest id hashes).
+this is on a bounded sample of labelled documents (:data:`TRAINING_ROWS`, up to
+a quarter of them toxic, those of the smallest id hashes).
 
 For two labels, forward and backward messages are each one ratio, so a batch
 of documents is one pass over time with one vector operation a step.
@@ -24,7 +24,10 @@ NULL are not learned from.
 
 from __future__ import annotations
 
+import math
 import re
+import sys
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,21 +37,35 @@ from pyspark.sql import functions as F
 
 from farepath.llm.common import MEMO_ENTRIES, bounded_sample, columns_of, record_batch, slices, text_of
 
-TRAINING_ROWS = 3000
+TRAINING_ROWS = 4000
+TOXIC_SHARE = 0.25
 #: A feature marks tokens if it is in this many toxic training documents at
 #: least, and this much commoner there than in clean ones.
 LEAST_DOCUMENTS = 4
-LEAST_RATIO = 25.0
-ITERATIONS = 60
+LEAST_RATIO = 10.0
+#: Least likelihood-ratio statistic of such a feature, far above what chance
+#: gives one of some hundred thousand features.
+LEAST_EVIDENCE = 25.0
+#: Share of the toxic training documents that makes such a feature marking
+#: whatever else explains them.
+COMMON_SHARE = 0.05
+#: Words of a document that are compared to find copies.
+SKETCH = 16
+ITERATIONS = 40
 L2 = 0.02
 
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
+#: Tokens after which a training sequence is cut, so that a pass over time is
+#: short however long a document is.
+CUT = 400
+
 TOKEN = re.compile(r"\w+")
 
 
 def token_features(token: str) -> list[str]:
     out = ["w:" + token]
-    for n in (3, 4, 5):
-        if len(token) > n:
+    for n in BEGINNINGS:
+        if len(token) >= n:
             out.append(f"b{n}:{token[:n]}")
     if len(token) > 4:
         out.append("e:" + token[-3:])
@@ -121,16 +138,76 @@ def _messages(u: np.ndarray, lengths: np.ndarray, transitions, pairs: bool = Fal
     return (p / (1 + p))[place], log_z, expected
 
 
-def label_tokens(documents: list[list[str]], toxic: list[int], least: int = LEAST_DOCUMENTS, ratio: float = LEAST_RATIO) -> list[np.ndarray]:
+def _without_copies(documents: list[list[str]]) -> list[int]:
+    """Documents that don't share half of a small sketch of their words with
+    an earlier one: copies would count their rare words again and again."""
+    seen: dict[int, set[int]] = {}
+    kept = []
+    for i, tokens in enumerate(documents):
+        sketch = sorted({zlib.crc32(w.encode()) for w in tokens})[:SKETCH]
+        shared: dict[int, int] = {}
+        for h in sketch:
+            for other in seen.get(h, ()):
+                shared[other] = shared.get(other, 0) + 1
+        if max(shared.values(), default=0) * 2 < max(1, len(sketch)):
+            kept.append(i)
+            for h in sketch:
+                seen.setdefault(h, set()).add(i)
+    return kept
+
+
+def _evidence(a: int, n_a: int, b: int, n_b: int) -> float:
+    """Likelihood ratio of two shares against one common share."""
+    share = (a + b) / (n_a + n_b)
+    each = ((a, n_a * share), (n_a - a, n_a * (1 - share)), (b, n_b * share), (n_b - b, n_b * (1 - share)))
+    return 2 * sum(x * math.log(x / e) for x, e in each if x > 0)
+
+
+def marking_features(documents: list[list[str]], toxic: list[int], least: int = LEAST_DOCUMENTS, ratio: float = LEAST_RATIO) -> set[str]:
+    """Features that tell toxic documents: those far commoner there than in
+    clean ones, taken greedily, the one that explains most documents not yet
+    explained first, until none explains ``least``."""
+    kept = _without_copies(documents)
+    known: dict[str, list[str]] = {}
+
+    def features(i: int) -> set[str]:
+        words = set(documents[i])
+        for w in words - known.keys():
+            known[w] = [sys.intern(f) for f in token_features(w)]
+        return {f for w in words for f in known[w]}
+
+    counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    for i in kept:
+        into = counts[toxic[i]]
+        for f in features(i):
+            into[f] = into.get(f, 0) + 1
+    n = [max(1, sum(toxic[i] == k for i in kept)) for k in (0, 1)]
+    able = {f for f, m in counts[1].items() if m >= least and m / n[1] >= ratio * (counts[0].get(f, 0) + 0.1) / n[0]
+            and _evidence(m, n[1], counts[0].get(f, 0), n[0]) >= LEAST_EVIDENCE}
+    holders: dict[str, set[int]] = {f: set() for f in able}
+    for i in kept:
+        if toxic[i]:
+            for f in features(i) & able:
+                holders[f].add(i)
+    marking: set[str] = set()
+    while holders:
+        # The longest beginning of those that explain the same documents.
+        best = max(holders, key=lambda f: (len(holders[f]), f.startswith("b"), len(f), f))
+        explained = set(holders.pop(best))
+        if len(explained) < least:
+            break
+        marking.add(best)
+        for f in list(holders):
+            holders[f] -= explained
+            if len(holders[f]) < least:
+                del holders[f]
+    # What stands in a good part of all toxic documents marks on its own.
+    return marking | {f for f in able if counts[1][f] >= max(least, COMMON_SHARE * n[1])}
+
+
+def label_tokens(documents: list[list[str]], toxic: list[int]) -> list[np.ndarray]:
     """Token labels from document labels."""
-    seen = ({}, {})
-    for tokens, label in zip(documents, toxic):
-        counts = seen[label]
-        for f in {f for w in set(tokens) for f in token_features(w)}:
-            counts[f] = counts.get(f, 0) + 1
-    n_clean, n_toxic = max(1, toxic.count(0)), max(1, toxic.count(1))
-    marking = {f for f, n in seen[1].items()
-               if n >= least and n / n_toxic >= ratio * (seen[0].get(f, 0) + 0.1) / n_clean}
+    marking = marking_features(documents, toxic)
     vocabulary = {w for tokens in documents for w in tokens}
     marked = {w for w in vocabulary if any(f in marking for f in token_features(w))}
     return [np.array([w in marked for w in tokens], dtype=bool) if label else np.zeros(len(tokens), dtype=bool)
@@ -140,6 +217,7 @@ def label_tokens(documents: list[list[str]], toxic: list[int], least: int = LEAS
 def fit(documents: list[list[str]], labels: list[np.ndarray], iterations: int = ITERATIONS, l2: float = L2) -> ChainField:
     """Maximise the likelihood of the token labels. Features that no toxic
     token has start, and without evidence stay, at 0; they are left out."""
+    documents, labels = ([x[i:i + CUT] for x in seq for i in range(0, max(1, len(x)), CUT)] for seq in (documents, labels))
     toxic_features = {f for tokens, y in zip(documents, labels) for w, t in zip(tokens, y) if t for f in token_features(w)}
     names = sorted(toxic_features)
     number = {f: i for i, f in enumerate(names)}
@@ -178,10 +256,12 @@ def fit(documents: list[list[str]], labels: list[np.ndarray], iterations: int =
 def learn(docs: DataFrame, labels: DataFrame, training: Column, label_column: str = "toxic", id_column: str = "doc_id",
           text_column: str = "text", training_rows: int = TRAINING_ROWS) -> ChainField:
     rows = labels.filter(training & F.col(label_column).isNotNull()).select(F.col(id_column).alias("label_id"), (F.col(label_column) > 0).cast("int").alias("label"))
-    samples = [bounded_sample(rows.filter(F.col("label") == k), "label_id", training_rows // 2) for k in (1, 0)]
+    n_toxic = int(training_rows * TOXIC_SHARE)
+    samples = [bounded_sample(rows.filter(F.col("label") == k), "label_id", n) for k, n in ((1, n_toxic), (0, training_rows - n_toxic))]
     # At most training_rows pairs of an id and a label: a proven bound.
     sample = F.broadcast(samples[0].union(samples[1]))
-    found = docs.join(sample, docs[id_column] == F.col("label_id")).select("label_id", "label", text_of(text_column).alias("the_text")).collect()
+    texts = docs.select(F.col(id_column).alias("text_id"), text_of(text_column).alias("the_text"))
+    found = texts.join(sample, F.col("text_id") == F.col("label_id")).select("label_id", "label", "the_text").collect()
     found.sort(key=lambda r: (r["label_id"], r["label"], r["the_text"]))
     documents = [TOKEN.findall(r["the_text"].lower()) for r in found]
     return fit(documents, label_tokens(documents, [r["label"] for r in found]))

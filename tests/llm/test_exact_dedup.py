@@ -1,0 +1,75 @@
+from __future__ import annotations
+
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from farepath.llm import exact_dedup
+from farepath.session import new_scratch_path
+from tests.llm import edge
+
+
+def brute(rows):
+    groups = {}
+    for doc_id, text in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", text or ""), []).append(doc_id)
+    out = []
+    for text, ids in groups.items():
+        ids.sort(key=lambda i: (i is None, i))
+        out += [(i, ids[0], len(ids), k == 0, hashlib.sha256(text.encode()).hexdigest()) for k, i in enumerate(ids)]
+    return out
+
+
+def key(r):
+    return (r[4], r[0] is None, r[0] or 0, not r[3])
+
+
+def found(spark, root, **options):
+    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    return sorted((tuple(r) for r in exact_dedup.dedup(spark, f"{root}/documents.parquet", **options).select(*columns).collect()), key=key)
+
+
+def test_edge_cases(spark, out_dir):
+    edge.as_tables(spark, out_dir, edge.frame(spark))
+    assert found(spark, out_dir) == sorted(brute([(r[0], r[1]) for r in edge.rows()]), key=key)
+
+
+def test_empty_table(spark, out_dir):
+    edge.as_tables(spark, out_dir, edge.frame(spark, []))
+    assert found(spark, out_dir) == []
+
+
+def test_digest_collisions_are_told_apart_by_all_bytes(spark, out_dir):
+    texts = [f"text {i % 7}" for i in range(60)] + ["", None, "one of a kind"]
+    edge.as_tables(spark, out_dir, edge.documents(spark, texts).repartition(5))
+    few = lambda text: F.substring(exact_dedup.sha256_hex(text), 1, 1)
+    assert found(spark, out_dir, digest=few) == sorted(brute(list(enumerate(texts))), key=key)
+
+
+def test_state_on_disk_grows_with_later_files(spark, out_dir):
+    checkpoint = new_scratch_path(spark, "state")
+    path = f"{out_dir}/documents.parquet"
+    edge.documents(spark, ["a", "b", "a"]).write.parquet(path)
+    first = exact_dedup.dedup(spark, path, checkpoint=checkpoint)
+    assert first.count() == 3
+    more = edge.documents(spark, ["c", "a"]).withColumn("doc_id", F.col("doc_id") + 100)
+    more.write.mode("append").parquet(path)
+    exact_dedup.update_state(spark, path, checkpoint)
+    state = {r["digest"]: (r["stays"]["id"], r["n"]) for r in exact_dedup.read_state(spark, checkpoint).collect()}
+    digest = {t: hashlib.sha256(t.encode()).hexdigest() for t in "abc"}
+    assert state == {digest["a"]: (0, 3), digest["b"]: (1, 1), digest["c"]: (100, 1)}
+    assert [r["at"]["file"] for r in exact_dedup.read_state(spark, checkpoint).select("stays.at").collect()]
+
+
+def test_session_setting_is_put_back(spark, out_dir):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    edge.as_tables(spark, out_dir, edge.frame(spark))
+    found(spark, out_dir)
+    assert spark.conf.get(name, None) == before
+
+
+def test_plan_has_no_python(spark):
+    plan = exact_dedup.dedup(spark, "/root/testdata/sf0.001/documents.parquet")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

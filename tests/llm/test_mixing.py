@@ -1,0 +1,84 @@
+from __future__ import annotations
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from farepath.llm import mixing
+from farepath.llm.queries import op4_mix
+from tests.llm import edge
+
+
+def targets(sizes: dict, weights=(3, 1, 2), percent=150, most=2):
+    """Share, cap, share the excess again, until none is above its cap."""
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    out, left, open_ = {}, sum(sizes.values()) * percent / 100, set(names)
+    while open_:
+        unit = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * unit >= most * sizes[s]}
+        if not full:
+            out.update({s: weight[s] * unit for s in open_})
+            break
+        for s in full:
+            out[s] = most * sizes[s]
+            left -= out[s]
+        open_ -= full
+    return out
+
+
+@pytest.mark.parametrize("sizes", [
+    {"a": 100, "b": 10, "c": 1000, "d": 5, None: 70}, {"a": 10}, {"a": 0, "b": 10}, {"x": 5, "y": 5, "z": 5, "zz": 10_000},
+    {f"s{i}": 1 + (i * 7919) % 997 for i in range(23)},
+])
+def test_targets_equal_step_by_step_sharing(spark, sizes):
+    rows = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, size long")
+    found = {r["source"]: r["target"] for r in mixing.source_targets(rows).collect()}
+    want = targets(sizes)
+    assert found.keys() == want.keys()
+    assert all(abs(found[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in want)
+
+
+def test_word_counts_are_those_of_the_pattern(spark):
+    texts = ["", "a", " a  b\tc\n", "x y z", "\x0b\x0c\r", "é è"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", mixing.word_count(F.col("t")).alias("n")).collect()
+    assert all(r["n"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["t"])) for r in rows)
+
+
+def test_sources_come_near_their_targets(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = op4_mix(spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    source = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    assert len(rows) == len(source)
+    taken, target = {}, {}
+    for r in rows:
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+        s = source[r["doc_id"]]
+        taken[s] = taken.get(s, 0) + r["taken"]
+        target[s] = r["target"]
+    assert all(abs(taken[s] - target[s]) < 0.1 * target[s] for s in target)
+    assert {tuple(r) for r in rows} == {tuple(r) for r in op4_mix(spark, sf).collect()}
+
+
+def test_mix_repeats_rows_as_planned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = {r["doc_id"]: r["copies"] for r in mixing.mixed_sizes(docs).collect()}
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    found = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert found == {k: v for k, v in plan.items() if v}
+
+
+def test_edge_cases(spark):
+    docs = edge.frame(spark)
+    rows = mixing.mixed_sizes(docs).collect()
+    assert len(rows) == len(edge.rows())
+    assert [r["size"] for r in rows if r["doc_id"] in (3, 4, 5)] == [0, 0, 0]
+    assert len({(r["copies"]) for r in rows if r["doc_id"] == 2}) == 1
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert mixed.filter("doc_id = 2").count() == sum(r["copies"] for r in rows if r["doc_id"] == 2)
+    assert mixing.mixed_sizes(edge.frame(spark, [])).collect() == []
+    assert mixing.mix(edge.frame(spark, [])).collect() == []
