@@ -207,6 +207,9 @@ class WordwiseEncoder:
     _LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \x85\xa0"
     _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 
+    #: Letters with marks behind them (no apostrophe): one word and one run of marks.
+    _PLAIN = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]*)$"
+
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer, pre_tokenizers
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -223,8 +226,8 @@ class WordwiseEncoder:
         self._ends = np.zeros(self._tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self._tokenizer.get_vocab().items():
             self._ends[i] = token.endswith(suffix)
-        self._word_ids: dict[str, bytes] = {}
-        self._chunk_ids: dict[str, bytes] = {}
+        self._word_ids: dict[str, bytes] = {"": b""}
+        self._older_ids: dict[str, bytes] = {"": b""}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -233,8 +236,8 @@ class WordwiseEncoder:
     def _words(self, words: list[str]) -> None:
         """Put the ids of lower-case Latin-1 words into the memo of words."""
         memo = self._word_ids
-        for lo in range(0, len(words), 200):
-            some = words[lo:lo + 200]
+        for lo in range(0, len(words), 500):
+            some = words[lo:lo + 500]
             spelt = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self._letters) for w in some]
             ids = np.array(self._merges.encode(" ".join(spelt), add_special_tokens=False).ids, dtype="<u4")
             raw, ends = ids.tobytes(), ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()
@@ -243,48 +246,68 @@ class WordwiseEncoder:
                 continue
             memo.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends))))
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct chunks without spaces and line feeds."""
-        found = list(map(self._chunk_ids.get, chunks))
-        missing = [c for c, x in zip(chunks, found) if x is None]
-        if not missing:
-            return found
-        if len(self._chunk_ids) + len(missing) > MEMO_ENTRIES:
-            self._chunk_ids = dict(zip(chunks, found)) if len(chunks) < MEMO_ENTRIES else {}
-        if len(self._word_ids) > MEMO_ENTRIES:
-            self._word_ids = {}
-        split, words = self._SPLIT.findall, self._word_ids
-        plain, pieces, whole = [], [], []
-        for c in missing:
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct lower-case words of Latin-1 letters, or of marks.
+        The memo has two generations: what isn't asked for while the younger
+        one fills goes with the older one."""
+        young, old = self._word_ids, self._older_ids
+        found = list(map(young.get, words))
+        if None in found:
+            missing = [w for w, x in zip(words, found) if x is None]
+            if len(young) + len(missing) > MEMO_ENTRIES // 2:
+                self._older_ids, self._word_ids = young, {}
+                young, old = self._word_ids, self._older_ids
+            again = list(map(old.get, missing))
+            young.update((w, x) for w, x in zip(missing, again) if x is not None)
+            new = [w for w, x in zip(missing, again) if x is None]
+            self._words(new)
+            found = [x if x is not None else young[w] for w, x in zip(words, found)]
+        return found
+
+    def _others(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks of any other form."""
+        pieces, whole = {}, []
+        for c in chunks:
             if _latin(c):
-                plain.append(c)
-                pieces.append(split(c.lower()))
+                pieces[c] = self._SPLIT.findall(c.lower())
             else:
                 whole.append(c)
-        new = dict(zip(whole, self._whole(whole)))
-        self._words(list({w for p in pieces for w in p} - words.keys()))
-        new.update((c, words[p[0]] if len(p) == 1 else b"".join(map(words.__getitem__, p))) for c, p in zip(plain, pieces))
-        self._chunk_ids.update(new)
-        return [x if x is not None else new[c] for c, x in zip(chunks, found)]
+        words = list({w for p in pieces.values() for w in p})
+        known = dict(zip(words, self._known(words)))
+        found = dict(zip(whole, self._whole(whole)))
+        found.update((c, b"".join(map(known.__getitem__, p))) for c, p in pieces.items())
+        return [found[c] for c in chunks]
 
     def encode_all(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids (uint32) of the texts one after the other, and how many
-        belong to each. Arrow splits the texts and finds the distinct chunks."""
+        belong to each. Arrow splits the texts into chunks, finds the distinct
+        ones and parts them into letters and the marks behind; each distinct
+        word is looked up once, and the ids are gathered by position."""
         if any(pc.any(pc.match_substring(texts, s)).as_py() for s in self._special):
             found = [self._whole([t])[0] if any(s in t for s in self._special) else self.encode_all(pa.array([t], pa.string()))[0].tobytes()
                      for t in texts.to_pylist()]
             return np.frombuffer(b"".join(found), dtype="<u4"), np.array([len(x) // 4 for x in found], dtype=np.int64)
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
-        of = coded.indices.to_numpy()
-        known = self._chunks(coded.dictionary.to_pylist())
+        chunks = coded.dictionary
+        parts = pc.extract_regex(chunks, self._PLAIN)
+        plain = pc.is_valid(parts)
+        letters = pc.utf8_lower(pc.fill_null(pc.struct_field(parts, "letters"), "")).dictionary_encode()
+        marks = pc.fill_null(pc.struct_field(parts, "marks"), "").dictionary_encode()
+        others = chunks.filter(pc.invert(plain)).to_pylist()
+        n_letters, n_marks = len(letters.dictionary), len(marks.dictionary)
+        known = self._known([*letters.dictionary.to_pylist(), *marks.dictionary.to_pylist()]) + self._others(others)
+        # Two entries of the table for each chunk; the empty word has no ids.
+        of = np.stack([letters.indices.to_numpy(), marks.indices.to_numpy() + n_letters], axis=1)
+        of[np.flatnonzero(~plain.to_numpy(zero_copy_only=False)), 0] = np.arange(len(others)) + n_letters + n_marks
         sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
         flat = np.frombuffer(b"".join(known), dtype="<u4")
         starts = np.cumsum(sizes) - sizes
+        of = of[coded.indices.to_numpy()].reshape(-1)
         counts = sizes[of]
         total = np.append(0, np.cumsum(counts))
         ids = flat[np.repeat(starts[of] - total[:-1], counts) + np.arange(total[-1])]
-        ends = total[np.cumsum(pc.list_value_length(lists).to_numpy())]
+        ends = total[2 * np.cumsum(pc.list_value_length(lists).to_numpy())]
         return ids, np.diff(ends, prepend=0)
 
 
