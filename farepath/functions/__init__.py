@@ -3,7 +3,7 @@ stays inside whole-stage code generation."""
 
 from farepath.functions.formatting import delimited_line, fixed_decimals, money
 from farepath.functions.geo import EARTH_RADIUS_KM, haversine_km
-from farepath.functions.predicates import all_nonzero
+from farepath.functions.predicates import all_finite, all_nonzero
 from farepath.functions.time import (
     duration_minutes,
     hour_from_text,
@@ -14,6 +14,7 @@ from farepath.functions.time import (
 
 __all__ = [
     "EARTH_RADIUS_KM",
+    "all_finite",
     "all_nonzero",
     "delimited_line",
     "duration_minutes",

@@ -5,7 +5,8 @@
 
 Trip and zone inputs are Parquet folders, or CSV files in the 2015 / 2024
 trip layouts and the zone layout (``--format csv``). Results are written
-as one CSV file with a header (overwrite), as small aggregated results;
+as CSV with a header (overwrite); ``--single-file`` merges a small result
+into one file;
 ``--show n`` also prints the first n rows. The join-strategy job prints
 the physical plan and the joined row count instead of writing.
 """
@@ -46,7 +47,7 @@ def build(spark: SparkSession, args) -> DataFrame | None:
         ingest_csv_to_parquet(spark, items, mode=args.mode)
         return None
     layout = TRIPS_2015 if q in ("hour-means", "farthest-trip") else TRIPS_2024
-    trips = _read(spark, args.trips, fmt, layout) if args.trips else None
+    trips = _read(spark, args.trips, fmt, layout, args.inferred) if args.trips else None
     zones = _read(spark, args.zones, fmt, ZONE_LOOKUP) if args.zones else None
     regions = args.boroughs or BOROUGHS
     if q == "hour-means":
@@ -82,15 +83,17 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--trips-2015", help="ingest only: the 2015 trip file (inferred schema)")
     p.add_argument("--zones")
     p.add_argument("--format", choices=("parquet", "csv"), default="parquet")
-    p.add_argument("--out", help="output folder (one CSV file; for ingest, the Parquet root)")
+    p.add_argument("--out", help="output folder (CSV, or text for reports; for ingest, the Parquet root)")
     p.add_argument("--mode", default="overwrite", help="write mode (ingest: errorifexists to refuse reruns)")
     p.add_argument("--show", type=int, default=0, help="print the first n rows")
     p.add_argument("--boroughs", nargs="*")
     p.add_argument("--sql", action="store_true", help="use the SQL form where there is one")
+    p.add_argument("--inferred", action="store_true", help="infer the CSV trip schema from the data")
+    p.add_argument("--single-file", action="store_true", help="merge a small result into one file")
     p.add_argument("--udf", action="store_true", help="hour-means: divide with a pandas UDF")
     p.add_argument("--one-per-vendor", action="store_true")
     p.add_argument("--report", action="store_true",
-                   help="hour-means, farthest-trip: header and tab-separated lines as one text file")
+                   help="hour-means, farthest-trip: header and tab-separated lines as text")
     p.add_argument("--strategy", default="planner",
                    choices=("planner", "broadcast", "merge", "shuffle_hash"))
     p.add_argument("--sample", type=int, default=50, help="join-strategy: zones kept, by id")
@@ -109,9 +112,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.show:
             result.show(args.show, truncate=False)
         if args.out and args.report:
-            write_text(result, args.out, mode=args.mode, single_file=True)
+            write_text(result, args.out, mode=args.mode, single_file=args.single_file)
         elif args.out:
-            write_csv(result, args.out, mode=args.mode, single_file=True)
+            write_csv(result, args.out, mode=args.mode, single_file=args.single_file)
     return 0
 
 

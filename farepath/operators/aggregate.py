@@ -52,16 +52,26 @@ def group_counts(df: DataFrame, keys: str | Sequence[str], name: str = "count")
     return df.groupBy(*_keys(keys)).agg(F.count(F.lit(1)).alias(name))
 
 
+# Amounts below this many units of money are summed in cents; a LONG holds
+# them and the sums of billions of them.
+_MOST_EXACT = 1e12
+
+
 def group_money_sums(df: DataFrame, keys: str | Sequence[str],
                      measures: Mapping[str, str], exact_cents: bool = True,
-                     scale: int = 2) -> DataFrame:
+                     scale: int = 2, inexact: Mapping[str, str] | None = None) -> DataFrame:
     """Sum of each measure per group (source column -> output name).
 
-    With ``exact_cents`` each value is rounded to ``scale`` decimals and
-    summed as a LONG count of cents, which is exact and independent of
-    the order rows arrive in (a double sum is not), then returned as
-    DECIMAL(38, scale). Use it for money with ``scale`` decimals. A group
-    whose values are all NULL sums to NULL.
+    With ``exact_cents`` each value is rounded to ``scale`` decimals (half
+    away from zero on the binary value, so 1.005 is 1.00) and summed as a
+    LONG count of cents, which is exact and independent of the order rows
+    arrive in (a double sum is not), then returned as DECIMAL(38, scale).
+    Use it for money with ``scale`` decimals. A group whose values are all
+    NULL sums to NULL.
+
+    NaN, infinities and amounts of 1e12 and more have no cents. ``inexact``
+    (source column -> output name) asks for their own double sum, NULL where
+    there are none; without it, a group that holds one sums to NULL.
     """
     keys = _keys(keys)
     if not exact_cents:
@@ -69,16 +79,29 @@ def group_money_sums(df: DataFrame, keys: str | Sequence[str],
     factor = 10 ** scale
     unit = F.lit(Decimal(1).scaleb(-scale))
 
+    def countable(x):
+        return F.abs(x) < _MOST_EXACT  # NaN is greater than any number
+
     def units(c):
-        # Half away from zero, with plain double arithmetic: Spark's
-        # round() on a double goes through BigDecimal and costs ~3x more.
-        x = F.col(c)
-        return (F.signum(x) * F.floor(F.abs(x) * factor + 0.5)).cast("long")
+        # Plain double arithmetic: Spark's round() on a double goes through
+        # BigDecimal and costs ~3x more.
+        x = F.col(c).cast("double")
+        return F.when(countable(x), (F.signum(x) * F.floor(F.abs(x) * factor + 0.5)).cast("long"))
+
+    def rest(c):
+        x = F.col(c).cast("double")
+        return F.when(~countable(x), x)
 
     cents = df.groupBy(*keys).agg(*[
-        F.sum(units(src)).alias(f"__c{i}") for i, src in enumerate(measures)
-    ])
-    return cents.select(*keys, *[
-        (F.col(f"__c{i}").cast("decimal(38,0)") * unit).cast(f"decimal(38,{scale})").alias(dst)
-        for i, dst in enumerate(measures.values())
+        a for i, src in enumerate(measures)
+        for a in (F.sum(units(src)).alias(f"__c{i}"), F.sum(rest(src)).alias(f"__x{i}"))
     ])
+    out = []
+    for i, (src, dst) in enumerate(measures.items()):
+        total = (F.col(f"__c{i}").cast("decimal(38,0)") * unit).cast(f"decimal(38,{scale})")
+        if inexact is None:
+            total = F.when(F.col(f"__x{i}").isNull(), total)
+        out.append(total.alias(dst))
+        if inexact is not None and src in inexact:
+            out.append(F.col(f"__x{i}").alias(inexact[src]))
+    return cents.select(*keys, *out)

@@ -51,11 +51,28 @@ def one_row_per_group_max(df: DataFrame, keys: Sequence[str], value: str,
                           payload: Sequence[str], tie_break: Sequence[Column],
                           max_groups: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """One row per group at the group max. Among tied rows the one with
-    the smallest ``tie_break`` tuple wins. The struct-valued ``min`` runs
-    only over the tied rows, after the join back."""
+    the smallest ``tie_break`` tuple wins, NULL last; among rows equal in
+    that too, the smallest payload.
+
+    With one tie-break and one payload column the tied rows are combined by
+    scalar ``min`` and ``min_by`` in hash aggregates, before any shuffle.
+    Only a wider tuple is compared as a struct, whose aggregate sorts."""
     keys = list(keys)
     tied = rows_at_group_max(df, keys, value, max_groups)
-    order = [c.alias(f"__tb{i}") for i, c in enumerate(tie_break)]
+    groups = [*keys, value]
+    if len(payload) == 1 and len(tie_break) == 1:
+        p, order = payload[0], tie_break[0]
+        if str(order) == str(F.col(p)):  # the payload is its own tie-break
+            return tied.groupBy(*groups).agg(F.min(p).alias(p))
+        # The smallest payload of each tie-break value; then the payload of
+        # the smallest value. ``min_by`` skips NULL tie-breaks, which win
+        # only where a group has nothing else.
+        least = tied.groupBy(*groups, order.alias("__tb")).agg(F.min(p).alias("__p"))
+        best = F.when(F.count("__tb") > 0, F.min_by("__p", "__tb")).otherwise(F.min("__p"))
+        return least.groupBy(*groups).agg(best.alias(p))
+    order = []
+    for i, c in enumerate(tie_break):
+        order += [c.isNull().alias(f"__n{i}"), c.alias(f"__tb{i}")]
     winner = F.min(F.struct(*order, *[F.col(p) for p in payload])).alias("__w")
-    return tied.groupBy(*keys, value).agg(winner).select(
-        *keys, value, *[F.col(f"__w.{p}").alias(p) for p in payload])
+    return tied.groupBy(*groups).agg(winner).select(
+        *groups, *[F.col(f"__w.{p}").alias(p) for p in payload])

@@ -2,9 +2,10 @@
 
 A lookup (zone table) is joined in one or more roles (pickup, drop-off).
 Only the key and the columns a role needs are carried into the join, and
-the lookup is broadcast only after a bounded count has shown that it has
-at most ``max_broadcast_rows`` rows. Past the bound the join is left to
-the planner and AQE (sort-merge or shuffled hash), never forced.
+the lookup is broadcast only after its rows and bytes have been counted
+(a distributed aggregate over just those columns) and are within bound.
+Past the bound the join is left to the planner and AQE (sort-merge or
+shuffled hash), whatever strategy was asked for; it never fails.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ _VARIABLE_WIDTH = (StringType, BinaryType)
 def size_at_most(df: DataFrame, max_rows: int,
                  max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> tuple[int, int] | None:
     """(rows, bytes) of ``df`` if it has at most ``max_rows`` rows and
-    ``max_bytes`` bytes, else None. One job over at most ``max_rows + 1``
-    rows (a limit), so it stays cheap however large ``df`` is. Nested
-    values are measured by their JSON text."""
+    ``max_bytes`` bytes, else None. One aggregate without a limit: each
+    task sends one row, so no task gathers rows however large ``df`` is;
+    pass only the columns that matter. Nested values are measured by
+    their JSON text."""
     fixed = 8 + 8 * len(df.schema.fields)
     var = [F.octet_length(F.col(f"`{f.name}`")) if isinstance(f.dataType, _VARIABLE_WIDTH)
            else F.octet_length(F.to_json(F.col(f"`{f.name}`")))
@@ -42,8 +44,7 @@ def size_at_most(df: DataFrame, max_rows: int,
     row_bytes = F.lit(fixed)
     for v in var:
         row_bytes = row_bytes + F.coalesce(v, F.lit(0))
-    r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
-                                   F.coalesce(F.sum(row_bytes), F.lit(0)).alias("b")).collect()[0]
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes), F.lit(0)).alias("b")).first()
     n, b = int(r["n"]), int(r["b"])
     return (n, b) if n <= max_rows and b <= max_bytes else None
 
@@ -55,15 +56,10 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> int | None:
     return size[0] if size else None
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                      required: bool = False) -> DataFrame:
+def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint on ``df`` when its row count is proven within
-    ``max_rows``; otherwise ``df`` unchanged (or an error if ``required``)."""
-    if row_count_at_most(df, max_rows) is not None:
-        return F.broadcast(df)
-    if required:
-        raise ValueError(f"refusing to broadcast: more than {max_rows} rows")
-    return df
+    ``max_rows``; otherwise ``df`` unchanged."""
+    return F.broadcast(df) if row_count_at_most(df, max_rows) is not None else df
 
 
 def materialize_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS
@@ -80,10 +76,8 @@ def materialize_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS
 
 
 def _apply_strategy(side: DataFrame, strategy: str, max_rows: int) -> DataFrame:
-    if strategy == "auto":
+    if strategy in ("auto", "broadcast"):
         return checked_broadcast(side, max_rows)
-    if strategy == "broadcast":
-        return checked_broadcast(side, max_rows, required=True)
     if strategy in ("merge", "shuffle_hash"):
         return side.hint(strategy)
     if strategy == "verified_broadcast":  # size already checked by the caller
@@ -131,11 +125,11 @@ def join_roles(fact: DataFrame, lookup: DataFrame,
                roles: Sequence[tuple[str, Mapping[str, str]]], strategy: str = "auto",
                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS, **kwargs) -> DataFrame:
     """Join one lookup in several roles, e.g. pickup and drop-off zone. The
-    size of the lookup is checked once for all roles."""
+    size of the columns that any role needs is checked once for all roles."""
     if strategy in ("auto", "broadcast"):
-        small = row_count_at_most(lookup, max_broadcast_rows) is not None
-        if not small and strategy == "broadcast":
-            raise ValueError(f"refusing to broadcast: more than {max_broadcast_rows} rows")
+        key = kwargs.get("lookup_key", "LocationID")
+        needed = list(dict.fromkeys([key, *(c for _, columns in roles for c in columns)]))
+        small = row_count_at_most(lookup.select(*needed), max_broadcast_rows) is not None
         strategy = "verified_broadcast" if small else "planner"
     out = fact
     for fact_key, columns in roles:

@@ -2,7 +2,8 @@
 
 DataFrames are passed to ``spark.sql`` as named arguments and values as
 bound parameters, so no session-wide view name and no value is pasted
-into the text.
+into the text. Column names, which cannot be bound, are quoted with every
+backtick doubled.
 """
 
 from __future__ import annotations
@@ -13,7 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farepath.operators.lookup import DEFAULT_MAX_BROADCAST_ROWS, materialize_small
-from farepath.plans.trip_queries import with_distance_duration
+from farepath.plans.trip_queries import (
+    DURATION,
+    MAX_DISTANCE,
+    NIGHT_TRIPS,
+    PICKUP_TIME,
+    spread,
+    with_distance_duration,
+)
 from farepath.schemas import BOROUGHS
 
 
@@ -21,7 +29,13 @@ def _array(values: Sequence[str]):
     return F.array(*[F.lit(v) for v in values])
 
 
-def farthest_trip_per_vendor_sql(spark: SparkSession, trips: DataFrame,
+def _quoted(name: str) -> str:
+    """A column name as an identifier. Braces are doubled, as the text goes
+    through Spark's placeholder formatting."""
+    return "`" + name.replace("`", "``").replace("{", "{{").replace("}", "}}") + "`"
+
+
+def farthest_trip_per_vendor_sql(spark: SparkSession, trips: DataFrame, vendor: str = "VendorID",
                                  max_groups: int = DEFAULT_MAX_BROADCAST_ROWS, **kw) -> DataFrame:
     """Max distance per vendor joined back on vendor and distance; ties kept.
 
@@ -31,29 +45,25 @@ def farthest_trip_per_vendor_sql(spark: SparkSession, trips: DataFrame,
     the size of the trips and would shuffle them). The distance is matched
     with ``<=>`` against non-NULL maxima: same rows as ``=``, but no
     inferred ``IS NOT NULL`` filter that would compute every distance
-    twice. ``DISTRIBUTE BY`` puts
-    the matched rows through a small hash exchange so the final sort
-    samples them, not a second pass over the trips."""
-    dd = with_distance_duration(trips, **kw)
+    twice."""
+    dd = with_distance_duration(trips, vendor=vendor, **kw)
+    v = _quoted(vendor)
     maxes = spark.sql(
-        "SELECT VendorID, MAX(distance_km) AS max_distance FROM {dd} "
-        "WHERE VendorID IS NOT NULL GROUP BY VendorID HAVING MAX(distance_km) IS NOT NULL", dd=dd)
+        f"SELECT {v}, MAX(distance_km) AS max_distance FROM {{dd}} "
+        f"WHERE {v} IS NOT NULL GROUP BY {v} HAVING MAX(distance_km) IS NOT NULL", dd=dd)
     maxes, _ = materialize_small(maxes, max_groups)
-    return spark.sql(
-        """
-        SELECT * FROM (
-          SELECT m.VendorID,
-                 ROUND(m.max_distance, 2) AS `Max Haversine Distance (km)`,
-                 ROUND(d.duration_min, 1) AS `Duration (min)`
-          FROM {maxes} AS m
-          JOIN {dd} AS d
-            ON d.VendorID = m.VendorID AND d.distance_km <=> m.max_distance
-          DISTRIBUTE BY VendorID, `Duration (min)`
-        )
-        ORDER BY VendorID, `Duration (min)`
+    matched = spark.sql(
+        f"""
+        SELECT m.{v},
+               ROUND(m.max_distance, 2) AS {_quoted(MAX_DISTANCE)},
+               ROUND(d.duration_min, 1) AS {_quoted(DURATION)}
+        FROM {{maxes}} AS m
+        JOIN {{dd}} AS d
+          ON d.{v} = m.{v} AND d.distance_km <=> m.max_distance
         """,
         maxes=maxes, dd=dd,
     )
+    return spark.sql(f"SELECT * FROM {{rows}} ORDER BY {v}, {_quoted(DURATION)}", rows=spread(matched))
 
 
 def same_region_trip_counts_sql(spark: SparkSession, trips: DataFrame, lookup: DataFrame,
@@ -79,19 +89,26 @@ def same_region_trip_counts_sql(spark: SparkSession, trips: DataFrame, lookup: D
     )
 
 
-def night_counts_sql(spark: SparkSession, df: DataFrame, time_col: str = "tpep_pickup_datetime",
+def night_counts_sql(spark: SparkSession, df: DataFrame, time_col: str = PICKUP_TIME,
                      key: str = "VendorID", start_hour: int = 23, end_hour: int = 7,
-                     name: str = "NightTrips") -> DataFrame:
-    """Wrap-around night window; both hours are bound parameters."""
+                     name: str = NIGHT_TRIPS) -> DataFrame:
+    """Wrap-around night window; both hours are bound parameters. Text times
+    give their hour from the two characters after the date; text without an
+    hour there drops, as in the DataFrame form."""
     cond = "h >= :start_hour OR h < :end_hour" if start_hour > end_hour \
         else "h >= :start_hour AND h < :end_hour"
+    k, t = _quoted(key), _quoted(time_col)
+    hour = f"HOUR({t})"
+    if dict(df.dtypes)[time_col] == "string":
+        text = f"SUBSTRING({t}, 12, 2)"
+        hour = f"CASE WHEN {text} RLIKE '^([01][0-9]|2[0-3])$' THEN TRY_CAST({text} AS INT) END"
     return spark.sql(
         f"""
-        SELECT `{key}`, COUNT(*) AS `{name}`
-        FROM (SELECT `{key}`, HOUR(`{time_col}`) AS h FROM {{df}}) AS hours
+        SELECT {k}, COUNT(*) AS {_quoted(name)}
+        FROM (SELECT {k}, {hour} AS h FROM {{df}}) AS hours
         WHERE {cond}
-        GROUP BY `{key}`
-        ORDER BY `{key}`
+        GROUP BY {k}
+        ORDER BY {k}
         """,
         args={"start_hour": start_hour, "end_hour": end_hour}, df=df,
     )
@@ -108,12 +125,12 @@ def lookup_sample_join_sql(spark: SparkSession, trips: DataFrame, lookup_path: s
     this join only; the session's broadcast threshold is left alone."""
     if strategy not in _SQL_HINTS:
         raise ValueError(f"unknown join strategy {strategy!r}")
-    path = lookup_path.replace("`", "``")
+    path = _quoted(lookup_path)
     return spark.sql(
         f"""
         SELECT {_SQL_HINTS[strategy]} t.*, u.*
         FROM {{trips}} AS t
-        JOIN (SELECT * FROM parquet.`{path}` ORDER BY LocationID LIMIT :n) AS u
+        JOIN (SELECT * FROM parquet.{path} ORDER BY LocationID LIMIT :n) AS u
           ON t.PULocationID = u.LocationID
         """,
         args={"n": n}, trips=trips,

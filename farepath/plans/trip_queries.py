@@ -1,7 +1,9 @@
 """The trip questions, DataFrame form.
 
-Each function takes DataFrames and column names and returns a lazy
-DataFrame. Defaults are the trip-file column names.
+Each function takes DataFrames and column names and returns a DataFrame.
+Most are lazy; building one that may broadcast a lookup first counts the
+lookup's needed columns, and the arg-max questions first compute and
+checkpoint the per-group maxima. Defaults are the trip-file column names.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from farepath.functions import (
     EARTH_RADIUS_KM,
+    all_finite,
     all_nonzero,
     duration_minutes,
     fixed_decimals,
@@ -100,15 +103,22 @@ def with_distance_duration(trips: DataFrame, vendor: str = "VendorID",
                            dropoff: Sequence[str] = DROPOFF_COORDS,
                            pickup_time: str = PICKUP_TIME, dropoff_time: str = DROPOFF_TIME,
                            radius_km: float = EARTH_RADIUS_KM) -> DataFrame:
-    """Trips with all four coordinates non-zero and non-NULL, with
+    """Trips with all four coordinates non-zero, finite and non-NULL, with
     ``distance_km`` and ``duration_min``."""
-    return (trips.where(all_nonzero(*pickup, *dropoff))
+    return (trips.where(all_nonzero(*pickup, *dropoff) & all_finite(*pickup, *dropoff))
             .select(vendor, *pickup, *dropoff, pickup_time, dropoff_time,
                     haversine_km(pickup[0], pickup[1], dropoff[0], dropoff[1], radius_km)
                     .alias("distance_km"),
                     duration_minutes(pickup_time, dropoff_time).alias("duration_min")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows round-robin before a global sort. The sort samples its
+    input in a job of its own, which then reads this small exchange instead
+    of the trips once more; however many rows tie, no task gets them all."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def farthest_trip_per_vendor(trips: DataFrame, vendor: str = "VendorID",
                              max_groups: int = DEFAULT_MAX_BROADCAST_ROWS, **kw) -> DataFrame:
     """Per vendor, every trip of greatest great-circle distance (ties kept),
@@ -117,11 +127,7 @@ def farthest_trip_per_vendor(trips: DataFrame, vendor: str = "VendorID",
     top = rows_at_group_max(dd, [vendor], "distance_km", max_groups)
     out = top.select(vendor, F.round("distance_km", 2).alias(MAX_DISTANCE),
                      F.round("duration_min", 1).alias(DURATION))
-    # A global sort samples its input in a job of its own. Hash-exchanging
-    # the few matched rows first makes that job read this small shuffle
-    # output instead of scanning the trips once more; ties of one vendor
-    # spread over partitions by duration.
-    return out.repartition(vendor, DURATION).orderBy(vendor, DURATION)
+    return spread(out).orderBy(vendor, DURATION)
 
 
 def farthest_trip_one_per_vendor(trips: DataFrame, vendor: str = "VendorID",
@@ -131,6 +137,13 @@ def farthest_trip_one_per_vendor(trips: DataFrame, vendor: str = "VendorID",
     shortest duration wins. ``ordered=False`` skips the final sort when the
     caller sorts anyway (the text report)."""
     dd = with_distance_duration(trips, vendor=vendor, **kw).select(vendor, "distance_km", "duration_min")
+    return farthest_one_of(dd, vendor, max_groups, ordered)
+
+
+def farthest_one_of(dd: DataFrame, vendor: str = "VendorID",
+                    max_groups: int = DEFAULT_MAX_BROADCAST_ROWS, ordered: bool = True) -> DataFrame:
+    """:func:`farthest_trip_one_per_vendor` from rows that already have
+    ``distance_km`` and ``duration_min``."""
     one = one_row_per_group_max(dd, [vendor], "distance_km", payload=["duration_min"],
                                 tie_break=[F.col("duration_min")], max_groups=max_groups)
     out = one.select(vendor, F.round("distance_km", 2).alias(MAX_DISTANCE),
@@ -231,19 +244,34 @@ def region_revenue(trips: DataFrame, lookup: DataFrame,
         raise ValueError(f"order_measure {order_measure!r} is not one of the measures {list(measures)}")
     kept = lookup.where(F.col(region_col).isin(list(regions)))
     sums_of = {m: f"__sum_{m}" for m in measures}
+    rest_of = {m: f"__rest_{m}" for m in measures} if exact_cents else {}
     if trips.isStreaming:  # one stateful aggregation: join, then sum
         joined = with_lookup(trips.select(pickup_key, *measures), kept, pickup_key,
                              {region_col: region_col}, strategy=strategy)
-        sums = group_money_sums(joined, region_col, sums_of, exact_cents=exact_cents)
+        sums = group_money_sums(joined, region_col, sums_of, exact_cents=exact_cents, inexact=rest_of)
     else:
         # Sum per pickup zone id first (ints, partial sums in every task),
         # then name the zones and add the per-zone sums up per borough.
         per_zone = group_money_sums(trips.select(pickup_key, *measures), pickup_key, sums_of,
-                                    exact_cents=exact_cents)
+                                    exact_cents=exact_cents, inexact=rest_of)
         joined = with_lookup(per_zone, kept, pickup_key, {region_col: region_col}, strategy=strategy)
-        sums = joined.groupBy(region_col).agg(*[F.sum(c).alias(c) for c in sums_of.values()])
-    return (sums.orderBy(F.desc(f"__sum_{order_measure}"), F.col(region_col))
-            .select(region_col, *[money(f"__sum_{m}").alias(label) for m, label in measures.items()]))
+        sums = joined.groupBy(region_col).agg(
+            *[F.sum(c).alias(c) for c in [*sums_of.values(), *rest_of.values()]])
+
+    def total(m):
+        """The exact sum; with NaN, infinite or huge amounts a double sum."""
+        exact = F.col(sums_of[m])
+        if m not in rest_of:
+            return exact, money(exact)
+        rest = F.col(rest_of[m])
+        rough = rest + F.coalesce(exact.cast("double"), F.lit(0.0))
+        text = F.when(all_finite(rough), money(rough)).otherwise(rough.cast("string"))
+        return rough, F.when(rest.isNull(), money(exact)).otherwise(text)
+
+    rough, _ = total(order_measure)
+    order = [F.desc(rough), F.desc(sums_of[order_measure])] if rest_of else [F.desc(sums_of[order_measure])]
+    return (sums.orderBy(*order, F.col(region_col))
+            .select(region_col, *[total(m)[1].alias(label) for m, label in measures.items()]))
 
 
 # C8 -------------------------------------------------------------------------
@@ -252,11 +280,14 @@ def lookup_join_counts(trips: DataFrame, lookup: DataFrame, strategy: str,
                        fact_key: str = "PULocationID", lookup_key: str = "LocationID",
                        zone_col: str = "Zone") -> DataFrame:
     """Fact-to-lookup join under a chosen strategy ("auto", "broadcast",
-    "merge", "shuffle_hash", "planner"), counted per zone."""
-    joined = with_lookup(trips.select(fact_key), lookup, fact_key,
+    "merge", "shuffle_hash", "planner"), counted per zone. Trips are counted
+    per zone id first, so the join, whichever it is, meets one row per id
+    and task and no id is hot."""
+    per_id = group_counts(trips.select(fact_key), fact_key, "__n")
+    joined = with_lookup(per_id, lookup, fact_key,
                          {lookup_key: lookup_key, zone_col: zone_col},
                          lookup_key=lookup_key, strategy=strategy)
-    return group_counts(joined, [lookup_key, zone_col], "trips")
+    return joined.groupBy(lookup_key, zone_col).agg(F.sum("__n").alias("trips"))
 
 
 def joined_row_count(joined: DataFrame, name: str = "rows") -> DataFrame:
@@ -270,3 +301,13 @@ def lookup_sample(trips: DataFrame, lookup: DataFrame, n: int = 50,
                   strategy: str = "planner") -> DataFrame:
     """Trips joined to the first ``n`` zones by id, all columns of both."""
     return sample_lookup_join(trips, lookup, fact_key, n, lookup_key, strategy)
+
+
+def lookup_sample_count(trips: DataFrame, lookup: DataFrame, n: int = 50,
+                        fact_key: str = "PULocationID", lookup_key: str = "LocationID",
+                        strategy: str = "planner", name: str = "rows") -> DataFrame:
+    """Rows of :func:`lookup_sample`, from trips counted per zone id before
+    the join."""
+    per_id = group_counts(trips.select(fact_key), fact_key, "__n")
+    joined = sample_lookup_join(per_id, lookup.select(lookup_key), fact_key, n, lookup_key, strategy)
+    return joined.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias(name))

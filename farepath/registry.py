@@ -24,10 +24,10 @@ from farepath.functions import duration_minutes
 from farepath.operators import one_row_per_group_max, rows_at_group_max
 from farepath.plans import sql_queries as sq
 from farepath.plans import trip_queries as tq
-from farepath.schemas import TRIPS_2015, TRIPS_2024, ZONE_LOOKUP
-from farepath.session import new_scratch_path
+from farepath.schemas import REVENUE_MEASURES, TRIPS_2015, TRIPS_2024, ZONE_LOOKUP
+from farepath.session import named_scratch_path
 from farepath.streaming import run_available, stream_files
-from farepath.sinks.files import IngestItem, ingest_csv_to_parquet, write_text
+from farepath.sinks.files import IngestItem, ingest_csv_to_parquet, write_csv, write_parquet, write_text
 from farepath.sources import (
     drop_header,
     parse_delimited,
@@ -39,8 +39,6 @@ from farepath.sources import (
 from farepath.sources import tables
 from farepath.sources.tables import (
     DRIVER_REGIONS,
-    DRIVER_REVENUE_MEASURES,
-    TRIP_COLUMNS_SQL,
     events,
     events_csv_path,
     lookup_csv_path,
@@ -63,7 +61,8 @@ EVENTS_SCHEMA = StructType([
 EVENT_MEASURES = {"value": "MeanValue", "user_id": "MeanUserId"}
 LOOKUP_SAMPLE_ROWS = 10
 TOP_PAIRS = 4
-TRIP_POPULATED = list(TRIP_COLUMNS_SQL)
+# Files of the replayed stream that a micro-batch reads.
+STREAM_FILES_PER_BATCH = 4
 COORDS = ["pickup_longitude", "pickup_latitude", "dropoff_longitude", "dropoff_latitude"]
 # (position, name, type) of the fields the text parser keeps, 2015 layout.
 TEXT_FIELDS = [(0, "VendorID", "int"), (1, "tpep_pickup_datetime", "timestamp_ntz"),
@@ -80,9 +79,8 @@ def _lookup(spark, sf):
     return prepared_lookup(spark, sf)
 
 
-def _populated(df: DataFrame, layout) -> DataFrame:
-    keep = [f.name for f in layout.fields if f.name in TRIP_COLUMNS_SQL]
-    return df.select(*keep)
+def _csv_trips_2015(spark, sf, **kw):
+    return read_csv(spark, trips_csv_path(spark, sf, "2015"), TRIPS_2015, **kw)
 
 
 def _csv_trips_2024(spark, sf):
@@ -183,7 +181,7 @@ def q_zone_pair_top(spark, sf):
 
 def q_region_revenue(spark, sf):
     return tq.region_revenue(_trips(spark, sf), _lookup(spark, sf), DRIVER_REGIONS,
-                             DRIVER_REVENUE_MEASURES, order_measure="total_amount")
+                             REVENUE_MEASURES, order_measure="total_amount")
 
 
 def q_haversine(spark, sf):
@@ -232,8 +230,7 @@ def q_lookup_sample(spark, sf):
 
 
 def q_lookup_sample_count(spark, sf):
-    joined = tq.lookup_sample(_trips(spark, sf), _lookup(spark, sf), n=LOOKUP_SAMPLE_ROWS, strategy="merge")
-    return tq.joined_row_count(joined)
+    return tq.lookup_sample_count(_trips(spark, sf), _lookup(spark, sf), n=LOOKUP_SAMPLE_ROWS, strategy="merge")
 
 
 def q_lookup_sample_sql(spark, sf):
@@ -242,27 +239,62 @@ def q_lookup_sample_sql(spark, sf):
 
 
 def q_csv_scan_schema(spark, sf):
-    return _populated(_csv_trips_2024(spark, sf), TRIPS_2024)
+    return _csv_trips_2024(spark, sf)
+
+
+def q_csv_scan_schema_2015(spark, sf):
+    return _csv_trips_2015(spark, sf)
+
+
+def _typed_times(df: DataFrame) -> DataFrame:
+    """Inference gives zoned timestamps; all other types stay as inferred."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in (tq.PICKUP_TIME, tq.DROPOFF_TIME)})
 
 
 def q_csv_scan_inferred(spark, sf):
-    raw = read_csv_inferred(spark, trips_csv_path(spark, sf, "2015"))
-    typed = raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TRIPS_2015.fields])
-    return _populated(typed, TRIPS_2015)
+    return _typed_times(read_csv_inferred(spark, trips_csv_path(spark, sf, "2015")))
 
 
 def q_csv_round_trip(spark, sf):
     return read_csv(spark, events_csv_path(spark, sf), EVENTS_SCHEMA)
 
 
+def q_csv_overwrite(spark, sf):
+    # A result written as one CSV file with a header, over an earlier one
+    # that had other rows, and read back.
+    path = named_scratch_path(spark, "hour-means-csv")
+    means = q_hour_of_day_means(spark, sf)
+    write_csv(means.limit(1), path, mode="overwrite", single_file=True)
+    write_csv(means, path, mode="overwrite", single_file=True)
+    return read_csv(spark, path, means.schema)
+
+
+# The file conversion: each file by its own schema rule. Each run overwrites
+# the output of the one before.
+
+def _ingested(spark, sf, name):
+    rules = {
+        "trips_2024": (trips_csv_path(spark, sf, "2024"), TRIPS_2024),
+        "trips_2015": (trips_csv_path(spark, sf, "2015"), None),
+        "zones": (lookup_csv_path(spark, sf), None),
+    }
+    base = named_scratch_path(spark, "ingest")
+    written = ingest_csv_to_parquet(
+        spark, [IngestItem(source, f"{base}/{n}", schema) for n, (source, schema) in rules.items() if n == name],
+        mode="overwrite")
+    return spark.read.parquet(*written)
+
+
 def q_parquet_ingest(spark, sf):
-    # Trips with the fixed 2024 schema, zones with header names and inferred types.
-    base = new_scratch_path(spark, "ingest")
-    trips_out, _ = ingest_csv_to_parquet(spark, [
-        IngestItem(trips_csv_path(spark, sf, "2024"), f"{base}/trips", TRIPS_2024),
-        IngestItem(lookup_csv_path(spark, sf), f"{base}/lookup", None),
-    ])
-    return _populated(spark.read.parquet(trips_out), TRIPS_2024)
+    return _ingested(spark, sf, "trips_2024")
+
+
+def q_parquet_ingest_2015(spark, sf):
+    return _typed_times(_ingested(spark, sf, "trips_2015"))
+
+
+def q_parquet_ingest_zones(spark, sf):
+    return _ingested(spark, sf, "zones")
 
 
 def q_text_lines_parse(spark, sf):
@@ -270,24 +302,53 @@ def q_text_lines_parse(spark, sf):
 
 
 def q_text_report(spark, sf):
+    # The lines are parsed once into typed columns; the two passes of the
+    # question read those. Written as one ordered text file, read back.
     parsed = read_delimited(spark, trips_csv_path(spark, sf, "2015"), TEXT_FIELDS)
-    one = tq.farthest_trip_one_per_vendor(parsed, ordered=False)
-    # Written as one ordered text file, then read back as lines.
-    path = write_text(tq.farthest_trip_report(one), new_scratch_path(spark, "report"), single_file=True)
-    return read_lines(spark, path)
+    path = write_parquet(tq.with_distance_duration(parsed).select("VendorID", "distance_km", "duration_min"),
+                         named_scratch_path(spark, "text-distances"), mode="overwrite")
+    one = tq.farthest_one_of(spark.read.parquet(path), ordered=False)
+    report = write_text(tq.farthest_trip_report(one), named_scratch_path(spark, "report"),
+                        mode="overwrite", single_file=True)
+    return read_lines(spark, report)
+
+
+# C1, C2 and C3 on CSV trips.
+
+def q_pickup_hour_means_csv(spark, sf):
+    return tq.hour_of_day_means(_csv_trips_2015(spark, sf), decimals=6)
+
+
+def q_pickup_hour_means_inferred(spark, sf):
+    return tq.hour_of_day_means(read_csv_inferred(spark, trips_csv_path(spark, sf, "2015")), decimals=6)
+
+
+def q_pickup_hour_report(spark, sf):
+    # Text lines, coordinates typed, the hour taken from the time's text.
+    fields = [(1, tq.PICKUP_TIME, "string"), (5, "pickup_longitude", "double"), (6, "pickup_latitude", "double")]
+    trips = read_delimited(spark, trips_csv_path(spark, sf, "2015"), fields)
+    return tq.hour_means_report(tq.hour_of_day_means(trips))
+
+
+def q_farthest_csv(spark, sf):
+    return tq.farthest_trip_per_vendor(_csv_trips_2015(spark, sf))
+
+
+def q_farthest_csv_sql(spark, sf):
+    return sq.farthest_trip_per_vendor_sql(spark, _csv_trips_2015(spark, sf))
+
+
+def q_same_region_csv_sql(spark, sf):
+    return sq.same_region_trip_counts_sql(spark, _csv_trips_2024(spark, sf), _csv_lookup(spark, sf), DRIVER_REGIONS)
 
 
 def q_zone_pairs_streaming(spark, sf):
-    # The prepared trip files replayed as a stream in two micro-batches,
-    # however many files there are; the counts carry over in the state.
+    # The prepared trip files replayed as a stream, some files a
+    # micro-batch; the counts carry over in the state.
     path = tables.prepared_trips_path(spark, sf)
-    files = spark.read.parquet(path)
-    per_batch = max(1, -(-len(files.inputFiles()) // 2))
-    stream = stream_files(spark, path, files.schema, max_files_per_trigger=per_batch)
+    stream = stream_files(spark, path, spark.read.parquet(path).schema, max_files_per_trigger=STREAM_FILES_PER_BATCH)
     counts = tq.zone_pair_counts(stream, _lookup(spark, sf))
-    # The state holds one row per zone-name pair (at most zones^2), so a
-    # few state partitions are enough whatever the trip volume.
-    return spark.read.parquet(run_available(counts, state_partitions=8))
+    return spark.read.parquet(run_available(counts))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -324,9 +385,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lookup_sample_join_sql": q_lookup_sample_sql,
     "lookup_sample_join_count": q_lookup_sample_count,
     "csv_scan_schema": q_csv_scan_schema,
+    "csv_scan_schema_2015": q_csv_scan_schema_2015,
     "csv_scan_inferred": q_csv_scan_inferred,
     "csv_round_trip": q_csv_round_trip,
+    "csv_overwrite_single_file": q_csv_overwrite,
     "parquet_ingest": q_parquet_ingest,
+    "parquet_ingest_2015": q_parquet_ingest_2015,
+    "parquet_ingest_zones": q_parquet_ingest_zones,
+    "pickup_hour_means_csv": q_pickup_hour_means_csv,
+    "pickup_hour_means_inferred": q_pickup_hour_means_inferred,
+    "pickup_hour_report": q_pickup_hour_report,
+    "farthest_trip_per_vendor_csv": q_farthest_csv,
+    "farthest_trip_per_vendor_csv_sql": q_farthest_csv_sql,
+    "same_region_trip_counts_csv_sql": q_same_region_csv_sql,
     "text_lines_parse": q_text_lines_parse,
     "text_report": q_text_report,
 }
@@ -352,7 +423,7 @@ def _with(*ctes: str) -> str:
 
 
 _REGIONS_SQL = ", ".join(f"'{r}'" for r in DRIVER_REGIONS)
-_NONZERO_SQL = " AND ".join(f"{c} <> 0" for c in COORDS)
+_NONZERO_SQL = " AND ".join(f"{c} <> 0 AND isfinite({c})" for c in COORDS)
 _DURATION_SQL = (f"CAST(date_diff('second', tpep_pickup_datetime, tpep_dropoff_datetime) AS DOUBLE)"
                  f" / {_d(60)}")
 _DD_CTE = (f"dd AS (SELECT VendorID, {haversine_sql(*COORDS)} AS distance_km, "
@@ -419,7 +490,7 @@ GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2
 
 _money = ",\n       ".join(
     f"format('{{:,.2f}}', SUM(CAST({m} AS DECIMAL(18,2)))) AS \"{label}\""
-    for m, label in DRIVER_REVENUE_MEASURES.items())
+    for m, label in REVENUE_MEASURES.items())
 _REVENUE_SQL = _with() + f"""
 SELECT l.Borough AS Borough,
        {_money}
@@ -450,7 +521,7 @@ ORDER BY 1
 
 _ONE_CTE = ("one AS (SELECT VendorID, distance_km, duration_min FROM ("
             "SELECT *, ROW_NUMBER() OVER (PARTITION BY VendorID "
-            "ORDER BY distance_km DESC, duration_min ASC) AS rn FROM dd "
+            "ORDER BY distance_km DESC, duration_min ASC NULLS LAST) AS rn FROM dd "
             "WHERE VendorID IS NOT NULL) WHERE rn = 1)")
 
 _FARTHEST_ONE_SQL = _with(_DD_CTE, _ONE_CTE) + """
@@ -486,11 +557,24 @@ JOIN (SELECT * FROM lookup ORDER BY LocationID LIMIT {LOOKUP_SAMPLE_ROWS}) u
   ON t.PULocationID = u.LocationID
 """
 
-_TRIPS_2024_SQL = _with() + "SELECT " + ", ".join(
-    f.name for f in TRIPS_2024.fields if f.name in TRIP_COLUMNS_SQL) + " FROM trips"
+_TRIPS_2024_SQL = _with() + "SELECT " + ", ".join(f'{f.name} AS "{f.name}"' for f in TRIPS_2024.fields) + " FROM trips"
+
+_TRIPS_2015_SQL = _with() + "SELECT " + ", ".join(f'{f.name} AS "{f.name}"' for f in TRIPS_2015.fields) + " FROM trips"
 
-_TRIPS_2015_SQL = _with() + "SELECT " + ", ".join(
-    f.name for f in TRIPS_2015.fields if f.name in TRIP_COLUMNS_SQL) + " FROM trips"
+_ZONES_SQL = _with() + "SELECT LocationID, Borough, Zone, CAST(NULL AS VARCHAR) AS service_zone FROM lookup"
+
+_PICKUP_REPORT_SQL = _with() + """
+SELECT value FROM (
+  SELECT 0 AS section, NULL AS h,
+         'HourOfDay' || chr(9) || chr(9) || 'Longitude' || chr(9) || chr(9) || 'Latitude' AS value
+  UNION ALL
+  SELECT 1, h, CAST(h AS VARCHAR) || chr(9) || chr(9) || printf('%.6f', ROUND(lon, 6))
+               || chr(9) || chr(9) || printf('%.6f', ROUND(lat, 6))
+  FROM (SELECT CAST(hour(tpep_pickup_datetime) AS INTEGER) AS h,
+               AVG(pickup_longitude) AS lon, AVG(pickup_latitude) AS lat
+        FROM trips WHERE pickup_longitude <> 0 AND pickup_latitude <> 0 GROUP BY 1)
+) ORDER BY section, h
+"""
 
 _TEXT_PARSE_SQL = _with() + "SELECT " + ", ".join(name for _, name, _ in TEXT_FIELDS) + " FROM trips"
 
@@ -540,9 +624,19 @@ ORACLE_SQL: dict[str, str] = {
     "lookup_sample_join_sql": _LOOKUP_SAMPLE_SQL,
     "lookup_sample_join_count": "SELECT COUNT(*) AS \"rows\" FROM (" + _LOOKUP_SAMPLE_SQL + ") AS j",
     "csv_scan_schema": _TRIPS_2024_SQL,
+    "csv_scan_schema_2015": _TRIPS_2015_SQL,
     "csv_scan_inferred": _TRIPS_2015_SQL,
     "csv_round_trip": "SELECT * FROM events",
+    "csv_overwrite_single_file": _HOUR_MEANS_SQL,
     "parquet_ingest": _TRIPS_2024_SQL,
+    "parquet_ingest_2015": _TRIPS_2015_SQL,
+    "parquet_ingest_zones": _ZONES_SQL,
+    "pickup_hour_means_csv": _PICKUP_HOUR_SQL,
+    "pickup_hour_means_inferred": _PICKUP_HOUR_SQL,
+    "pickup_hour_report": _PICKUP_REPORT_SQL,
+    "farthest_trip_per_vendor_csv": _FARTHEST_SQL,
+    "farthest_trip_per_vendor_csv_sql": _FARTHEST_SQL,
+    "same_region_trip_counts_csv_sql": _SAME_REGION_SQL,
     "text_lines_parse": _TEXT_PARSE_SQL,
     "text_report": _TEXT_REPORT_SQL,
 }

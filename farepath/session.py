@@ -36,8 +36,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Uses the folder the cluster names in ``spark.checkpoint.dir``. Only
-    when that is unset and the master is local (tests) does it pick a
-    folder of its own and register it as the checkpoint folder, so
+    when that is unset and the master is local does it name a folder of
+    its own and register it as the checkpoint folder, so
     ``DataFrame.checkpoint()`` and written tables land in the same place;
     on a cluster an unset folder is an error.
     """
@@ -53,7 +53,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         # A machine-local folder is not shared by the executors of a cluster.
         raise RuntimeError("spark.checkpoint.dir is not set; set it to a folder on shared storage")
-    own = tempfile.mkdtemp(prefix="farepath-checkpoints-")
+    own = os.path.join(tempfile.gettempdir(), "farepath-checkpoints")
     sc.setCheckpointDir(own)
     return own
 
@@ -84,6 +84,35 @@ def _context(spark: SparkSession):
         return None
 
 
+def _app_folder(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/farepath/{session_key(spark)}"
+
+
 def new_scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unused path under the scratch folder."""
-    return f"{scratch_dir(spark)}/farepath/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unused path under the application's scratch folder."""
+    return f"{_app_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def named_scratch_path(spark: SparkSession, name: str) -> str:
+    """The one path of this name in the application's scratch folder, for
+    outputs that each run overwrites."""
+    return f"{_app_folder(spark)}/{name}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path for it; None with Spark
+    Connect, which has no JVM here."""
+    sc = _context(spark)
+    if sc is None:
+        return None
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()), where
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables that this application has written to
+    the scratch folder. DataFrames that read them can't be used any more."""
+    found = file_system(spark, _app_folder(spark))
+    if found is not None:
+        fs, where = found
+        fs.delete(where, True)

@@ -43,14 +43,12 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType,
 
 
 def read_csv_inferred(spark: SparkSession, path: str | Sequence[str],
-                      columns: Sequence[str] | None = None,
-                      sampling_ratio: float = 1.0) -> DataFrame:
-    """CSV with header names and sampled types. The inference is an extra
-    pass over (a sample of) the data; prefer :func:`read_csv` on big input."""
+                      columns: Sequence[str] | None = None) -> DataFrame:
+    """CSV with header names and types inferred from all of the data, an
+    extra pass; prefer :func:`read_csv` on big input."""
     df = (
         spark.read.option("header", True)
         .option("inferSchema", True)
-        .option("samplingRatio", sampling_ratio)
         .option("timestampFormat", CSV_TIMESTAMP_FORMAT)
         .csv(path if isinstance(path, str) else list(path))
     )

@@ -15,19 +15,35 @@ from __future__ import annotations
 
 import threading
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farepath.schemas import TRIPS_2015, TRIPS_2024, ZONE_LOOKUP
-from farepath.session import new_scratch_path, session_key
+from farepath.session import file_system, new_scratch_path, session_key
 from farepath.sinks.files import write_csv, write_parquet
 
-# Derived trip columns, as SQL over the joined tables.
+# Derived trip columns, as SQL over the joined tables. Times
+# of day, durations (some negative, some under a minute, some missing) and
+# the charges come from the keys, so every branch of the questions is met.
+_SECOND_OF_DAY = "((l_orderkey * 6151 + l_linenumber * 3571) % 86400)"
+_SECONDS = "((l_partkey * 37 + l_orderkey * 11 + l_linenumber) % 5400 - 300)"
+
+
+def _double(value: str) -> str:
+    return f"CAST({value} AS DOUBLE)"
+
+
 TRIP_COLUMNS_SQL = {
     "VendorID": "l_linenumber",
-    "tpep_pickup_datetime": "o_orderdate",
-    "tpep_dropoff_datetime": "l_shipdate",
+    "tpep_pickup_datetime": f"o_orderdate + INTERVAL '1' SECOND * {_SECOND_OF_DAY}",
+    "tpep_dropoff_datetime": (
+        f"CASE WHEN l_orderkey % 41 = 0 THEN NULL "
+        f"ELSE o_orderdate + INTERVAL '1' SECOND * ({_SECOND_OF_DAY} + {_SECONDS}) END"
+    ),
+    "passenger_count": "CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE CAST(l_partkey % 6 AS INTEGER) END",
+    "trip_distance": f"l_quantity / {_double('4')}",
+    "RatecodeID": "CAST(l_suppkey % 5 + 1 AS INTEGER)",
+    "store_and_fwd_flag": "CASE WHEN l_partkey % 10 = 0 THEN 'Y' WHEN l_partkey % 10 = 1 THEN NULL ELSE 'N' END",
     "PULocationID": "c_nationkey",
     "DOLocationID": "s_nationkey",
     "pickup_longitude": (
@@ -44,14 +60,21 @@ TRIP_COLUMNS_SQL = {
         "- CAST(74 AS DOUBLE)"
     ),
     "dropoff_latitude": (
-        "CAST((l_suppkey * 15485863 + l_orderkey) % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) "
-        "+ CAST(40 AS DOUBLE)"
+        "CASE WHEN l_orderkey % 83 = 0 THEN NULL "
+        "ELSE CAST((l_suppkey * 15485863 + l_orderkey) % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) "
+        "+ CAST(40 AS DOUBLE) END"
     ),
+    "payment_type": "CAST(l_orderkey % 4 + 1 AS INTEGER)",
     "fare_amount": "l_extendedprice",
     "extra": "l_quantity",
-    "tip_amount": "l_discount",
     "mta_tax": "l_tax",
+    "tip_amount": "l_discount",
+    "tolls_amount": f"CASE WHEN l_partkey % 8 = 0 THEN {_double('6.94')} ELSE {_double('0')} END",
+    "improvement_surcharge": _double("0.3"),
     "total_amount": "o_totalprice",
+    "congestion_surcharge": f"CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE {_double('2.5')} END",
+    "airport_fee": f"CASE WHEN l_orderkey % 12 = 0 THEN {_double('1.75')} ELSE {_double('0')} END",
+    "cbd_congestion_fee": f"CASE WHEN l_orderkey % 7 = 0 THEN {_double('0.75')} END",
 }
 
 TRIPS_FROM_SQL = (
@@ -69,15 +92,6 @@ LOOKUP_COLUMNS_SQL = {
 
 LOOKUP_FROM_SQL = "nation JOIN region ON n_regionkey = r_regionkey"
 
-# Revenue measures that exist in the derived trips, with report labels.
-DRIVER_REVENUE_MEASURES = {
-    "fare_amount": "Fare ($)",
-    "tip_amount": "Tips ($)",
-    "extra": "Extras ($)",
-    "mta_tax": "MTA Tax ($)",
-    "total_amount": "Total Revenue ($)",
-}
-
 # Regions kept by the same-region and revenue questions on driver data;
 # the other two play the part of a borough outside the list.
 DRIVER_REGIONS = ["AFRICA", "AMERICA", "ASIA"]
@@ -105,52 +119,66 @@ def derive_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derive_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lazy derivation. lineitem and orders are joined on the order key
-    (both large: sort-merge with AQE); customer and supplier are left to
-    the planner's size check and AQE, which broadcast them only when small."""
+    """Lazy derivation. Orders meet their customers first, so the line
+    items, by far the largest table, are shuffled once for the order key
+    and once more for the supplier key only where the suppliers are too
+    many to broadcast (the planner's and AQE's choice)."""
     li = _table(spark, sf_dir, "lineitem")
-    od = _table(spark, sf_dir, "orders")
-    cu = _table(spark, sf_dir, "customer")
-    su = _table(spark, sf_dir, "supplier")
-    joined = (
-        li.join(od, li["l_orderkey"] == od["o_orderkey"])
-        .join(cu, F.col("o_custkey") == cu["c_custkey"])
-        .join(su, li["l_suppkey"] == su["s_suppkey"])
-    )
+    od = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    cu = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    su = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    ordered = od.join(cu, od["o_custkey"] == cu["c_custkey"]).drop("o_custkey", "c_custkey")
+    joined = (li.join(ordered, li["l_orderkey"] == ordered["o_orderkey"])
+              .join(su, li["l_suppkey"] == su["s_suppkey"]))
     return joined.select(*[F.expr(e).alias(n) for n, e in TRIP_COLUMNS_SQL.items()])
 
 
 def _in_layout(trips: DataFrame, schema) -> DataFrame:
-    """Trips in a file layout: missing columns as typed NULLs, file order."""
-    have = set(trips.columns)
+    """Rows in a file layout: its names and order (names match in any case,
+    as in SQL), missing columns as typed NULLs."""
+    have = {c.lower() for c in trips.columns}
     return trips.select(*[
-        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+        (F.col(f.name) if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in schema.fields
     ])
 
 
 _lock = threading.RLock()
-_prepared: dict[tuple[str, str, str], str] = {}
+_prepared: dict[tuple[str, str, str], tuple[str, str | None]] = {}
+
+# The tables that prepared tables are derived from.
+_SOURCES = ("lineitem", "orders", "customer", "supplier", "nation", "region", "events")
+
+
+def _signature(spark: SparkSession, sf_dir: str) -> str | None:
+    """Names, lengths and times of the source files, from their listing."""
+    parts = []
+    for name in _SOURCES:
+        found = file_system(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+        if found is None:
+            return None
+        fs, path = found
+        if fs.exists(path):
+            parts += [f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in fs.listStatus(path)]
+    return "|".join(sorted(parts))
 
 
-def _still_there(spark: SparkSession, path: str) -> bool:
-    """A lazy text read resolves (lists) the path without reading it."""
-    try:
-        spark.read.text(path)
-        return True
-    except AnalysisException:
-        return False
+def _finished(spark: SparkSession, path: str) -> bool:
+    """The write has ended: its success marker stands."""
+    found = file_system(spark, f"{path}/_SUCCESS")
+    return found is None or found[0].exists(found[1])
 
 
 def _prepare(spark: SparkSession, sf_dir: str, kind: str, build) -> str:
-    """Build a derived table once per session and sf folder; rebuild it if
-    its folder has been removed since."""
+    """Build a derived table once per session and sf folder; again if the
+    source files have changed, or its folder is gone or unfinished."""
     key = (session_key(spark), sf_dir.rstrip("/"), kind)
+    now = _signature(spark, sf_dir)
     with _lock:
-        path = _prepared.get(key)
-        if path is None or not _still_there(spark, path):
+        path, then = _prepared.get(key, (None, None))
+        if path is None or then != now or not _finished(spark, path):
             path = build(new_scratch_path(spark, kind))
-            _prepared[key] = path
+            _prepared[key] = (path, now)
     return path
 
 

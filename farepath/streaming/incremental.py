@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from farepath.session import new_scratch_path
+from farepath.session import named_scratch_path, new_scratch_path
 
 
 def stream_files(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
@@ -34,33 +34,22 @@ def stream_files(spark: SparkSession, path: str, schema: StructType, fmt: str =
 
 
 def run_available(result: DataFrame, output_path: str | None = None,
-                  checkpoint_path: str | None = None,
-                  state_partitions: int | None = None) -> str:
+                  checkpoint_path: str | None = None) -> str:
     """Run a streaming aggregate over all data available now (complete
-    output mode) and return the path of the Parquet snapshot.
-
-    ``state_partitions`` sizes the state store of a new query (it is fixed
-    in the checkpoint at the first batch). Size it by the number of groups
-    the state holds, not by the data: a zone-pair count holds at most
-    zones^2 rows. The session's own setting is left as it was."""
+    output mode) and return the path of the Parquet snapshot. The state has
+    the session's number of shuffle partitions, fixed at the first batch."""
     spark = result.sparkSession
-    output_path = output_path or new_scratch_path(spark, "stream-out")
+    output_path = output_path or named_scratch_path(spark, "stream-out")
     checkpoint_path = checkpoint_path or new_scratch_path(spark, "stream-checkpoint")
 
     def write_snapshot(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(output_path)
 
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    if state_partitions:
-        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-    try:  # the query copies the session's settings when it starts
-        query = (result.writeStream.outputMode("complete")
-                 .option("checkpointLocation", checkpoint_path)
-                 .foreachBatch(write_snapshot)
-                 .trigger(availableNow=True)
-                 .start())
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    query = (result.writeStream.outputMode("complete")
+             .option("checkpointLocation", checkpoint_path)
+             .foreachBatch(write_snapshot)
+             .trigger(availableNow=True)
+             .start())
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()

@@ -17,6 +17,9 @@ SF_CHECK = "/root/testdata/sf0.01"
 def spark():
     from pyspark.sql import SparkSession
 
+    from farepath.session import release_scratch
+
+    checkpoints = Path(tempfile.gettempdir()) / "farepath-test-checkpoints"
     spark = (
         SparkSession.builder.master("local[4]")
         .appName("farepath-tests")
@@ -26,13 +29,12 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.checkpoint.dir", str(checkpoints))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    # Only where the session names no checkpoint folder do tests pick one.
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="farepath-test-ckpt-"))
     yield spark
+    release_scratch(spark)
     spark.stop()
 
 

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from farepath.functions import (
+    all_finite,
     all_nonzero,
     duration_minutes,
     fixed_decimals,
@@ -17,6 +18,7 @@ from farepath.functions import (
     money,
     parse_timestamp,
 )
+from farepath.functions.time import TRIP_TIME_FORMAT
 from tests.fixtures import ts
 
 R = 6378.0
@@ -107,11 +109,36 @@ def test_parse_timestamp_bad_text_is_null(spark):
     assert got[0].hour == 19 and got[1] is None and got[2] is None
 
 
+BAD_TIMES = ["2015", "2015-01-15", "2015-01-15 10:00:00+05:00", "2015-01-15 9:00:00", "2015-01-15 99:00:00",
+             "2015-13-15 10:00:00", "2015-01-15T10:00:00", " 2015-01-15 10:00:00"]
+
+
+def test_parse_timestamp_keeps_to_its_format(spark):
+    df = spark.createDataFrame([(t,) for t in BAD_TIMES], "s string")
+    for fmt in (TRIP_TIME_FORMAT, "yyyy-MM-dd HH:mm:ss[.SSSSSS]"):
+        assert {r[0] for r in df.select(parse_timestamp("s", fmt)).collect()} == {None}
+    fraction = spark.createDataFrame([("2015-01-15 10:00:00.250000",)], "s string")
+    assert fraction.select(parse_timestamp("s")).first()[0] is None
+    assert fraction.select(parse_timestamp("s", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")).first()[0].microsecond == 250_000
+
+
+def test_haversine_of_nan_and_infinity_is_nan(spark):
+    nan, inf = math.nan, math.inf
+    got = dist(spark, [(nan, 40.0, -73.0, 40.0), (-73.0, 40.0, inf, 40.0), (-73.0, -inf, -73.0, 40.0)])
+    assert all(math.isnan(g) for g in got)
+
+
+def test_all_finite(spark):
+    df = spark.createDataFrame([(1.0,), (math.nan,), (math.inf,), (-math.inf,), (None,), (0.0,)], "x double")
+    assert [r.x for r in df.where(all_finite("x")).collect()] == [1.0, 0.0]
+
+
 def test_hour_from_text(spark):
     from farepath.functions import hour_from_text
 
-    df = spark.createDataFrame([("2015-01-15 19:05:39",), ("2015-01-15 07:00:00.5",), ("bad",), (None,)], "s string")
-    assert [r[0] for r in df.select(hour_from_text("s")).collect()] == [19, 7, None, None]
+    df = spark.createDataFrame([("2015-01-15 19:05:39",), ("2015-01-15 07:00:00.5",), ("bad",), (None,),
+                                ("2015-01-15 24:00:00",), ("2015-01-15 99:00:00",), ("2015-01-15 9:00:00",)], "s string")
+    assert [r[0] for r in df.select(hour_from_text("s")).collect()] == [19, 7, None, None, None, None, None]
 
 
 def test_time_functions_ignore_session_zone_for_ntz(spark):

@@ -28,7 +28,7 @@ def test_zone_pairs_job_on_csv(spark, out_dir):
     write_csv(_trips_2024(spark), out_dir + "/t")
     write_csv(zones(spark), out_dir + "/z")
     jobs.main(["zone-pairs", "--trips", out_dir + "/t", "--zones", out_dir + "/z", "--format", "csv",
-               "--out", out_dir + "/o"], spark=spark)
+               "--out", out_dir + "/o", "--single-file"], spark=spark)
     got = _read_out(out_dir + "/o")
     assert got[0] == ["Pickup Zone", "Dropoff Zone", "TotalTrips"] and got[1] == ["Midtown", "Harlem", "1"]
 
@@ -39,7 +39,7 @@ def test_revenue_and_ingest_jobs(spark, out_dir):
     jobs.main(["ingest", "--trips", out_dir + "/t", "--zones", out_dir + "/z", "--out", out_dir + "/pq",
                "--mode", "errorifexists"], spark=spark)
     jobs.main(["revenue", "--trips", out_dir + "/pq/trips", "--zones", out_dir + "/pq/zones",
-               "--out", out_dir + "/o"], spark=spark)
+               "--out", out_dir + "/o", "--single-file"], spark=spark)
     got = _read_out(out_dir + "/o")
     assert got[0][0] == "Borough" and [r[0] for r in got[1:]] == ["Manhattan", "Queens", "Brooklyn"]
 
@@ -65,10 +65,10 @@ def _trips_2015(spark):
 
 def test_hour_and_farthest_jobs_on_2015_csv(spark, out_dir):
     write_csv(_trips_2015(spark), out_dir + "/t15")
-    jobs.main(["hour-means", "--trips", out_dir + "/t15", "--format", "csv", "--udf", "--out", out_dir + "/h"],
+    jobs.main(["hour-means", "--trips", out_dir + "/t15", "--format", "csv", "--udf", "--out", out_dir + "/h", "--single-file"],
               spark=spark)
     assert _read_out(out_dir + "/h")[0] == ["HourofDay", "Longitude", "Latitude"]
-    jobs.main(["farthest-trip", "--trips", out_dir + "/t15", "--format", "csv", "--sql", "--out", out_dir + "/f"],
+    jobs.main(["farthest-trip", "--trips", out_dir + "/t15", "--format", "csv", "--sql", "--out", out_dir + "/f", "--single-file"],
               spark=spark)
     got = _read_out(out_dir + "/f")
     assert got[0] == ["VendorID", "Max Haversine Distance (km)", "Duration (min)"]
@@ -79,9 +79,9 @@ def test_borough_and_night_jobs_sql(spark, out_dir):
     write_csv(_trips_2024(spark), out_dir + "/t")
     write_csv(zones(spark), out_dir + "/z")
     jobs.main(["same-borough", "--sql", "--trips", out_dir + "/t", "--zones", out_dir + "/z", "--format", "csv",
-               "--out", out_dir + "/b"], spark=spark)
+               "--out", out_dir + "/b", "--single-file"], spark=spark)
     assert _read_out(out_dir + "/b")[1:] == [["Manhattan", "2"], ["Queens", "2"], ["Brooklyn", "1"]]
-    jobs.main(["night-trips", "--sql", "--trips", out_dir + "/t", "--format", "csv", "--out", out_dir + "/n"],
+    jobs.main(["night-trips", "--sql", "--trips", out_dir + "/t", "--format", "csv", "--out", out_dir + "/n", "--single-file"],
               spark=spark)
     assert _read_out(out_dir + "/n")[1:] == [["", "1"], ["1", "2"], ["3", "1"]]
 
@@ -89,14 +89,14 @@ def test_borough_and_night_jobs_sql(spark, out_dir):
 def test_text_report_jobs(spark, out_dir):
     write_csv(_trips_2015(spark), out_dir + "/t15")
     jobs.main(["farthest-trip", "--report", "--trips", out_dir + "/t15", "--format", "csv",
-               "--out", out_dir + "/r"], spark=spark)
+               "--out", out_dir + "/r", "--single-file"], spark=spark)
     local = (out_dir + "/r").removeprefix("file:")
     (part,) = glob.glob(f"{local}/part-*")
     lines = open(part).read().splitlines()
     assert lines[0] == "VendorID\tMax Haversine Distance (km)\tDuration (min)" and len(lines) == 4
     assert lines[1].startswith("1\t\t\t") and lines[1].endswith("\t\t\t-5.0")
     jobs.main(["hour-means", "--report", "--trips", out_dir + "/t15", "--format", "csv",
-               "--out", out_dir + "/h"], spark=spark)
+               "--out", out_dir + "/h", "--single-file"], spark=spark)
     (part,) = glob.glob(f"{(out_dir + '/h').removeprefix('file:')}/part-*")
     assert open(part).read().splitlines()[0] == "HourOfDay\t\tLongitude\t\tLatitude"
 
@@ -108,3 +108,13 @@ def test_explain_flag_prints_plan(spark, out_dir, capsys):
                "--show", "2"], spark=spark)
     out = capsys.readouterr().out
     assert "== Physical Plan ==" in out and "BroadcastHashJoin" in out and "Midtown" in out
+
+
+def test_inferred_schema_and_several_output_files(spark, out_dir):
+    write_csv(_trips_2015(spark), out_dir + "/t15")
+    results = []
+    for extra in ([], ["--inferred"]):
+        out = f"{out_dir}/h{len(extra)}"
+        jobs.main(["hour-means", "--trips", out_dir + "/t15", "--format", "csv", "--out", out, *extra], spark=spark)
+        results.append(sorted(map(tuple, spark.read.option("header", True).csv(out).collect())))
+    assert results[0] == results[1] and results[0]

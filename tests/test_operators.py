@@ -2,7 +2,6 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-import pytest
 from pyspark.sql import functions as F
 
 from farepath.operators import (
@@ -17,6 +16,7 @@ from farepath.operators import (
     top_k,
     with_lookup,
 )
+from farepath.operators.lookup import join_roles
 from farepath.plans.inspect import physical_plan
 
 
@@ -77,17 +77,51 @@ def test_with_lookup_drops_unknown_and_checks_broadcast(spark):
     assert "BroadcastHashJoin" in physical_plan(out, "simple")
 
 
-def test_checked_broadcast_refuses_over_bound(spark):
-    big = spark.range(50)
-    with pytest.raises(ValueError):
-        checked_broadcast(big, max_rows=10, required=True)
+def test_past_the_bound_every_strategy_gives_all_rows(spark):
+    """No broadcast is hinted, and nothing fails, whatever was asked for."""
     fact = spark.range(100).withColumnRenamed("id", "k")
     lk = spark.range(50).select(F.col("id").alias("LocationID"), F.lit("z").alias("Zone"))
-    plan = physical_plan(with_lookup(fact, lk, "k", {"Zone": "z"}, max_broadcast_rows=10,
-                                     strategy="auto"), "simple")
-    # Past the bound no broadcast is forced; with AQE off-line planning the
-    # planner may still pick one on its own size estimate, which is fine.
-    assert "Join" in plan
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert checked_broadcast(lk, max_rows=10) is lk
+        for strategy in ("auto", "broadcast", "merge", "shuffle_hash", "planner"):
+            out = with_lookup(fact, lk, "k", {"Zone": "z"}, max_broadcast_rows=10, strategy=strategy)
+            both = join_roles(fact, lk, [("k", {"Zone": "z"})], strategy=strategy, max_broadcast_rows=10)
+            assert out.count() == both.count() == 50, strategy
+            assert "BroadcastHashJoin" not in physical_plan(out, "simple"), strategy
+            assert "BroadcastHashJoin" not in physical_plan(both, "simple"), strategy
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_roles_measure_only_the_columns_they_need(spark):
+    fact = spark.createDataFrame([(1, 2)], "a int, b int")
+    wide = spark.range(1, 100).select(F.col("id").cast("int").alias("LocationID"), F.lit("z").alias("Zone"),
+                                      F.repeat(F.lit("x"), 1_000_000).alias("blob"))
+    out = join_roles(fact, wide, [("a", {"Zone": "za"}), ("b", {"Zone": "zb"})])
+    assert "BroadcastHashJoin" in physical_plan(out, "simple") and out.count() == 1
+
+
+def test_one_row_per_group_max_puts_null_tie_breaks_last(spark):
+    df = spark.createDataFrame([(1, 5.0, 3.0, 30.0), (1, 5.0, None, 1.0), (1, 5.0, 1.0, 10.0), (1, 5.0, 1.0, 5.0),
+                                (2, 4.0, None, 8.0), (2, 4.0, None, None)], "k int, v double, d double, p double")
+    own = one_row_per_group_max(df, ["k"], "v", payload=["d"], tie_break=[F.col("d")])
+    assert sorted(map(tuple, own.collect())) == [(1, 5.0, 1.0), (2, 4.0, None)]
+    other = one_row_per_group_max(df, ["k"], "v", payload=["p"], tie_break=[F.col("d")])
+    assert sorted(map(tuple, other.collect())) == [(1, 5.0, 5.0), (2, 4.0, 8.0)]
+    wide = one_row_per_group_max(df, ["k"], "v", payload=["d", "p"], tie_break=[F.col("d"), F.col("p")])
+    assert sorted(map(tuple, wide.collect())) == [(1, 5.0, 1.0, 5.0), (2, 4.0, None, 8.0)]
+
+
+def test_money_sums_with_non_finite_amounts(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([("a", 1.25), ("a", nan), ("b", inf), ("b", 2.0), ("c", 3.5), ("d", 1e13), ("d", 0.5), ("e", None)], "g string, x double")
+    got = {r.g: r.s for r in group_money_sums(df, "g", {"x": "s"}).collect()}
+    assert got == {"a": None, "b": None, "c": Decimal("3.50"), "d": None, "e": None}
+    both = {r.g: (r.s, r.rest) for r in group_money_sums(df, "g", {"x": "s"}, inexact={"x": "rest"}).collect()}
+    assert both["b"] == (Decimal("2.00"), inf) and both["c"] == (Decimal("3.50"), None) and both["d"] == (Decimal("0.50"), 1e13)
+    assert both["a"][0] == Decimal("1.25") and both["a"][1] != both["a"][1]
 
 
 def test_top_k_orders_ties_by_keys(spark):

@@ -6,13 +6,13 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
 from farepath.plans.inspect import physical_plan
+from farepath.registry import QUERIES
 from tests.conftest import SF_SMALL
 
 
 def plan(spark, name):
-    return physical_plan(E.queries()[name](spark, SF_SMALL), "simple")
+    return physical_plan(QUERIES[name](spark, SF_SMALL), "simple")
 
 
 def read_schemas(text):
@@ -45,8 +45,8 @@ def test_top_k_is_take_ordered(spark):
 def test_arg_max_joins_back_by_broadcast(spark):
     p = plan(spark, "farthest_trip_per_vendor")
     assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p and "Window" not in p
-    # the final sort reads a small hash exchange, not the scan directly
-    assert "REPARTITION_BY_COL" in p
+    # the final sort reads a small round-robin exchange, not the scan directly
+    assert "RoundRobinPartitioning" in p
 
 
 @pytest.mark.parametrize("name,node", [("join_broadcast", "BroadcastHashJoin"),
@@ -57,8 +57,9 @@ def test_join_strategy_plans(spark, name, node):
 
 
 def test_no_row_at_a_time_python_anywhere(spark):
-    for name in E.queries():
-        if name in ("csv_round_trip", "parquet_ingest", "zone_pair_counts_streaming", "text_report"):
+    for name in QUERIES:
+        if name in ("csv_round_trip", "csv_overwrite_single_file", "parquet_ingest", "parquet_ingest_2015",
+                    "parquet_ingest_zones", "zone_pair_counts_streaming", "text_report"):
             continue  # these return a scan of what the query wrote
         p = plan(spark, name)
         assert "BatchEvalPython" not in p, name
@@ -86,3 +87,47 @@ def test_sql_lookup_sample_hints(spark, strategy, node):
     df = lookup_sample_join_sql(spark, prepared_trips(spark, SF_SMALL), prepared_lookup_path(spark, SF_SMALL),
                                 n=10, strategy=strategy)
     assert node in physical_plan(df, "simple")
+
+
+@pytest.mark.parametrize("name", ["farthest_trip_one_per_vendor", "max_quantity_one_per_vendor"])
+def test_one_row_arg_max_uses_hash_aggregates_only(spark, name):
+    p = plan(spark, name)
+    assert "HashAggregate" in p and "SortAggregate" not in p and "ObjectHashAggregate" not in p
+
+
+def test_lookup_joins_meet_counts_not_trips(spark):
+    for name in ("join_sort_merge", "join_shuffle_hash", "lookup_sample_join_count"):
+        p = plan(spark, name)
+        join = min(i for i in (p.find(n) for n in ("SortMergeJoin", "ShuffledHashJoin", "BroadcastHashJoin")) if i >= 0)
+        assert "partial_count" in p[join:], name
+
+
+def test_derivation_shuffles_the_line_items_twice_at_most(spark):
+    from farepath.sources.tables import derive_trips
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        p = physical_plan(derive_trips(spark, SF_SMALL), "simple")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    above = [line for line in p.splitlines() if "Exchange hashpartitioning" in line]
+    # orders and customer by customer, the ordered rows and the line items by
+    # order, the joined rows and the suppliers by supplier
+    assert len(above) == 6
+    assert sum("l_" in line for line in above) == 2
+
+
+def test_size_check_has_no_limit(spark):
+    from farepath.operators import lookup
+
+    seen = []
+    agg = type(spark.range(1)).agg
+    try:
+        type(spark.range(1)).agg = lambda self, *a: seen.append(agg(self, *a)) or seen[-1]
+        lookup.size_at_most(spark.range(10), 5)
+    finally:
+        type(spark.range(1)).agg = agg
+    (checked,) = seen
+    p = physical_plan(checked, "simple")
+    assert "Limit" not in p and "partial_count" in p

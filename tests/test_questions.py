@@ -10,7 +10,7 @@ from farepath.plans import sql_queries as sq
 from farepath.plans import trip_queries as tq
 from farepath.plans.inspect import physical_plan
 from farepath.functions import haversine_km
-from tests.fixtures import trips, zones
+from tests.fixtures import trips, ts, zones
 
 P, Q, FAR = (-73.98, 40.75), (-73.90, 40.77), (-73.70, 40.80)
 
@@ -192,7 +192,7 @@ def test_streaming_counts_equal_batch(spark, out_dir):
     stream = stream_files(spark, out_dir + "/in", t.schema, max_files_per_trigger=1)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     snapshot = spark.read.parquet(run_available(tq.zone_pair_counts(stream, z), out_dir + "/out",
-                                                out_dir + "/ckpt", state_partitions=3))
+                                                out_dir + "/ckpt"))
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
     assert sorted(rows(snapshot)) == sorted(rows(tq.zone_pair_counts(t, z)))
     night = spark.read.parquet(run_available(tq.night_counts(stream), out_dir + "/out2", out_dir + "/ckpt2"))
@@ -217,3 +217,76 @@ def test_hour_means_report(spark):
     assert rep[0] == "HourofDay".replace("of", "Of") + "\t\tLongitude\t\tLatitude"
     hours = [int(line.split("\t\t")[0]) for line in rep[1:]]
     assert hours == sorted(hours) and len(rep[1].split("\t\t")[1].split(".")[1]) == 6
+
+
+def _with_bad_coordinates(spark):
+    """Vendor 1 with a real trip, and trips with a NaN, an infinite or a NULL
+    coordinate, in both file layouts."""
+    from farepath.schemas import TRIPS_2015
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, ts(9), ts(9, 30), *c, -73.90, 40.77) for c in ((-73.98, 40.75), (nan, 40.0), (inf, 40.0), (-73.0, nan), (-73.0, -inf), (None, 40.0))]
+    df = spark.createDataFrame(rows, "VendorID int, tpep_pickup_datetime timestamp_ntz, tpep_dropoff_datetime timestamp_ntz, "
+                                     "pickup_longitude double, pickup_latitude double, dropoff_longitude double, dropoff_latitude double")
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TRIPS_2015.fields])
+
+
+def test_non_finite_coordinates_never_win(spark, out_dir):
+    from farepath.plans.sql_queries import farthest_trip_per_vendor_sql
+    from farepath.registry import TEXT_FIELDS
+    from farepath.sinks import write_csv
+    from farepath.sources import drop_header, parse_delimited, read_delimited, read_lines
+
+    trips = _with_bad_coordinates(spark)
+    path = write_csv(trips, out_dir)
+    forms = [trips, read_delimited(spark, path, TEXT_FIELDS), parse_delimited(drop_header(read_lines(spark, path)), TEXT_FIELDS)]
+    for form in forms:
+        for found in (tq.farthest_trip_per_vendor(form), farthest_trip_per_vendor_sql(spark, form), tq.farthest_trip_one_per_vendor(form)):
+            (row,) = found.collect()
+            assert row[0] == 1 and 7 < row[1] < 8 and row[2] == 30.0
+
+
+def test_both_text_paths_agree_on_bad_times(spark, out_dir):
+    from farepath.sources import parse_delimited, read_delimited, read_lines
+    from tests.test_functions import BAD_TIMES
+
+    lines = spark.createDataFrame([(f"{i},{t}",) for i, t in enumerate([*BAD_TIMES, "2015-01-15 10:00:00", "2015-01-15 10:00:00.250000"])], "value string")
+    lines.coalesce(1).write.text(out_dir)
+    fields = [(0, "id", "int"), (1, "t", "timestamp_ntz")]
+    split = sorted(map(tuple, parse_delimited(read_lines(spark, out_dir), fields).collect()))
+    scanned = sorted(map(tuple, read_delimited(spark, out_dir, fields, header=False).collect()))
+    assert split == scanned and sum(t is not None for _, t in split) == 2
+
+
+def test_night_counts_drop_bad_text_in_both_forms(spark):
+    from farepath.plans.sql_queries import night_counts_sql
+
+    rows = [(1, "2015-01-15 23:10:00"), (1, "bad"), (2, "2015"), (2, "2015-01-15 99:00:00"), (3, "2015-01-15 03:00:00"), (3, None), (None, "2015-01-15 00:00:00")]
+    df = spark.createDataFrame(rows, "VendorID int, tpep_pickup_datetime string")
+    want = [(None, 1), (1, 1), (3, 1)]
+    assert [tuple(r) for r in tq.night_counts(df).collect()] == want
+    assert [tuple(r) for r in night_counts_sql(spark, df).collect()] == want
+
+
+def test_sql_quotes_column_names(spark):
+    from farepath.plans.sql_queries import farthest_trip_per_vendor_sql, night_counts_sql
+
+    odd = "ven`dor {x}"
+    t = trips(spark).withColumnRenamed("VendorID", odd)
+    a = [tuple(r) for r in night_counts_sql(spark, t, key=odd).collect()]
+    assert a == [tuple(r) for r in tq.night_counts(trips(spark)).collect()]
+    odd = "ven dor {x}"
+    t = trips(spark).withColumnRenamed("VendorID", odd)
+    b = [tuple(r) for r in farthest_trip_per_vendor_sql(spark, t, vendor=odd).collect()]
+    assert b == [tuple(r) for r in tq.farthest_trip_per_vendor(trips(spark)).collect()]
+
+
+def test_revenue_shows_non_finite_sums(spark):
+    t = trips(spark)
+    nan = float("nan")
+    odd = t.withColumn("fare_amount", F.when(F.col("PULocationID") == 3, F.lit(nan)).otherwise(F.col("fare_amount")))
+    measures = {"fare_amount": "Fare ($)", "total_amount": "Total Revenue ($)"}
+    plain = {r[0]: tuple(r) for r in tq.region_revenue(t, zones(spark), measures=measures).collect()}
+    got = {r[0]: tuple(r) for r in tq.region_revenue(odd, zones(spark), measures=measures).collect()}
+    assert got["Queens"] == ("Queens", "NaN", plain["Queens"][2])
+    assert {k: v for k, v in got.items() if k != "Queens"} == {k: v for k, v in plain.items() if k != "Queens"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from farepath.operators import group_counts, rows_at_group_max
+from farepath.operators import group_counts, rows_at_group_max, with_lookup
 from farepath.plans import trip_queries as tq
 from farepath.plans.inspect import physical_plan
 
@@ -67,10 +67,15 @@ def test_forced_sort_merge_join_splits_hot_zone(spark):
             F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50 + 2).cast("int").alias("PULocationID"))
         zones_df = spark.range(1, 60).select(F.col("id").cast("int").alias("LocationID"),
                                              F.concat(F.lit("Z"), F.col("id")).alias("Zone"))
-        df = tq.lookup_join_counts(trips, zones_df, "merge")
+        joined = with_lookup(trips, zones_df, "PULocationID", {"LocationID": "LocationID", "Zone": "Zone"}, strategy="merge")
+        df = group_counts(joined, "LocationID", "trips")
         got = {r.LocationID: r.trips for r in df.collect()}
         assert got[1] == 66_667 and sum(got.values()) == 200_000
         assert "SortMergeJoin(skew=true)" in physical_plan(df, "simple")
+        # Counted before the join, the hot zone is a row a task like any other.
+        counted = tq.lookup_join_counts(trips, zones_df, "merge")
+        assert {r.LocationID: r.trips for r in counted.collect()} == got
+        assert "skew=true" not in physical_plan(counted, "simple")
     finally:
         for k, v in before.items():
             if v is None:
