@@ -67,53 +67,61 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget_percent: int = BUDG
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def mixed_sizes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
-                weights=WEIGHTS, budget_percent: int = BUDGET_PERCENT, most_times: int = MOST_TIMES, seeds=SEEDS) -> DataFrame:
-    """One row per document: ``doc_id``, ``digest``, ``source``, ``size``,
-    ``source_size``, ``target``, ``copies``, ``taken``. The texts are read
-    once; all later steps work on the sizes, written to the scratch folder."""
-    text = text_of(text_column)
-    digest = F.md5(F.concat_ws(":", F.col(id_column).cast("string"), F.lit("t"), F.md5(text.cast("binary"))).cast("binary"))
-    sizes = written(docs.select(F.col(id_column).alias("doc_id"), digest.alias("digest"),
-                                F.col(source_column).alias("source"), word_count(text).alias("size")), "mix-sizes")
+def _digest(id_column: str, text_column: str) -> Column:
+    """What a document's draws are made from."""
+    return F.md5(F.concat_ws(":", F.col(id_column).cast("string"), F.lit("t"), F.md5(text_of(text_column).cast("binary"))).cast("binary"))
+
+
+def document_sizes(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
+    """``doc_id``, ``digest``, ``source``, ``size``, written to the scratch
+    folder: the texts are read once for all that follows."""
+    return written(docs.select(F.col(id_column).alias("doc_id"), _digest(id_column, text_column).alias("digest"),
+                               F.col(source_column).alias("source"), word_count(text_of(text_column)).alias("size")), "mix-sizes")
+
+
+def source_plan(sizes: DataFrame, weights=WEIGHTS, budget_percent: int = BUDGET_PERCENT, most_times: int = MOST_TIMES, seeds=SEEDS) -> DataFrame:
+    """One row per source: ``source``, ``source_size``, ``target``, and how
+    its documents are taken: ``whole`` times, and once more where the draw of
+    ``seed`` is below ``part``. Written to the scratch folder."""
     targets = source_targets(sizes, weights, budget_percent, most_times)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = targets.withColumn("whole", F.floor(rate)).withColumn("part", rate - F.floor(rate))
-    same_source = lambda a, b: a["source"].eqNullSafe(b["source"])
-
-    s, t = sizes.alias("s"), targets.alias("t")
-    rows = s.join(t, same_source(sizes, targets)).select("s.doc_id", "s.digest", "s.source", "s.size", "t.source_size", "t.target", "t.whole", "t.part")
+    t = targets.withColumn("whole", F.floor(rate)).withColumn("part", rate - F.floor(rate)).alias("t")
+    rows = sizes.alias("s").join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.digest", "s.size", "t.*")
     sums = rows.groupBy("source").agg(
-        F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("whole").alias("whole"), F.first("part").alias("part"),
+        *[F.first(c).alias(c) for c in ("source_size", "target", "whole", "part")],
         *[F.sum(F.when(_draw(F.col("digest"), F.lit(k)) < F.col("part"), F.col("size")).otherwise(0)).alias(f"sum_{k}") for k in seeds])
     off = lambda k: F.abs(F.col("whole") * F.col("source_size") + F.col(f"sum_{k}") - F.col("target"))
-    chosen = sums.select("source", "source_size", "target", "whole", "part",
-                         F.array_min(F.array(*[F.struct(off(k).alias("off"), F.lit(k).alias("seed")) for k in seeds]))["seed"].alias("seed"))
-    chosen = written(chosen, "mix-sources")
-    c = chosen.alias("c")
-    copies = F.col("c.whole") + (_draw(F.col("s.digest"), F.col("c.seed")) < F.col("c.part")).cast("long")
-    return (s.join(c, same_source(sizes, chosen))
-            .select("s.doc_id", "s.digest", "s.source", "s.size", "c.source_size", "c.target", copies.alias("copies"))
+    nearest = F.array_min(F.array(*[F.struct(off(k).alias("off"), F.lit(k).alias("seed")) for k in seeds]))["seed"]
+    return written(sums.select("source", "source_size", "target", "whole", "part", nearest.alias("seed")), "mix-sources")
+
+
+def _copies(digest: Column, plan: str) -> Column:
+    return F.col(f"{plan}.whole") + (_draw(digest, F.col(f"{plan}.seed")) < F.col(f"{plan}.part")).cast("long")
+
+
+def mixed_sizes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
+    """One row per document: ``doc_id``, ``digest``, ``source``, ``size``,
+    ``source_size``, ``target``, ``copies``, ``taken``."""
+    sizes = document_sizes(docs, id_column, text_column, source_column)
+    rows = sizes.alias("s").join(source_plan(sizes, **options).alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")))
+    return (rows.select("s.doc_id", "s.digest", "s.source", "s.size", "p.source_size", "p.target", _copies(F.col("s.digest"), "p").alias("copies"))
             .withColumn("taken", F.col("copies") * F.col("size")))
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
-    """The mixed corpus: the rows of ``docs``, each as often as it is taken."""
-    plan = mixed_sizes(docs, id_column, text_column, source_column, **options)
-    # Equal ids with equal texts and sources are taken alike: one plan row
-    # stands for them.
-    plan = plan.groupBy("digest", "source").agg(F.first("copies").alias("copies"))
+    """The mixed corpus: the rows of ``docs``, each as often as it is taken.
+    A document's copies follow from itself and its source's one row of the
+    plan, so the texts meet only that small table."""
+    plan = source_plan(document_sizes(docs, id_column, text_column, source_column), **options)
     name = _unused(docs.columns, "copies")
-    digest = F.md5(F.concat_ws(":", F.col(id_column).cast("string"), F.lit("t"), F.md5(text_of(text_column).cast("binary"))).cast("binary"))
-    plan = plan.select(F.col("digest").alias(f"{name}_digest"), F.col("source").alias(f"{name}_source"), F.col("copies").alias(name))
-    rows = docs.withColumn(f"{name}_key", digest)
-    taken = rows.join(plan, (F.col(f"{name}_key") == F.col(f"{name}_digest")) & F.col(source_column).eqNullSafe(F.col(f"{name}_source")))
-    return (taken.filter(F.col(name) > 0)
-            .withColumn(f"{name}_each", F.explode(F.sequence(F.lit(1), F.col(name)))).select(*docs.columns))
+    rows = docs.alias("d").join(plan.alias("p"), F.col(f"d.{source_column}").eqNullSafe(F.col("p.source")))
+    copies = _copies(_digest(f"d.{id_column}", f"d.{text_column}"), "p")
+    taken = rows.select("d.*", copies.alias(name)).filter(F.col(name) > 0)
+    return taken.withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(name)))).drop(name)
 
 
 def _unused(columns: list[str], name: str) -> str:
     taken = {c.lower() for c in columns}
-    while any(c.startswith(name) for c in taken):
+    while name in taken:
         name += "_"
     return name
