@@ -27,7 +27,11 @@ from farepath.llm.common import text_of, written
 from farepath.session import new_scratch_path
 
 SPACES = r"[\x20\x09-\x0D]+"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without room set aside for each partition's log files.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Bytes of new files that one micro-batch reads.
 BATCH_BYTES = 64 << 30
 
@@ -61,17 +65,19 @@ def update_state(spark: SparkSession, path: str, checkpoint: str, id_column: str
               .parquet(f"{head}/{last[:-1]}[{last[-1]}]"))  # a pattern: the table may be one file or a folder
     state = (_rows(stream, id_column, text_column, digest).groupBy("digest")
              .agg(F.min(_order()).alias("stays"), F.count("*").alias("n")))
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_SETTINGS}
+    for name, value in STATE_SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         query = (state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint)
                  .trigger(availableNow=True).start())
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
