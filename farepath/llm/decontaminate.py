@@ -4,10 +4,11 @@ Texts are sequences of words (lower case, marks at both ends stripped). A
 document is contaminated by an item if some window of it is within a word
 edit distance of a fifth of the item's length.
 
-*Windows.* For each length of an item, the windows that start at each word of
-a document, a fifth longer than the item. A match keeps four fifths of the
-item's words, so only windows with that many words of the benchmark can hold
-one; counting finds them without loss, and the rest of the work is on them.
+*Windows.* An item's windows are as long as the item and start at any word of
+a document. Most can't hold a match: with k edits allowed and the item cut
+into k + 1 pieces, one piece must stand in the document unchanged. So only
+windows where a piece of an item of that length stands in its place, give or
+take k words, are looked at further; nothing is lost by it.
 
 *Embedding.* A CGK random walk reads a sequence while it writes 3n symbols: at
 step j it writes the symbol it stands on and moves on if a random bit, drawn
@@ -42,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farepath.llm.common import by_slice, columns_of, mix64, record_batch, text_of
+from farepath.llm.common import SLICE_CHARS, by_slice, columns_of, mix64, record_batch, text_of
 
 DISTANCE = 0.2
 TARGET_RECALL = 0.99
@@ -59,12 +60,12 @@ def repetitions(target: float = TARGET_RECALL, agreement: float = AGREEMENT, sam
     return ceil(log(1 - target) / log(1 - agreement ** sampled))
 
 
-def word_of(chunk: str) -> str:
-    return chunk.strip(STRIPPED).lower()
+def _plain(chunks: pa.StringArray) -> pa.StringArray:
+    return pc.utf8_lower(pc.utf8_trim(chunks, characters=STRIPPED))
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in map(word_of, text.split()) if w]
+    return [w for w in _plain(pc.utf8_split_whitespace(pa.array([text])).flatten()).to_pylist() if w]
 
 
 def word_distance_in(item: np.ndarray, region: np.ndarray) -> int:
@@ -84,8 +85,7 @@ def word_distance_in(item: np.ndarray, region: np.ndarray) -> int:
 
 
 class ItemBlock:
-    """A block of items with their LSH tables, built in each task from the
-    items' words."""
+    """A block of items with their LSH tables, built from the items' words."""
 
     def __init__(self, items: list[tuple[int, list[str]]], distance: float = DISTANCE, n_repetitions: int | None = None, sampled: int = SAMPLED):
         self.distance, self.sampled = distance, sampled
@@ -95,58 +95,105 @@ class ItemBlock:
         self.number = {w: i for i, w in enumerate(vocabulary, start=1)}
         self.hashes = np.array([0, *(xxhash.xxh64_intdigest(w) for w in vocabulary)], dtype=np.uint64)
         self.items = [(item, np.array([self.number[w] for w in words], dtype=np.int64)) for item, words in items if words]
-        self.tables: dict[int, list[dict[int, list[int]]]] = {}
+        self._bits: dict[tuple[int, int], np.ndarray] = {}
         by_length = defaultdict(list)
         for k, (_, words) in enumerate(self.items):
             by_length[len(words)].append(k)
+        #: For each length and repetition, key to items; for each size of
+        #: piece, the hashes of the pieces with item length and place.
+        self.tables: dict[int, list[dict[int, list[int]]]] = {}
+        pieces: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
         for n, members in by_length.items():
             flat = np.concatenate([self.items[k][1] for k in members])
             starts = np.arange(len(members)) * n
-            keys = self.keys(flat, starts, starts + n, n)
             self.tables[n] = []
-            for row in keys:
+            for row in self.keys(flat, starts, starts + n, n):
                 table = defaultdict(list)
                 for k, key in zip(members, row.tolist()):
                     table[key].append(k)
                 self.tables[n].append(table)
+            n_pieces = int(self.distance * n) + 1
+            size = n // n_pieces
+            hashes = self._grams(flat, size)
+            for j in range(n_pieces):
+                place = j * n // n_pieces
+                pieces[size].update((h, n, place) for h in hashes[starts + place].tolist())
+        self.pieces = {}
+        for size, found in pieces.items():
+            ordered = sorted(found)
+            self.pieces[size] = (np.array([x[0] for x in ordered], dtype=np.uint64), np.array([x[1] for x in ordered]), np.array([x[2] for x in ordered]))
+
+    def _grams(self, words: np.ndarray, size: int) -> np.ndarray:
+        """Hash of the ``size`` words from each place on (the last places,
+        where fewer follow, stay out)."""
+        n = max(0, len(words) - size + 1)
+        out = np.full(n, size, dtype=np.uint64)
+        for i in range(size):
+            out = mix64(out ^ self.hashes[words[i:i + n]])
+        return out
 
     def keys(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> list[np.ndarray]:
         """For each repetition the sampled key of the walk over each window
         of an item length ``n``."""
-        hashes = self.hashes[words]
         out = []
         for r in range(self.repetitions):
             draws = mix64(np.arange(8 * self.sampled, dtype=np.uint64) ^ np.uint64((r + 1) * 0x9E3779B1 + n))
-            # Places within the steps that a walk over n words reaches before its end.
+            # Places among the steps that a walk over n words makes before its end.
             places = sorted(_places(draws, 2 * n, self.sampled))
             key = mix64(np.full(len(starts), (r << 20) ^ n, dtype=np.uint64))
             at = starts.copy()
             for step in range(places[-1] + 1):
-                inside = at < ends
-                symbol = np.where(inside, hashes[np.minimum(at, len(hashes) - 1)], np.uint64(0))
+                symbol = np.where(at < ends, words[np.minimum(at, len(words) - 1)], 0)
                 if step in places:
-                    key = mix64(key ^ symbol)
-                bit = mix64(symbol ^ np.uint64(((r + 1) << 32) + step)) & np.uint64(1)
-                at = at + bit.astype(np.int64)
+                    key = mix64(key ^ self.hashes[symbol])
+                at = at + self._moves(r, step)[symbol]
             out.append(key)
         return out
 
+    def _moves(self, r: int, step: int) -> np.ndarray:
+        """The walk's random bit for each word, at one step of a repetition."""
+        known = self._bits.get((r, step))
+        if known is None:
+            known = self._bits[r, step] = (mix64(self.hashes ^ np.uint64(((r + 1) << 32) + step)) & np.uint64(1)).astype(np.uint8)
+        return known
+
+    def windows(self, words: np.ndarray, row_of: np.ndarray, first_of: np.ndarray, end_of: np.ndarray) -> dict[int, np.ndarray]:
+        """For each item length the starts of the windows that may hold a match."""
+        known = np.append(0, np.cumsum(words > 0))
+        found: dict[int, list[np.ndarray]] = defaultdict(list)
+        for size, (hashes, lengths, places) in self.pieces.items():
+            if len(words) < size:
+                continue
+            at = np.flatnonzero(known[size:] - known[:-size] == size)
+            at = at[row_of[at] == row_of[at + size - 1]]
+            grams = np.full(len(at), size, dtype=np.uint64)
+            for i in range(size):
+                grams = mix64(grams ^ self.hashes[words[at + i]])
+            low, high = np.searchsorted(hashes, grams, "left"), np.searchsorted(hashes, grams, "right")
+            hit = np.flatnonzero(high > low)
+            count = (high - low)[hit]
+            which = np.repeat(low[hit] - np.append(0, np.cumsum(count))[:-1], count) + np.arange(int(count.sum()))
+            where = np.repeat(at[hit], count)
+            for n in np.unique(lengths[which]):
+                of = lengths[which] == n
+                allowed = int(self.distance * n)
+                middle = where[of] - places[which][of]
+                starts = (middle[:, None] + np.arange(-allowed, allowed + 1)).reshape(-1)
+                home = np.repeat(where[of], 2 * allowed + 1)
+                starts = np.maximum(starts, first_of[home])
+                found[int(n)].append(starts[starts < end_of[home]])
+        return {n: np.unique(np.concatenate(some)) for n, some in found.items()}
+
     def matches(self, words: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int]]:
         """(row, item, distance) for the rows whose words (numbers, 0 for
         words outside the benchmark) stand one after the other."""
         ends = np.cumsum(sizes)
-        known = np.append(0, np.cumsum(words > 0))
         row_of = np.repeat(np.arange(len(sizes)), sizes)
         end_of = np.repeat(ends, sizes)
+        first_of = np.repeat(ends - sizes, sizes)
         candidates: set[tuple[int, int, int]] = set()
-        at = np.arange(len(words))
-        for n, tables in self.tables.items():
-            allowed = int(self.distance * n)
-            stop = np.minimum(at + n + allowed, end_of)
-            starts = np.flatnonzero((known[stop] - known[at] >= n - allowed) & (words > 0))
-            if not len(starts):
-                continue
-            for table, keys in zip(tables, self.keys(words, starts, np.minimum(starts + n, end_of[starts]), n)):
+        for n, starts in self.windows(words, row_of, first_of, end_of).items():
+            for table, keys in zip(self.tables[n], self.keys(words, starts, np.minimum(starts + n, end_of[starts]), n)):
                 hit = np.flatnonzero(np.isin(keys, np.fromiter(table, dtype=np.uint64, count=len(table))))
                 for h in hit.tolist():
                     for k in table[int(keys[h])]:
@@ -168,6 +215,18 @@ class ItemBlock:
         return [(row, self.items[k][0], d) for (row, k), d in sorted(best.items())]
 
 
+_BLOCKS: dict[int, ItemBlock] = {}
+
+
+def _block(items: list[tuple[int, list[str]]], distance: float) -> ItemBlock:
+    """The tables of a block; a Python worker keeps those of the last one."""
+    key = xxhash.xxh3_128_intdigest(repr((distance, items)))
+    if key not in _BLOCKS:
+        _BLOCKS.clear()
+        _BLOCKS[key] = ItemBlock(items, distance)
+    return _BLOCKS[key]
+
+
 def _places(draws: np.ndarray, steps: int, sampled: int) -> list[int]:
     out: list[int] = []
     for d in draws.tolist():
@@ -205,9 +264,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     found = rows.select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("distance")).filter(F.lit(False))
     for block in item_blocks(benchmark, item_column, item_text_column, block_bytes):
         def search(batches, block=block):
-            items = ItemBlock(block, distance)
+            items = _block(block, distance)
             for batch in batches:
-                for ids, texts in by_slice(*columns_of(batch, "id", "text")):
+                for ids, texts in by_slice(*columns_of(batch, "id", "text"), 4 * SLICE_CHARS):
                     matched = items.matches(*numbered(texts, items.number))
                     yield record_batch(kind, [ids.take(pa.array([m[0] for m in matched], pa.int64())), [m[1] for m in matched], [m[2] for m in matched]])
 
@@ -219,9 +278,10 @@ def numbered(texts: pa.StringArray, number: dict[str, int]) -> tuple[np.ndarray,
     """Word numbers of the texts one after the other, and how many each has."""
     lists = pc.utf8_split_whitespace(texts)
     coded = lists.flatten().dictionary_encode()
-    get = number.get
-    plain = [word_of(c) for c in coded.dictionary.to_pylist()]
-    numbers = np.array([-1 if not w else get(w, 0) for w in plain], dtype=np.int64)
+    plain = _plain(coded.dictionary)
+    vocabulary = pa.array(number, pa.string())  # in order of its numbers, from 1 on
+    found = pc.fill_null(pc.index_in(plain, value_set=vocabulary), -1).to_numpy() + 1
+    numbers = np.where(pc.equal(plain, "").to_numpy(zero_copy_only=False), -1, found)
     words = numbers[coded.indices.to_numpy()] if len(plain) else np.zeros(0, dtype=np.int64)
     real = words >= 0
     counts = np.append(0, np.cumsum(real))
@@ -236,11 +296,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "d
     distance = options.get("distance", DISTANCE)
     for block in item_blocks(benchmark, options.get("item_column", "item_id"), options.get("item_text_column", "text"), options.get("block_bytes", BLOCK_BYTES)):
         def clean(batches, block=block):
-            items = ItemBlock(block, distance)
+            items = _block(block, distance)
             for batch in batches:
                 texts = pc.fill_null(batch.column(place), "")
                 keep = np.ones(batch.num_rows, dtype=bool)
-                for rows, part in by_slice(pa.array(np.arange(batch.num_rows)), texts):
+                for rows, part in by_slice(pa.array(np.arange(batch.num_rows)), texts, 4 * SLICE_CHARS):
                     for m in items.matches(*numbered(part, items.number)):
                         keep[rows[m[0]].as_py()] = False
                 yield batch.filter(pa.array(keep))
