@@ -18,16 +18,19 @@ than all of the document's components; a weight costs its logarithm.
 probability 0.99995.
 
 *Verification.* Documents with equal bags are one representative from the
-start. Within a bucket, members are compared with pivots instead of all with
-all: in each round a few more pivots of each bucket are compared with every
-member that isn't yet in the pivot's component, and a bucket whose members
-are all in one component is done. Each pair of a bucket is thus either
-compared or known to be connected, no link between components is lost, and a
-large group of copies costs a few comparisons a member.
+start. Within a bucket, members aren't compared all with all. First each is
+compared with the member that shares most buckets with others, the middle of
+a group of copies, which joins most of the group into one component. Then
+only pairs of different components are left, and each has a member outside
+the component of the bucket's middle: those few members are compared with the
+rest, inside the join, so that pairs below the threshold leave no row. A pair
+that shares several buckets is compared in the first of them only. No link
+between components is lost, and a group of copies costs a few comparisons a
+member.
 
 Edge cases: a NULL text counts as empty; documents without words form one
-class. A NULL id stands for itself in the result; inside, a negative number
-from the text's hash takes its place (and may be a class id). Rows that share
+class. A NULL id stands for itself in the result; inside, a number below
+-2**62 from the text's hash takes its place (and may be a class id). Rows that share
 an id are one document: when copies are dropped, one of them stays.
 """
 
@@ -43,12 +46,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farepath.llm.common import by_slice, columns_of, mix64, record_batch, text_of, written
+from farepath.operators.lookup import checked_broadcast
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, BAND_ROWS = 25, 5
-#: Pivots of a bucket in the first round, and how much more in each later one.
-PIVOTS, PIVOT_GROWTH = 4, 8
+#: By how much the overlap of 32-bit hashes may be off the true one.
+SLACK = 2
+#: Keys of documents without an id are this number or less; ids are greater.
+NO_ID = -(1 << 62)
+#: Ids of documents in shared buckets up to which they are broadcast.
+BROADCAST_IDS = 2_000_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -169,24 +177,27 @@ def signatures(rows: DataFrame, bands: int, band_rows: int) -> DataFrame:
 
 
 def bag_sets(rows: DataFrame) -> DataFrame:
-    """From ``id``, ``text``: ``id`` and ``bag``, the elements to verify with."""
-    kind = pa.schema([("id", pa.int64()), ("bag", pa.list_(pa.int64()))])
+    """From ``id``, ``text``: ``id``, ``bag``, the elements to verify with,
+    and ``brief``, 32 bits of each."""
+    kind = pa.schema([("id", pa.int64()), ("bag", pa.list_(pa.int64())), ("brief", pa.list_(pa.int32()))])
 
     def bags(batches):
         for batch in batches:
             for ids, texts in by_slice(*columns_of(batch, "id", "text")):
                 bag, counts = shingle_bags(texts)
                 offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
-                yield record_batch(kind, [ids, pa.ListArray.from_arrays(offsets, pa.array(occurrences(bag, counts)))])
+                elements = occurrences(bag, counts)
+                yield record_batch(kind, [ids, pa.ListArray.from_arrays(offsets, pa.array(elements)),
+                                          pa.ListArray.from_arrays(offsets, pa.array(elements.astype(np.int32)))])
 
-    return rows.select("id", "text").mapInArrow(bags, "id long, bag array<long>")
+    return rows.select("id", "text").mapInArrow(bags, "id long, bag array<long>, brief array<int>")
 
 
 # --- classes ------------------------------------------------------------------
 
 def row_key(id_column: str, text: Column) -> Column:
-    """The id, or a negative number from the text's hash if it is NULL."""
-    return F.coalesce(F.col(id_column).cast("long"), F.lit(-1) - F.pmod(F.xxhash64(text), F.lit(1 << 62)))
+    """The id, or a number below any id from the text's hash if it is NULL."""
+    return F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID) - F.pmod(F.xxhash64(text), F.lit(1 << 61)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -222,57 +233,97 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     rows = docs.select(row_key(id_column, text).alias("id"), text.alias("text"))
     signed = written(signatures(rows, bands, band_rows), "near-signatures")
     classes = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
-    members = classes.select("rep", F.explode("keys").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    buckets = written(members.join(shared, "bucket", "left_semi"), "near-buckets")
-    wanted = buckets.select("rep").distinct()
+    buckets = _shared_buckets(classes)
+    # The documents in shared buckets; their ids are broadcast while they are few.
+    wanted = checked_broadcast(buckets.select("rep").distinct(), BROADCAST_IDS)
     # One row for each id: rows that share an id have their first text's bag.
-    texts = rows.join(wanted, rows["id"] == wanted["rep"], "left_semi").dropDuplicates(["id"])
+    texts = rows.join(wanted, F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"])
     bags = written(bag_sets(texts), "near-bags")
 
-    labels, pivots, tested = None, PIVOTS, None
-    while True:
-        open_buckets, pairs = _pairs_to_test(buckets, labels, pivots, tested)
-        if pairs is None:
-            break
-        a, b = bags.select(F.col("id").alias("a_id"), F.col("bag").alias("a_bag")), bags.select(F.col("id").alias("b_id"), F.col("bag").alias("b_bag"))
-        both = pairs.join(b, pairs["b"] == b["b_id"]).join(a, F.col("a") == a["a_id"])
-        common = F.size(F.array_intersect("a_bag", "b_bag"))
-        verified = written(both.select("a", "b", (common >= threshold * (F.size("a_bag") + F.size("b_bag") - common)).alias("linked")), "near-links")
-        tested = verified if tested is None else tested.union(verified)
-        links = tested.filter("linked").select("a", "b")
-        labels = components(links)
-        buckets, pivots = open_buckets, pivots * PIVOT_GROWTH
-
-    reps = classes.select("digest", "rep")
-    if labels is not None:
-        reps = reps.join(labels, reps["rep"] == labels["node"], "left").select("digest", F.coalesce("root", "rep").alias("rep"))
+    # The first pivot of each bucket, compared with all its members.
+    central = F.max(F.struct("degree", (-F.col("rep")).alias("rep"))).alias("p")
+    first = buckets.groupBy("bucket").agg(central).select(F.col("bucket").alias("p_bucket"), (-F.col("p.rep")).alias("pivot"))
+    met = written(buckets.join(first, F.col("bucket") == F.col("p_bucket")).filter("rep <> pivot")
+                  .select("bucket", "rep", "degree", "pivot"), "near-first")
+    links = _verified(met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), bags, threshold)
+    labels = components(links)
+    mixed = _mixed(met.select("bucket", "rep", "degree"), labels)
+    if not mixed.isEmpty():
+        found = _exact(_near_pairs(mixed, signed, bags, threshold), bags, threshold)
+        if not found.isEmpty():
+            labels = components(links.union(found))
+
+    reps = (classes.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left")
+            .select("digest", F.coalesce("root", "rep").alias("class_id")))
     return (signed.select("id", "digest").join(reps, "digest")
-            .select(F.when(F.col("id") >= 0, F.col("id")).alias("doc_id"), F.col("id").alias("key"), F.col("rep").alias("class_id")))
-
-
-def _pairs_to_test(buckets: DataFrame, labels: DataFrame | None, pivots: int, tested: DataFrame | None):
-    """The members of buckets that still join several components, less this
-    round's pivots; and the pairs of pivots and members of other components
-    not compared so far (None if there are no such buckets)."""
-    rows = buckets.select("bucket", "rep", F.col("rep").alias("label"))
-    if labels is not None:
-        rows = (buckets.select("bucket", "rep").join(labels, buckets["rep"] == labels["node"], "left")
-                .select("bucket", "rep", F.coalesce("root", "rep").alias("label")))
-        mixed = rows.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("bucket")
-        rows = written(rows.join(mixed, "bucket", "left_semi"), "near-round")
-    if rows.isEmpty():
-        return None, None
-    slot = F.pmod(F.xxhash64("rep"), F.lit(pivots))
-    chosen = (rows.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("rep", "label")).alias("p"))
-              .select(F.col("bucket").alias("p_bucket"), F.col("p.rep").alias("pivot"), F.col("p.label").alias("p_label")))
-    met = rows.join(chosen, (F.col("bucket") == F.col("p_bucket")) & (F.col("label") != F.col("p_label")))
-    pairs = met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    if tested is not None:
-        seen = tested.select(F.col("a").alias("sa"), F.col("b").alias("sb"))
-        pairs = pairs.join(seen, (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")), "left_anti")
-    used = chosen.select(F.col("p_bucket").alias("bucket"), F.col("pivot").alias("rep"))
-    return written(rows.select("bucket", "rep").join(used, ["bucket", "rep"], "left_anti"), "near-open"), pairs
+            .select(F.when(F.col("id") > NO_ID, F.col("id")).alias("doc_id"), F.col("id").alias("key"), "class_id"))
+
+
+def _shared_buckets(classes: DataFrame) -> DataFrame:
+    """``bucket``, ``rep``, ``degree`` for the buckets with several members;
+    the degree of a member is the size of all its buckets."""
+    members = classes.select("rep", F.explode("keys").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("bucket", "shared")
+    rows = written(members.join(shared, F.col("bucket") == F.col("shared")).select("bucket", "rep", "n"), "near-members")
+    degrees = rows.groupBy("rep").agg(F.sum("n").alias("degree")).withColumnRenamed("rep", "of")
+    return written(rows.join(degrees, F.col("rep") == F.col("of")).select("bucket", "rep", "degree"), "near-buckets")
+
+
+def _compared(pairs: DataFrame, bags: DataFrame, column: str) -> DataFrame:
+    """Pairs ``a``, ``b`` with the ``common`` elements of their bags and the
+    sum of their ``sizes``."""
+    a = bags.select(F.col("id").alias("a_id"), F.col(column).alias("a_bag"))
+    b = bags.select(F.col("id").alias("b_id"), F.col(column).alias("b_bag"))
+    both = pairs.join(b, F.col("b") == F.col("b_id")).join(a, F.col("a") == F.col("a_id"))
+    return both.select("a", "b", F.size(F.array_intersect("a_bag", "b_bag")).alias("common"), (F.size("a_bag") + F.size("b_bag")).alias("sizes"))
+
+
+def _reach(common: Column, sizes: Column, threshold: float) -> Column:
+    return common >= threshold * (sizes - common)
+
+
+def _exact(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs whose exact multiset overlap reaches the threshold."""
+    common, sizes = F.col("common"), F.col("sizes")
+    return written(_compared(pairs, bags, "bag").filter(_reach(common, sizes, threshold)).select("a", "b"), "near-links")
+
+
+def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """The same from the brief bags, half as large; the few pairs so near the
+    threshold that these can't tell are compared in full."""
+    common, sizes = F.col("common"), F.col("sizes")
+    near = written(_compared(pairs, bags, "brief").filter(_reach(common + SLACK, sizes, threshold))
+                   .select("a", "b", _reach(common - SLACK, sizes, threshold).alias("sure")), "near-verified")
+    return near.filter("sure").select("a", "b").union(_exact(near.filter("not sure").select("a", "b"), bags, threshold))
+
+
+def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of the buckets that still join several components, with the
+    component of each, and whether it is that of the bucket's middle."""
+    labelled = (rows.join(labels, F.col("rep") == F.col("node"), "left")
+                .select("bucket", "rep", "degree", F.coalesce("root", "rep").alias("label")))
+    several = (labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max_by("label", "degree").alias("middle"))
+               .filter("l < h").select(F.col("bucket").alias("of"), "middle"))
+    return written(labelled.join(several, F.col("bucket") == F.col("of")).select("bucket", "rep", "label", (F.col("label") == F.col("middle")).alias("main")), "near-mixed")
+
+
+def _near_pairs(mixed: DataFrame, signed: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of members of one bucket and different components, one of them
+    outside the main one, that reach the threshold by their brief bags."""
+    reps = mixed.select("rep").distinct()
+    about = (reps.join(signed.select("id", "keys").dropDuplicates(["id"]), F.col("rep") == F.col("id")).drop("id")
+             .join(bags.select("id", "brief"), F.col("rep") == F.col("id")).drop("id").withColumnRenamed("rep", "of"))
+    earlier = F.slice("keys", F.lit(1), (F.array_position("keys", F.col("bucket")) - 1).cast("int"))
+    rows = written(mixed.join(about, F.col("rep") == F.col("of"))
+                   .select("bucket", "rep", "label", "main", earlier.alias("earlier"), "brief", F.size("brief").alias("size")), "near-beside")
+    x, y = rows.alias("x"), rows.filter(~F.col("main")).alias("y")
+    common = F.size(F.array_intersect("x.brief", "y.brief")) + SLACK
+    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label"))
+                 & (F.col("x.main") | (F.col("x.rep") < F.col("y.rep")))
+                 & (F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size"))
+                 & ~F.arrays_overlap("x.earlier", "y.earlier")
+                 & _reach(common, F.col("x.size") + F.col("y.size"), threshold))
+    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
