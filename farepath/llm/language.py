@@ -4,8 +4,8 @@ Every letter has a random vector of +1 and -1, drawn from a hash of the
 letter. An n-gram's vector binds (multiplies) the vectors of its letters,
 each permuted (rotated) by its place; a text's vector bundles (adds) the
 vectors of all its n-grams, a word boundary counting as one more letter. A
-language's prototype bundles the unit vectors of a bounded sample of its
-documents, and a document is of the language whose prototype has the largest
+language's prototype bundles the unit vectors of a sample of its documents,
+about :data:`PER_LANGUAGE` of them, and a document is of the language whose prototype has the largest
 cosine with it.
 
 All vectors come from hashes, so nothing but the prototypes (one vector a
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farepath.llm.common import columns_of, mix64, record_batch, slices, text_of
@@ -100,14 +100,18 @@ def document_vectors(texts: list[str], dimensions: int = DIMENSIONS) -> tuple[np
 
 def learn_prototypes(docs: DataFrame, training: Column, lang_column: str = "lang", id_column: str = "doc_id",
                      text_column: str = "text", per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS) -> dict[str, list[float]]:
-    """Unit prototype of each language. At most ``per_language`` documents of
-    each, those of the smallest id hashes, are read; Spark adds up their unit
-    vectors, and one vector a language reaches the driver."""
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    rows = docs.filter(training & F.col(lang_column).isNotNull()).select(F.col(lang_column).alias("lang"), F.col(id_column).alias("id"))
-    chosen = rows.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= per_language).select("lang", "id").distinct()
-    texts = docs.select(F.col(lang_column).alias("of"), F.col(id_column).alias("doc"), text_of(text_column).alias("text"))
-    sample = texts.join(chosen, (texts["doc"] == chosen["id"]) & (texts["of"] == chosen["lang"])).select("lang", "text")
+    """Unit prototype of each language. About ``per_language`` documents of
+    each are read, those whose id's hash is below that share of the language;
+    Spark adds up their unit vectors. One count and one vector a language
+    reach the driver."""
+    rows = docs.filter(training & F.col(lang_column).isNotNull()).select(
+        F.col(lang_column).alias("lang"), F.col(id_column).alias("id"), text_of(text_column).alias("text"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return {}
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, per_language / n)])
+    draw = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
+    sample = rows.filter(draw < share[F.col("lang")]).select("lang", "text")
     kind = pa.schema([("lang", pa.string()), ("place", pa.int32()), ("value", pa.float64())])
 
     def bundle(batches):
