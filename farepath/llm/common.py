@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,10 @@ from farepath.session import new_scratch_path
 
 #: Characters of text that a task handles at once.
 SLICE_CHARS = 4_000_000
+#: Bytes of an Arrow batch.
+BATCH_BYTES = "8m"
 #: Entries after which a task's word memo is emptied.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -34,11 +37,28 @@ def fold_of(id_column: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % folds, F.lit(-1))
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most :data:`BATCH_BYTES` for the jobs run inside,
+    so that neither side of a Python task holds much text at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared scratch folder and read back: what
     follows starts from the files, whichever executors are lost."""
     path = new_scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

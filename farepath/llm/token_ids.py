@@ -36,9 +36,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from farepath.llm.common import MEMO_ENTRIES, by_slice, columns_of, record_batch, text_of
+from farepath.llm.common import MEMO_ENTRIES, by_slice, columns_of, record_batch, small_batches, text_of
 from farepath.session import ensure_checkpoint_dir
 
 MAGIC = b"PFR1"
@@ -46,7 +45,7 @@ BLOCK = 128
 #: Percentiles of a block's differences whose width is tried.
 PERCENTILES = (90, 95, 98, 100)
 #: Ids after which a segment ends.
-SEGMENT_IDS = 2_000_000
+SEGMENT_IDS = 1_000_000
 #: Characters of text in one file, about.
 FILE_CHARS = 16_000_000
 
@@ -217,11 +216,9 @@ class WordwiseEncoder:
         self._merges = Tokenizer(self._tokenizer.model)
         self._merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         byte_letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self._letters = {b: byte_letters.pre_tokenize_str(chr(b))[0][0][-1] for b in range(128)}
-        for b in range(128, 256):  # the last byte of a two-byte character, then its first
-            pair = byte_letters.pre_tokenize_str(bytes([0xC3 if b < 0xC0 else b, b if b < 0xC0 else 0x80]).decode("utf-8", "replace"))
-            letters = pair[0][0]
-            self._letters[b] = letters[-1] if b < 0xC0 else letters[0]
+        self._letters: dict[int, str] = {}  # the model's letter for each byte of UTF-8 up to U+07FF
+        for char in map(chr, range(0x800)):
+            self._letters.update(zip(char.encode(), byte_letters.pre_tokenize_str(char)[0][0]))
         suffix = self._tokenizer.model.end_of_word_suffix
         self._ends = np.zeros(self._tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self._tokenizer.get_vocab().items():
@@ -355,13 +352,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                 if sum(map(len, ids)) >= SEGMENT_IDS:
                     yield segment()
                     ids, lengths, doc_ids = [], [], []
+                    pa.default_memory_pool().release_unused()
         if doc_ids:
             yield segment()
 
-    (rows.repartitionByRange(max(1, -(-chars // file_chars)), "id").sortWithinPartitions("id", "text")
-     .mapInArrow(encode, "value binary")
-     .select(F.col("value").cast("string"))  # the bytes as they are; the writer adds the newline
-     .write.option("lineSep", "\n").text(path))
+    encoded = (rows.repartitionByRange(max(1, -(-chars // file_chars)), "id").sortWithinPartitions("id", "text")
+               .mapInArrow(encode, "value binary")
+               .select(F.col("value").cast("string")))  # the bytes as they are; the writer adds the newline
+    with small_batches(docs.sparkSession):
+        encoded.write.option("lineSep", "\n").text(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -416,5 +415,3 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     return (docs.join(files, "file_no")
             .select("doc_id", (F.col("file_base") + F.col("file_start")).alias("start"), "n_tokens", "ids_crc32"))
 
-
-INDEX_SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
