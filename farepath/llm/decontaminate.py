@@ -17,11 +17,15 @@ step again after each edit, so they agree in most places of the Hamming space.
 
 *Bit sampling.* Each of several repetitions has a walk of its own and reads
 ``SAMPLED`` random places of it; equal symbols there make a candidate. The
-repetitions are as many as the target recall needs at the agreement that
-pairs at the threshold show (:data:`AGREEMENT`).
+walks of a pair at the threshold agree the less, the longer the item is, above
+all when its edits are all deletions. So the repetitions go by the item's
+length (:data:`REPETITIONS`). For longer items, or a wider distance than they
+were measured at, all windows with an unchanged piece are candidates: there
+no match is lost.
 
-*Verification.* The exact edit distance of the item to the best-placed part
-of the document around the window.
+*Verification.* The words around a candidate must hold all but a fifth of the
+item's words, in any order (no match holds fewer); then comes the exact edit
+distance of the item to the best-placed part of the document there.
 
 The benchmark is a stated query set: it is read in blocks of bounded bytes,
 and each block goes over all documents in one pass without a shuffle.
@@ -34,7 +38,7 @@ under it once for each item.
 from __future__ import annotations
 
 from collections import defaultdict
-from math import ceil, log
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,18 +50,20 @@ from pyspark.sql import functions as F
 from farepath.llm.common import SLICE_CHARS, by_slice, columns_of, mix64, record_batch, text_of
 
 DISTANCE = 0.2
-TARGET_RECALL = 0.99
-#: Share of places in which the walks of a pair at the threshold agree.
-AGREEMENT = 0.45
 SAMPLED = 2
+#: Longest items (words) and their repetitions, which find 0.99 of the pairs at
+#: the threshold whether their edits are deletions, insertions, replacements or
+#: mixed. Measured with these walks: 13 were enough at 30 words, 24 at 60.
+REPETITIONS = ((30, 21), (60, 40))
 #: Bytes of items that are sent to the tasks at once.
 BLOCK_BYTES = 8_000_000
 
 STRIPPED = ".,;:!?\"'()[]{}<>|*#$%&@^~+=/\\_-`»«“”„…"
 
 
-def repetitions(target: float = TARGET_RECALL, agreement: float = AGREEMENT, sampled: int = SAMPLED) -> int:
-    return ceil(log(1 - target) / log(1 - agreement ** sampled))
+def repetitions(n: int, distance: float = DISTANCE) -> int:
+    """Those for items of ``n`` words; 0 if all their windows are verified."""
+    return next((r for longest, r in REPETITIONS if n <= longest and distance <= DISTANCE), 0)
 
 
 def _plain(chunks: pa.StringArray) -> pa.StringArray:
@@ -84,25 +90,39 @@ def word_distance_in(item: np.ndarray, region: np.ndarray) -> int:
     return least
 
 
+#: For each size of piece: ordered hashes, what each is of, its place there.
+Pieces = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _ordered(pieces: dict[int, set[tuple[int, int, int]]]) -> Pieces:
+    out = {}
+    for size, found in pieces.items():
+        ordered = sorted(found)
+        out[size] = (np.array([x[0] for x in ordered], dtype=np.uint64), np.array([x[1] for x in ordered]), np.array([x[2] for x in ordered]))
+    return out
+
+
 class ItemBlock:
     """A block of items with their LSH tables, built from the items' words."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], distance: float = DISTANCE, n_repetitions: int | None = None, sampled: int = SAMPLED):
-        self.distance, self.sampled = distance, sampled
-        self.repetitions = repetitions(sampled=sampled) if n_repetitions is None else n_repetitions
+    def __init__(self, items: list[tuple[int, list[str]]], distance: float = DISTANCE):
+        self.distance = distance
         vocabulary = sorted({w for _, words in items for w in words})
         #: Words of the benchmark from 1 on; 0 is any other word.
         self.number = {w: i for i, w in enumerate(vocabulary, start=1)}
         self.hashes = np.array([0, *(xxhash.xxh64_intdigest(w) for w in vocabulary)], dtype=np.uint64)
         self.items = [(item, np.array([self.number[w] for w in words], dtype=np.int64)) for item, words in items if words]
+        self.bags = [np.unique(words, return_counts=True) for _, words in self.items]
         self._bits: dict[tuple[int, int], np.ndarray] = {}
         by_length = defaultdict(list)
         for k, (_, words) in enumerate(self.items):
             by_length[len(words)].append(k)
         #: For each length and repetition, key to items; for each size of
-        #: piece, the hashes of the pieces with item length and place.
+        #: piece, the hashes of the pieces with item length and place, and
+        #: with item and place for the lengths without repetitions.
         self.tables: dict[int, list[dict[int, list[int]]]] = {}
         pieces: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
+        own_pieces: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
         for n, members in by_length.items():
             flat = np.concatenate([self.items[k][1] for k in members])
             starts = np.arange(len(members)) * n
@@ -117,11 +137,12 @@ class ItemBlock:
             hashes = self._grams(flat, size)
             for j in range(n_pieces):
                 place = j * n // n_pieces
-                pieces[size].update((h, n, place) for h in hashes[starts + place].tolist())
-        self.pieces = {}
-        for size, found in pieces.items():
-            ordered = sorted(found)
-            self.pieces[size] = (np.array([x[0] for x in ordered], dtype=np.uint64), np.array([x[1] for x in ordered]), np.array([x[2] for x in ordered]))
+                at = hashes[starts + place].tolist()
+                if self.tables[n]:
+                    pieces[size].update((h, n, place) for h in at)
+                else:
+                    own_pieces[size].update((h, k, place) for h, k in zip(at, members))
+        self.pieces, self.own_pieces = _ordered(pieces), _ordered(own_pieces)
 
     def _grams(self, words: np.ndarray, size: int) -> np.ndarray:
         """Hash of the ``size`` words from each place on (the last places,
@@ -132,14 +153,13 @@ class ItemBlock:
             out = mix64(out ^ self.hashes[words[i:i + n]])
         return out
 
-    def keys(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> list[np.ndarray]:
+    def keys(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> Iterator[np.ndarray]:
         """For each repetition the sampled key of the walk over each window
         of an item length ``n``."""
-        out = []
-        for r in range(self.repetitions):
-            draws = mix64(np.arange(8 * self.sampled, dtype=np.uint64) ^ np.uint64((r + 1) * 0x9E3779B1 + n))
+        for r in range(repetitions(n, self.distance)):
+            draws = mix64(np.arange(8 * SAMPLED, dtype=np.uint64) ^ np.uint64((r + 1) * 0x9E3779B1 + n))
             # Places among the steps that a walk over n words makes before its end.
-            places = sorted(_places(draws, 2 * n, self.sampled))
+            places = sorted(_places(draws, 2 * n, SAMPLED))
             key = mix64(np.full(len(starts), (r << 20) ^ n, dtype=np.uint64))
             at = starts.copy()
             for step in range(places[-1] + 1):
@@ -147,8 +167,7 @@ class ItemBlock:
                 if step in places:
                     key = mix64(key ^ self.hashes[symbol])
                 at = at + self._moves(r, step)[symbol]
-            out.append(key)
-        return out
+            yield key
 
     def _moves(self, r: int, step: int) -> np.ndarray:
         """The walk's random bit for each word, at one step of a repetition."""
@@ -157,11 +176,11 @@ class ItemBlock:
             known = self._bits[r, step] = (mix64(self.hashes ^ np.uint64(((r + 1) << 32) + step)) & np.uint64(1)).astype(np.uint8)
         return known
 
-    def windows(self, words: np.ndarray, row_of: np.ndarray, first_of: np.ndarray, end_of: np.ndarray) -> dict[int, np.ndarray]:
-        """For each item length the starts of the windows that may hold a match."""
+    def _standing(self, pieces: Pieces, words: np.ndarray, row_of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Where pieces stand in the words, with what each is of (a length or
+        an item) and its place there; for one size of piece after the other."""
         known = np.append(0, np.cumsum(words > 0))
-        found: dict[int, list[np.ndarray]] = defaultdict(list)
-        for size, (hashes, lengths, places) in self.pieces.items():
+        for size, (hashes, owners, places) in pieces.items():
             if len(words) < size:
                 continue
             at = np.flatnonzero(known[size:] - known[:-size] == size)
@@ -173,17 +192,44 @@ class ItemBlock:
             hit = np.flatnonzero(high > low)
             count = (high - low)[hit]
             which = np.repeat(low[hit] - np.append(0, np.cumsum(count))[:-1], count) + np.arange(int(count.sum()))
-            where = np.repeat(at[hit], count)
-            for n in np.unique(lengths[which]):
-                of = lengths[which] == n
+            yield np.repeat(at[hit], count), owners[which], places[which]
+
+    def windows(self, words: np.ndarray, row_of: np.ndarray, first_of: np.ndarray, end_of: np.ndarray) -> dict[int, np.ndarray]:
+        """For each item length the starts of the windows that may hold a match."""
+        found: dict[int, list[np.ndarray]] = defaultdict(list)
+        for where, lengths, places in self._standing(self.pieces, words, row_of):
+            for n in np.unique(lengths):
+                of = lengths == n
                 allowed = int(self.distance * n)
-                middle = where[of] - places[which][of]
+                middle = where[of] - places[of]
                 starts = (middle[:, None] + np.arange(-allowed, allowed + 1)).reshape(-1)
                 home = np.repeat(where[of], 2 * allowed + 1)
                 starts = np.maximum(starts, first_of[home])
                 found[int(n)].append(starts[starts < end_of[home]])
         return {n: np.unique(np.concatenate(some)) for n, some in found.items()}
 
+    def beside(self, words: np.ndarray, row_of: np.ndarray, first_of: np.ndarray) -> set[tuple[int, int, int]]:
+        """(row, item, start) wherever a piece of an item without repetitions
+        stands, one for the starts that share a region."""
+        sizes = np.array([len(pattern) for _, pattern in self.items], dtype=np.int64)
+        out: set[tuple[int, int, int]] = set()
+        for where, items, places in self._standing(self.own_pieces, words, row_of):
+            start = np.maximum(where - places, first_of[where])
+            near = start // (sizes[items] // 4 + 1)
+            order = np.lexsort((start, near, items, row_of[where]))
+            row, item, near, start = row_of[where][order], items[order], near[order], start[order]
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (near[1:] != near[:-1])
+            out.update(zip(row[new].tolist(), item[new].tolist(), start[new].tolist()))
+        return out
+
+    def _holds(self, k: int, region: np.ndarray, least: int) -> bool:
+        """Whether the region has so many of the item's words, in any order."""
+        words, counts = self.bags[k]
+        at = np.minimum(np.searchsorted(words, region), len(words) - 1)
+        there = np.bincount(at[words[at] == region], minlength=len(words))
+        return int(np.minimum(there, counts).sum()) >= least
+
     def matches(self, words: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int]]:
         """(row, item, distance) for the rows whose words (numbers, 0 for
         words outside the benchmark) stand one after the other."""
@@ -191,7 +237,7 @@ class ItemBlock:
         row_of = np.repeat(np.arange(len(sizes)), sizes)
         end_of = np.repeat(ends, sizes)
         first_of = np.repeat(ends - sizes, sizes)
-        candidates: set[tuple[int, int, int]] = set()
+        candidates = self.beside(words, row_of, first_of)
         for n, starts in self.windows(words, row_of, first_of, end_of).items():
             for table, keys in zip(self.tables[n], self.keys(words, starts, np.minimum(starts + n, end_of[starts]), n)):
                 hit = np.flatnonzero(np.isin(keys, np.fromiter(table, dtype=np.uint64, count=len(table))))
@@ -207,8 +253,10 @@ class ItemBlock:
             if start < covered.get((row, k), -1) or best.get((row, k)) == 0:
                 continue
             first = int(ends[row] - sizes[row])
-            region = words[max(first, start - allowed - n // 4):min(int(ends[row]), start + n + allowed + n // 2)]
+            region = words[max(first, start - allowed - n // 4):min(int(ends[row]), start + n + allowed + max(n // 2, n // 4 + allowed))]
             covered[row, k] = start + n // 4 + 1
+            if not self._holds(k, region, n - allowed):
+                continue
             found = word_distance_in(pattern, region)
             if found <= allowed:
                 best[row, k] = min(found, best.get((row, k), n))

@@ -78,6 +78,31 @@ def test_recall_and_precision_against_brute_force(spark):
     assert len(got) >= 0.97 * len(want) and len(want) >= 190
 
 
+@pytest.mark.parametrize("n", [30, 60, 100, 300, 600])
+@pytest.mark.parametrize("kind", ["deletions", "insertions"])
+def test_recall_with_all_edits_of_one_kind(n, kind):
+    """Every edit that the threshold allows, at random places."""
+    rng = random.Random(n)
+    vocabulary = [f"w{i}" for i in range(700)]
+    word = lambda: rng.choice(["the", "of", "and", "to", "in"]) if rng.random() < 0.35 else rng.choice(vocabulary)
+    edits = int(dc.DISTANCE * n)
+    items = [(i, [word() for _ in range(n)]) for i in range(200 if n <= 100 else 20)]
+    block = dc.ItemBlock(items)
+    rows = []
+    for _, words in items:
+        words = list(words)
+        for _ in range(edits):
+            if kind == "deletions":
+                del words[rng.randrange(len(words))]
+            else:
+                words.insert(rng.randrange(len(words)), word())
+        rows.append([word() for _ in range(50)] + words + [word() for _ in range(50)])
+    numbers = np.array([block.number.get(w, 0) for row in rows for w in row])
+    got = {(row, item) for row, item, _ in block.matches(numbers, np.array([len(row) for row in rows]))}
+    assert sum((i, i) in got for i, _ in items) >= 0.99 * len(items)
+    assert all(distance_in(items[i][1], rows[row]) <= edits for row, i in got if row != i)
+
+
 def test_blocks_of_items_give_the_same(spark):
     docs, items = corpus(10, 4, seed=9)
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
