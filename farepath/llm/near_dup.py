@@ -51,8 +51,10 @@ from farepath.operators.lookup import checked_broadcast
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, BAND_ROWS = 25, 5
-#: By how much the overlap of 32-bit hashes may be off the true one.
-SLACK = 2
+#: By how much the overlap of 32-bit hashes may be off the true one: so many
+#: elements, and one more for each ``SLACK_SQUARE`` of the sizes' square. About
+#: the square / 2**33 collide at most, 64 times fewer.
+SLACK, SLACK_SQUARE = 2, 1 << 27
 #: Keys of documents without an id are this number or less; ids are greater.
 NO_ID = -(1 << 62)
 #: Ids of documents in shared buckets up to which they are broadcast.
@@ -282,6 +284,10 @@ def _reach(common: Column, sizes: Column, threshold: float) -> Column:
     return common >= threshold * (sizes - common)
 
 
+def _slack(sizes: Column) -> Column:
+    return F.lit(SLACK) + sizes.cast("double") * sizes / SLACK_SQUARE
+
+
 def _exact(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """Those of the pairs whose exact multiset overlap reaches the threshold."""
     common, sizes = F.col("common"), F.col("sizes")
@@ -292,8 +298,8 @@ def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """The same from the brief bags, half as large; the few pairs so near the
     threshold that these can't tell are compared in full."""
     common, sizes = F.col("common"), F.col("sizes")
-    near = written(_compared(pairs, bags, "brief").filter(_reach(common + SLACK, sizes, threshold))
-                   .select("a", "b", _reach(common - SLACK, sizes, threshold).alias("sure")), "near-verified")
+    near = written(_compared(pairs, bags, "brief").filter(_reach(common + _slack(sizes), sizes, threshold))
+                   .select("a", "b", _reach(common - _slack(sizes), sizes, threshold).alias("sure")), "near-verified")
     return near.filter("sure").select("a", "b").union(_exact(near.filter("not sure").select("a", "b"), bags, threshold))
 
 
@@ -317,12 +323,13 @@ def _near_pairs(mixed: DataFrame, signed: DataFrame, bags: DataFrame, threshold:
     rows = written(mixed.join(about, F.col("rep") == F.col("of"))
                    .select("bucket", "rep", "label", "main", earlier.alias("earlier"), "brief", F.size("brief").alias("size")), "near-beside")
     x, y = rows.alias("x"), rows.filter(~F.col("main")).alias("y")
-    common = F.size(F.array_intersect("x.brief", "y.brief")) + SLACK
+    sizes = F.col("x.size") + F.col("y.size")
+    common = F.size(F.array_intersect("x.brief", "y.brief")) + _slack(sizes)
     met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label"))
                  & (F.col("x.main") | (F.col("x.rep") < F.col("y.rep")))
                  & (F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size"))
                  & ~F.arrays_overlap("x.earlier", "y.earlier")
-                 & _reach(common, F.col("x.size") + F.col("y.size"), threshold))
+                 & _reach(common, sizes, threshold))
     return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 

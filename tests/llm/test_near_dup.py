@@ -124,6 +124,19 @@ def test_components(spark):
     assert near_dup.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_large_bags_at_the_threshold(spark):
+    """Of so many elements some share their 32 bits: the pair at the threshold
+    is no less a link for it, and the pair one element below it is none."""
+    common, own = 640_000, 80_000  # 640,000 of 800,000
+    elements = near_dup.mix64(np.arange(common + 3 * own + 1, dtype=np.uint64)).view(np.int64)
+    shared, rest = elements[:common], elements[common:]
+    bags = [np.append(shared, rest[i * own:(i + 1) * own]) for i in (0, 1)]
+    bags.append(np.append(shared, rest[2 * own:]))  # one more than the others
+    table = pa.table({"id": pa.array([1, 2, 3]), "bag": pa.array(bags, pa.list_(pa.int64())), "brief": pa.array([b.astype(np.int32) for b in bags], pa.list_(pa.int32()))})
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    assert [tuple(r) for r in near_dup._verified(pairs, spark.createDataFrame(table), 0.8).collect()] == [(1, 2)]
+
+
 def test_query_over_the_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
