@@ -31,7 +31,10 @@ member.
 Edge cases: a NULL text counts as empty; documents without words form one
 class. A NULL id stands for itself in the result; inside, a number below
 -2**62 from the text's hash takes its place (and may be a class id). Rows that share
-an id are one document: when copies are dropped, one of them stays.
+an id and a text are one document: when copies are dropped, one of them stays.
+Texts that share an id are documents of their own, told apart by a hash of the
+text beside the id (the mark). Where the classes of two of them would have the
+same id, a number below -2**62 from the mark stands for the later one.
 """
 
 from __future__ import annotations
@@ -159,40 +162,48 @@ def occurrences(bag: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.where(number == 0, bag, mix64(bag ^ mix64(number.astype(np.uint64)))).view(np.int64)
 
 
+def _marked(batch: pa.RecordBatch):
+    """``id``, ``mark`` and ``text`` of a bounded slice of rows at a time."""
+    ids, marks, texts = columns_of(batch, "id", "mark", "text")
+    for at, some in by_slice(pa.array(np.arange(batch.num_rows)), texts):
+        yield ids.take(at), marks.take(at), some
+
+
 def signatures(rows: DataFrame, bands: int, band_rows: int) -> DataFrame:
-    """From ``id``, ``text``: ``id``, ``digest`` of the bag, ``keys`` of the
-    bands (none without words)."""
-    kind = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    """From ``id``, ``mark``, ``text``: ``id``, ``mark``, ``digest`` of the
+    bag, ``keys`` of the bands (none without words)."""
+    kind = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def sign(batches):
         for batch in batches:
-            for ids, texts in by_slice(*columns_of(batch, "id", "text")):
+            for ids, marks, texts in _marked(batch):
                 bag, counts = shingle_bags(texts)
                 ends = np.cumsum(counts)
                 digests = [hashlib.sha256(bag[e - c:e].tobytes()).digest() for c, e in zip(counts.tolist(), ends.tolist())]
                 keys = band_keys(bag_min_hash(*weigh(bag, counts), len(counts), bands * band_rows), bands, band_rows)
                 have = counts > 0
                 offsets = pa.array(np.append(0, np.cumsum(have * bands)).astype(np.int32))
-                yield record_batch(kind, [ids, digests, pa.ListArray.from_arrays(offsets, pa.array(keys[have].reshape(-1)))])
+                yield record_batch(kind, [ids, marks, digests, pa.ListArray.from_arrays(offsets, pa.array(keys[have].reshape(-1)))])
 
-    return rows.select("id", "text").mapInArrow(sign, "id long, digest binary, keys array<long>")
+    return rows.select("id", "mark", "text").mapInArrow(sign, "id long, mark long, digest binary, keys array<long>")
 
 
 def bag_sets(rows: DataFrame) -> DataFrame:
-    """From ``id``, ``text``: ``id``, ``bag``, the elements to verify with,
-    and ``brief``, 32 bits of each."""
-    kind = pa.schema([("id", pa.int64()), ("bag", pa.list_(pa.int64())), ("brief", pa.list_(pa.int32()))])
+    """From ``id``, ``mark``, ``text``: ``id`` (both), ``bag``, the elements
+    to verify with, and ``brief``, 32 bits of each."""
+    kind = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("bag", pa.list_(pa.int64())), ("brief", pa.list_(pa.int32()))])
 
     def bags(batches):
         for batch in batches:
-            for ids, texts in by_slice(*columns_of(batch, "id", "text")):
+            for ids, marks, texts in _marked(batch):
                 bag, counts = shingle_bags(texts)
                 offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
                 elements = occurrences(bag, counts)
-                yield record_batch(kind, [ids, pa.ListArray.from_arrays(offsets, pa.array(elements)),
+                yield record_batch(kind, [ids, marks, pa.ListArray.from_arrays(offsets, pa.array(elements)),
                                           pa.ListArray.from_arrays(offsets, pa.array(elements.astype(np.int32)))])
 
-    return rows.select("id", "text").mapInArrow(bags, "id long, bag array<long>, brief array<int>")
+    found = rows.select("id", "mark", "text").mapInArrow(bags, "id long, mark long, bag array<long>, brief array<int>")
+    return found.select(document().alias("id"), "bag", "brief")
 
 
 # --- classes ------------------------------------------------------------------
@@ -202,6 +213,16 @@ def row_key(id_column: str, text: Column) -> Column:
     return F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID) - F.pmod(F.xxhash64(text), F.lit(1 << 61)))
 
 
+def mark_of(text: Column) -> Column:
+    """What tells the texts of one id apart; not the hash in :func:`row_key`."""
+    return F.xxhash64(F.lit(1), text)
+
+
+def document() -> Column:
+    """A row's id with the mark of its text, in order of the ids."""
+    return F.struct("id", "mark")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` (the least node of its component) for the nodes of
     undirected ``edges`` (a, b): nodes are hooked to the least neighbour of
@@ -230,21 +251,39 @@ def components(edges: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD,
                  bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``key`` (the id, or what takes
-    its place) and ``class_id``, the least key of its class."""
+    its place) and ``class_id``, the least key of its class (or what takes its
+    place if the class of another text of that id has it)."""
+    signed, reps = _rooted(docs, id_column, text_column, threshold, bands, band_rows)
+    class_id = F.col("root.id")
+    repeated = written(signed.groupBy("id").agg(F.min("mark").alias("l"), F.max("mark").alias("h")).filter("l < h").select(F.col("id").alias("of")), "near-repeated")
+    if not repeated.isEmpty():
+        roots = reps.select(F.col("root.id").alias("root_id"), F.col("root.mark").alias("root_mark"))
+        least = (roots.join(repeated, F.col("root_id") == F.col("of"), "left_semi")
+                 .groupBy("root_id").agg(F.min("root_mark").alias("first_mark")).withColumnRenamed("root_id", "of"))
+        reps = reps.join(least, F.col("root.id") == F.col("of"), "left")
+        class_id = F.when(F.col("root.mark") > F.col("first_mark"), F.lit(2 * NO_ID) + F.pmod(F.col("root.mark"), F.lit(1 << 61))).otherwise(class_id)
+    return (signed.select("id", "digest").join(reps.select("digest", class_id.alias("class_id")), "digest")
+            .select(F.when(F.col("id") > NO_ID, F.col("id")).alias("doc_id"), F.col("id").alias("key"), "class_id"))
+
+
+def _rooted(docs: DataFrame, id_column: str, text_column: str, threshold: float = THRESHOLD, bands: int = BANDS,
+            band_rows: int = BAND_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The signatures of the rows; and ``digest``, ``root``: for each bag the
+    least document of its class."""
     text = text_of(text_column)
-    rows = docs.select(row_key(id_column, text).alias("id"), text.alias("text"))
+    rows = docs.select(row_key(id_column, text).alias("id"), mark_of(text).alias("mark"), text.alias("text"))
     signed = written(signatures(rows, bands, band_rows), "near-signatures")
-    classes = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
+    classes = signed.groupBy("digest").agg(F.min(document()).alias("rep"), F.first("keys").alias("keys"))
     buckets = _shared_buckets(classes)
     # The documents in shared buckets; their ids are broadcast while they are few.
-    wanted = checked_broadcast(buckets.select("rep").distinct(), BROADCAST_IDS)
-    # One row for each id: rows that share an id have their first text's bag.
-    texts = rows.join(wanted, F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"])
+    wanted = checked_broadcast(buckets.select(F.col("rep.id").alias("rep_id"), F.col("rep.mark").alias("rep_mark")).distinct(), BROADCAST_IDS)
+    # One row for each document, also if it is repeated.
+    texts = rows.join(wanted, (F.col("id") == F.col("rep_id")) & (F.col("mark") == F.col("rep_mark")), "left_semi").dropDuplicates(["id", "mark"])
     bags = written(bag_sets(texts), "near-bags")
 
     # The first pivot of each bucket, compared with all its members.
-    central = F.max(F.struct("degree", (-F.col("rep")).alias("rep"))).alias("p")
-    first = buckets.groupBy("bucket").agg(central).select(F.col("bucket").alias("p_bucket"), (-F.col("p.rep")).alias("pivot"))
+    central = F.min(F.struct((-F.col("degree")).alias("less"), "rep")).alias("p")
+    first = buckets.groupBy("bucket").agg(central).select(F.col("bucket").alias("p_bucket"), F.col("p.rep").alias("pivot"))
     met = written(buckets.join(first, F.col("bucket") == F.col("p_bucket")).filter("rep <> pivot")
                   .select("bucket", "rep", "degree", "pivot"), "near-first")
     links = _verified(met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), bags, threshold)
@@ -255,10 +294,8 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         if not found.isEmpty():
             labels = components(links.union(found))
 
-    reps = (classes.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left")
-            .select("digest", F.coalesce("root", "rep").alias("class_id")))
-    return (signed.select("id", "digest").join(reps, "digest")
-            .select(F.when(F.col("id") > NO_ID, F.col("id")).alias("doc_id"), F.col("id").alias("key"), "class_id"))
+    return signed, (classes.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left")
+                    .select("digest", F.coalesce("root", "rep").alias("root")))
 
 
 def _shared_buckets(classes: DataFrame) -> DataFrame:
@@ -317,7 +354,7 @@ def _near_pairs(mixed: DataFrame, signed: DataFrame, bags: DataFrame, threshold:
     """Pairs of members of one bucket and different components, one of them
     outside the main one, that reach the threshold by their brief bags."""
     reps = mixed.select("rep").distinct()
-    about = (reps.join(signed.select("id", "keys").dropDuplicates(["id"]), F.col("rep") == F.col("id")).drop("id")
+    about = (reps.join(signed.select(document().alias("id"), "keys").dropDuplicates(["id"]), F.col("rep") == F.col("id")).drop("id")
              .join(bags.select("id", "brief"), F.col("rep") == F.col("id")).drop("id").withColumnRenamed("rep", "of"))
     earlier = F.slice("keys", F.lit(1), (F.array_position("keys", F.col("bucket")) - 1).cast("int"))
     rows = written(mixed.join(about, F.col("rep") == F.col("of"))
@@ -335,9 +372,13 @@ def _near_pairs(mixed: DataFrame, signed: DataFrame, bags: DataFrame, threshold:
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class, the one of the least id."""
-    kept = near_classes(docs, id_column, text_column, **options).filter("key = class_id").select(F.col("key").alias("kept_key")).distinct()
+    _, reps = _rooted(docs, id_column, text_column, **options)
     name = "row_key"
-    while name.lower() in {c.lower() for c in docs.columns}:
+    while any(c.lower().startswith(name) for c in docs.columns):
         name += "_"
-    rows = docs.withColumn(name, row_key(id_column, text_of(text_column)))
-    return rows.join(kept.withColumnRenamed("kept_key", f"{name}_kept"), F.col(name) == F.col(f"{name}_kept"), "left_semi").dropDuplicates([name]).drop(name)
+    key, mark, kept_key, kept_mark = (name + end for end in ("id", "mark", "kept_id", "kept_mark"))
+    kept = reps.select(F.col("root.id").alias(kept_key), F.col("root.mark").alias(kept_mark)).distinct()
+    text = text_of(text_column)
+    rows = docs.withColumns({key: row_key(id_column, text), mark: mark_of(text)})
+    same = (F.col(key) == F.col(kept_key)) & (F.col(mark) == F.col(kept_mark))
+    return rows.join(kept, same, "left_semi").dropDuplicates([key, mark]).drop(key, mark)

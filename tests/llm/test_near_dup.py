@@ -137,6 +137,24 @@ def test_large_bags_at_the_threshold(spark):
     assert [tuple(r) for r in near_dup._verified(pairs, spark.createDataFrame(table), 0.8).collect()] == [(1, 2)]
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_texts_that_share_an_id(spark, seed):
+    """Each text keeps its own copies, whichever row comes first."""
+    rng = random.Random(seed)
+    a, b, c = ([f"{name}{i}" for i in range(100)] for name in "abc")
+    rows = [(1, "a", " ".join(a)), (1, "b", " ".join(b)), (1, "b", " ".join(b)), (2, "a", edited(rng, a, 1)), (3, "b", edited(rng, b, 1)),
+            (4, "a", " ".join(a[:-1])), (4, "b", " ".join(b[1:])), (4, "c", " ".join(c)), (5, "c", edited(rng, c, 1)), (6, "c", " ".join(c))]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, kind string, text string")
+    got = near_dup.near_classes(docs).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
+    sizes = Counter(r["class_id"] for r in got)
+    assert sorted(sizes.values()) == [3, 3, 4]  # c, a, b
+    assert all({i for i, k, _ in rows if k == kind} in [{r["doc_id"] for r in got if r["class_id"] == x} for x in sizes] for kind in "abc")
+    kept = near_dup.drop_near_copies(docs).collect()
+    assert sorted((r["doc_id"], r["kind"]) for r in kept) == [(1, "a"), (1, "b"), (4, "c")]
+
+
 def test_query_over_the_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
