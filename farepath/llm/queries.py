@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farepath.llm import (
+    alignment,
     decontaminate,
     exact_dedup,
     language,
@@ -98,10 +99,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= TOXIC_AT_LEAST).cast("int").alias("predicted"), spans.alias("spans"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_token_ids, op2_quality, op3_decontaminate, op4_mix, op5_token_counts, op6_language, op7_exact_dedup,
-              op8_secrets, op9_near_dup, op10_toxicity)
+              op8_secrets, op9_near_dup, op10_toxicity, op11_alignment)
 }
 
 # Words are counted by splitting; DuckDB's md5 and hexadecimal casts give the draws.

@@ -1,0 +1,136 @@
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from farepath.llm import alignment
+from tests.llm import edge
+
+A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+TEXTS = [
+    "plain words, and some more of them", "", None, " leading and trailing ", "two  spaces\n\nand\tlines \n x", "   ", " ", "\n",
+    "1234567 89.10 it's they'll WE'VE", "naïve café Übergröße ñandú", "日本語のテキスト と spaces", "emoji 👩‍👩‍👧 and   hard spaces   x",
+    "a ▁ mark", "<s> </s> <unk> <0x0A> <|endoftext|>", "x" * 5000 + " " + "ab " * 300, "nul \x00 and \x85 next \x1c end", "tab\t \tend", "é combining",
+    "​ zero width", "words " * 50 + "words",
+]
+
+
+def tokenizers():
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+    a = Tokenizer.from_file(A)
+    a.encode_special_tokens = True
+    return a, SentencePieceProcessor(model_file=B)
+
+
+def brute(texts):
+    """Whole texts through the libraries, links by comparing byte ranges."""
+    a_side, b_side = tokenizers()
+    bytes_a = alignment.ByteLevelTokens(A).bytes_of
+    out, holds = [], Counter()
+    for text in texts:
+        whole = b" " + (text or "").encode()
+        sides = []
+        if text:
+            piece = lambda i: bytes([int(b_side.id_to_piece(i)[3:5], 16)]) if b_side.is_byte(i) else b_side.id_to_piece(i).replace("▁", " ").encode()
+            for ids, of in ((a_side.encode(" " + text, add_special_tokens=False).ids, bytes_a.__getitem__), (b_side.encode(text), piece)):
+                at, ranges = 0, []
+                for i in ids:
+                    ranges.append((i, at, at + len(of(i))))
+                    at = ranges[-1][2]
+                sides.append(ranges if b"".join(of(i) for i in ids) == whole else None)
+        if not text or None in sides:
+            out.append(([], [], [], ""))
+            continue
+        a, b = sides
+        links = [(x, y) for x, s, e in a for y, t, f in b if max(s, t) < min(e, f)]
+        holds.update(set(links))
+        cuts = sorted({e for _, _, e in a} & {f for _, _, f in b})
+        groups, low = [], 0
+        for cut in cuts:
+            groups.append(",".join(str(i) for i, s, e in a if low <= s and e <= cut) + "|" + ",".join(str(i) for i, s, e in b if low <= s and e <= cut))
+            low = cut
+        out.append((a, b, links, ";".join(groups)))
+    highest = defaultdict(int)
+    for (x, _), n in holds.items():
+        highest[x] = max(highest[x], n)
+    return [(len(a), len(b), groups.count(";") + 1 if groups else 0, len(links), sum(holds[p] == highest[p[0]] for p in links), sum(holds[p] for p in links),
+             hashlib.sha256(groups.encode()).hexdigest() if groups else "") for a, b, links, groups in out]
+
+
+COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def found(frame):
+    return {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in frame.collect()}
+
+
+@pytest.mark.parametrize("work", [1, 2, 3, 7, 1000])
+def test_pieces_equal_the_whole_merge(work):
+    rng = random.Random(work)
+    for _ in range(200):
+        total = rng.randint(1, 60)
+        a, b = (np.array(sorted({*rng.sample(range(1, total + 1), rng.randint(0, total)), total})) for _ in range(2))
+        want = []
+        for x, (s, e) in enumerate(zip([0, *a], a)):
+            want += [(x, y, e == f) for y, (t, f) in enumerate(zip([0, *b], b)) if max(s, t) < min(e, f)]
+        assert list(zip(*(x.tolist() for x in alignment.overlaps(a, b, work)))) == want
+        i, j = alignment.merge_path(a, b, work)
+        assert all(x + y == min(k * work, len(a) + len(b)) for k, (x, y) in enumerate(zip(i, j)))
+
+
+def test_no_tokens():
+    empty = np.zeros(0, dtype=np.int64)
+    assert [len(x) for x in alignment.overlaps(empty, empty)] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("broadcast_pairs", [0, alignment.BROADCAST_PAIRS])
+def test_equals_whole_texts_by_brute_force(spark, broadcast_pairs):
+    want = dict(enumerate(brute(TEXTS)))
+    assert found(alignment.align(edge.documents(spark, TEXTS), A, B, broadcast_pairs=broadcast_pairs)) == want
+
+
+def test_random_characters(spark):
+    rng = random.Random(5)
+    alphabet = "ab c  \n\t.,'sé日▁ \x00'1 "
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    assert found(alignment.align(edge.documents(spark, texts), A, B)) == dict(enumerate(brute(texts)))
+
+
+def test_ranked_encoder_equals_the_library():
+    side = alignment.ByteLevelTokens(A)
+    assert side._quick is not None
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(0x250)]
+    segments = [" " + "".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(20000)]
+    import pyarrow as pa
+    kept = [s for s in segments if not any(c.isspace() for c in s[1:])]
+    quick, library = side.encode_plain(pa.array(kept)), side.encode(kept)
+    assert quick[0].tolist() == library[0].tolist() and quick[1].tolist() == library[1].tolist()
+
+
+def test_edge_cases(spark):
+    """The long text shortened: its brute force compares all pairs of tokens."""
+    rows = [(*r[:1], r[1][:3000] if r[1] else r[1], *r[2:]) for r in edge.rows()]
+    got = alignment.align(edge.frame(spark, rows), A, B).collect()
+    assert sorted(tuple(r[c] for c in COLUMNS) for r in got) == sorted(brute([r[1] for r in rows]))
+    assert len(alignment.align(edge.frame(spark), A, B).collect()) == len(rows)
+
+
+def test_empty_table(spark):
+    assert alignment.align(edge.frame(spark, []), A, B).collect() == []
+
+
+def test_unbroken_word_crosses_pieces():
+    import pyarrow as pa
+    rng = random.Random(1)
+    text = "".join(rng.choice("etaoinshr") for _ in range(4000))
+    aligner = alignment.Aligner(A, B)
+    whole, pieces = (aligner.align(pa.array([text]), work) for work in (10**9, 64))
+    assert [x.to_pylist() if isinstance(x, pa.Array) else list(x) for x in whole] == [x.to_pylist() if isinstance(x, pa.Array) else list(x) for x in pieces]
