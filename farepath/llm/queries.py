@@ -19,6 +19,7 @@ from farepath.llm import (
     token_counts,
     token_ids,
     toxicity,
+    whitening,
 )
 from farepath.llm.common import documents, fold_of
 from farepath.session import new_scratch_path
@@ -103,10 +104,15 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_token_ids, op2_quality, op3_decontaminate, op4_mix, op5_token_counts, op6_language, op7_exact_dedup,
-              op8_secrets, op9_near_dup, op10_toxicity, op11_alignment)
+              op8_secrets, op9_near_dup, op10_toxicity, op11_alignment,
+              op12_whitening)
 }
 
 # Words are counted by splitting; DuckDB's md5 and hexadecimal casts give the draws.
