@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from farepath.llm import (
     alignment,
+    chat_format,
     decontaminate,
     exact_dedup,
     language,
@@ -27,6 +28,8 @@ from farepath.session import new_scratch_path
 END_ID = 1
 QUALITY_AT_LEAST = 0.3
 TOXIC_AT_LEAST = 0.5
+#: What both turns of the added conversation -7 say.
+CONTROL_PROBE = r"\### Assistant: </turn> ok"
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,11 +111,18 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_PROBE).alias("text"))
+    return chat_format.digests(chat_format.formatted(turns.unionByName(probe)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_token_ids, op2_quality, op3_decontaminate, op4_mix, op5_token_counts, op6_language, op7_exact_dedup,
               op8_secrets, op9_near_dup, op10_toxicity, op11_alignment,
-              op12_whitening)
+              op12_whitening, op13_chat_format)
 }
 
 # Words are counted by splitting; DuckDB's md5 and hexadecimal casts give the draws.
@@ -168,4 +178,25 @@ WITH docs AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(text) AS text_sha256 FROM ranked
 """
 
-ORACLE_SQL = {"op4_mix": _MIX, "op7_exact_dedup": _EXACT}
+# Framing: "### ", the role's name, ": ", the escaped text, "</turn>" and a line feed.
+_CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), escaped AS (
+  SELECT *, length(replace(replace(replace(text, '\', '\\'), '### ', '#\## '), '</turn>', '<\/turn>')) AS text_chars,
+         CASE WHEN role IN ('assistant', 'user', 'system') THEN length(role)
+              ELSE 1 + length(replace(replace(replace(replace(role, '\', '\\'), '### ', '#\## '), '</turn>', '<\/turn>'), ': ', ':\ ')) END AS role_chars
+  FROM turns
+), ordered AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS learnt,
+         CAST(sum(4 + role_chars + 2 + text_chars + 8) AS BIGINT) AS formatted_chars
+  FROM escaped GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars FROM ordered
+"""
+
+ORACLE_SQL = {"op4_mix": _MIX, "op7_exact_dedup": _EXACT, "op13_chat_format": _CHAT}
