@@ -22,7 +22,7 @@ from farepath.plans import sql_queries as sq
 from farepath.plans import trip_queries as tq
 from farepath.plans.inspect import physical_plan
 from farepath.schemas import BOROUGHS, TRIPS_2015, TRIPS_2024, ZONE_LOOKUP
-from farepath.sinks import ingest_csv_to_parquet, write_csv, write_text
+from farepath.sinks import convert_files, ingest_csv_to_parquet, write_csv, write_text
 from farepath.sinks.files import IngestItem
 from farepath.sources import read_csv, read_csv_inferred, read_parquet
 
@@ -44,7 +44,14 @@ def build(spark: SparkSession, args) -> DataFrame | None:
                  for src, name, schema in (
                      (args.trips, "trips", TRIPS_2024), (args.trips_2015, "trips_2015", None),
                      (args.zones, "zones", None)) if src]
-        ingest_csv_to_parquet(spark, items, mode=args.mode)
+        if args.manifest:
+            done = convert_files(spark, items, args.manifest)
+            for d in done:
+                print(f"{d.status}: {d.source} -> {d.target}" + (f", {d.rows} rows" if d.rows is not None else f", {d.error}"))
+            if any(d.error for d in done):
+                raise SystemExit(1)
+        else:
+            ingest_csv_to_parquet(spark, items, mode=args.mode)
         return None
     layout = TRIPS_2015 if q in ("hour-means", "farthest-trip") else TRIPS_2024
     trips = _read(spark, args.trips, fmt, layout, args.inferred) if args.trips else None
@@ -85,6 +92,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--format", choices=("parquet", "csv"), default="parquet")
     p.add_argument("--out", help="output folder (CSV, or text for reports; for ingest, the Parquet root)")
     p.add_argument("--mode", default="overwrite", help="write mode (ingest: errorifexists to refuse reruns)")
+    p.add_argument("--manifest", help="ingest: folder of records of finished files; only changed files are converted")
     p.add_argument("--show", type=int, default=0, help="print the first n rows")
     p.add_argument("--boroughs", nargs="*")
     p.add_argument("--sql", action="store_true", help="use the SQL form where there is one")

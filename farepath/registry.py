@@ -27,6 +27,7 @@ from farepath.plans import trip_queries as tq
 from farepath.schemas import REVENUE_MEASURES, TRIPS_2015, TRIPS_2024, ZONE_LOOKUP
 from farepath.session import named_scratch_path
 from farepath.streaming import run_available, stream_files
+from farepath.sinks.convert import conversions, convert_files
 from farepath.sinks.files import IngestItem, ingest_csv_to_parquet, write_csv, write_parquet, write_text
 from farepath.sources import (
     drop_header,
@@ -256,7 +257,9 @@ def q_csv_scan_inferred(spark, sf):
 
 
 def q_csv_round_trip(spark, sf):
-    return read_csv(spark, events_csv_path(spark, sf), EVENTS_SCHEMA)
+    # Written in every run, over the output of the one before, and read back.
+    path = write_csv(events(spark, sf), named_scratch_path(spark, "events-csv"), mode="overwrite")
+    return read_csv(spark, path, EVENTS_SCHEMA)
 
 
 def q_csv_overwrite(spark, sf):
@@ -272,17 +275,29 @@ def q_csv_overwrite(spark, sf):
 # The file conversion: each file by its own schema rule. Each run overwrites
 # the output of the one before.
 
-def _ingested(spark, sf, name):
+def _ingest_items(spark, sf, base):
     rules = {
         "trips_2024": (trips_csv_path(spark, sf, "2024"), TRIPS_2024),
         "trips_2015": (trips_csv_path(spark, sf, "2015"), None),
         "zones": (lookup_csv_path(spark, sf), None),
     }
-    base = named_scratch_path(spark, "ingest")
-    written = ingest_csv_to_parquet(
-        spark, [IngestItem(source, f"{base}/{n}", schema) for n, (source, schema) in rules.items() if n == name],
-        mode="overwrite")
-    return spark.read.parquet(*written)
+    return {n: IngestItem(source, f"{base}/{n}", schema) for n, (source, schema) in rules.items()}
+
+
+def _ingested(spark, sf, name):
+    item = _ingest_items(spark, sf, named_scratch_path(spark, "ingest"))[name]
+    return spark.read.parquet(*ingest_csv_to_parquet(spark, [item], mode="overwrite"))
+
+
+def q_parquet_ingest_files(spark, sf):
+    # All three files in one run, each under its own rule, as concurrent jobs.
+    base = named_scratch_path(spark, "ingest-files")
+    items = _ingest_items(spark, sf, base)
+    done = convert_files(spark, list(items.values()), f"{base}-manifest", again=True)
+    failed = [d.error for d in done if d.error]
+    if failed:
+        raise RuntimeError("; ".join(failed))
+    return conversions(spark, done)
 
 
 def q_parquet_ingest(spark, sf):
@@ -392,6 +407,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parquet_ingest": q_parquet_ingest,
     "parquet_ingest_2015": q_parquet_ingest_2015,
     "parquet_ingest_zones": q_parquet_ingest_zones,
+    "parquet_ingest_files": q_parquet_ingest_files,
     "pickup_hour_means_csv": q_pickup_hour_means_csv,
     "pickup_hour_means_inferred": q_pickup_hour_means_inferred,
     "pickup_hour_report": q_pickup_hour_report,
@@ -563,6 +579,19 @@ _TRIPS_2015_SQL = _with() + "SELECT " + ", ".join(f'{f.name} AS "{f.name}"' for
 
 _ZONES_SQL = _with() + "SELECT LocationID, Borough, Zone, CAST(NULL AS VARCHAR) AS service_zone FROM lookup"
 
+def _columns_sql(file: str, table: str, columns: list[tuple[str, str]]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{file}' AS file, (SELECT count(*) FROM {table}) AS rows, CAST({i} AS INTEGER) AS place, '{name}' AS \"column\", '{kind}' AS type"
+        for i, (name, kind) in enumerate(columns))
+
+
+# Types that inference gives for these files: whole numbers as int, times zoned.
+_INFERRED_2015 = [(f.name, {"timestamp_ntz": "timestamp"}.get(f.dataType.simpleString(), f.dataType.simpleString())) for f in TRIPS_2015.fields]
+_INGEST_FILES_SQL = _with() + " UNION ALL ".join([
+    _columns_sql("trips_2024", "trips", [(f.name, f.dataType.simpleString()) for f in TRIPS_2024.fields]),
+    _columns_sql("trips_2015", "trips", _INFERRED_2015),
+    _columns_sql("zones", "lookup", [(f.name, f.dataType.simpleString()) for f in ZONE_LOOKUP.fields])])
+
 _PICKUP_REPORT_SQL = _with() + """
 SELECT value FROM (
   SELECT 0 AS section, NULL AS h,
@@ -631,6 +660,7 @@ ORACLE_SQL: dict[str, str] = {
     "parquet_ingest": _TRIPS_2024_SQL,
     "parquet_ingest_2015": _TRIPS_2015_SQL,
     "parquet_ingest_zones": _ZONES_SQL,
+    "parquet_ingest_files": _INGEST_FILES_SQL,
     "pickup_hour_means_csv": _PICKUP_HOUR_SQL,
     "pickup_hour_means_inferred": _PICKUP_HOUR_SQL,
     "pickup_hour_report": _PICKUP_REPORT_SQL,

@@ -1,5 +1,8 @@
-"""Writers: CSV, Parquet, text, and CSV-to-Parquet ingest."""
+"""Writers: CSV, Parquet, text, and CSV-to-Parquet conversion."""
 
-from farepath.sinks.files import ingest_csv_to_parquet, write_csv, write_parquet, write_text
+from farepath.sinks.commit import recover, replace_folder
+from farepath.sinks.convert import Conversion, conversions, convert_files
+from farepath.sinks.files import IngestItem, ingest_csv_to_parquet, write_csv, write_parquet, write_text
 
-__all__ = ["ingest_csv_to_parquet", "write_csv", "write_parquet", "write_text"]
+__all__ = ["Conversion", "IngestItem", "conversions", "convert_files", "ingest_csv_to_parquet", "recover", "replace_folder", "write_csv", "write_parquet",
+           "write_text"]

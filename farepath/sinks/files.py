@@ -1,4 +1,5 @@
-"""File sinks. Write mode is always explicit; ``single_file`` merges the
+"""File sinks. Write mode is always explicit, and ``overwrite`` replaces the
+old output only once the new one is whole; ``single_file`` merges the
 partitions of an already small (aggregated) result into one file, keeping
 a global sort order."""
 
@@ -10,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from farepath.sinks.commit import replace_folder
 from farepath.sources.files import CSV_TIMESTAMP_FORMAT, read_csv, read_csv_inferred
 
 
@@ -17,24 +19,30 @@ def _prepare(df: DataFrame, single_file: bool) -> DataFrame:
     return df.coalesce(1) if single_file else df
 
 
+def _put(df: DataFrame, path: str, mode: str, single_file: bool, write) -> str:
+    """Overwriting goes through a folder beside (see :mod:`.commit`); the other
+    modes write in place. ``write`` gets a writer and a path."""
+    ready = _prepare(df, single_file)
+    if mode == "overwrite":
+        return replace_folder(df.sparkSession, path, lambda place, how: write(ready.write.mode(how), place))
+    write(ready.write.mode(mode), path)
+    return path
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists",
               header: bool = True, single_file: bool = False) -> str:
-    (_prepare(df, single_file).write.mode(mode)
-        .option("header", header)
+    return _put(df, path, mode, single_file, lambda writer, place: (
+        writer.option("header", header)
         .option("timestampNTZFormat", CSV_TIMESTAMP_FORMAT)
         .option("timestampFormat", CSV_TIMESTAMP_FORMAT)
-        .csv(path))
-    return path
+        .csv(place)))
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists",
                   partition_by: Sequence[str] | None = None,
                   single_file: bool = False) -> str:
-    writer = _prepare(df, single_file).write.mode(mode)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return path
+    return _put(df, path, mode, single_file, lambda writer, place:
+                (writer.partitionBy(*partition_by) if partition_by else writer).parquet(place))
 
 
 def write_text(df: DataFrame, path: str, mode: str = "errorifexists",
@@ -42,8 +50,7 @@ def write_text(df: DataFrame, path: str, mode: str = "errorifexists",
     """``df`` must have exactly one string column."""
     if len(df.columns) != 1:
         raise ValueError(f"text sink needs one string column, got {df.columns}")
-    _prepare(df, single_file).write.mode(mode).text(path)
-    return path
+    return _put(df, path, mode, single_file, lambda writer, place: writer.text(place))
 
 
 @dataclass(frozen=True)

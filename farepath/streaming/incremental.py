@@ -12,7 +12,8 @@ micro-batches as ``max_files_per_trigger`` makes, and leaves the latest
 complete result as a Parquet table. The checkpoint and the table live in
 the shared scratch folder, so a restarted query resumes from the last
 committed batch, and a batch that is re-run after a lost executor
-rewrites the same snapshot (overwrite is idempotent).
+rewrites the same snapshot (overwrite is idempotent). A snapshot takes the
+place of the last one when it is whole.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from farepath.sinks.files import write_parquet
 from farepath.session import named_scratch_path, new_scratch_path
 
 
@@ -43,7 +45,7 @@ def run_available(result: DataFrame, output_path: str | None = None,
     checkpoint_path = checkpoint_path or new_scratch_path(spark, "stream-checkpoint")
 
     def write_snapshot(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(output_path)
+        write_parquet(batch, output_path, mode="overwrite")
 
     query = (result.writeStream.outputMode("complete")
              .option("checkpointLocation", checkpoint_path)
