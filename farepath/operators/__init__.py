@@ -14,10 +14,14 @@ from farepath.operators.lookup import (
     sample_lookup_join,
     with_lookup,
 )
+from farepath.operators.observed import FilterCounts, FilterObserver
 from farepath.operators.report import text_report
+from farepath.operators.skew import salted_lookup_join
 from farepath.operators.topk import top_k
 
 __all__ = [
+    "FilterCounts",
+    "FilterObserver",
     "JOIN_STRATEGIES",
     "checked_broadcast",
     "group_counts",
@@ -27,6 +31,7 @@ __all__ = [
     "materialize_small",
     "one_row_per_group_max",
     "rows_at_group_max",
+    "salted_lookup_join",
     "sample_lookup_join",
     "text_report",
     "top_k",

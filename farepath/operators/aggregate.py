@@ -76,32 +76,37 @@ def group_money_sums(df: DataFrame, keys: str | Sequence[str],
     keys = _keys(keys)
     if not exact_cents:
         return df.groupBy(*keys).agg(*[F.sum(src).alias(dst) for src, dst in measures.items()])
-    factor = 10 ** scale
-    unit = F.lit(Decimal(1).scaleb(-scale))
-
-    def countable(x):
-        return F.abs(x) < _MOST_EXACT  # NaN is greater than any number
-
-    def units(c):
-        # Plain double arithmetic: Spark's round() on a double goes through
-        # BigDecimal and costs ~3x more.
-        x = F.col(c).cast("double")
-        return F.when(countable(x), (F.signum(x) * F.floor(F.abs(x) * factor + 0.5)).cast("long"))
-
-    def rest(c):
-        x = F.col(c).cast("double")
-        return F.when(~countable(x), x)
-
-    cents = df.groupBy(*keys).agg(*[
-        a for i, src in enumerate(measures)
-        for a in (F.sum(units(src)).alias(f"__c{i}"), F.sum(rest(src)).alias(f"__x{i}"))
-    ])
+    # One test a row for amounts without cents; nearly no row has any, and
+    # only then is each measure looked at for them.
+    odd = ~(sum((F.abs(F.coalesce(F.col(src).cast("double"), F.lit(0.0))) for src in measures), F.lit(0.0)) < _MOST_EXACT)
+    cents = df.withColumn("__odd", odd).groupBy(*keys).agg(
+        *[F.sum(_units(src, scale)).alias(f"__c{i}") for i, src in enumerate(measures)],
+        *[F.sum(F.when(F.col("__odd"), _rest(src))).alias(f"__x{i}") for i, src in enumerate(measures)])
     out = []
     for i, (src, dst) in enumerate(measures.items()):
-        total = (F.col(f"__c{i}").cast("decimal(38,0)") * unit).cast(f"decimal(38,{scale})")
+        total = _amount(f"__c{i}", scale)
         if inexact is None:
             total = F.when(F.col(f"__x{i}").isNull(), total)
         out.append(total.alias(dst))
         if inexact is not None and src in inexact:
             out.append(F.col(f"__x{i}").alias(inexact[src]))
     return cents.select(*keys, *out)
+
+
+def _countable(c: str):
+    return F.abs(F.col(c).cast("double")) < _MOST_EXACT  # NaN is greater than any number
+
+
+def _units(c: str, scale: int):
+    # Plain double arithmetic: Spark's round() on a double goes through
+    # BigDecimal and costs ~3x more.
+    x = F.col(c).cast("double")
+    return F.when(_countable(c), (F.signum(x) * F.floor(F.abs(x) * 10 ** scale + 0.5)).cast("long"))
+
+
+def _rest(c: str):
+    return F.when(~_countable(c), F.col(c).cast("double"))
+
+
+def _amount(cents: str, scale: int):
+    return (F.col(cents).cast("decimal(38,0)") * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal(38,{scale})")

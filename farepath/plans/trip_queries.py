@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farepath.functions import (
@@ -26,6 +26,7 @@ from farepath.functions import (
     money,
 )
 from farepath.operators import (
+    FilterObserver,
     group_counts,
     group_means,
     group_means_udf,
@@ -38,6 +39,8 @@ from farepath.operators import (
     with_lookup,
 )
 from farepath.operators.lookup import DEFAULT_MAX_BROADCAST_ROWS, join_roles
+from farepath.operators.observed import filtered
+from farepath.operators.skew import salted_lookup_join
 from farepath.schemas import BOROUGHS, REVENUE_MEASURES
 
 PICKUP_COORDS = ("pickup_longitude", "pickup_latitude")
@@ -69,15 +72,17 @@ def _round(c, decimals):
 def hour_of_day_means(df: DataFrame, time_col: str = PICKUP_TIME,
                       measures: Mapping[str, str] | None = None,
                       nonzero: Sequence[str] | None = None,
-                      decimals: int | None = None, use_udf: bool = False) -> DataFrame:
+                      decimals: int | None = None, use_udf: bool = False,
+                      observer: FilterObserver | None = None) -> DataFrame:
     """Mean of each measure per hour of day, rows with a zero or NULL in
     ``nonzero`` left out, ordered by hour. ``use_udf`` builds the means from
     sums and counts with a vectorised Python division instead of ``avg``.
     A text ``time_col`` (lines parsed without a timestamp type) gives its
-    hour from the two characters after the date."""
+    hour from the two characters after the date. ``observer`` counts what the
+    filter keeps and drops."""
     measures = dict(measures or {"pickup_longitude": "Longitude", "pickup_latitude": "Latitude"})
     nonzero = list(nonzero if nonzero is not None else measures)
-    hours = (df.where(all_nonzero(*nonzero))
+    hours = (filtered(df, all_nonzero(*nonzero), observer)
              .select(_hour(df, time_col).alias(HOUR), *measures))
     agg = (group_means_udf(hours, HOUR, measures) if use_udf
            else group_means(hours, HOUR, measures))
@@ -102,10 +107,11 @@ def with_distance_duration(trips: DataFrame, vendor: str = "VendorID",
                            pickup: Sequence[str] = PICKUP_COORDS,
                            dropoff: Sequence[str] = DROPOFF_COORDS,
                            pickup_time: str = PICKUP_TIME, dropoff_time: str = DROPOFF_TIME,
-                           radius_km: float = EARTH_RADIUS_KM) -> DataFrame:
+                           radius_km: float = EARTH_RADIUS_KM, observer: FilterObserver | None = None) -> DataFrame:
     """Trips with all four coordinates non-zero, finite and non-NULL, with
-    ``distance_km`` and ``duration_min``."""
-    return (trips.where(all_nonzero(*pickup, *dropoff) & all_finite(*pickup, *dropoff))
+    ``distance_km`` and ``duration_min``. ``observer`` counts what the filter
+    keeps and drops."""
+    return (filtered(trips, all_nonzero(*pickup, *dropoff) & all_finite(*pickup, *dropoff), observer)
             .select(vendor, *pickup, *dropoff, pickup_time, dropoff_time,
                     haversine_km(pickup[0], pickup[1], dropoff[0], dropoff[1], radius_km)
                     .alias("distance_km"),
@@ -290,6 +296,23 @@ def lookup_join_counts(trips: DataFrame, lookup: DataFrame, strategy: str,
     return joined.groupBy(lookup_key, zone_col).agg(F.sum("__n").alias("trips"))
 
 
+def salted_join_counts(trips: DataFrame, lookup: DataFrame, strategy: str = "merge", fact_key: str = "PULocationID",
+                       lookup_key: str = "LocationID", zone_col: str = "Zone", tasks: int | None = None) -> DataFrame:
+    """The counts of :func:`lookup_join_counts` by joining every trip, under a
+    strategy that shuffles them; hot zones are salted."""
+    joined = salted_lookup_join(trips.select(fact_key), lookup, fact_key, {lookup_key: lookup_key, zone_col: zone_col}, lookup_key, strategy, tasks)
+    return group_counts(joined, [lookup_key, zone_col], "trips")
+
+
+def bucketed_join_counts(spark: SparkSession, trips_table: str, zones_table: str, fact_key: str = "PULocationID",
+                         lookup_key: str = "LocationID", zone_col: str = "Zone") -> DataFrame:
+    """The same counts by joining every trip of a table bucketed by its zone id
+    to zones bucketed alike: a merge join and a count without a shuffle."""
+    trips, zones = (spark.table(t).alias(a) for t, a in ((trips_table, "t"), (zones_table, "z")))
+    joined = trips.join(zones.hint("merge"), F.col(f"t.{fact_key}") == F.col(f"z.{lookup_key}"))
+    return group_counts(joined.select(lookup_key, zone_col), [lookup_key, zone_col], "trips")
+
+
 def joined_row_count(joined: DataFrame, name: str = "rows") -> DataFrame:
     """Size of a join result as a one-row DataFrame (a global count: one
     partial count per task, one final row)."""

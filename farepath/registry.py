@@ -21,21 +21,28 @@ from pyspark.sql.types import (
 )
 
 from farepath.functions import duration_minutes
-from farepath.operators import one_row_per_group_max, rows_at_group_max
+from farepath.operators import FilterObserver, one_row_per_group_max, rows_at_group_max
 from farepath.plans import sql_queries as sq
 from farepath.plans import trip_queries as tq
 from farepath.schemas import REVENUE_MEASURES, TRIPS_2015, TRIPS_2024, ZONE_LOOKUP
 from farepath.session import named_scratch_path
 from farepath.streaming import run_available, stream_files
 from farepath.sinks.convert import conversions, convert_files
+from farepath.sinks.layout import read_between
 from farepath.sinks.files import IngestItem, ingest_csv_to_parquet, write_csv, write_parquet, write_text
 from farepath.sources import (
+    accepted,
+    counts_by_reason,
     drop_header,
     parse_delimited,
+    parse_delimited_checked,
     read_csv,
+    read_csv_checked,
     read_csv_inferred,
+    read_csv_inferred_once,
     read_delimited,
     read_lines,
+    refused,
 )
 from farepath.sources import tables
 from farepath.sources.tables import (
@@ -59,6 +66,12 @@ EVENTS_SCHEMA = StructType([
     StructField("props", StringType()),
 ])
 
+#: The events as lines without their JSON.
+EVENT_LINE_SCHEMA = StructType(EVENTS_SCHEMA.fields[:5])
+#: Buckets of the tables that are joined without a shuffle.
+BUCKETS = 16
+#: First and last (not included) pickup time of the date-limited question.
+DATES = ("1994-03-15 00:00:00", "1995-02-02 12:00:00")
 EVENT_MEASURES = {"value": "MeanValue", "user_id": "MeanUserId"}
 LOOKUP_SAMPLE_ROWS = 10
 TOP_PAIRS = 4
@@ -366,6 +379,61 @@ def q_zone_pairs_streaming(spark, sf):
     return spark.read.parquet(run_available(counts))
 
 
+def q_csv_refused(spark, sf):
+    # Lines broken on purpose, read as CSV: how many are accepted, how many
+    # refused for which reason.
+    schema = EVENT_LINE_SCHEMA
+    checked = read_csv_checked(spark, tables.broken_events_path(spark, sf), schema, header=False)
+    return counts_by_reason(checked, refused(checked, schema))
+
+
+def q_csv_accepted(spark, sf):
+    return accepted(read_csv_checked(spark, tables.broken_events_path(spark, sf), EVENT_LINE_SCHEMA, header=False))
+
+
+def q_text_refused(spark, sf):
+    # The same lines split by expressions: the refused ones themselves.
+    fields = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(EVENT_LINE_SCHEMA.fields)]
+    checked = parse_delimited_checked(read_lines(spark, tables.broken_events_path(spark, sf)), fields)
+    return checked.filter("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("rows"), F.max(F.length("_refused_line")).alias("longest"))
+
+
+def q_hour_filter_counts(spark, sf):
+    # What the filters of the hour means and of the distances keep and drop,
+    # observed while the results are written.
+    rows = []
+    for name, build in (("hour_of_day_means", lambda o: tq.hour_of_day_means(_trips(spark, sf), observer=o)),
+                        ("farthest_trip", lambda o: tq.with_distance_duration(_trips(spark, sf), observer=o).select("VendorID", "distance_km"))):
+        observer = FilterObserver()
+        write_parquet(build(observer), named_scratch_path(spark, f"observed-{name}"), mode="overwrite")
+        counts = observer.counts
+        rows.append((name, counts.read, counts.kept, counts.dropped))
+    return spark.createDataFrame(rows, "question string, read long, kept long, dropped long")
+
+
+def q_join_salted(spark, sf):
+    return tq.salted_join_counts(_trips(spark, sf), _lookup(spark, sf), "merge")
+
+
+def q_join_salted_hash(spark, sf):
+    return tq.salted_join_counts(_trips(spark, sf), _lookup(spark, sf), "shuffle_hash")
+
+
+def q_join_bucketed(spark, sf):
+    return tq.bucketed_join_counts(spark, *tables.bucketed_tables(spark, sf, BUCKETS))
+
+
+def q_trips_between(spark, sf):
+    # A date-limited question on the layout by month.
+    trips = read_between(spark, tables.trips_by_month_path(spark, sf), tq.PICKUP_TIME, *DATES, unit="month")
+    return tq.night_counts(trips)
+
+
+def q_csv_scan_inferred_stored(spark, sf):
+    path = trips_csv_path(spark, sf, "2015")
+    return _typed_times(read_csv_inferred_once(spark, path, named_scratch_path(spark, "inferred-schemas")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hour_of_day_means": q_hour_of_day_means,
     "hour_of_day_means_udf": q_hour_of_day_means_udf,
@@ -414,6 +482,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "farthest_trip_per_vendor_csv": q_farthest_csv,
     "farthest_trip_per_vendor_csv_sql": q_farthest_csv_sql,
     "same_region_trip_counts_csv_sql": q_same_region_csv_sql,
+    "csv_refused_rows": q_csv_refused,
+    "csv_accepted_rows": q_csv_accepted,
+    "text_refused_rows": q_text_refused,
+    "filter_counts": q_hour_filter_counts,
+    "join_salted_merge": q_join_salted,
+    "join_salted_hash": q_join_salted_hash,
+    "join_bucketed": q_join_bucketed,
+    "night_trip_counts_between": q_trips_between,
+    "csv_scan_inferred_stored": q_csv_scan_inferred_stored,
     "text_lines_parse": q_text_lines_parse,
     "text_report": q_text_report,
 }
@@ -592,6 +669,30 @@ _INGEST_FILES_SQL = _with() + " UNION ALL ".join([
     _columns_sql("trips_2015", "trips", _INFERRED_2015),
     _columns_sql("zones", "lookup", [(f.name, f.dataType.simpleString()) for f in ZONE_LOOKUP.fields])])
 
+_REFUSED_SQL = f"""
+WITH lines AS (
+  SELECT *, CASE event_id % {tables.BROKEN_EVERY} WHEN 1 THEN 'value is not double' WHEN 2 THEN 'too few fields'
+                 WHEN 3 THEN 'ts is not timestamp_ntz' WHEN 4 THEN 'too many fields' END AS reason,
+         concat_ws(',', event_id, CASE WHEN event_id % {tables.BROKEN_EVERY} = 3 THEN 'yesterday' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END, user_id)
+         || CASE WHEN event_id % {tables.BROKEN_EVERY} = 2 THEN '' ELSE ',' || coalesce(event_type, '') || ','
+                 || CASE WHEN event_id % {tables.BROKEN_EVERY} = 1 THEN 'n/a' ELSE coalesce(CAST(value AS VARCHAR), '') END END AS line
+  FROM events)
+"""
+
+_FILTER_COUNTS_SQL = _with() + f"""
+SELECT question, read, kept, read - kept AS dropped FROM (
+  SELECT 'hour_of_day_means' AS question, count(*) AS read, count(*) FILTER (WHERE pickup_longitude <> 0 AND pickup_latitude <> 0) AS kept FROM trips
+  UNION ALL
+  SELECT 'farthest_trip', count(*), count(*) FILTER (WHERE {_NONZERO_SQL}) FROM trips)
+"""
+
+_NIGHT_BETWEEN_SQL = _with() + f"""
+SELECT VendorID, count(*) AS NightTrips FROM trips
+WHERE (hour(tpep_pickup_datetime) >= 23 OR hour(tpep_pickup_datetime) < 7)
+  AND tpep_pickup_datetime >= TIMESTAMP '{DATES[0]}' AND tpep_pickup_datetime < TIMESTAMP '{DATES[1]}'
+GROUP BY 1 ORDER BY 1
+"""
+
 _PICKUP_REPORT_SQL = _with() + """
 SELECT value FROM (
   SELECT 0 AS section, NULL AS h,
@@ -667,6 +768,16 @@ ORACLE_SQL: dict[str, str] = {
     "farthest_trip_per_vendor_csv": _FARTHEST_SQL,
     "farthest_trip_per_vendor_csv_sql": _FARTHEST_SQL,
     "same_region_trip_counts_csv_sql": _SAME_REGION_SQL,
+    "csv_refused_rows": _REFUSED_SQL + "SELECT coalesce(reason, 'accepted') AS reason, count(*) AS rows FROM lines GROUP BY 1",
+    "csv_accepted_rows": _REFUSED_SQL + "SELECT event_id, ts, user_id, event_type, value FROM lines WHERE reason IS NULL",
+    "text_refused_rows": _REFUSED_SQL + "SELECT reason, count(*) AS rows, CAST(max(length(line)) AS INTEGER) AS longest FROM lines "
+                         "WHERE reason IS NOT NULL AND reason <> 'too many fields' GROUP BY 1",
+    "filter_counts": _FILTER_COUNTS_SQL,
+    "join_salted_merge": _JOIN_COUNTS_SQL,
+    "join_salted_hash": _JOIN_COUNTS_SQL,
+    "join_bucketed": _JOIN_COUNTS_SQL,
+    "night_trip_counts_between": _NIGHT_BETWEEN_SQL,
+    "csv_scan_inferred_stored": _TRIPS_2015_SQL,
     "text_lines_parse": _TEXT_PARSE_SQL,
     "text_report": _TEXT_REPORT_SQL,
 }

@@ -14,8 +14,6 @@ listings.
 
 from __future__ import annotations
 
-import hashlib
-import json
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
@@ -23,6 +21,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from farepath.records import read_record, source_signature, write_record
 from farepath.session import file_system
 from farepath.sinks.files import IngestItem, write_parquet
 from farepath.sources.files import read_csv, read_csv_inferred
@@ -42,53 +41,6 @@ class Conversion:
     error: str | None = None
 
 
-def source_signature(spark: SparkSession, path: str) -> str | None:
-    """Digest of the names, lengths and times of the files under ``path`` (a
-    file, a folder or a pattern); None if there are none."""
-    fs, where = file_system(spark, path)
-    digest, any_file = hashlib.sha256(), False
-    found = fs.globStatus(where) or []
-    for top in sorted((s.getPath() for s in found), key=str):
-        files = fs.listFiles(top, True)
-        lines = []
-        while files.hasNext():
-            f = files.next()
-            lines.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
-        any_file = any_file or bool(lines)
-        digest.update("\n".join(sorted(lines)).encode())
-    return digest.hexdigest() if any_file else None
-
-
-def _record_path(manifest: str, target: str) -> str:
-    return f"{manifest.rstrip('/')}/{hashlib.sha256(target.encode()).hexdigest()[:24]}.json"
-
-
-def read_record(spark: SparkSession, manifest: str, target: str) -> dict | None:
-    fs, where = file_system(spark, _record_path(manifest, target))
-    if not fs.exists(where):
-        return None
-    stream = fs.open(where)
-    try:
-        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
-
-
-def _write_record(spark: SparkSession, manifest: str, target: str, record: dict) -> None:
-    """A record appears whole: it is written beside and renamed."""
-    path = _record_path(manifest, target)
-    fs, where = file_system(spark, path)
-    part = file_system(spark, f"{path}.part")[1]
-    stream = fs.create(part, True)
-    try:
-        stream.write(bytearray(json.dumps(record).encode()))
-    finally:
-        stream.close()
-    fs.delete(where, False)
-    if not fs.rename(part, where):
-        raise OSError(f"{path} can't be written")
-
-
 def _convert(spark: SparkSession, item: IngestItem, manifest: str, again: bool) -> Conversion:
     rule = item.schema.json() if item.schema is not None else "inferred"
     try:
@@ -103,7 +55,7 @@ def _convert(spark: SparkSession, item: IngestItem, manifest: str, again: bool)
         counted = Observation()
         write_parquet(read.observe(counted, F.count(F.lit(1)).alias("rows")), item.target, mode="overwrite")
         done = Conversion(item.source, item.target, CONVERTED, counted.get["rows"], read.schema.simpleString())
-        _write_record(spark, manifest, item.target, {"signature": signature, "rule": rule, **asdict(done)})
+        write_record(spark, manifest, item.target, {"signature": signature, "rule": rule, **asdict(done)})
         return done
     except Exception as error:  # of this file; the others go on
         return Conversion(item.source, item.target, FAILED, error=f"{type(error).__name__}: {str(error)[:500]}")

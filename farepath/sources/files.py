@@ -3,11 +3,14 @@ ReadSchema; filters applied afterwards are pushed down by Catalyst."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from farepath.records import read_record, source_signature, write_record
+
 # Fixed value: timestamp layout for CSV written and read by this library;
 # microseconds are kept (the default layout drops them).
 CSV_TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
@@ -53,3 +56,17 @@ def read_csv_inferred(spark: SparkSession, path: str | Sequence[str],
         .csv(path if isinstance(path, str) else list(path))
     )
     return df.select(*columns) if columns else df
+
+
+def read_csv_inferred_once(spark: SparkSession, path: str, records: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """:func:`read_csv_inferred` whose schema is kept in a record in the folder
+    ``records``, under the signature of the files at ``path``. While the files
+    are the same, a later read (of any session) starts no job for the schema."""
+    signature = source_signature(spark, path)
+    known = read_record(spark, records, path)
+    if known and known["signature"] == signature:
+        schema = StructType.fromJson(known["schema"])
+    else:
+        schema = read_csv_inferred(spark, path).schema
+        write_record(spark, records, path, {"signature": signature, "schema": json.loads(schema.json())})
+    return read_csv(spark, path, schema, columns)

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from farepath.schemas import TRIPS_2015, TRIPS_2024, ZONE_LOOKUP
 from farepath.session import file_system, new_scratch_path, session_key
-from farepath.sinks.files import write_csv, write_parquet
+from farepath.sinks.files import write_csv, write_parquet, write_text
+from farepath.sinks.layout import write_bucketed, write_by_period
 
 # Derived trip columns, as SQL over the joined tables. Times
 # of day, durations (some negative, some under a minute, some missing) and
@@ -222,3 +223,46 @@ def events_csv_path(spark: SparkSession, sf_dir: str) -> str:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events")
+
+
+def _event_lines(table: DataFrame) -> DataFrame:
+    """The events as CSV lines, some of them broken on purpose by the rule of
+    :data:`BROKEN` (shared with the oracle SQL)."""
+    spaced = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    texts = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("event_id", "user_id", "event_type", "value")}
+    kind = F.col("event_id") % BROKEN_EVERY
+    first = [texts["event_id"], F.when(kind == 3, "yesterday").otherwise(F.coalesce(spaced, F.lit("")))]
+    line = F.concat_ws(",", *first, texts["user_id"], texts["event_type"], F.when(kind == 1, "n/a").otherwise(texts["value"]))
+    return table.select(F.when(kind == 2, F.concat_ws(",", *first, texts["user_id"])).when(kind == 4, F.concat(line, F.lit(",more"))).otherwise(line).alias("value"))
+
+
+#: One event in so many is broken, in the way of its id's remainder: 1 its
+#: value is no number, 2 fields are missing, 3 its time is no time, 4 one field
+#: too many.
+BROKEN_EVERY = 97
+
+
+def broken_events_path(spark: SparkSession, sf_dir: str) -> str:
+    """Text files of the events without a header, some lines broken."""
+    return _prepare(spark, sf_dir, "events-broken", lambda p: write_text(_event_lines(_table(spark, sf_dir, "events")), p))
+
+
+def bucketed_tables(spark: SparkSession, sf_dir: str, buckets: int) -> tuple[str, str]:
+    """Names of the derived trips and zones as tables bucketed by zone id."""
+    def name(path: str) -> str:
+        return "farepath_" + path.rstrip("/").rpartition("/")[2].replace("-", "_")
+
+    def build(source, key):
+        def write(path: str) -> str:
+            write_bucketed(source(spark, sf_dir), path, name(path), key, buckets)
+            return path
+        return write
+
+    return (name(_prepare(spark, sf_dir, f"trips-by-zone-{buckets}", build(prepared_trips, "PULocationID"))),
+            name(_prepare(spark, sf_dir, f"zones-by-id-{buckets}", build(prepared_lookup, "LocationID"))))
+
+
+def trips_by_month_path(spark: SparkSession, sf_dir: str) -> str:
+    """The derived trips in a folder per month of pickup, sorted by time."""
+    return _prepare(spark, sf_dir, "trips-by-month",
+                    lambda p: write_by_period(prepared_trips(spark, sf_dir), p, "tpep_pickup_datetime", "month"))

@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from farepath import jobs
+from farepath.records import read_record
 from farepath.schemas import ZONE_LOOKUP
 from farepath.sinks import IngestItem, conversions, convert_files, recover, write_csv, write_parquet, write_text
-from farepath.sinks.convert import read_record
 from farepath.sources import read_csv
 
 ZONES = [(1, "Manhattan", "Midtown", "Yellow"), (2, "Queens", "Astoria", "Boro")]

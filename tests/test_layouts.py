@@ -1,0 +1,150 @@
+"""Joins without a shuffle, salted joins, folders per period, stored schemas,
+observed filters."""
+
+from __future__ import annotations
+
+import datetime as dt
+import os
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from farepath.operators import FilterObserver, group_money_sums, salted_lookup_join
+from farepath.operators.skew import PIECES, key_salts
+from farepath.plans import trip_queries as tq
+from farepath.plans.inspect import physical_plan
+from farepath.registry import QUERIES, _trips
+from farepath.sinks import read_between, write_bucketed, write_by_period, write_csv
+from farepath.sources import read_csv_inferred_once
+from tests.conftest import SF_SMALL
+
+
+@pytest.fixture()
+def confs(spark):
+    before = {}
+
+    def put(**values):
+        for k, v in values.items():
+            k = k.replace("__", ".")
+            before.setdefault(k, spark.conf.get(k, None))
+            spark.conf.set(k, v)
+    yield put
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def hot_trips(spark, n=120_000):
+    """Zone 1 holds a third of the rows, some keys are NULL or unknown."""
+    return spark.range(0, n, 1, 6).select(
+        F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 100 == 1, None).otherwise(F.col("id") % 50 + 2).cast("int").alias("PULocationID"), F.col("id").alias("trip"))
+
+
+def zones(spark):
+    return spark.createDataFrame([(i, f"Z{i}") for i in range(1, 45)] + [(7, "Z7 again")], "LocationID int, Zone string")
+
+
+@pytest.mark.parametrize("strategy, node", [("merge", "SortMergeJoin"), ("shuffle_hash", "ShuffledHashJoin")])
+def test_salted_join_is_whole_and_even(spark, confs, strategy, node):
+    confs(spark__sql__adaptive__enabled="false", spark__sql__shuffle__partitions="16")
+    trips = hot_trips(spark)
+    joined = salted_lookup_join(trips, zones(spark), "PULocationID", {"LocationID": "LocationID", "Zone": "Zone"}, strategy=strategy)
+    assert node in physical_plan(joined, "simple")
+    plain = trips.join(zones(spark).hint("broadcast"), F.col("PULocationID") == F.col("LocationID"))
+    assert joined.columns == plain.columns
+    assert sorted(tuple(r) for r in joined.collect()) == sorted(tuple(r) for r in plain.collect())
+    # Every row matches here, so rows after the join are rows that a task read.
+    every = salted_lookup_join(trips.filter("PULocationID IS NOT NULL"), spark.range(1, 60).select(F.col("id").cast("int").alias("LocationID")), "PULocationID",
+                               {"LocationID": "LocationID"}, strategy=strategy)
+    by_task = sorted(r["count"] for r in every.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    assert sum(by_task) == trips.filter("PULocationID IS NOT NULL").count()
+    assert by_task[-1] <= 2 * by_task[len(by_task) // 2], by_task
+
+
+def test_hot_keys_have_a_bound(spark):
+    salts = key_salts(hot_trips(spark), "PULocationID", 4).collect()
+    assert 0 < len(salts) <= 4 * PIECES and max(r["__salts"] for r in salts) > 1
+    assert key_salts(hot_trips(spark).limit(0), "PULocationID", 4).collect() == []
+    with pytest.raises(ValueError):
+        salted_lookup_join(hot_trips(spark), zones(spark), "PULocationID", {}, strategy="broadcast")
+
+
+def test_bucketed_join_has_no_exchange(spark):
+    df = QUERIES["join_bucketed"](spark, SF_SMALL)
+    plan = physical_plan(df, "simple")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, QUERIES["join_sort_merge"](spark, SF_SMALL).collect()))
+
+
+def test_bucketed_table_is_replaced(spark, out_dir):
+    for n in (10, 4):
+        write_bucketed(spark.range(n), f"{out_dir}/t", "farepath_test_bucketed", "id", 4)
+    assert spark.table("farepath_test_bucketed").count() == 4
+    spark.sql("DROP TABLE farepath_test_bucketed")
+
+
+def test_other_months_are_not_read(spark):
+    df = QUERIES["night_trip_counts_between"](spark, SF_SMALL)
+    plan = physical_plan(df, "simple")
+    assert "PartitionFilters: [isnotnull(period" in plan and "tpep_pickup_datetime" in plan.partition("PushedFilters")[2]
+
+
+def test_one_day_is_replaced_and_the_rest_stays(spark, out_dir):
+    day = lambda d, n, tag: spark.range(n).select((F.lit(dt.datetime(2024, 1, d)) + F.expr("make_dt_interval(0, 0, cast(id AS int))")).cast("timestamp_ntz").alias("at"), F.lit(tag).alias("tag"))
+    path = f"{out_dir}/days"
+    none = spark.createDataFrame([(None, "none")], "at timestamp_ntz, tag string")
+    write_by_period(day(1, 50, "a").union(day(2, 60, "a")).union(day(3, 70, "a")).union(none), path, "at")
+    where = path.removeprefix("file:")
+    files = lambda p: {f: os.stat(f"{where}/{p}/{f}").st_mtime_ns for f in os.listdir(f"{where}/{p}")}
+    before = {p: files(p) for p in os.listdir(where) if p.startswith("period=")}
+    assert len(before) == 4
+    write_by_period(day(2, 5, "b"), path, "at")
+    assert {p: files(p) for p in before if not p.endswith("-02")} == {p: f for p, f in before.items() if not p.endswith("-02")}
+    rows = spark.read.parquet(path).groupBy("period", "tag").count().collect()
+    assert {(str(r["period"]), r["tag"]): r["count"] for r in rows} == {("2024-01-01", "a"): 50, ("2024-01-02", "b"): 5, ("2024-01-03", "a"): 70, ("None", "none"): 1}
+    some = read_between(spark, path, "at", "2024-01-01 00:40:00", "2024-01-02 00:03:00")
+    assert sorted(r["count"] for r in some.groupBy("tag").count().collect()) == [3, 10]
+    assert read_between(spark, path, "at", "2024-01-02 00:00:00", "2024-01-03 00:00:00").columns == ["at", "tag"]
+    with pytest.raises(ValueError):
+        write_by_period(day(1, 1, "a"), path, "at", unit="fortnight")
+
+
+def test_schema_is_inferred_once(spark, out_dir):
+    sc, path, records = spark.sparkContext, f"{out_dir}/csv", f"{out_dir}/records"
+    write_csv(spark.createDataFrame([(1, 2.5, "x")], "a int, b double, c string"), path)
+
+    def jobs(group):
+        sc.setJobGroup(group, group)
+        try:
+            df = read_csv_inferred_once(spark, path, records)
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        time.sleep(0.2)
+        return df, len(sc.statusTracker().getJobIdsForGroup(group))
+    first, inferring = jobs("infer-1")
+    second, none = jobs("infer-2")
+    assert inferring > 0 and none == 0
+    assert first.schema == second.schema and second.dtypes == [("a", "int"), ("b", "double"), ("c", "string")]
+    write_csv(spark.createDataFrame([("w", 2.5, "x")], "a string, b double, c string"), path, mode="overwrite")
+    changed, again = jobs("infer-3")
+    assert again > 0 and dict(changed.dtypes)["a"] == "string"
+
+
+def test_observed_counts_equal_a_count(spark):
+    observer = FilterObserver()
+    trips = _trips(spark, SF_SMALL)
+    tq.hour_of_day_means(trips, observer=observer).collect()
+    kept = trips.filter("pickup_longitude <> 0 AND pickup_latitude <> 0").count()
+    assert (observer.counts.read, observer.counts.kept, observer.counts.dropped) == (trips.count(), kept, trips.count() - kept) and kept < trips.count()
+
+
+def test_money_sums_with_odd_amounts(spark):
+    """An amount without cents leaves the cents of the others alone."""
+    rows = [(1, 1.25, 2.0), (1, None, float("inf")), (2, 3.0, 4.005), (None, 1e13, 1.0), (None, float("nan"), None), (3, None, None), (4, 9e11, 9e11)]
+    got = {r["k"]: tuple(r)[1:] for r in group_money_sums(spark.createDataFrame(rows, "k int, a double, b double"), "k", {"a": "sa", "b": "sb"}, inexact={"a": "ra", "b": "rb"})
+           .select("k", "sa", "sb", "ra", "rb").collect()}
+    assert [None if x is None else str(x) for x in got[1]] == ["1.25", "2.00", None, "inf"]
+    assert [None if x is None else str(x) for x in got[2]] == ["3.00", "4.01", None, None]
+    assert [None if x is None else str(x) for x in got[None]] == [None, "1.00", "nan", None]
+    assert got[3] == (None, None, None, None)
+    assert [None if x is None else str(x) for x in got[4]] == ["900000000000.00", "900000000000.00", None, None]
