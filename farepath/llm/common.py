@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -88,6 +89,43 @@ def by_slice(ids: pa.Array, texts: pa.StringArray, chars: int = SLICE_CHARS) ->
         hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + chars, "right")) - 1)
         yield ids.slice(lo, hi - lo), texts.slice(lo, hi - lo)
         lo = hi
+        give_back()
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its tasks
+    and stages, and stands beside the executor's other memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def filtered_rows(docs: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` for which ``keep``, asked about a batch whose
+    columns are those of ``docs`` by place, says so. Whatever the columns are
+    called, they come out as they went in."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    placed = docs.toDF(*names)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch), pa.bool_()))
+            give_back()
+
+    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)
+
+
+def placed(docs: DataFrame, **columns: str) -> DataFrame:
+    """The named columns (new name = old name) and no other. A name is taken
+    as it is spelt: other columns may differ from it by case, or hold dots."""
+    by_place = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return by_place.select(*[F.col(f"c{docs.columns.index(old)}").alias(new) for new, old in columns.items()])
 
 
 def columns_of(batch: pa.RecordBatch, *names: str) -> list:

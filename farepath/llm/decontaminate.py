@@ -17,18 +17,22 @@ step again after each edit, so they agree in most places of the Hamming space.
 
 *Bit sampling.* Each of several repetitions has a walk of its own and reads
 ``SAMPLED`` random places of it; equal symbols there make a candidate. The
-walks of a pair at the threshold agree the less, the longer the item is, above
-all when its edits are all deletions. So the repetitions go by the item's
-length (:data:`REPETITIONS`). For longer items, or a wider distance than they
-were measured at, all windows with an unchanged piece are candidates: there
-no match is lost.
+walks of a pair at the threshold agree the less, the longer the sequences are.
+So an item is cut into parts of at most ``PART_WORDS`` words, and each part is
+looked for by itself: of the edits that the threshold allows to the item, some
+part has no more than its share. One part found makes the whole item a
+candidate, at the place that the part gives. The repetitions are as many as
+reach ``RECALL`` for a part at the threshold; for a wider distance than usual
+their number follows from measuring walks of random pairs at that distance.
 
 *Verification.* The words around a candidate must hold all but a fifth of the
 item's words, in any order (no match holds fewer); then comes the exact edit
 distance of the item to the best-placed part of the document there.
 
 The benchmark is a stated query set: it is read in blocks of bounded bytes,
-and each block goes over all documents in one pass without a shuffle.
+and each block goes over all documents in one pass without a shuffle. Between
+two blocks the result so far is written, so the driver and the plan hold one
+block (and the one that comes next), however many there are.
 
 Edge cases: NULL and empty texts match nothing, nor do items without words;
 repeated items match each for itself; rows that share an id are reported
@@ -37,6 +41,7 @@ under it once for each item.
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -47,23 +52,70 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farepath.llm.common import SLICE_CHARS, by_slice, columns_of, mix64, record_batch, text_of
+from farepath.llm.common import by_slice, columns_of, filtered_rows, mix64, placed, record_batch, text_of, written
+from farepath.session import new_scratch_path
 
 DISTANCE = 0.2
 SAMPLED = 2
-#: Longest items (words) and their repetitions, which find 0.99 of the pairs at
-#: the threshold whether their edits are deletions, insertions, replacements or
-#: mixed. Measured with these walks: 13 were enough at 30 words, 24 at 60.
-REPETITIONS = ((30, 21), (60, 40))
+#: Longest parts of an item that are embedded, in words.
+PART_WORDS = 30
+#: Share of the parts at the threshold that the repetitions find, and their
+#: number at the usual distance, whether the edits are deletions, insertions,
+#: replacements or mixed. Measured with these walks: 13 were enough.
+RECALL, REPETITIONS = 0.99, 21
+#: Pairs and walks from which the agreement at other distances is measured.
+MEASURED_PAIRS, MEASURED_WALKS = 300, 12
 #: Bytes of items that are sent to the tasks at once.
 BLOCK_BYTES = 8_000_000
+#: Bytes of documents that a task looks through at once.
+SLICE_BYTES = 4_000_000
 
 STRIPPED = ".,;:!?\"'()[]{}<>|*#$%&@^~+=/\\_-`»«“”„…"
 
 
+@functools.lru_cache(maxsize=256)
 def repetitions(n: int, distance: float = DISTANCE) -> int:
-    """Those for items of ``n`` words; 0 if all their windows are verified."""
-    return next((r for longest, r in REPETITIONS if n <= longest and distance <= DISTANCE), 0)
+    """Walks for parts of ``n`` words."""
+    if distance <= DISTANCE:
+        return REPETITIONS
+    rng = np.random.default_rng(n)
+    edits, least = int(distance * n), 1.0
+    for kind in ("deletions", "insertions", "replacements"):
+        pairs = []
+        for _ in range(MEASURED_PAIRS):
+            words = rng.integers(1, 5000, n)
+            at = rng.choice(n, min(edits, n - 1), replace=False)
+            other = np.delete(words, at) if kind == "deletions" else np.insert(words, at, rng.integers(1, 5000, len(at)))
+            if kind == "replacements":
+                other = words.copy()
+                other[at] = rng.integers(5000, 10000, len(at))
+            pairs += [words, np.append(other, rng.integers(1, 5000, n))[:n]]
+        flat, starts = np.concatenate(pairs), np.arange(len(pairs)) * n
+        hashes = mix64(np.arange(10_000, dtype=np.uint64))
+        agree = [np.mean(key[::2] == key[1::2]) for key in _walk_keys(hashes, flat, starts, starts + n, n, MEASURED_WALKS, {})]
+        least = min(least, float(np.mean(agree)))
+    return int(np.ceil(np.log(1 - RECALL) / np.log1p(-max(least, 1e-4)))) + 1
+
+
+def _walk_keys(hashes: np.ndarray, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int, times: int, bits: dict) -> Iterator[np.ndarray]:
+    """For each repetition the sampled key of the walk over each window of
+    ``n`` words. ``hashes`` are those of the words by number; ``bits`` keeps
+    the walks' random bits."""
+    for r in range(times):
+        draws = mix64(np.arange(8 * SAMPLED, dtype=np.uint64) ^ np.uint64((r + 1) * 0x9E3779B1 + n))
+        # Places among the steps that a walk over n words makes before its end.
+        places = sorted(_places(draws, 2 * n, SAMPLED))
+        key = mix64(np.full(len(starts), (r << 20) ^ n, dtype=np.uint64))
+        at = starts.copy()
+        for step in range(places[-1] + 1):
+            symbol = np.where(at < ends, words[np.minimum(at, len(words) - 1)], 0)
+            if step in places:
+                key = mix64(key ^ hashes[symbol])
+            moves = bits.get((r, step))
+            if moves is None:
+                moves = bits[r, step] = (mix64(hashes ^ np.uint64(((r + 1) << 32) + step)) & np.uint64(1)).astype(np.uint8)
+            at = at + moves[symbol]
+        yield key
 
 
 def _plain(chunks: pa.StringArray) -> pa.StringArray:
@@ -114,35 +166,31 @@ class ItemBlock:
         self.items = [(item, np.array([self.number[w] for w in words], dtype=np.int64)) for item, words in items if words]
         self.bags = [np.unique(words, return_counts=True) for _, words in self.items]
         self._bits: dict[tuple[int, int], np.ndarray] = {}
+        #: Parts: the item of each, its first word there, and its words.
+        self.parts = [(k, first, words[first:end]) for k, (_, words) in enumerate(self.items) for first, end in _cut(len(words))]
         by_length = defaultdict(list)
-        for k, (_, words) in enumerate(self.items):
-            by_length[len(words)].append(k)
-        #: For each length and repetition, key to items; for each size of
-        #: piece, the hashes of the pieces with item length and place, and
-        #: with item and place for the lengths without repetitions.
+        for p, (_, _, words) in enumerate(self.parts):
+            by_length[len(words)].append(p)
+        #: For each length of parts and repetition, key to parts; for each size
+        #: of piece, the hashes of the pieces with part length and place.
         self.tables: dict[int, list[dict[int, list[int]]]] = {}
         pieces: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
-        own_pieces: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
         for n, members in by_length.items():
-            flat = np.concatenate([self.items[k][1] for k in members])
+            flat = np.concatenate([self.parts[p][2] for p in members])
             starts = np.arange(len(members)) * n
             self.tables[n] = []
             for row in self.keys(flat, starts, starts + n, n):
                 table = defaultdict(list)
-                for k, key in zip(members, row.tolist()):
-                    table[key].append(k)
+                for p, key in zip(members, row.tolist()):
+                    table[key].append(p)
                 self.tables[n].append(table)
             n_pieces = int(self.distance * n) + 1
             size = n // n_pieces
             hashes = self._grams(flat, size)
             for j in range(n_pieces):
                 place = j * n // n_pieces
-                at = hashes[starts + place].tolist()
-                if self.tables[n]:
-                    pieces[size].update((h, n, place) for h in at)
-                else:
-                    own_pieces[size].update((h, k, place) for h, k in zip(at, members))
-        self.pieces, self.own_pieces = _ordered(pieces), _ordered(own_pieces)
+                pieces[size].update((h, n, place) for h in hashes[starts + place].tolist())
+        self.pieces = _ordered(pieces)
 
     def _grams(self, words: np.ndarray, size: int) -> np.ndarray:
         """Hash of the ``size`` words from each place on (the last places,
@@ -154,31 +202,12 @@ class ItemBlock:
         return out
 
     def keys(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> Iterator[np.ndarray]:
-        """For each repetition the sampled key of the walk over each window
-        of an item length ``n``."""
-        for r in range(repetitions(n, self.distance)):
-            draws = mix64(np.arange(8 * SAMPLED, dtype=np.uint64) ^ np.uint64((r + 1) * 0x9E3779B1 + n))
-            # Places among the steps that a walk over n words makes before its end.
-            places = sorted(_places(draws, 2 * n, SAMPLED))
-            key = mix64(np.full(len(starts), (r << 20) ^ n, dtype=np.uint64))
-            at = starts.copy()
-            for step in range(places[-1] + 1):
-                symbol = np.where(at < ends, words[np.minimum(at, len(words) - 1)], 0)
-                if step in places:
-                    key = mix64(key ^ self.hashes[symbol])
-                at = at + self._moves(r, step)[symbol]
-            yield key
-
-    def _moves(self, r: int, step: int) -> np.ndarray:
-        """The walk's random bit for each word, at one step of a repetition."""
-        known = self._bits.get((r, step))
-        if known is None:
-            known = self._bits[r, step] = (mix64(self.hashes ^ np.uint64(((r + 1) << 32) + step)) & np.uint64(1)).astype(np.uint8)
-        return known
+        """The sampled keys of the walks over windows of a part length ``n``."""
+        return _walk_keys(self.hashes, words, starts, ends, n, repetitions(n, self.distance), self._bits)
 
     def _standing(self, pieces: Pieces, words: np.ndarray, row_of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Where pieces stand in the words, with what each is of (a length or
-        an item) and its place there; for one size of piece after the other."""
+        """Where pieces stand in the words, with the part length that each is
+        of and its place there; for one size of piece after the other."""
         known = np.append(0, np.cumsum(words > 0))
         for size, (hashes, owners, places) in pieces.items():
             if len(words) < size:
@@ -195,7 +224,7 @@ class ItemBlock:
             yield np.repeat(at[hit], count), owners[which], places[which]
 
     def windows(self, words: np.ndarray, row_of: np.ndarray, first_of: np.ndarray, end_of: np.ndarray) -> dict[int, np.ndarray]:
-        """For each item length the starts of the windows that may hold a match."""
+        """For each part length the starts of the windows that may hold a match."""
         found: dict[int, list[np.ndarray]] = defaultdict(list)
         for where, lengths, places in self._standing(self.pieces, words, row_of):
             for n in np.unique(lengths):
@@ -208,21 +237,6 @@ class ItemBlock:
                 found[int(n)].append(starts[starts < end_of[home]])
         return {n: np.unique(np.concatenate(some)) for n, some in found.items()}
 
-    def beside(self, words: np.ndarray, row_of: np.ndarray, first_of: np.ndarray) -> set[tuple[int, int, int]]:
-        """(row, item, start) wherever a piece of an item without repetitions
-        stands, one for the starts that share a region."""
-        sizes = np.array([len(pattern) for _, pattern in self.items], dtype=np.int64)
-        out: set[tuple[int, int, int]] = set()
-        for where, items, places in self._standing(self.own_pieces, words, row_of):
-            start = np.maximum(where - places, first_of[where])
-            near = start // (sizes[items] // 4 + 1)
-            order = np.lexsort((start, near, items, row_of[where]))
-            row, item, near, start = row_of[where][order], items[order], near[order], start[order]
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (near[1:] != near[:-1])
-            out.update(zip(row[new].tolist(), item[new].tolist(), start[new].tolist()))
-        return out
-
     def _holds(self, k: int, region: np.ndarray, least: int) -> bool:
         """Whether the region has so many of the item's words, in any order."""
         words, counts = self.bags[k]
@@ -237,13 +251,15 @@ class ItemBlock:
         row_of = np.repeat(np.arange(len(sizes)), sizes)
         end_of = np.repeat(ends, sizes)
         first_of = np.repeat(ends - sizes, sizes)
-        candidates = self.beside(words, row_of, first_of)
+        candidates: set[tuple[int, int, int]] = set()
         for n, starts in self.windows(words, row_of, first_of, end_of).items():
             for table, keys in zip(self.tables[n], self.keys(words, starts, np.minimum(starts + n, end_of[starts]), n)):
                 hit = np.flatnonzero(np.isin(keys, np.fromiter(table, dtype=np.uint64, count=len(table))))
                 for h in hit.tolist():
-                    for k in table[int(keys[h])]:
-                        candidates.add((int(row_of[starts[h]]), k, int(starts[h])))
+                    start = int(starts[h])
+                    for p in table[int(keys[h])]:
+                        k, first, _ = self.parts[p]
+                        candidates.add((int(row_of[start]), k, max(start - first, int(first_of[start]))))
         best: dict[tuple[int, int], int] = {}
         covered: dict[tuple[int, int], int] = {}
         for row, k, start in sorted(candidates):
@@ -263,6 +279,12 @@ class ItemBlock:
         return [(row, self.items[k][0], d) for (row, k), d in sorted(best.items())]
 
 
+def _cut(n: int) -> list[tuple[int, int]]:
+    """First and end of the parts of ``n`` words, about equal in length."""
+    m = -(-n // PART_WORDS)
+    return [(j * n // m, (j + 1) * n // m) for j in range(m)]
+
+
 _BLOCKS: dict[int, ItemBlock] = {}
 
 
@@ -308,20 +330,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     """One row per document and item found in it: ``doc_id``, ``item_id``,
     ``distance`` (word edits)."""
     kind = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int64())])
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
-    found = rows.select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("distance")).filter(F.lit(False))
-    for block in item_blocks(benchmark, item_column, item_text_column, block_bytes):
+    schema = "doc_id long, item_id long, distance long"
+    named = placed(docs, id=id_column, text=text_column)
+    rows = named.select(F.col("id").cast("long").alias("id"), text_of("text").alias("text"))
+    spark = docs.sparkSession
+    path, found = None, None
+    for block, last in _with_last(item_blocks(benchmark, item_column, item_text_column, block_bytes)):
         def search(batches, block=block):
             items = _block(block, distance)
             for batch in batches:
-                for ids, texts in by_slice(*columns_of(batch, "id", "text"), 4 * SLICE_CHARS):
+                for ids, texts in by_slice(*columns_of(batch, "id", "text"), SLICE_BYTES):
                     matched = items.matches(*numbered(texts, items.number))
                     yield record_batch(kind, [ids.take(pa.array([m[0] for m in matched], pa.int64())), [m[1] for m in matched], [m[2] for m in matched]])
 
-        found = found.union(rows.mapInArrow(search, "doc_id long, item_id long, distance long"))
+        found = rows.mapInArrow(search, schema)
+        if path or not last:
+            path = path or new_scratch_path(spark, "contaminated")
+            found.write.mode("append").parquet(path)
+    if found is None:
+        return spark.createDataFrame([], schema)
+    found = spark.read.schema(schema).parquet(path) if path else found
     return found.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
+def _with_last(blocks):
+    """Each block, and whether it is the last."""
+    blocks = iter(blocks)
+    block = next(blocks, None)
+    while block is not None:
+        following = next(blocks, None)
+        yield block, following is None
+        block = following
+
+
 def numbered(texts: pa.StringArray, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of the texts one after the other, and how many each has."""
     lists = pc.utf8_split_whitespace(texts)
@@ -339,19 +380,22 @@ def numbered(texts: pa.StringArray, number: dict[str, int]) -> tuple[np.ndarray,
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without those in which an item was found; one
-    pass over the table for each block of items, without a join."""
+    pass over the table for each block of items, without a join. Between two
+    blocks the rows that are left are written."""
     place = docs.columns.index(text_column)
     distance = options.get("distance", DISTANCE)
-    for block in item_blocks(benchmark, options.get("item_column", "item_id"), options.get("item_text_column", "text"), options.get("block_bytes", BLOCK_BYTES)):
-        def clean(batches, block=block):
+    for block, last in _with_last(item_blocks(benchmark, options.get("item_column", "item_id"), options.get("item_text_column", "text"),
+                                              options.get("block_bytes", BLOCK_BYTES))):
+        def clean(batch, block=block):
             items = _block(block, distance)
-            for batch in batches:
-                texts = pc.fill_null(batch.column(place), "")
-                keep = np.ones(batch.num_rows, dtype=bool)
-                for rows, part in by_slice(pa.array(np.arange(batch.num_rows)), texts, 4 * SLICE_CHARS):
-                    for m in items.matches(*numbered(part, items.number)):
-                        keep[rows[m[0]].as_py()] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(clean, docs.schema)
+            texts = pc.fill_null(batch.column(place), "")
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for rows, part in by_slice(pa.array(np.arange(batch.num_rows)), texts, SLICE_BYTES):
+                for m in items.matches(*numbered(part, items.number)):
+                    keep[rows[m[0]].as_py()] = False
+            return keep
+
+        docs = filtered_rows(docs, clean)
+        if not last:
+            docs = written(docs, "decontaminated")
     return docs

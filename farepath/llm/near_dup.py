@@ -47,6 +47,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from farepath.llm.common import by_slice, columns_of, mix64, record_batch, text_of, written
 from farepath.operators.lookup import checked_broadcast
@@ -371,14 +372,16 @@ def _near_pairs(mixed: DataFrame, signed: DataFrame, bags: DataFrame, threshold:
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class, the one of the least id."""
+    """``docs`` with one document of each class, the one of the least id. Of
+    rows that share its id and text, the one whose other columns have the
+    least hash stays, the same in every run."""
     _, reps = _rooted(docs, id_column, text_column, **options)
-    name = "row_key"
-    while any(c.lower().startswith(name) for c in docs.columns):
-        name += "_"
-    key, mark, kept_key, kept_mark = (name + end for end in ("id", "mark", "kept_id", "kept_mark"))
-    kept = reps.select(F.col("root.id").alias(kept_key), F.col("root.mark").alias(kept_mark)).distinct()
-    text = text_of(text_column)
-    rows = docs.withColumns({key: row_key(id_column, text), mark: mark_of(text)})
-    same = (F.col(key) == F.col(kept_key)) & (F.col(mark) == F.col(kept_mark))
-    return rows.join(kept, same, "left_semi").dropDuplicates([key, mark]).drop(key, mark)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    text = text_of(names[docs.columns.index(text_column)])
+    kept = reps.select(F.col("root.id").alias("kept_id"), F.col("root.mark").alias("kept_mark")).distinct()
+    rows = rows.withColumns({"row_id": row_key(names[docs.columns.index(id_column)], text), "row_mark": mark_of(text)})
+    hashed = F.xxhash64(*[F.to_json(F.struct(n)) if isinstance(f.dataType, MapType) else F.col(n) for n, f in zip(names, docs.schema.fields)])
+    one = (rows.join(kept, (F.col("row_id") == F.col("kept_id")) & (F.col("row_mark") == F.col("kept_mark")), "left_semi")
+           .groupBy("row_id", "row_mark").agg(F.min_by(F.struct(*names), hashed).alias("row")))
+    return one.select(*[F.col(f"row.{n}") for n in names]).toDF(*docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farepath.llm.common import bounded_sample, columns_of, record_batch, text_of
+from farepath.llm.common import bounded_sample, columns_of, filtered_rows, record_batch, text_of
 
 TRAINING_ROWS = 12_000
 BINS = 24
@@ -239,11 +239,10 @@ def score(docs: DataFrame, model: PairwiseAdditiveModel, id_column: str = "doc_i
 def keep_quality(docs: DataFrame, model: PairwiseAdditiveModel, at_least: float, text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is ``at_least`` that, in one pass
     over the table, without a join."""
-    columns, place = docs.columns, docs.columns.index(text_column)
+    place = docs.columns.index(text_column)
 
-    def run(batches):
-        for batch in batches:
-            x = np.array([features_of(t.as_py() or "") for t in batch.column(place)], dtype=np.float64).reshape(batch.num_rows, len(FEATURES))
-            yield batch.filter(pa.array(model.scores(x) >= at_least))
+    def keep(batch):
+        x = np.array([features_of(t.as_py() or "") for t in batch.column(place)], dtype=np.float64).reshape(batch.num_rows, len(FEATURES))
+        return model.scores(x) >= at_least
 
-    return docs.select(*columns).mapInArrow(run, docs.schema)
+    return filtered_rows(docs, keep)

@@ -79,7 +79,7 @@ def test_recall_and_precision_against_brute_force(spark):
 
 
 @pytest.mark.parametrize("n", [30, 60, 100, 300, 600])
-@pytest.mark.parametrize("kind", ["deletions", "insertions"])
+@pytest.mark.parametrize("kind", ["deletions", "insertions", "mixed"])
 def test_recall_with_all_edits_of_one_kind(n, kind):
     """Every edit that the threshold allows, at random places."""
     rng = random.Random(n)
@@ -92,10 +92,13 @@ def test_recall_with_all_edits_of_one_kind(n, kind):
     for _, words in items:
         words = list(words)
         for _ in range(edits):
-            if kind == "deletions":
+            edit = kind if kind != "mixed" else rng.choice(["deletions", "insertions", "replacements"])
+            if edit == "deletions":
                 del words[rng.randrange(len(words))]
-            else:
+            elif edit == "insertions":
                 words.insert(rng.randrange(len(words)), word())
+            else:
+                words[rng.randrange(len(words))] = word()
         rows.append([word() for _ in range(50)] + words + [word() for _ in range(50)])
     numbers = np.array([block.number.get(w, 0) for row in rows for w in row])
     got = {(row, item) for row, item, _ in block.matches(numbers, np.array([len(row) for row in rows]))}
@@ -103,6 +106,39 @@ def test_recall_with_all_edits_of_one_kind(n, kind):
     assert all(distance_in(items[i][1], rows[row]) <= edits for row, i in got if row != i)
 
 
+def test_parts_cover_an_item_and_share_its_edits():
+    for n in range(1, 400):
+        cuts = dc._cut(n)
+        assert cuts[0][0] == 0 and cuts[-1][1] == n and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:]))
+        assert all(0 < e - f <= dc.PART_WORDS for f, e in cuts)
+        # More edits than every part's share are more than the item's.
+        assert sum(int(dc.DISTANCE * (e - f)) + 1 for f, e in cuts) > int(dc.DISTANCE * n)
+
+
+@pytest.mark.parametrize("distance", [0.3, 0.4])
+def test_recall_at_a_wider_distance(distance):
+    """Repetitions are measured for it; all still goes through the walks."""
+    rng = random.Random(7)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    items = [(i, words(40)) for i in range(100)]
+    assert dc.repetitions(20, distance) > dc.REPETITIONS
+    block, rows = dc.ItemBlock(items, distance), []
+    for _, item in items:
+        changed = list(item)
+        for at in rng.sample(range(40), int(distance * 40)):
+            changed[at] = "other"
+        rows.append(words(30) + changed + words(30))
+    numbers = np.array([block.number.get(w, 0) for row in rows for w in row])
+    got = {(row, item) for row, item, _ in block.matches(numbers, np.array([len(row) for row in rows]))}
+    assert sum((i, i) in got for i, _ in items) >= 97
+
+
+def test_no_length_goes_round_the_walks():
+    block = dc.ItemBlock([(0, [f"w{i}" for i in range(600)]), (1, ["a"] * 45), (2, ["b"])])
+    assert all(len(tables) == dc.REPETITIONS for tables in block.tables.values())
+    assert sum(len(words) for k, _, words in block.parts if k == 0) == 600
+
+
 def test_blocks_of_items_give_the_same(spark):
     docs, items = corpus(10, 4, seed=9)
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
@@ -133,3 +169,12 @@ def test_edge_cases(spark):
     assert dc.contaminated(docs, items.limit(0)).collect() == []
     kept = dc.drop_contaminated(docs, items)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 6
+
+
+def test_columns_of_any_name(spark):
+    """Dots, and names that differ from the used ones by case alone."""
+    docs = spark.createDataFrame([(1, "quick brown fox jumps over the dog", 1, "a", "b"), (2, "something else", 2, "a", "b")], ["doc_id", "text", "n.chars", "Text", "te xt`"])
+    items = spark.createDataFrame([(1, "quick brown fox jumps over the dog")], "item_id long, text string")
+    kept = dc.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [2]
+    assert [r["doc_id"] for r in dc.contaminated(docs, items).collect()] == [1]

@@ -173,3 +173,15 @@ def test_edge_cases(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=lambda i: (i is None, i)) == [1, 3, 7, 8, 9, 10, 11, None]
     assert near_dup.near_classes(edge.frame(spark, [])).collect() == []
     assert near_dup.drop_near_copies(edge.frame(spark, [])).collect() == []
+
+
+def test_a_fixed_row_of_repeated_ones_stays(spark):
+    """Rows that share id and text but not the source, dealt in any order."""
+    text = "the quick brown fox jumps over the lazy dog and runs away"
+    rows = [(1, text, f"s{i}", i) for i in range(40)]
+    kept = set()
+    for order in (1, 3, 7):
+        docs = spark.createDataFrame(sorted(rows, key=lambda r: r[3] * order % 41), ["doc_id", "text", "source", "n.chars"]).repartition(order)
+        (row,) = near_dup.drop_near_copies(docs).collect()
+        kept.add(tuple(row))
+    assert len(kept) == 1

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from farepath.llm import mixing
 from farepath.llm.queries import QUALITY_AT_LEAST
@@ -55,8 +57,14 @@ def test_every_stage_against_brute_force(spark):
 
 def test_edge_cases(spark, out_dir):
     labels = spark.createDataFrame([(1, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
-    root = edge.as_tables(spark, out_dir, edge.frame(spark), labels)
-    assert corpus_pipeline.run(spark, root).count() >= 0
+    root = edge.as_tables(spark, out_dir, edge.frame(spark).withColumn("n.x", F.lit(1)), labels)
+    rows = corpus_pipeline.run(spark, root).collect()
+    known = {r[0] for r in edge.rows()}
+    assert rows and {r["doc_id"] for r in rows} <= known
+    starts = sorted((r["start"], r["n_tokens"]) for r in rows)
+    assert [s for s, _ in starts] == [sum(n for _, n in starts[:k]) for k in range(len(starts))] and all(n >= 1 for _, n in starts)
+    again = corpus_pipeline.run(spark, root).collect()
+    assert sorted(map(tuple, again), key=lambda r: r[1]) == sorted(map(tuple, rows), key=lambda r: r[1])
 
 
 def test_empty_tables(spark, out_dir):
