@@ -62,6 +62,44 @@ def test_state_on_disk_grows_with_later_files(spark, out_dir):
     assert [r["at"]["file"] for r in exact_dedup.read_state(spark, checkpoint).select("stays.at").collect()]
 
 
+def over_days(spark, out_dir, days, **options):
+    """Tables read one after the other on one state: what each run returned,
+    and what brute force over all days so far says of that day's rows."""
+    checkpoint, seen, out = new_scratch_path(spark, "state"), [], []
+    for k, day in enumerate(days):
+        spark.createDataFrame(day, "doc_id long, text string").repartition(3).write.parquet(f"{out_dir}/day{k}/documents.parquet")
+        seen += day
+        mine = {(d, t) for d, t in day}
+        digests = {hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", t or "").encode()).hexdigest(): t for _, t in day}
+        ids = {d for d, _ in mine}
+        want = [r for r in brute(seen) if r[4] in digests and r[0] in ids]
+        out.append((found(spark, f"{out_dir}/day{k}", checkpoint=checkpoint, **options), sorted(want, key=key)))
+    return out
+
+
+DAYS = [[(1, "a b"), (2, "c")], [(3, "a  b"), (4, "a b"), (5, "d")], [(6, "c"), (7, "d"), (8, None), (9, "")], [(0, "a b"), (10, "e")]]
+
+
+def test_later_tables_on_one_state_lose_no_row(spark, out_dir):
+    """The row that stays is in another table's files; in the last day it is
+    a new one."""
+    for day, (got, want) in zip(DAYS, over_days(spark, out_dir, DAYS)):
+        assert len(got) == len(day) and got == want
+
+
+def test_collisions_across_tables(spark, out_dir):
+    few = lambda text: F.substring(exact_dedup.sha256_hex(text), 1, 1)
+    days = [[(100 * k + i, f"text {(i * 7 + k) % 11}") for i in range(25)] for k in range(3)]
+    for got, want in over_days(spark, out_dir, days, digest=few):
+        assert len(got) == 25 and got == want
+
+
+def test_hot_group_is_salted(spark, out_dir):
+    texts = [("hot" if i % 3 else f"text {i}") for i in range(900)]
+    edge.as_tables(spark, out_dir, edge.documents(spark, texts).repartition(5))
+    assert found(spark, out_dir) == sorted(brute(list(enumerate(texts))), key=key)
+
+
 def test_session_setting_is_put_back(spark, out_dir):
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
