@@ -263,18 +263,19 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, label_column: st
     texts = docs.select(F.col(id_column).alias("text_id"), text_of(text_column).alias("the_text"))
     found = texts.join(sample, F.col("text_id") == F.col("label_id")).select("label_id", "label", "the_text").collect()
     found.sort(key=lambda r: (r["label_id"], r["label"], r["the_text"]))
-    documents = [TOKEN.findall(r["the_text"].lower()) for r in found]
+    documents = [[w.lower() for w in TOKEN.findall(r["the_text"])] for r in found]
     return fit(documents, label_tokens(documents, [r["label"] for r in found]))
 
 
 class _Emissions(dict):
-    """Emission of each token, computed when first asked for."""
+    """Emission of each token as it stands in a text (its letters lowered for
+    the model), computed when first asked for."""
 
     def __init__(self, model: ChainField):
         self._model = model
 
     def __missing__(self, token: str) -> float:
-        value = self[token] = self._model.emission(token)
+        value = self[token] = self._model.emission(token.lower())
         return value
 
 
@@ -287,9 +288,6 @@ def score(docs: DataFrame, model: ChainField, id_column: str = "doc_id", text_co
         out: list[dict] = []
         last = -2
         places = [m.span() for m in TOKEN.finditer(text)]
-        # Where lower-casing changes the number of tokens, offsets follow the lower-case text.
-        if len(places) != len(p):
-            places = [m.span() for m in TOKEN.finditer(text.lower())]
         for i in np.flatnonzero(p >= at_least).tolist():
             start, end = places[i]
             if i == last + 1:
@@ -308,7 +306,7 @@ def score(docs: DataFrame, model: ChainField, id_column: str = "doc_id", text_co
                 if len(known) > MEMO_ENTRIES:
                     known = _Emissions(model)
                 get = known.__getitem__
-                found = [list(map(get, TOKEN.findall(t.lower()))) for t in texts[lo:hi]]
+                found = [list(map(get, TOKEN.findall(t))) for t in texts[lo:hi]]
                 lengths = np.array([len(f) for f in found], dtype=np.int64)
                 u = np.fromiter((x for f in found for x in f), dtype=np.float64, count=int(lengths.sum()))
                 p = model.marginals(u, lengths)

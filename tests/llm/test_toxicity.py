@@ -82,3 +82,11 @@ def test_edge_cases(spark):
     nothing = toxicity.learn(docs, labels.limit(0), F.lit(True))
     assert all(r["score"] < 0.1 for r in toxicity.score(docs, nothing).collect())
     assert toxicity.score(edge.frame(spark, []), model).collect() == []
+
+
+def test_offsets_are_those_of_the_given_text(spark):
+    """Letters whose lower-case form is longer, or that take a mark."""
+    model = toxicity.ChainField({"w:vile": 9.0}, -4.0, (0.0, 0.0, 0.0))
+    for text in ["İstanbul is vile", "İİİ VILE İ", "ẞ straẞe vile", "e\u0301te\u0301 vile", "ΑΣ'Σ vile", "vile"]:
+        (row,) = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+        assert [text[x["start"]:x["end"]].lower() for x in row["spans"]] == ["vile"], text
