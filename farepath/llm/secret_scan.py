@@ -7,14 +7,21 @@ documents that hold them; intersecting the postings of a rule's query gives
 its candidates, and only those are verified with the expression itself. A
 rule without mandatory trigrams is verified in every document.
 
+The index is built where the texts are, over a bounded slice of documents at
+a time: one pass over the bytes finds every named trigram, its postings are
+sets of the slice's rows, and the candidates are verified there and then. No
+text is shuffled. An index that was built before (:func:`trigram_postings`)
+can be handed in; its candidates then meet the texts by id.
+
 Spans are those of the whole match, in code points, end exclusive, leftmost
 and non-overlapping per kind; a match that fails the rule's length test is
 dropped, not searched again. Letters of either case in a rule are ASCII
 letters, so trigrams are taken from the text with ASCII letters lowered.
 
-Edge cases: a NULL or empty text has no spans; rows of one document id share
-the candidates of the id, and each is verified in its own text; documents
-with a NULL id are candidates of every rule.
+Edge cases: a NULL or empty text has no spans; every row is verified in its
+own text, whatever its id. With an index handed in, rows of one document id
+share the candidates of the id, and documents with a NULL id are candidates
+of every rule.
 """
 
 from __future__ import annotations
@@ -24,14 +31,18 @@ from dataclasses import dataclass
 from re import _constants as _c
 from re import _parser
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farepath.llm.common import columns_of, record_batch, text_of
+from farepath.llm.common import by_slice, columns_of, record_batch, text_of
 
 #: Sets of alternatives larger than this are cut into clauses.
 MOST_STRINGS = 64
+#: Bytes of text that are indexed at once.
+SLICE_BYTES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -184,18 +195,87 @@ def candidates(postings: DataFrame, rules) -> DataFrame:
     return found.select("doc_id", F.array_compact(F.array(*tests)).alias("rules")).filter(F.size("rules") > 0)
 
 
+class SliceIndex:
+    """Postings of the named trigrams over slices of documents."""
+
+    def __init__(self, trigrams: list[str]):
+        self._ascii = [t for t in trigrams if t.isascii()]
+        self._others = [t for t in trigrams if not t.isascii()]
+        # For three bytes, the number of their trigram; 0 is none.
+        self._number = np.zeros(1 << 24, dtype=np.uint8 if len(self._ascii) < 256 else np.uint16)
+        for n, trigram in enumerate(self._ascii, start=1):
+            a, b, c = trigram.encode()
+            self._number[a << 16 | b << 8 | c] = n
+        self._lower = np.arange(256, dtype=np.int32)
+        self._lower[ord("A"):ord("Z") + 1] += 32
+
+    def postings(self, texts: pa.StringArray) -> dict[str, np.ndarray]:
+        """For each trigram, whether each row holds it."""
+        lengths = pc.binary_length(texts).to_numpy()
+        ends = np.cumsum(lengths, dtype=np.int64)
+        out = {t: np.zeros(len(texts), dtype=bool) for t in (*self._ascii, *self._others)}
+        whole = b"".join(texts.cast(pa.binary()).to_pylist())
+        if len(whole) >= 3:
+            x = self._lower[np.frombuffer(whole, dtype=np.uint8)]
+            found = self._number[x[:-2] << 16 | x[1:-1] << 8 | x[2:]]
+            at = np.flatnonzero(found)
+            row = np.searchsorted(ends, at, "right")
+            inside = at + 3 <= ends[row]
+            for n, trigram in enumerate(self._ascii, start=1):
+                out[trigram][row[inside & (found[at] == n)]] = True
+        if self._others:
+            lowered = [_lower(t) for t in texts.to_pylist()]
+            for trigram in self._others:
+                out[trigram] = np.array([trigram in t for t in lowered], dtype=bool)
+        return out
+
+    @staticmethod
+    def candidates(postings: dict[str, np.ndarray], query: frozenset[Clause], rows: int) -> np.ndarray:
+        """Rows that meet a query: in every clause all trigrams of one option."""
+        met = np.ones(rows, dtype=bool)
+        for clause in query:
+            one = np.zeros(rows, dtype=bool)
+            for option in clause:
+                one |= np.logical_and.reduce([postings[t] for t in option])
+            met &= one
+        return met
+
+
+_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+_KIND = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(_SPAN))])
+_SCHEMA = "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
+
+
 def scan_secrets(docs: DataFrame, rules=RULES, id_column: str = "doc_id", text_column: str = "text",
                  postings: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id`` and ``spans``, an array of
     (kind, start, end) in order of start, then of the rules. ``postings`` may
-    hold an index built before; else it is built here."""
+    hold an index built before; else it is built here, slice by slice."""
     rules = tuple(rules)
-    if postings is None:
-        postings = trigram_postings(docs, query_trigrams(rules), id_column, text_column)
+    if postings is not None:
+        return _scan_by(postings, docs, rules, id_column, text_column)
+    queries = [trigram_query(r) for r in rules]
+    named = query_trigrams(rules)
+
+    def scan(batches):
+        compiled, index = [r.compiled() for r in rules], SliceIndex(named)
+        for batch in batches:
+            for ids, texts in by_slice(*columns_of(batch, "id", "text"), SLICE_BYTES):
+                held = index.postings(texts)
+                out: list[list] = [[] for _ in range(len(texts))]
+                for number, (rule, query) in enumerate(zip(rules, queries)):
+                    for row in np.flatnonzero(index.candidates(held, query, len(texts))).tolist():
+                        out[row] += [(a, number, b) for a, b in rule.spans(texts[row].as_py(), compiled[number])]
+                yield record_batch(_KIND, [ids, [[{"kind": rules[n].kind, "start": a, "end": b} for a, n, b in sorted(spans)] for spans in out]])
+
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
+    return rows.mapInArrow(scan, _SCHEMA)
+
+
+def _scan_by(postings: DataFrame, docs: DataFrame, rules, id_column: str, text_column: str) -> DataFrame:
+    """With an index built before: its candidates are joined by id."""
     always = [i for i, r in enumerate(rules) if not trigram_query(r)]
     everything = list(range(len(rules)))
-    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-    kind = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(span))])
 
     def verify(batches):
         compiled = [r.compiled() for r in rules]
@@ -206,13 +286,13 @@ def scan_secrets(docs: DataFrame, rules=RULES, id_column: str = "doc_id", text_c
                 todo = everything if key is None else sorted({*always, *(numbers or ())})
                 spans = [(a, i, b) for i in todo for a, b in rules[i].spans(text, compiled[i])]
                 out.append([{"kind": rules[i].kind, "start": a, "end": b} for a, i, b in sorted(spans)])
-            yield record_batch(kind, [ids, out])
+            yield record_batch(_KIND, [ids, out])
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
     met = candidates(postings, rules).select(F.col("doc_id").cast("long").alias("met_id"), F.col("rules").alias("chosen"))
     # The candidates are hashed per partition; the texts need no sort.
     return (rows.join(met.hint("shuffle_hash"), rows["id"] == met["met_id"], "left").select("id", "text", "chosen")
-            .mapInArrow(verify, "doc_id long, spans array<struct<kind:string,start:long,end:long>>"))
+            .mapInArrow(verify, _SCHEMA))
 
 
 def joined(spans, kinds=None):

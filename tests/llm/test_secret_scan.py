@@ -127,3 +127,20 @@ def test_edge_cases(spark):
     assert scan_secrets(edge.frame(spark, [])).collect() == []
     clash = spark.createDataFrame([(1, "secret=abcdef"), (1, "nothing"), (None, "secret=abcdef")], "doc_id long, text string")
     assert sorted(len(r["spans"]) for r in scan_secrets(clash).collect()) == [0, 1, 1]
+
+
+def test_postings_of_a_slice():
+    import pyarrow as pa
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aAbBcé日 ") for _ in range(rng.randrange(0, 12))) for _ in range(500)] + ["", "ab", "cab", "abc"]
+    trigrams = sorted({t[i:i + 3] for t in map(secret_scan._lower, texts) for i in range(len(t) - 2)})[:200] + ["zzz"]
+    held = secret_scan.SliceIndex(trigrams).postings(pa.array(texts))
+    for trigram in trigrams:
+        assert held[trigram].tolist() == [trigram in secret_scan._lower(t) for t in texts], trigram
+    cut = secret_scan.SliceIndex(["abc"]).postings(pa.array(["xab", "cx", "abc", "ABC", ""]).slice(1))
+    assert cut["abc"].tolist() == [False, True, True, False]
+
+
+def test_plan_shuffles_no_text(spark):
+    from farepath.plans.inspect import physical_plan
+    assert "Exchange" not in physical_plan(scan_secrets(edge.frame(spark)), "simple")
