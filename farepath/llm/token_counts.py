@@ -29,6 +29,8 @@ from farepath.llm.common import MEMO_ENTRIES, by_slice, columns_of, record_batch
 #: the least score, and the mark that stands for a space.
 UNKNOWN_PENALTY = 10.0
 SPACE_MARK = "▁"
+#: Longer words are counted each time they come; they don't come often.
+MEMO_CHARS = 200
 
 
 def vocabulary(model_path: str) -> list[tuple[str, float]]:
@@ -54,6 +56,7 @@ class UnigramCounter:
             if piece:
                 self._automaton.add_word(piece, (len(piece), score))
         self._automaton.make_automaton()
+        self._longest = max(len(p) for p, _ in pieces)
         self._single = {p for p, _ in pieces if len(p) == 1}
         self._unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
         # A line feed that no piece holds is stepped over alone, so a word
@@ -63,23 +66,27 @@ class UnigramCounter:
 
     def viterbi(self, word: str) -> tuple[int, float]:
         """Pieces and score of the best split of one word."""
-        scores, counts = [0.0], [0]
-        matches: list[list] = [[] for _ in word]
-        for end, match in self._automaton.iter(word):
-            matches[end].append(match)
+        # Only places within the longest piece of the current one are kept.
+        size = self._longest + 1
+        scores, counts = [0.0] * size, [0] * size
+        matches = self._automaton.iter(word)
+        match = next(matches, None)
         for end, char in enumerate(word):
+            here = end + 1
             best, count = None, 0
-            for length, score in matches[end]:  # longest, so first start, first
-                value = score + scores[end + 1 - length]
+            while match is not None and match[0] == end:  # longest, so first start, first
+                length, score = match[1]
+                at = (here - length) % size
+                value = score + scores[at]
                 if best is None or value > best:
-                    best, count = value, counts[end + 1 - length] + 1
+                    best, count = value, counts[at] + 1
+                match = next(matches, None)
             if char not in self._single:
-                value = self._unknown + scores[end]
+                value = self._unknown + scores[end % size]
                 if best is None or value > best:
-                    best, count = value, counts[end] + len(char.encode())
-            scores.append(best)
-            counts.append(count)
-        return counts[-1], scores[-1]
+                    best, count = value, counts[end % size] + len(char.encode())
+            scores[here % size], counts[here % size] = best, count
+        return counts[len(word) % size], scores[len(word) % size]
 
     def _parts(self, word: str) -> tuple[int, float]:
         """A word whose first character is the space mark."""
@@ -92,6 +99,8 @@ class UnigramCounter:
     def _known(self, part: str) -> tuple[int, float]:
         if not part:
             return 0, 0.0
+        if len(part) > MEMO_CHARS:
+            return self.viterbi(part)
         found = self._memo.get(part)
         if found is None:
             if len(self._memo) >= MEMO_ENTRIES:

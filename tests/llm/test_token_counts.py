@@ -51,3 +51,18 @@ def test_edge_cases(spark, tokenizer):
     want = sorted((r[0] or -1, len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids)) for r in edge.rows())
     assert sorted((r["doc_id"] or -1, r["n_tokens"]) for r in rows) == want
     assert token_counts.token_counts(edge.frame(spark, []), MODEL).collect() == []
+
+
+def test_an_unbroken_word_needs_little_memory():
+    """Only the automaton's own copy of the word (4 bytes a letter) grows."""
+    import tracemalloc
+    counter = token_counts.UnigramCounter(token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    peaks = []
+    for n in (20_000, 400_000):
+        word = "▁" + "abcdefghij" * (n // 10)
+        tracemalloc.start()
+        counted = counter.viterbi(word)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert counted[0] > n // 20
+    assert peaks[1] < peaks[0] + 4 * 400_000 + 10_000
