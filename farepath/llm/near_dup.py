@@ -28,6 +28,15 @@ that shares several buckets is compared in the first of them only. No link
 between components is lost, and a group of copies costs a few comparisons a
 member.
 
+In a bucket of more than :data:`FEW` members, what most of them hold (a
+template, say) is set aside first: of a bag x, ``held`` elements are common
+ones and the ``rest`` are its own. Two bags share at most the lesser ``held``
+and what their rests share. So a pair that can reach the threshold either
+shares an element of the rests, and one of the first few in a fixed order, or
+is so small beside what it holds that the common elements could be enough.
+The first are met by element, the second by class of size, and both are
+spread over the tasks; members that share a template and no more never meet.
+
 Edge cases: a NULL text counts as empty; documents without words form one
 class. A NULL id stands for itself in the result; inside, a number below
 -2**62 from the text's hash takes its place (and may be a class id). Rows that share
@@ -51,6 +60,7 @@ from pyspark.sql.types import MapType
 
 from farepath.llm.common import by_slice, columns_of, mix64, record_batch, text_of, written
 from farepath.operators.lookup import checked_broadcast
+from farepath.operators.skew import PIECES
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -63,6 +73,11 @@ SLACK, SLACK_SQUARE = 2, 1 << 27
 NO_ID = -(1 << 62)
 #: Ids of documents in shared buckets up to which they are broadcast.
 BROADCAST_IDS = 2_000_000
+#: Members up to which a bucket's are compared one by one, and members of a
+#: larger bucket that one copy of its common elements goes to.
+FEW, PART = 32, 1024
+#: Ratio of the sizes at the borders of a class of sizes.
+SIZE_STEP = 1.02
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -232,23 +247,36 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: each neighbour above a node hangs on the least of its neighbourhood.
         both = pairs.union(pairs.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        least = both.groupBy("node").agg(F.min("root").alias("least")).select(F.col("node").alias("of"), F.least("node", "least").alias("least"))
-        large = (both.join(least, both["node"] == least["of"]).filter(F.col("root") > F.col("node"))
-                 .select(F.col("root").alias("node"), F.col("least").alias("root")))
+        n_rows = 2 * pairs.count()
+        large = (_with_least(both, n_rows).filter(F.col("root") > F.col("node"))
+                 .select(F.col("root").alias("node"), F.least("node", "least").alias("root")))
         # Small star: the neighbours below a node, and itself, hang on the least of them.
         lower = large.filter("node > root").distinct()
-        low = lower.groupBy("node").agg(F.min("root").alias("least")).withColumnRenamed("node", "of")
-        small = (lower.join(low, lower["node"] == low["of"]).filter(F.col("root") > F.col("least"))
+        low = lower.groupBy("node").agg(F.min("root").alias("least"))
+        small = (_with_least(lower, n_rows).filter(F.col("root") > F.col("least"))
                  .select(F.col("root").alias("node"), F.col("least").alias("root")))
-        after = written(small.union(low.select("of", "least")).distinct(), "cc")
+        after = written(small.union(low).distinct(), "cc")
         # Done when every node has one root and no root is a node itself.
         split = after.groupBy("node").count().filter("count > 1").select("node")
-        chained = after.join(after.select(F.col("node").alias("above")), F.col("root") == F.col("above"), "left_semi").select("node")
+        chained = after.select(F.col("root").alias("above")).distinct().join(after, F.col("above") == F.col("node"), "left_semi").select("above")
         if split.union(chained).isEmpty():
             return after
         pairs = after
 
 
+def _with_least(edges: DataFrame, n_rows: int) -> DataFrame:
+    """The ``edges`` (node, root), at most ``n_rows``, with the ``least`` root
+    of their node. Hubs, nodes of more rows than a share of an average task,
+    are at most ``tasks * PIECES``: they are broadcast, and their rows stay
+    where they are."""
+    piece = max(1, -(-n_rows // (int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) * PIECES)))
+    least = edges.groupBy("node").agg(F.min("root").alias("least"), F.count("*").alias("n")).withColumnRenamed("node", "of")
+    hubs = least.filter(F.col("n") > piece).select(F.col("of").alias("hub"), F.col("least").alias("hub_least"))
+    met = edges.join(F.broadcast(hubs), F.col("node") == F.col("hub"), "left")
+    others = met.filter("hub IS NULL").select("node", "root").join(least.filter(F.col("n") <= piece), F.col("node") == F.col("of"))
+    return met.filter("hub IS NOT NULL").select("node", "root", F.col("hub_least").alias("least")).union(others.select("node", "root", "least"))
+
+
 def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD,
                  bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``key`` (the id, or what takes
@@ -343,12 +371,13 @@ def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
 
 def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of the buckets that still join several components, with the
-    component of each, and whether it is that of the bucket's middle."""
+    component of each, whether it is that of the bucket's middle, and how many
+    rows the bucket has."""
     labelled = (rows.join(labels, F.col("rep") == F.col("node"), "left")
                 .select("bucket", "rep", "degree", F.coalesce("root", "rep").alias("label")))
-    several = (labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max_by("label", "degree").alias("middle"))
-               .filter("l < h").select(F.col("bucket").alias("of"), "middle"))
-    return written(labelled.join(several, F.col("bucket") == F.col("of")).select("bucket", "rep", "label", (F.col("label") == F.col("middle")).alias("main")), "near-mixed")
+    several = (labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max_by("label", "degree").alias("middle"), F.count("*").alias("n"))
+               .filter("l < h").select(F.col("bucket").alias("of"), "middle", "n"))
+    return written(labelled.join(several, F.col("bucket") == F.col("of")).select("bucket", "rep", "label", (F.col("label") == F.col("middle")).alias("main"), "n"), "near-mixed")
 
 
 def _near_pairs(mixed: DataFrame, signed: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -359,8 +388,9 @@ def _near_pairs(mixed: DataFrame, signed: DataFrame, bags: DataFrame, threshold:
              .join(bags.select("id", "brief"), F.col("rep") == F.col("id")).drop("id").withColumnRenamed("rep", "of"))
     earlier = F.slice("keys", F.lit(1), (F.array_position("keys", F.col("bucket")) - 1).cast("int"))
     rows = written(mixed.join(about, F.col("rep") == F.col("of"))
-                   .select("bucket", "rep", "label", "main", earlier.alias("earlier"), "brief", F.size("brief").alias("size")), "near-beside")
-    x, y = rows.alias("x"), rows.filter(~F.col("main")).alias("y")
+                   .select("bucket", "rep", "label", "main", "n", earlier.alias("earlier"), "brief", F.size("brief").alias("size")), "near-beside")
+    few = rows.filter(F.col("n") <= FEW)
+    x, y = few.alias("x"), few.filter(~F.col("main")).alias("y")
     sizes = F.col("x.size") + F.col("y.size")
     common = F.size(F.array_intersect("x.brief", "y.brief")) + _slack(sizes)
     met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label"))
@@ -368,7 +398,52 @@ def _near_pairs(mixed: DataFrame, signed: DataFrame, bags: DataFrame, threshold:
                  & (F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size"))
                  & ~F.arrays_overlap("x.earlier", "y.earlier")
                  & _reach(common, sizes, threshold))
-    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    pairs = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    many = rows.filter(F.col("n") > FEW).select("bucket", "rep", "label", "main", "n", "brief", "size")
+    if not many.isEmpty():
+        able = written(_able_pairs(many, threshold), "near-able")
+        common, sizes = F.col("common"), F.col("sizes")
+        pairs = pairs.union(_compared(able, bags, "brief").filter(_reach(common + _slack(sizes), sizes, threshold)).select("a", "b"))
+    return pairs.distinct()
+
+
+def _able_pairs(many: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of large buckets that what most members hold doesn't rule
+    out. Bounds hold for 32-bit elements too: those that collide count as held."""
+    share = threshold / (1 + threshold)  # of both sizes must be common
+    held = (many.select("bucket", "n", F.explode("brief").alias("element")).groupBy("bucket", "element").agg(F.count("*").alias("holders"), F.first("n").alias("n"))
+            .filter("2 * holders > n").groupBy("bucket").agg(F.collect_list("element").alias("template"), F.first("n").alias("n")))
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    held = held.select(F.col("bucket").alias("of"), "template", F.explode(F.sequence(F.lit(0), parts - 1)).alias("of_part"))
+    parted = many.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    rest = F.array_except("brief", F.coalesce("template", F.array().cast("array<int>")))
+    members = written(parted.join(held, (F.col("bucket") == F.col("of")) & (F.col("part") == F.col("of_part")), "left")
+                      .select("bucket", "rep", "label", "main", "size", F.sort_array(rest).alias("rest")), "near-rests")
+    members = members.withColumn("held", F.col("size") - F.size("rest"))
+    beside = (F.col("x.label") != F.col("y.label")) & ~(F.col("x.main") & F.col("y.main"))
+
+    # A pair needs so many elements of the rests at least, whatever its size;
+    # the first that it shares stands before as many of either's.
+    least = F.greatest(F.lit(1), F.ceil(threshold * F.col("size") - F.col("held") - 1e-6)).cast("int")
+    firsts = members.select("bucket", "rep", "label", "main", "size", F.explode(F.slice("rest", F.lit(1), F.greatest(F.lit(0), F.size("rest") - least + 1))).alias("element"))
+    x, y = firsts.alias("x"), firsts.filter(~F.col("main")).alias("y")
+    by_element = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.element") == F.col("y.element")) & beside
+                        & (F.col("x.main") | (F.col("x.rep") < F.col("y.rep")))
+                        & (F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size")))
+
+    # The held elements alone can be enough: x is the larger, y the smaller.
+    step = F.lit(float(np.log(SIZE_STEP)))
+    most = F.least(F.col("size").cast("double"), F.col("held") / share - F.col("size") + 1e-6)
+    enough = members.select("bucket", "rep", "label", "main", "size", "held", most.alias("most")).filter(most >= threshold * F.col("size") - 1e-6)
+    classes = F.sequence(F.floor(F.log(threshold * F.col("size")) / step).cast("int") - 1, F.floor(F.log("most") / step).cast("int") + 1)
+    x = enough.withColumn("class", F.explode(classes)).alias("x")
+    y = members.select("bucket", "rep", "label", "main", "size", "held").withColumn("class", F.floor(F.log("size") / step).cast("int")).alias("y")
+    by_size = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") == F.col("y.class")) & beside
+                     & ((F.col("x.size") > F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.rep") > F.col("y.rep"))))
+                     & (F.col("y.size") >= threshold * F.col("x.size"))
+                     & (share * (F.col("x.size") + F.col("y.size")) <= F.least("x.held", "y.held") + 1e-6))
+    pair = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
+    return by_element.select(*pair).union(by_size.select(*pair)).distinct()
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
