@@ -29,10 +29,11 @@ DIMENSIONS = 1024
 GRAM = 3
 #: Documents of each language that its prototype is bundled from.
 PER_LANGUAGE = 1500
+#: Characters of one text whose n-grams are laid out at once.
+PART_CHARS = 1_000_000
 UNKNOWN = "und"
 
 _LETTERS: np.ndarray | None = None
-_GRAM_VECTORS: dict[int, np.ndarray] = {}
 
 
 def _letter_table() -> np.ndarray:
@@ -59,21 +60,31 @@ def gram_vectors(grams: np.ndarray, dimensions: int) -> np.ndarray:
     return out
 
 
-def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray, bool]:
+def gram_counts(text: str, part_chars: int = PART_CHARS) -> tuple[np.ndarray, np.ndarray, bool]:
     """Distinct n-grams of a text (packed in 21 bits a letter), how often
-    each occurs, and whether there is a letter at all."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letters = _letter_table()[points]
-    if not letters.any():
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), False
-    padded = np.zeros(len(letters) + 2, dtype=np.uint64)
-    padded[1:-1] = letters
-    padded = padded[np.append(True, (padded[1:] != 0) | (padded[:-1] != 0))]  # one mark between words
-    packed = np.zeros(len(padded) - GRAM + 1, dtype=np.uint64)
-    for place in range(GRAM):
-        packed = (packed << np.uint64(21)) | padded[place:len(padded) - GRAM + 1 + place]
-    grams, counts = np.unique(packed, return_counts=True)
-    return grams, counts, True
+    each occurs, and whether there is a letter at all. A long text is read in
+    parts; what the next part's first n-grams begin with is carried over."""
+    grams, counts, known = np.zeros(0, np.uint64), np.zeros(0, np.int64), False
+    lowered = text.lower()
+    end = np.zeros(1, dtype=np.uint64)
+    before = end
+    for at in range(0, len(lowered), part_chars):
+        points = np.frombuffer(lowered[at:at + part_chars].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        letters = _letter_table()[points]
+        known = known or bool(letters.any())
+        run = np.concatenate([before, letters, end if at + part_chars >= len(lowered) else end[:0]])
+        run = run[np.append(True, (run[1:] != 0) | (run[:-1] != 0))]  # one mark between words
+        n = max(0, len(run) - GRAM + 1)
+        packed = np.zeros(n, dtype=np.uint64)
+        for place in range(GRAM):
+            packed = (packed << np.uint64(21)) | run[place:place + n]
+        before = run[-(GRAM - 1):]
+        found, often = np.unique(packed, return_counts=True)
+        if len(grams):
+            found, of = np.unique(np.concatenate([grams, found]), return_inverse=True)
+            often = np.bincount(of, np.concatenate([counts, often]), len(found)).astype(np.int64)
+        grams, counts = found, often
+    return (grams, counts, True) if known else (grams[:0], counts[:0], False)
 
 
 def document_vectors(texts: list[str], dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
