@@ -11,33 +11,39 @@ The labels are of documents. Tokens are labelled from them first: features
 seen in toxic training documents and (almost) no clean one, as few as explain
 the toxic documents, mark their tokens toxic there; all other tokens are clean. The field is then
 fitted to these tokens by gradient ascent on the regularised likelihood. All
-this is on a bounded sample of labelled documents (:data:`TRAINING_ROWS`, up to
-a quarter of them toxic, those of the smallest id hashes).
+this is on a bounded sample of labelled documents (:data:`TRAINING_ROWS` and
+:data:`TRAINING_BYTES`, up to a quarter of them toxic, those of the smallest id
+hashes).
 
 For two labels, forward and backward messages are each one ratio, so a batch
 of documents is one pass over time with one vector operation a step.
 
 Edge cases: a NULL text counts as empty; texts without tokens score 0;
 without toxic training documents every score is near 0; rows whose label is
-NULL are not learned from.
+NULL are not learned from. Of rows that share an id, the one of the least text
+is learned from.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import sys
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farepath.llm.common import MEMO_ENTRIES, bounded_sample, columns_of, record_batch, slices, text_of
+from farepath.llm.common import MEMO_ENTRIES, bounded_sample, columns_of, record_batch, slices, text_of, written
 
 TRAINING_ROWS = 4000
+#: Bytes of text of the training documents: texts of more than a 64th of them
+#: aren't learned from, and of the others those of the smallest id hashes are,
+#: of each label, until the next one would go beyond its share.
+TRAINING_BYTES = 64_000_000
 TOXIC_SHARE = 0.25
 #: A feature marks tokens if it is in this many toxic training documents at
 #: least, and this much commoner there than in clean ones.
@@ -72,6 +78,40 @@ def token_features(token: str) -> list[str]:
     return out
 
 
+@dataclass
+class Coded:
+    """Documents as numbers: ``words`` by first appearance, the word of every
+    token, the tokens of each document, and the features of each word."""
+    words: list[str]
+    flat: np.ndarray
+    lengths: np.ndarray
+    names: list[str]
+    features: np.ndarray
+    counts: np.ndarray
+
+    def documents(self) -> list[np.ndarray]:
+        return np.split(self.flat, np.cumsum(self.lengths)[:-1]) if len(self.lengths) else []
+
+    def features_of(self, words: np.ndarray) -> np.ndarray:
+        """The features of the words, one after the other."""
+        n = self.counts[words]
+        first = (np.cumsum(self.counts) - self.counts)[words]
+        return self.features[np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)]
+
+
+def coded(documents: Iterable[list[str]]) -> Coded:
+    number: dict[str, int] = {}
+    parts = [np.fromiter((number.setdefault(w, len(number)) for w in tokens), dtype=np.int32, count=len(tokens)) for tokens in documents]
+    names: dict[str, int] = {}
+    features, counts = [], []
+    for word in number:
+        found = [names.setdefault(f, len(names)) for f in token_features(word)]
+        features += found
+        counts.append(len(found))
+    return Coded(list(number), np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array([len(x) for x in parts], dtype=np.int64),
+                 list(names), np.array(features, dtype=np.int32), np.array(counts, dtype=np.int64))
+
+
 def _time_major(lengths: np.ndarray):
     """Places of the tokens of all sequences when sorted by time: sequences
     longest first, so those alive at a step stand in front."""
@@ -138,13 +178,14 @@ def _messages(u: np.ndarray, lengths: np.ndarray, transitions, pairs: bool = Fal
     return (p / (1 + p))[place], log_z, expected
 
 
-def _without_copies(documents: list[list[str]]) -> list[int]:
+def _without_copies(tokens: Coded) -> list[int]:
     """Documents that don't share half of a small sketch of their words with
     an earlier one: copies would count their rare words again and again."""
+    hashes = np.array([zlib.crc32(w.encode()) for w in tokens.words], dtype=np.int64)
     seen: dict[int, set[int]] = {}
     kept = []
-    for i, tokens in enumerate(documents):
-        sketch = sorted({zlib.crc32(w.encode()) for w in tokens})[:SKETCH]
+    for i, words in enumerate(tokens.documents()):
+        sketch = np.unique(hashes[words])[:SKETCH].tolist()
         shared: dict[int, int] = {}
         for h in sketch:
             for other in seen.get(h, ()):
@@ -163,32 +204,29 @@ def _evidence(a: int, n_a: int, b: int, n_b: int) -> float:
     return 2 * sum(x * math.log(x / e) for x, e in each if x > 0)
 
 
-def marking_features(documents: list[list[str]], toxic: list[int], least: int = LEAST_DOCUMENTS, ratio: float = LEAST_RATIO) -> set[str]:
+def marking_features(tokens: Coded, toxic: list[int], least: int = LEAST_DOCUMENTS, ratio: float = LEAST_RATIO) -> set[str]:
     """Features that tell toxic documents: those far commoner there than in
     clean ones, taken greedily, the one that explains most documents not yet
     explained first, until none explains ``least``."""
-    kept = _without_copies(documents)
-    known: dict[str, list[str]] = {}
-
-    def features(i: int) -> set[str]:
-        words = set(documents[i])
-        for w in words - known.keys():
-            known[w] = [sys.intern(f) for f in token_features(w)]
-        return {f for w in words for f in known[w]}
-
-    counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    kept = _without_copies(tokens)
+    counts = np.zeros((2, len(tokens.names)), dtype=np.int64)
+    documents = tokens.documents()
+    of_toxic: dict[int, np.ndarray] = {}
     for i in kept:
-        into = counts[toxic[i]]
-        for f in features(i):
-            into[f] = into.get(f, 0) + 1
+        found = np.unique(tokens.features_of(np.unique(documents[i])))
+        counts[toxic[i], found] += 1
+        if toxic[i]:
+            of_toxic[i] = found
     n = [max(1, sum(toxic[i] == k for i in kept)) for k in (0, 1)]
-    able = {f for f, m in counts[1].items() if m >= least and m / n[1] >= ratio * (counts[0].get(f, 0) + 0.1) / n[0]
-            and _evidence(m, n[1], counts[0].get(f, 0), n[0]) >= LEAST_EVIDENCE}
+    far = (counts[1] >= least) & (counts[1] / n[1] >= ratio * (counts[0] + 0.1) / n[0])
+    able = {tokens.names[f]: int(f) for f in np.flatnonzero(far)
+            if _evidence(int(counts[1, f]), n[1], int(counts[0, f]), n[0]) >= LEAST_EVIDENCE}
+    told = np.zeros(len(tokens.names), dtype=bool)
+    told[list(able.values())] = True
     holders: dict[str, set[int]] = {f: set() for f in able}
-    for i in kept:
-        if toxic[i]:
-            for f in features(i) & able:
-                holders[f].add(i)
+    for i, found in of_toxic.items():
+        for f in found[told[found]].tolist():
+            holders[tokens.names[f]].add(i)
     marking: set[str] = set()
     while holders:
         # The longest beginning of those that explain the same documents.
@@ -202,69 +240,88 @@ def marking_features(documents: list[list[str]], toxic: list[int], least: int =
             if len(holders[f]) < least:
                 del holders[f]
     # What stands in a good part of all toxic documents marks on its own.
-    return marking | {f for f in able if counts[1][f] >= max(least, COMMON_SHARE * n[1])}
-
-
-def label_tokens(documents: list[list[str]], toxic: list[int]) -> list[np.ndarray]:
-    """Token labels from document labels."""
-    marking = marking_features(documents, toxic)
-    vocabulary = {w for tokens in documents for w in tokens}
-    marked = {w for w in vocabulary if any(f in marking for f in token_features(w))}
-    return [np.array([w in marked for w in tokens], dtype=bool) if label else np.zeros(len(tokens), dtype=bool)
-            for tokens, label in zip(documents, toxic)]
-
-
-def fit(documents: list[list[str]], labels: list[np.ndarray], iterations: int = ITERATIONS, l2: float = L2) -> ChainField:
-    """Maximise the likelihood of the token labels. Features that no toxic
-    token has start, and without evidence stay, at 0; they are left out."""
-    documents, labels = ([x[i:i + CUT] for x in seq for i in range(0, max(1, len(x)), CUT)] for seq in (documents, labels))
-    toxic_features = {f for tokens, y in zip(documents, labels) for w, t in zip(tokens, y) if t for f in token_features(w)}
-    names = sorted(toxic_features)
-    number = {f: i for i, f in enumerate(names)}
-    words: dict[str, int] = {}
-    flat = np.array([words.setdefault(w, len(words)) for tokens in documents for w in tokens], dtype=np.int64)
-    rows, columns = [], []
-    for w, i in words.items():
-        for f in token_features(w):
-            if f in number:
-                rows.append(i)
-                columns.append(number[f])
-    rows, columns = np.array(rows, dtype=np.int64), np.array(columns, dtype=np.int64)
-    lengths = np.array([len(t) for t in documents], dtype=np.int64)
-    y = np.concatenate(labels).astype(np.float64) if len(flat) else np.zeros(0)
-    first = np.zeros(len(y), dtype=bool)
-    first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-    before, after = np.roll(y, 1)[~first], y[~first]
-    observed = np.array([((1 - before) * after).sum(), (before * (1 - after)).sum(), (before * after).sum()])
-    theta = np.zeros(len(names) + 4)
-    theta[len(names)] = np.log((y.sum() + 0.5) / (len(y) + 1)) if len(y) else -10.0
+    return marking | {f for f, i in able.items() if counts[1, i] >= max(least, COMMON_SHARE * n[1])}
+
+
+def label_tokens(tokens: Coded, toxic: list[int]) -> np.ndarray:
+    """Whether each token is toxic, from document labels."""
+    marking = marking_features(tokens, toxic)
+    marks = np.fromiter((f in marking for f in tokens.names), dtype=bool, count=len(tokens.names))
+    marked = np.zeros(len(tokens.words), dtype=bool)
+    marked[np.repeat(np.arange(len(tokens.words)), tokens.counts)[marks[tokens.features]]] = True
+    return marked[tokens.flat] & np.repeat(np.array(toxic, dtype=bool), tokens.lengths)
+
+
+class Likelihood:
+    """The regularised log-likelihood of token labels ``y``. Parameters are
+    the weights of the features in ``names``, the bias and the transitions.
+    Features that no toxic token has start, and without evidence stay, at 0;
+    they are left out."""
+
+    def __init__(self, tokens: Coded, y: np.ndarray, l2: float = L2):
+        found = np.unique(tokens.features_of(np.unique(tokens.flat[y])))
+        self.names = sorted(tokens.names[f] for f in found.tolist())
+        place = {f: i for i, f in enumerate(self.names)}
+        number = np.full(len(tokens.names), -1)
+        number[found] = [place[tokens.names[f]] for f in found.tolist()]
+        known = number[tokens.features] >= 0
+        self.rows = np.repeat(np.arange(len(tokens.words)), tokens.counts)[known]
+        self.columns = number[tokens.features[known]]
+        self.n_words, self.flat, self.y = len(tokens.words), tokens.flat, y.astype(np.float64)
+        self.lengths = np.array([min(CUT, n - i) for n in tokens.lengths.tolist() for i in range(0, max(1, n), CUT)], dtype=np.int64)
+        first = np.zeros(len(y), dtype=bool)
+        first[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = True
+        before, after = np.roll(self.y, 1)[~first], self.y[~first]
+        self.observed = np.array([((1 - before) * after).sum(), (before * (1 - after)).sum(), (before * after).sum()])
+        self.penalty = l2 * np.append(np.ones(len(self.names)), np.full(4, 0.01))
+
+    def at(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """Value and gradient."""
+        n = len(self.names)
+        u = (np.bincount(self.rows, theta[self.columns], self.n_words) + theta[n])[self.flat]
+        p, log_z, expected = _messages(u, self.lengths, theta[-3:], pairs=True)
+        left = np.bincount(self.flat, self.y - p, self.n_words)
+        gradient = np.concatenate([np.bincount(self.columns, left[self.rows], n), [left.sum()], self.observed - expected])
+        value = (self.y * u).sum() + self.observed @ theta[-3:] - log_z - (self.penalty * theta ** 2).sum() / 2
+        return value, gradient - self.penalty * theta
+
+
+def fit(tokens: Coded, y: np.ndarray, iterations: int = ITERATIONS, l2: float = L2) -> ChainField:
+    """Maximise the likelihood of the token labels ``y``."""
+    likelihood = Likelihood(tokens, y, l2)
+    n = len(likelihood.names)
+    theta = np.zeros(n + 4)
+    theta[n] = np.log((y.sum() + 0.5) / (len(y) + 1)) if len(y) else -10.0
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, iterations + 1 if len(y) else 1):
-        per_word = np.bincount(rows, theta[columns], len(words)) + theta[len(names)]
-        p, _, expected = _messages(per_word[flat], lengths, theta[-3:], pairs=True)
-        left = np.bincount(flat, y - p, len(words))
-        gradient = np.concatenate([np.bincount(columns, left[rows], len(names)), [left.sum()], observed - expected]) - l2 * theta * np.append(np.ones(len(names)), np.full(4, 0.01))
+        _, gradient = likelihood.at(theta)
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient ** 2
         theta += 0.25 * (mean / (1 - 0.9 ** t)) / (np.sqrt(square / (1 - 0.99 ** t)) + 1e-6)
-    weights = {f: float(v) for f, v in zip(names, theta) if abs(v) > 1e-6}
-    return ChainField(weights, float(theta[len(names)]), tuple(float(v) for v in theta[-3:]))
+    weights = {f: float(v) for f, v in zip(likelihood.names, theta) if abs(v) > 1e-6}
+    return ChainField(weights, float(theta[n]), tuple(float(v) for v in theta[-3:]))
 
 
 # --- Spark --------------------------------------------------------------------
 
 def learn(docs: DataFrame, labels: DataFrame, training: Column, label_column: str = "toxic", id_column: str = "doc_id",
-          text_column: str = "text", training_rows: int = TRAINING_ROWS) -> ChainField:
+          text_column: str = "text", training_rows: int = TRAINING_ROWS, training_bytes: int = TRAINING_BYTES) -> ChainField:
     rows = labels.filter(training & F.col(label_column).isNotNull()).select(F.col(id_column).alias("label_id"), (F.col(label_column) > 0).cast("int").alias("label"))
     n_toxic = int(training_rows * TOXIC_SHARE)
     samples = [bounded_sample(rows.filter(F.col("label") == k), "label_id", n) for k, n in ((1, n_toxic), (0, training_rows - n_toxic))]
     # At most training_rows pairs of an id and a label: a proven bound.
-    sample = F.broadcast(samples[0].union(samples[1]))
+    sample = F.broadcast(samples[0].union(samples[1]).distinct())
     texts = docs.select(F.col(id_column).alias("text_id"), text_of(text_column).alias("the_text"))
-    found = texts.join(sample, F.col("text_id") == F.col("label_id")).select("label_id", "label", "the_text").collect()
-    found.sort(key=lambda r: (r["label_id"], r["label"], r["the_text"]))
-    documents = [[w.lower() for w in TOKEN.findall(r["the_text"])] for r in found]
-    return fit(documents, label_tokens(documents, [r["label"] for r in found]))
+    # One text for each pair, so training_rows texts at most.
+    found = written(texts.join(sample, F.col("text_id") == F.col("label_id")).groupBy("label_id", "label").agg(F.min("the_text").alias("the_text")), "toxic-training")
+    sizes = found.select("label_id", "label", F.octet_length("the_text").cast("long").alias("bytes")).filter(F.col("bytes") <= training_bytes // 64)
+    so_far = F.sum("bytes").over(Window.partitionBy("label").orderBy(F.xxhash64("label_id"), "label_id"))
+    share = F.when(F.col("label") == 1, TOXIC_SHARE).otherwise(1 - TOXIC_SHARE) * training_bytes
+    fits = sizes.withColumn("so_far", so_far).filter(F.col("so_far") <= share).select("label_id", "label")
+    kept = found.join(F.broadcast(fits), ["label_id", "label"]).select("label_id", "label", "the_text").collect()
+    kept.sort(key=lambda r: (r["label_id"], r["label"]))
+    tokens = coded([w.lower() for w in TOKEN.findall(r["the_text"])] for r in kept)
+    return fit(tokens, label_tokens(tokens, [r["label"] for r in kept]))
 
 
 class _Emissions(dict):
