@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 import pytest
 
+from farepath.plans.inspect import physical_plan
 from farepath.registry import QUERIES
-from farepath.sources import tables
+from farepath.schemas import TRIPS_2015, TRIPS_2024
+from farepath.sources import read_csv, tables
 
 TABLES = {
     "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double",
@@ -41,3 +44,24 @@ def test_ingest_of_zones_writes_no_trips(spark, sf):
 
 def test_ingest_of_all_files_still_has_all(spark, sf):
     assert {r["file"] for r in QUERIES["parquet_ingest_files"](spark, sf).collect()} == {"trips_2024", "trips_2015", "zones"}
+
+
+def test_ingest_of_the_2015_file_writes_one_copy_of_the_trips(spark, sf):
+    rows = QUERIES["parquet_ingest_2015"](spark, sf).collect()
+    assert prepared(sf) == {"trips-csv-2015"}
+    columns = [f.name for f in TRIPS_2015.fields]
+    trips = tables.derive_trips(spark, sf).select(*columns).collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, map(tuple, trips))) and len(rows) == 603
+
+
+@pytest.mark.parametrize("first", [None, "parquet"])
+def test_csv_trips_are_compressed_and_whole(spark, sf, first):
+    if first:  # the Parquet copy is there already and is read
+        tables.prepared_trips(spark, sf)
+        assert "Join" not in physical_plan(tables._trips_once(spark, sf), "simple")
+    path = tables.trips_csv_path(spark, sf, "2024")
+    names = [n for n in os.listdir(path.removeprefix("file:")) if n.startswith("part-")]
+    assert names and all(n.endswith(".csv.gz") for n in names)
+    rows = read_csv(spark, path, TRIPS_2024).collect()
+    trips = tables._in_layout(tables.derive_trips(spark, sf), TRIPS_2024).collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, map(tuple, trips))) and len(rows) == 603
