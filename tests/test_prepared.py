@@ -65,3 +65,9 @@ def test_csv_trips_are_compressed_and_whole(spark, sf, first):
     rows = read_csv(spark, path, TRIPS_2024).collect()
     trips = tables._in_layout(tables.derive_trips(spark, sf), TRIPS_2024).collect()
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, map(tuple, trips))) and len(rows) == 603
+
+
+def test_same_region_on_csv_writes_one_copy_of_the_trips(spark, sf):
+    rows = list(map(tuple, QUERIES["same_region_trip_counts_csv"](spark, sf).collect()))
+    assert prepared(sf) == {"trips-csv-2024", "lookup-parquet", "lookup-csv"}
+    assert rows == list(map(tuple, QUERIES["same_region_trip_counts"](spark, sf).collect())) and rows
