@@ -45,8 +45,12 @@ def read_between(spark: SparkSession, path: str, time_column: str, first: str, l
 def write_bucketed(df: DataFrame, path: str, table: str, key: str, buckets: int) -> str:
     """A table whose files are bucketed and sorted by ``key``: a later join or
     aggregate on it needs no shuffle of this side. Its rows are first dealt by
-    the key, so every bucket is one file. The table is known to the session's
-    catalog under its name. A key with a large share of all rows makes a large
-    bucket; join such tables with :func:`farepath.operators.salted_lookup_join`."""
-    (df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table))
+    the key, so a small bucket is one file; one that is larger than a task's
+    share (``spark.sql.adaptive.advisoryPartitionSizeInBytes``) is cut into
+    files that several tasks write. The table is known to the session's catalog
+    under its name. A key with a large share of all rows still makes a large
+    bucket for the join; join such tables with
+    :func:`farepath.operators.salted_lookup_join`."""
+    dealt = df.hint("rebalance", key)
+    (dealt.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table))
     return table

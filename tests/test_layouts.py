@@ -83,6 +83,21 @@ def test_bucketed_table_is_replaced(spark, out_dir):
     spark.sql("DROP TABLE farepath_test_bucketed")
 
 
+def test_a_hot_bucket_is_written_by_several_tasks(spark, out_dir, confs):
+    confs(spark__sql__adaptive__advisoryPartitionSizeInBytes="32k")
+    trips = hot_trips(spark)
+    names = [write_bucketed(df, f"{out_dir}/{n}", f"farepath_test_hot_{n}", key, 4) for df, n, key in ((trips, "t", "PULocationID"), (zones(spark), "z", "LocationID"))]
+    table = spark.table(names[0])
+    by_file = table.groupBy(F.input_file_name().alias("f")).count().collect()
+    assert sum(r["count"] for r in by_file) == 120_000 and max(r["count"] for r in by_file) < 20_000  # zone 1 has 40 000
+    counts = tq.bucketed_join_counts(spark, *names)
+    assert "Exchange" not in physical_plan(counts, "simple")
+    plain = trips.join(zones(spark), F.col("PULocationID") == F.col("LocationID")).groupBy("LocationID", "Zone").count()
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, plain.collect()))
+    for name in names:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def test_other_months_are_not_read(spark):
     df = QUERIES["night_trip_counts_between"](spark, SF_SMALL)
     plan = physical_plan(df, "simple")
