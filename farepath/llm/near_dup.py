@@ -45,7 +45,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
@@ -228,24 +228,22 @@ def document() -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` (the least node of its component) for the nodes of
     undirected ``edges`` (a, b): nodes are hooked to the least neighbour of
-    their neighbourhood until every edge points at a root."""
+    their neighbourhood until every edge points at a root. Each star is
+    written, so that a plan holds one of them and the driver little."""
     pairs = written(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).filter("node <> root").distinct(), "cc")
     while True:
         # Large star: each neighbour above a node hangs on the least of its neighbourhood.
         both = pairs.union(pairs.select(F.col("root").alias("node"), F.col("node").alias("root")))
         n_rows = 2 * pairs.count()
-        large = (_with_least(both, n_rows).filter(F.col("root") > F.col("node"))
-                 .select(F.col("root").alias("node"), F.least("node", "least").alias("root")))
+        lower = written(_with_least(both, n_rows).filter(F.col("root") > F.col("node"))
+                        .select(F.col("root").alias("node"), F.least("node", "least").alias("root")).distinct(), "cc-large")
         # Small star: the neighbours below a node, and itself, hang on the least of them.
-        lower = large.filter("node > root").distinct()
-        low = lower.groupBy("node").agg(F.min("root").alias("least"))
-        small = (_with_least(lower, n_rows).filter(F.col("root") > F.col("least"))
-                 .select(F.col("root").alias("node"), F.col("least").alias("root")))
-        after = written(small.union(low).distinct(), "cc")
+        hung = F.array(F.struct("node", F.col("least").alias("root")), F.struct(F.col("root").alias("node"), F.col("least").alias("root")))
+        after = written(_with_least(lower, n_rows).select(F.inline(hung)).filter(F.col("node") > F.col("root")).distinct(), "cc")
         # Done when every node has one root and no root is a node itself.
-        split = after.groupBy("node").count().filter("count > 1").select("node")
-        chained = after.select(F.col("root").alias("above")).distinct().join(after, F.col("above") == F.col("node"), "left_semi").select("above")
-        if split.union(chained).isEmpty():
+        ends = (after.select(F.col("node").alias("of"), F.lit(1).alias("below"), F.lit(0).alias("above"))
+                .union(after.select(F.col("root"), F.lit(0), F.lit(1))))
+        if ends.groupBy("of").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below > 1 or (below = 1 and above = 1)").isEmpty():
             return after
         pairs = after
 
@@ -253,14 +251,14 @@ def components(edges: DataFrame) -> DataFrame:
 def _with_least(edges: DataFrame, n_rows: int) -> DataFrame:
     """The ``edges`` (node, root), at most ``n_rows``, with the ``least`` root
     of their node. Hubs, nodes of more rows than a share of an average task,
-    are at most ``tasks * PIECES``: they are broadcast, and their rows stay
-    where they are."""
+    are at most ``tasks * PIECES``: their least is broadcast, and their rows
+    are dealt by both ends."""
     piece = max(1, -(-n_rows // (int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) * PIECES)))
-    least = edges.groupBy("node").agg(F.min("root").alias("least"), F.count("*").alias("n")).withColumnRenamed("node", "of")
-    hubs = least.filter(F.col("n") > piece).select(F.col("of").alias("hub"), F.col("least").alias("hub_least"))
+    hubs = (edges.groupBy("node").agg(F.min("root").alias("hub_least"), F.count("*").alias("n")).filter(F.col("n") > piece)
+            .select(F.col("node").alias("hub"), "hub_least"))
+    dealt = Window.partitionBy("node", F.when(F.col("hub").isNotNull(), F.col("root")))
     met = edges.join(F.broadcast(hubs), F.col("node") == F.col("hub"), "left")
-    others = met.filter("hub IS NULL").select("node", "root").join(least.filter(F.col("n") <= piece), F.col("node") == F.col("of"))
-    return met.filter("hub IS NOT NULL").select("node", "root", F.col("hub_least").alias("least")).union(others.select("node", "root", "least"))
+    return met.select("node", "root", F.coalesce("hub_least", F.min("root").over(dealt)).alias("least"))
 
 
 def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD,

@@ -6,9 +6,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from farepath.llm import near_dup
 from farepath.llm.queries import op9_near_dup
+from farepath.plans.inspect import physical_plan
 from tests.llm import edge
 
 
@@ -212,3 +214,17 @@ def test_a_hub_of_the_components(spark):
     edges = [(0, i) for i in range(1, 2000)] + [(5000, 1999), (6000, 6001)]
     got = {r["node"]: r["root"] for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 2000)}, 5000: 0, 6001: 6000}
+
+
+@pytest.mark.parametrize("marked", [False, True])
+def test_plans_of_the_components_stay_small(spark, monkeypatch, marked):
+    """The driver holds one star at a time, however many rounds and hubs there are."""
+    numbers, plain = [], near_dup.written
+    monkeypatch.setattr(near_dup, "written", lambda df, name: (numbers.append(physical_plan(df, "simple").count("Exchange ")), plain(df, name))[1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 400)], "a long, b long")
+    if marked:  # nodes as the query has them
+        edges = edges.select(*[F.struct(F.col(c).alias("id"), (-F.col(c)).alias("mark")).alias(c) for c in "ab"])
+    rows = [(r["node"], r["root"]) for r in near_dup.components(edges).collect()]
+    got = {x["id"]: y["id"] for x, y in rows} if marked else dict(rows)
+    assert got == {i: 0 for i in range(1, 61)} | {i: 100 for i in range(101, 400)} and len(rows) == len(got)
+    assert len(numbers) > 3 and max(numbers) <= 4
