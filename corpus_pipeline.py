@@ -4,6 +4,10 @@ and read again as the next one's documents.
 Every stage takes (spark, docs, sf_dir). All but the last return rows with
 the columns of ``documents``; the last returns one row per document of the
 token files: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``.
+
+A stage's rows are made when they are written, and whole rows go through
+Python there: the stages that send them keep the session's Arrow batches small
+(``spark.sql.execution.arrow.maxBytesPerBatch``, unless the session has it).
 """
 
 from __future__ import annotations
@@ -11,12 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from farepath.llm import decontaminate, mixing, near_dup, quality
-from farepath.llm.common import documents, written
+from farepath.llm.common import documents, keep_batches_small, written
 from farepath.llm.queries import QUALITY_AT_LEAST, quality_model, token_index_of
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    keep_batches_small(spark)
     model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_quality(docs, model, QUALITY_AT_LEAST)
 
@@ -28,6 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    keep_batches_small(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farepath.llm.common import by_slice, columns_of, filtered_rows, mix64, placed, record_batch, text_of, written
+from farepath.llm.common import by_slice, columns_of, filtered_rows, kept, mix64, placed, record_batch, text_of, written
 from farepath.session import new_scratch_path
 
 DISTANCE = 0.2
@@ -285,16 +285,9 @@ def _cut(n: int) -> list[tuple[int, int]]:
     return [(j * n // m, (j + 1) * n // m) for j in range(m)]
 
 
-_BLOCKS: dict[int, ItemBlock] = {}
-
-
 def _block(items: list[tuple[int, list[str]]], distance: float) -> ItemBlock:
     """The tables of a block; a Python worker keeps those of the last one."""
-    key = xxhash.xxh3_128_intdigest(repr((distance, items)))
-    if key not in _BLOCKS:
-        _BLOCKS.clear()
-        _BLOCKS[key] = ItemBlock(items, distance)
-    return _BLOCKS[key]
+    return kept(("block", xxhash.xxh3_128_intdigest(repr((distance, items)))), lambda: ItemBlock(items, distance))
 
 
 def _places(draws: np.ndarray, steps: int, sampled: int) -> list[int]:

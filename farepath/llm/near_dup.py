@@ -49,13 +49,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from farepath.llm.common import by_slice, columns_of, mix64, record_batch, text_of, written
+from farepath.llm.common import by_slice, columns_of, let_go, mix64, record_batch, text_of, written
 from farepath.operators.lookup import checked_broadcast
 from farepath.operators.skew import PIECES
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, BAND_ROWS = 25, 5
+#: Bytes of text that a task signs at once: its arrays take about 50 times as much.
+SIGN_BYTES = 1_000_000
 #: By how much the overlap of 32-bit hashes may be off the true one: so many
 #: elements, and one more for each ``SLACK_SQUARE`` of the sizes' square. About
 #: the square / 2**33 collide at most, 64 times fewer.
@@ -166,8 +168,9 @@ def occurrences(bag: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _marked(batch: pa.RecordBatch):
     """``id``, ``mark`` and ``text`` of a bounded slice of rows at a time."""
+    let_go()
     ids, marks, texts = columns_of(batch, "id", "mark", "text")
-    for at, some in by_slice(pa.array(np.arange(batch.num_rows)), texts):
+    for at, some in by_slice(pa.array(np.arange(batch.num_rows)), texts, SIGN_BYTES):
         yield ids.take(at), marks.take(at), some
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farepath.llm.common import bounded_sample, columns_of, filtered_rows, record_batch, text_of
+from farepath.llm.common import bounded_sample, columns_of, filtered_rows, let_go, record_batch, text_of
 
 TRAINING_ROWS = 12_000
 BINS = 24
@@ -242,6 +242,7 @@ def keep_quality(docs: DataFrame, model: PairwiseAdditiveModel, at_least: float,
     place = docs.columns.index(text_column)
 
     def keep(batch):
+        let_go()
         x = np.array([features_of(t.as_py() or "") for t in batch.column(place)], dtype=np.float64).reshape(batch.num_rows, len(FEATURES))
         return model.scores(x) >= at_least
 

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farepath.llm.common import MEMO_ENTRIES, by_slice, columns_of, record_batch, small_batches, text_of
+from farepath.llm.common import MEMO_ENTRIES, by_slice, columns_of, kept, record_batch, small_batches, text_of
 from farepath.session import ensure_checkpoint_dir
 
 MAGIC = b"PFR1"
@@ -316,14 +316,9 @@ def _latin(text: str) -> bool:
     return True
 
 
-_ENCODERS: dict[str, WordwiseEncoder] = {}
-
-
 def _encoder(path: str) -> WordwiseEncoder:
     """One per Python worker, so that its memo serves later tasks too."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordwiseEncoder(path)
-    return _ENCODERS[path]
+    return kept(("encoder", path), lambda: WordwiseEncoder(path))
 
 
 # --- Spark ------------------------------------------------------------------

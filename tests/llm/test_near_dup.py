@@ -228,3 +228,11 @@ def test_plans_of_the_components_stay_small(spark, monkeypatch, marked):
     got = {x["id"]: y["id"] for x, y in rows} if marked else dict(rows)
     assert got == {i: 0 for i in range(1, 61)} | {i: 100 for i in range(101, 400)} and len(rows) == len(got)
     assert len(numbers) > 3 and max(numbers) <= 4
+
+
+def test_texts_are_signed_a_bounded_slice_at_a_time():
+    texts = [f"{i} " + "word " * (i % 400) for i in range(4_000)]
+    batch = pa.record_batch({"id": list(range(4_000)), "mark": [0] * 4_000, "text": texts})
+    slices = [(ids.to_pylist(), some.to_pylist()) for ids, _, some in near_dup._marked(batch)]
+    assert [i for ids, _ in slices for i in ids] == list(range(4_000)) and [t for _, some in slices for t in some] == texts
+    assert max(sum(map(len, some)) for _, some in slices) <= 1_000_000

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -70,3 +72,40 @@ def test_edge_cases(spark, out_dir):
 def test_empty_tables(spark, out_dir):
     root = edge.as_tables(spark, out_dir, edge.frame(spark, []))
     assert corpus_pipeline.run(spark, root).collect() == []
+
+
+def test_quality_stage_sends_small_batches(spark):
+    from farepath.llm import common
+
+    class Counting:
+        """Scores 1 for batches of at most 10 MB of text (10 kB a row)."""
+        def scores(self, x):
+            return (np.ones if len(x) <= 1_000 else np.zeros)(len(x))
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    model, corpus_pipeline.quality_model = corpus_pipeline.quality_model, lambda docs, labels: Counting()
+    try:
+        docs = spark.range(0, 3_000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 909).alias("text"))
+        assert corpus_pipeline.keep_quality(spark, docs, SF).count() == 3_000
+        spark.conf.set(name, "1m")
+        common.keep_batches_small(spark)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        corpus_pipeline.quality_model = model
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    import public_tokenizers
+
+    from farepath.llm import common, decontaminate, near_dup, token_ids
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = token_ids._encoder(path)
+    assert token_ids._encoder(path) is encoder and list(common._KEPT.values()) == [encoder]
+    block = decontaminate._block([(1, ["a", "b", "c"])], 0.2)
+    assert decontaminate._block([(1, ["a", "b", "c"])], 0.2) is block and list(common._KEPT.values()) == [block]
+    batch = pa.record_batch({"id": [1], "mark": [1], "text": ["a b c"]})
+    assert [t.to_pylist() for _, _, t in near_dup._marked(batch)] == [["a b c"]] and not common._KEPT
