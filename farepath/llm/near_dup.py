@@ -26,7 +26,9 @@ the component of the bucket's middle: those few members are compared with the
 rest, inside the join, so that pairs below the threshold leave no row. A pair
 that shares several buckets is compared in the first of them only. No link
 between components is lost, and a group of copies costs a few comparisons a
-member.
+member. The bags of a pair are intersected only if their bitmaps leave room for
+the overlap: what two bags share is at most the bits that both have set, and the
+elements that one of them lost to bits already set.
 
 Edge cases: a NULL text counts as empty; documents without words form one
 class. A NULL id stands for itself in the result; inside, a number below
@@ -62,10 +64,16 @@ SIGN_BYTES = 1_000_000
 #: elements, and one more for each ``SLACK_SQUARE`` of the sizes' square. About
 #: the square / 2**33 collide at most, 64 times fewer.
 SLACK, SLACK_SQUARE = 2, 1 << 27
+#: Longs of a bag's bitmap.
+BIT_WORDS = 32
 #: Keys of documents without an id are this number or less; ids are greater.
 NO_ID = -(1 << 62)
 #: Ids of documents in shared buckets up to which they are broadcast.
 BROADCAST_IDS = 2_000_000
+#: Rows of a star's edges up to which the least root of each node is broadcast.
+BROADCAST_ROOTS = 200_000
+#: Bytes of bucket members outside the main components up to which they are broadcast.
+BROADCAST_BYTES = 64_000_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -166,6 +174,15 @@ def occurrences(bag: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.where(number == 0, bag, mix64(bag ^ mix64(number.astype(np.uint64)))).view(np.int64)
 
 
+def bitmaps(elements: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each bag :data:`BIT_WORDS` longs in which every element sets a
+    bit; and the number of its elements less that of its bits."""
+    places = (elements.view(np.uint64) % np.uint64(64 * BIT_WORDS)).astype(np.int64)
+    bits = np.zeros((len(counts), 64 * BIT_WORDS), dtype=bool)
+    bits[np.repeat(np.arange(len(counts)), counts), places] = True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64), counts - bits.sum(axis=1)
+
+
 def _marked(batch: pa.RecordBatch):
     """``id``, ``mark`` and ``text`` of a bounded slice of rows at a time."""
     let_go()
@@ -195,8 +212,10 @@ def signatures(rows: DataFrame, bands: int, band_rows: int) -> DataFrame:
 
 def bag_sets(rows: DataFrame) -> DataFrame:
     """From ``id``, ``mark``, ``text``: ``id`` (both), ``bag``, the elements
-    to verify with, and ``brief``, 32 bits of each."""
-    kind = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("bag", pa.list_(pa.int64())), ("brief", pa.list_(pa.int32()))])
+    to verify with, ``brief``, 32 bits of each, and ``bits`` and ``spare`` of
+    :func:`bitmaps`."""
+    kind = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("bag", pa.list_(pa.int64())), ("brief", pa.list_(pa.int32())),
+                      ("bits", pa.list_(pa.int64())), ("spare", pa.int32())])
 
     def bags(batches):
         for batch in batches:
@@ -204,11 +223,13 @@ def bag_sets(rows: DataFrame) -> DataFrame:
                 bag, counts = shingle_bags(texts)
                 offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
                 elements = occurrences(bag, counts)
+                bits, spare = bitmaps(elements, counts)
                 yield record_batch(kind, [ids, marks, pa.ListArray.from_arrays(offsets, pa.array(elements)),
-                                          pa.ListArray.from_arrays(offsets, pa.array(elements.astype(np.int32)))])
+                                          pa.ListArray.from_arrays(offsets, pa.array(elements.astype(np.int32))),
+                                          pa.ListArray.from_arrays(np.arange(0, bits.size + 1, BIT_WORDS, dtype=np.int32), pa.array(bits.reshape(-1))), spare])
 
-    found = rows.select("id", "mark", "text").mapInArrow(bags, "id long, mark long, bag array<long>, brief array<int>")
-    return found.select(document().alias("id"), "bag", "brief")
+    found = rows.select("id", "mark", "text").mapInArrow(bags, "id long, mark long, bag array<long>, brief array<int>, bits array<long>, spare int")
+    return found.select(document().alias("id"), "bag", "brief", "bits", "spare")
 
 
 # --- classes ------------------------------------------------------------------
@@ -239,7 +260,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = pairs.union(pairs.select(F.col("root").alias("node"), F.col("node").alias("root")))
         n_rows = 2 * pairs.count()
         lower = written(_with_least(both, n_rows).filter(F.col("root") > F.col("node"))
-                        .select(F.col("root").alias("node"), F.least("node", "least").alias("root")).distinct(), "cc-large")
+                        .select(F.col("root").alias("node"), F.least("node", "least").alias("root")), "cc-large")  # a row for each pair at most
         # Small star: the neighbours below a node, and itself, hang on the least of them.
         hung = F.array(F.struct("node", F.col("least").alias("root")), F.struct(F.col("root").alias("node"), F.col("least").alias("root")))
         after = written(_with_least(lower, n_rows).select(F.inline(hung)).filter(F.col("node") > F.col("root")).distinct(), "cc")
@@ -253,9 +274,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _with_least(edges: DataFrame, n_rows: int) -> DataFrame:
     """The ``edges`` (node, root), at most ``n_rows``, with the ``least`` root
-    of their node. Hubs, nodes of more rows than a share of an average task,
-    are at most ``tasks * PIECES``: their least is broadcast, and their rows
-    are dealt by both ends."""
+    of their node. It is broadcast while there are few rows. Else hubs, nodes of
+    more rows than a share of an average task, are at most ``tasks * PIECES``:
+    their least is broadcast, and their rows are dealt by both ends."""
+    if n_rows <= BROADCAST_ROOTS:
+        least = edges.groupBy("node").agg(F.min("root").alias("least")).withColumnRenamed("node", "of")
+        return edges.join(F.broadcast(least), F.col("node") == F.col("of")).select("node", "root", "least")
     piece = max(1, -(-n_rows // (int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) * PIECES)))
     hubs = (edges.groupBy("node").agg(F.min("root").alias("hub_least"), F.count("*").alias("n")).filter(F.col("n") > piece)
             .select(F.col("node").alias("hub"), "hub_least"))
@@ -306,7 +330,7 @@ def _rooted(docs: DataFrame, id_column: str, text_column: str, threshold: float
     labels = components(links)
     mixed = _mixed(met.select("bucket", "rep", "degree"), labels)
     if not mixed.isEmpty():
-        found = _exact(_near_pairs(mixed, signed, bags, threshold), bags, threshold)
+        found = _exact(_near_pairs(mixed, signed, bags, threshold, bands), bags, threshold)
         if not found.isEmpty():
             labels = components(links.union(found))
 
@@ -337,6 +361,12 @@ def _reach(common: Column, sizes: Column, threshold: float) -> Column:
     return common >= threshold * (sizes - common)
 
 
+def _reached(most: Column, sizes: Column, threshold: float) -> Column:
+    """Whether so much in common may reach the threshold: ``most`` stands
+    once, as it is dear, and rounding errs on the side of a look."""
+    return most * (1 + threshold) >= threshold * sizes - 1e-6
+
+
 def _slack(sizes: Column) -> Column:
     return F.lit(SLACK) + sizes.cast("double") * sizes / SLACK_SQUARE
 
@@ -366,23 +396,38 @@ def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return written(labelled.join(several, F.col("bucket") == F.col("of")).select("bucket", "rep", "label", (F.col("label") == F.col("middle")).alias("main")), "near-mixed")
 
 
-def _near_pairs(mixed: DataFrame, signed: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+def _near_pairs(mixed: DataFrame, signed: DataFrame, bags: DataFrame, threshold: float, bands: int) -> DataFrame:
     """Pairs of members of one bucket and different components, one of them
-    outside the main one, that reach the threshold by their brief bags."""
+    outside the main one, that reach the threshold by their brief bags. Most
+    other pairs end at the bitmaps or at a key that both have in an earlier
+    band: plain columns, compared without a look into the bags."""
     reps = mixed.select("rep").distinct()
     about = (reps.join(signed.select(document().alias("id"), "keys").dropDuplicates(["id"]), F.col("rep") == F.col("id")).drop("id")
-             .join(bags.select("id", "brief"), F.col("rep") == F.col("id")).drop("id").withColumnRenamed("rep", "of"))
-    earlier = F.slice("keys", F.lit(1), (F.array_position("keys", F.col("bucket")) - 1).cast("int"))
+             .join(bags.select("id", "brief", "bits", "spare"), F.col("rep") == F.col("id")).drop("id").withColumnRenamed("rep", "of"))
+    place = F.array_position("keys", F.col("bucket")) - 1
+    earlier = [F.when(F.lit(i) < place, F.col("keys")[i]).alias(f"key{i}") for i in range(bands - 1)]
+    words = [F.col("bits")[i].alias(f"bits{i}") for i in range(BIT_WORDS)]
     rows = written(mixed.join(about, F.col("rep") == F.col("of"))
-                   .select("bucket", "rep", "label", "main", earlier.alias("earlier"), "brief", F.size("brief").alias("size")), "near-beside")
-    x, y = rows.alias("x"), rows.filter(~F.col("main")).alias("y")
+                   .select("bucket", "rep", "label", "main", "brief", F.size("brief").alias("size"), "spare", *words, *earlier), "near-beside")
+    outside = rows.filter(~F.col("main"))
+    n, elements = outside.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    # Few of them: the others are met where they lie, in a file of mixed buckets.
+    outside = F.broadcast(outside) if 4 * elements + 8 * n * (BIT_WORDS + bands + 16) <= BROADCAST_BYTES else outside
+    x, y = rows.alias("x"), outside.alias("y")
     sizes = F.col("x.size") + F.col("y.size")
+    most = F.least("x.spare", "y.spare")
+    for i in range(BIT_WORDS):
+        most = most + F.bit_count(F.col(f"x.bits{i}").bitwiseAND(F.col(f"y.bits{i}")))
+    before = F.lit(False)
+    for i in range(bands - 1):
+        before = before | (F.col(f"x.key{i}") == F.col(f"y.key{i}"))  # NULL from the bucket's band on
     common = F.size(F.array_intersect("x.brief", "y.brief")) + _slack(sizes)
     met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label"))
                  & (F.col("x.main") | (F.col("x.rep") < F.col("y.rep")))
                  & (F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size"))
-                 & ~F.arrays_overlap("x.earlier", "y.earlier")
-                 & _reach(common, sizes, threshold))
+                 & _reached(most, sizes, threshold)
+                 & ~F.coalesce(before, F.lit(False))
+                 & _reached(common, sizes, threshold))
     return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 

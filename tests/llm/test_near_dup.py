@@ -236,3 +236,47 @@ def test_texts_are_signed_a_bounded_slice_at_a_time():
     slices = [(ids.to_pylist(), some.to_pylist()) for ids, _, some in near_dup._marked(batch)]
     assert [i for ids, _ in slices for i in ids] == list(range(4_000)) and [t for _, some in slices for t in some] == texts
     assert max(sum(map(len, some)) for _, some in slices) <= 1_000_000
+
+
+def test_bitmaps_leave_room_for_what_bags_share():
+    rng = np.random.default_rng(5)
+    pool = near_dup.mix64(np.arange(6_000, dtype=np.uint64)).view(np.int64)
+    for size in (1, 50, 150, 1_000, 5_000):
+        a, b = (rng.choice(pool[:size + size // 5 + 1], size, replace=False) for _ in range(2))
+        bits, spare = near_dup.bitmaps(np.append(a, b), np.array([size, size]))
+        assert bits.shape == (2, near_dup.BIT_WORDS)
+        most = sum(int(x).bit_count() for x in (bits[0] & bits[1]).view(np.uint64)) + min(spare)
+        shared = len(set(a.tolist()) & set(b.tolist()))
+        assert shared <= most and (size > 150 or most <= shared + 0.1 * size + 2)
+    empty, spare = near_dup.bitmaps(np.zeros(0, np.int64), np.array([0, 0]))
+    assert not empty.any() and not spare.any()
+
+
+@pytest.mark.parametrize("broadcast", [near_dup.BROADCAST_BYTES, 0])
+def test_few_pairs_of_a_bucket_reach_the_bags(spark, monkeypatch, broadcast):
+    """In a large bucket made by a template few pairs are intersected, and the
+    few members outside the main component are broadcast, not dealt."""
+    texts = templated(random.Random(4), 160, 0.72, 20)
+    monkeypatch.setattr(near_dup, "BROADCAST_BYTES", broadcast)
+    plans, plain = [], near_dup._near_pairs
+
+    def kept(*args):
+        pairs = plain(*args)
+        plans.append(physical_plan(pairs, "simple"))
+        return pairs
+
+    monkeypatch.setattr(near_dup, "_near_pairs", kept)
+    assert found(edge.documents(spark, texts)) == classes(list(enumerate(texts)))
+    (plan,) = plans
+    assert plan.index("bit_count") < plan.index("array_intersect")  # conditions stand in order
+    assert "BroadcastHashJoin" in plan or not broadcast
+
+
+@pytest.mark.parametrize("most", [near_dup.BROADCAST_ROOTS, 0])
+def test_stars_with_few_and_with_many_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dup, "BROADCAST_ROOTS", most)
+    edges = [(0, i) for i in range(1, 1500)] + [(5000, 1499), (6000, 6001)] + [(i, i + 1) for i in range(7000, 7030)]
+    got = {r["node"]: r["root"] for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 1500)}, 5000: 0, 6001: 6000, **{i: 7000 for i in range(7001, 7031)}}
+    star = near_dup._with_least(spark.createDataFrame(edges, "node long, root long"), len(edges))
+    assert ("Window" in physical_plan(star, "simple")) == (most == 0)
