@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farepath.llm.common import MEMO_ENTRIES, by_slice, columns_of, kept, record_batch, small_batches, text_of
+from farepath.llm.common import by_slice, columns_of, kept, record_batch, small_batches, text_of
 from farepath.session import ensure_checkpoint_dir
 
 MAGIC = b"PFR1"
@@ -46,6 +46,8 @@ BLOCK = 128
 PERCENTILES = (90, 95, 98, 100)
 #: Ids after which a segment ends.
 SEGMENT_IDS = 1_000_000
+#: Words that the memo of a task's encoder holds at most, and their bytes with those of their ids.
+MEMO_WORDS, MEMO_BYTES = 150_000, 24_000_000
 #: Characters of text in one file, about.
 FILE_CHARS = 16_000_000
 
@@ -223,43 +225,44 @@ class WordwiseEncoder:
         self._ends = np.zeros(self._tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self._tokenizer.get_vocab().items():
             self._ends[i] = token.endswith(suffix)
-        self._word_ids: dict[str, bytes] = {"": b""}
-        self._older_ids: dict[str, bytes] = {"": b""}
+        self._memo = pa.array([""], pa.string()), pa.array([b""], pa.large_binary())
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _words(self, words: list[str]) -> None:
-        """Put the ids of lower-case Latin-1 words into the memo of words."""
-        memo = self._word_ids
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of lower-case Latin-1 words, none of them empty."""
+        out = []
         for lo in range(0, len(words), 500):
             some = words[lo:lo + 500]
             spelt = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self._letters) for w in some]
-            ids = np.array(self._merges.encode(" ".join(spelt), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self._merges.encode_batch_fast([" ".join(spelt)], add_special_tokens=False)[0].ids, dtype="<u4")
             raw, ends = ids.tobytes(), ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()
             if len(ends) != len(some):  # a word whose ids hold an end inside: one by one
-                memo.update(zip(some, self._whole(some)))
-                continue
-            memo.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends))))
+                out += self._whole(some)
+            else:
+                out += map(raw.__getitem__, map(slice, [0, *ends], ends))
+        return out
 
-    def _known(self, words: list[str]) -> list[bytes]:
+    def _known(self, words: pa.StringArray) -> pa.LargeBinaryArray:
         """Ids of distinct lower-case words of Latin-1 letters, or of marks.
-        The memo has two generations: what isn't asked for while the younger
-        one fills goes with the older one."""
-        young, old = self._word_ids, self._older_ids
-        found = list(map(young.get, words))
-        if None in found:
-            missing = [w for w, x in zip(words, found) if x is None]
-            if len(young) + len(missing) > MEMO_ENTRIES // 2:
-                self._older_ids, self._word_ids = young, {}
-                young, old = self._word_ids, self._older_ids
-            again = list(map(old.get, missing))
-            young.update((w, x) for w, x in zip(missing, again) if x is not None)
-            new = [w for w, x in zip(missing, again) if x is None]
-            self._words(new)
-            found = [x if x is not None else young[w] for w, x in zip(words, found)]
-        return found
+        Arrow looks them up in the memo, which holds words and ids side by side."""
+        words_held, ids_held = self._memo
+        at = pc.index_in(words, value_set=words_held)
+        missing = words.filter(pc.is_null(at))
+        if len(missing):
+            words_held = pa.concat_arrays([words_held, missing])
+            ids_held = pa.concat_arrays([ids_held, pa.array(self._words(missing.to_pylist()), pa.large_binary())])
+            self._memo = words_held, ids_held
+        place = np.array(pc.fill_null(at, -1))
+        place[place < 0] = np.arange(len(words_held) - len(missing), len(words_held))
+        return ids_held.take(pa.array(place))
+
+    def _bound_memo(self, words: pa.StringArray, ids: pa.LargeBinaryArray) -> None:
+        """Once the memo is full, only these words stay in it, the last asked for."""
+        if len(self._memo[0]) > MEMO_WORDS or sum(x.nbytes for x in self._memo) > MEMO_BYTES:
+            self._memo = pa.concat_arrays([pa.array([""], pa.string()), words]), pa.concat_arrays([pa.array([b""], pa.large_binary()), ids])
 
     def _others(self, chunks: list[str]) -> list[bytes]:
         """Ids of distinct chunks of any other form."""
@@ -270,7 +273,7 @@ class WordwiseEncoder:
             else:
                 whole.append(c)
         words = list({w for p in pieces.values() for w in p})
-        known = dict(zip(words, self._known(words)))
+        known = dict(zip(words, self._known(pa.array(words, pa.string())).to_pylist()))
         found = dict(zip(whole, self._whole(whole)))
         found.update((c, b"".join(map(known.__getitem__, p))) for c, p in pieces.items())
         return [found[c] for c in chunks]
@@ -279,7 +282,7 @@ class WordwiseEncoder:
         """The ids (uint32) of the texts one after the other, and how many
         belong to each. Arrow splits the texts into chunks, finds the distinct
         ones and parts them into letters and the marks behind; each distinct
-        word is looked up once, and the ids are gathered by position."""
+        word is looked up once, and Arrow joins and gathers the ids as bytes."""
         if any(pc.any(pc.match_substring(texts, s)).as_py() for s in self._special):
             found = [self._whole([t])[0] if any(s in t for s in self._special) else self.encode_all(pa.array([t], pa.string()))[0].tobytes()
                      for t in texts.to_pylist()]
@@ -291,20 +294,17 @@ class WordwiseEncoder:
         plain = pc.is_valid(parts)
         letters = pc.utf8_lower(pc.fill_null(pc.struct_field(parts, "letters"), "")).dictionary_encode()
         marks = pc.fill_null(pc.struct_field(parts, "marks"), "").dictionary_encode()
-        others = chunks.filter(pc.invert(plain)).to_pylist()
-        n_letters, n_marks = len(letters.dictionary), len(marks.dictionary)
-        known = self._known([*letters.dictionary.to_pylist(), *marks.dictionary.to_pylist()]) + self._others(others)
-        # Two entries of the table for each chunk; the empty word has no ids.
-        of = np.stack([letters.indices.to_numpy(), marks.indices.to_numpy() + n_letters], axis=1)
-        of[np.flatnonzero(~plain.to_numpy(zero_copy_only=False)), 0] = np.arange(len(others)) + n_letters + n_marks
-        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
-        flat = np.frombuffer(b"".join(known), dtype="<u4")
-        starts = np.cumsum(sizes) - sizes
-        of = of[coded.indices.to_numpy()].reshape(-1)
-        counts = sizes[of]
-        total = np.append(0, np.cumsum(counts))
-        ids = flat[np.repeat(starts[of] - total[:-1], counts) + np.arange(total[-1])]
-        ends = total[2 * np.cumsum(pc.list_value_length(lists).to_numpy())]
+        # The ids of a chunk as bytes: those of its letters, then those of its marks.
+        spelt = [self._known(p.dictionary) for p in (letters, marks)]
+        known = pc.binary_join_element_wise(spelt[0].take(letters.indices), spelt[1].take(marks.indices), pa.scalar(b"", pa.large_binary()))
+        if not pc.all(plain).as_py():
+            others = self._others(chunks.filter(pc.invert(plain)).to_pylist())
+            known = pc.replace_with_mask(known, pc.invert(plain), pa.array(others, pa.large_binary()))
+        self._bound_memo(letters.dictionary, spelt[0])
+        gathered = known.take(coded.indices)
+        offsets = np.frombuffer(gathered.buffers()[1], dtype=np.int64)[gathered.offset:gathered.offset + len(gathered) + 1]
+        ids = np.frombuffer(gathered.buffers()[2] or b"", dtype="<u4", offset=int(offsets[0]), count=int(offsets[-1] - offsets[0]) // 4)
+        ends = (offsets[np.cumsum(pc.list_value_length(lists).to_numpy())] - offsets[0]) // 4
         return ids, np.diff(ends, prepend=0)
 
 

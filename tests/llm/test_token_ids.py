@@ -102,3 +102,25 @@ def test_empty_table(spark, out_dir):
 def test_query_over_the_whole_table(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     assert order([tuple(r) for r in op1_token_ids(spark, sf).collect()]) == expected([tuple(r) for r in rows])
+
+
+def test_few_words_go_to_the_model_twice(monkeypatch):
+    """The memo stays within its bounds, whatever the words, and gives the
+    tokenizer's ids before and after it is emptied."""
+    from tokenizers import Tokenizer
+    own, encoder = Tokenizer.from_file(TOKENIZER), token_ids.WordwiseEncoder(TOKENIZER)
+    asked, plain = [], encoder._words
+    monkeypatch.setattr(encoder, "_words", lambda words: (asked.extend(words), plain(words))[1])
+    rng = random.Random(2)
+    common = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(400)]
+    monkeypatch.setattr(token_ids, "MEMO_WORDS", 2_000)
+    for number in range(12):
+        texts = [" ".join([*common, *(f"{w}{'xyz'[number % 3]}{'qrs'[number // 3 % 3]}," for w in common[:200]), ""]), "", "Abc ABC"]
+        ids, sizes = encoder.encode_all(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+        assert len(encoder._memo[0]) == len(encoder._memo[1]) <= 2_001
+    assert "" not in asked and len(asked) > len(set(asked)) and all(asked.count(w) == 1 for w in common[200:])
+    monkeypatch.setattr(token_ids, "MEMO_BYTES", 100_000)
+    for letter in "abc":
+        ids, sizes = encoder.encode_all(pa.array([letter * 60_000], pa.string()))
+        assert ids.tolist() == own.encode(letter * 60_000, add_special_tokens=False).ids
